@@ -95,3 +95,87 @@ WARN_INTERRUPTED = "连接意外中断，已采集的数据仍可导出。"
 WARN_STOPPED = "用户已停止任务，保留已获取的数据。"
 WARN_RESOURCE_FAILED = "%d 个渲染资源加载失败或未通过访问检查，动态内容可能不完整。"
 WARN_RESOURCE_BLOCKED = "已跳过 %d 个图片、媒体、非 GET 请求或额外导航；依赖这些请求的内容可能缺失。"
+
+# --- charset labels and the JVM charset each one means; other labels read as UTF-8 ---
+CHARSETS = {
+    "utf-8": "UTF-8",
+    "utf8": "UTF-8",
+    "us-ascii": "windows-1252",
+    "ascii": "windows-1252",
+    "iso-8859-1": "windows-1252",
+    "latin1": "windows-1252",
+    "windows-1252": "windows-1252",
+    "cp1252": "windows-1252",
+    "iso-8859-2": "ISO-8859-2",
+    "iso-8859-3": "ISO-8859-3",
+    "iso-8859-4": "ISO-8859-4",
+    "iso-8859-5": "ISO-8859-5",
+    "iso-8859-6": "ISO-8859-6",
+    "iso-8859-7": "ISO-8859-7",
+    "iso-8859-8": "ISO-8859-8",
+    "iso-8859-9": "windows-1254",
+    "iso-8859-13": "ISO-8859-13",
+    "iso-8859-15": "ISO-8859-15",
+    "windows-1250": "windows-1250",
+    "windows-1251": "windows-1251",
+    "windows-1253": "windows-1253",
+    "windows-1254": "windows-1254",
+    "windows-1255": "windows-1255",
+    "windows-1256": "windows-1256",
+    "windows-1257": "windows-1257",
+    "windows-1258": "windows-1258",
+    "windows-874": "x-windows-874",
+    "koi8-r": "KOI8-R",
+    "koi8-u": "KOI8-U",
+    "ibm866": "IBM866",
+    "gbk": "GBK",
+    "gb2312": "GBK",
+    "gb18030": "GB18030",
+    "big5": "Big5",
+    "shift_jis": "windows-31j",
+    "sjis": "windows-31j",
+    "euc-jp": "EUC-JP",
+    "iso-2022-jp": "ISO-2022-JP",
+    "euc-kr": "x-windows-949",
+    "ks_c_5601-1987": "x-windows-949",
+    "utf-16": "UTF-16LE",
+    "utf-16le": "UTF-16LE",
+    "utf-16be": "UTF-16BE",
+}
+
+# --- address blocks that are not plain public unicast ---
+SPECIAL_IPV4 = [
+    "0.0.0.0/8",
+    "10.0.0.0/8",
+    "100.64.0.0/10",
+    "127.0.0.0/8",
+    "169.254.0.0/16",
+    "172.16.0.0/12",
+    "192.0.0.0/24",
+    "192.0.2.0/24",
+    "192.31.196.0/24",
+    "192.52.193.0/24",
+    "192.88.99.0/24",
+    "192.168.0.0/16",
+    "192.175.48.0/24",
+    "198.18.0.0/15",
+    "198.51.100.0/24",
+    "203.0.113.0/24",
+    "224.0.0.0/4",
+    "240.0.0.0/4",
+]
+SPECIAL_IPV6 = [
+    "::/128",
+    "::1/128",
+    "::ffff:0:0:0/96",
+    "64:ff9b::/96",
+    "100::/64",
+    "2001::/23",
+    "2001:db8::/32",
+    "2002::/16",
+    "2620:4f:8000::/48",
+    "fc00::/7",
+    "fe80::/10",
+    "ff00::/8",
+]
+LOCAL_SUFFIXES = [".localhost", ".local", ".internal"]

@@ -10,12 +10,16 @@ from pyspark.sql import SparkSession
 RUNTIME_SETTINGS = {
     # decode() must accept every charset label the JVM knows (GBK, Big5, Shift_JIS, ...)
     "spark.sql.legacy.javaCharsets": "true",
+    # malformed bytes become U+FFFD instead of failing the row
+    "spark.sql.legacy.codingErrorAction": "true",
     # duplicate JSON keys: the last one wins instead of failing the row
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # call-site capture costs more than building the expressions themselves
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # shredded pages are wide rows, so Arrow batches are kept small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
