@@ -159,6 +159,11 @@ def _web_parts(u: Column) -> Column:
     )
 
 
+def percent_encode(c: Column) -> Column:
+    """Percent-encodes blanks, controls and everything outside ASCII."""
+    return _escape(c, r"[^!-~]")
+
+
 def parse_url(c: Column) -> Column:
     """STRUCT(scheme, user, password, host, port, path, query, fragment, ..) or NULL."""
     return let(_trim_control(c), _web_parts)
