@@ -18,12 +18,13 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # call-site capture costs more than building the expressions themselves
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # shredded pages are wide rows, so Arrow batches are kept small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
+# Only settable when the session is built: call-site capture costs more than the expressions.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
@@ -36,7 +37,7 @@ def build_session(app: str = "leafmill", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **conf}.items():
+    for key, value in {**RUNTIME_SETTINGS, **BUILD_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
