@@ -197,28 +197,29 @@ def normalize_url(c: Column) -> Column:
 def resolve_parts(ref: Column, base: Column) -> Column:
     """Parts of ``ref`` resolved against the parsed URL ``base``; NULL unless valid http(s)."""
 
-    def absolute(r: Column) -> Column:
-        same_scheme = F.regexp_extract(r, r"(?i)^(https?):(?![/\\])", 1)
+    def joined(x: Column) -> Column:
+        t, b = x["ref"], x["base"]
         # "http:page" with a base of the same scheme is a relative reference
-        tail = F.when((same_scheme != "") & (F.lower(same_scheme) == base["scheme"]),
-                      F.regexp_replace(r, r"^[a-zA-Z]+:", "")).otherwise(r)
-
-        def joined(t: Column) -> Column:
-            root = F.concat(origin_of(base))
-            folder = F.regexp_replace(base["path"], r"[^/]*$", "")
-            return (
-                F.when(t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), t)
-                .when(t.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), t))
-                .when(t.rlike(r"^[/\\]"), F.concat(root, t))
-                .when(t.startswith("?"), F.concat(root, base["path"], t))
-                .when(t.startswith("#"), F.concat(root, base["path"], base["query"], base["bare_query"], t))
-                .when(t == "", F.concat(root, base["path"], base["query"], base["bare_query"]))
-                .otherwise(F.concat(root, folder, t))
-            )
-
-        return let(tail, lambda t: let(joined(t), _web_parts))
-
-    return let(_trim_control(ref), absolute)
+        t = F.when(
+            t.rlike(r"(?i)^https?:(?![/\\])") & (F.lower(F.substring_index(t, ":", 1)) == b["scheme"]),
+            F.regexp_replace(t, r"^[a-zA-Z]+:", ""),
+        ).otherwise(t)
+        return let(t, lambda r: _web_parts_of(r, b))
+
+    return let(F.struct(_trim_control(ref).alias("ref"), base.alias("base")), joined)
+
+
+def _web_parts_of(t: Column, base: Column) -> Column:
+    root = origin_of(base)
+    head = (
+        F.when(t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), "")
+        .when(t.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":")))
+        .when(t.rlike(r"^[/\\]"), root)
+        .when(t.startswith("?"), F.concat(root, base["path"]))
+        .when((t == "") | t.startswith("#"), F.concat(root, base["path"], base["query"], base["bare_query"]))
+        .otherwise(F.concat(root, F.regexp_replace(base["path"], r"[^/]*$", "")))
+    )
+    return let(F.concat(head, t), _web_parts)
 
 
 def resolve_url(ref: Column, base: Column) -> Column:

@@ -103,12 +103,13 @@ def classify_addresses(resolved: DataFrame, host: str = "host", address: str = "
 def _verdict(url: Column) -> Column:
     """STRUCT(url_norm, reject_reason)."""
 
-    def judged(p: Column) -> Column:
+    def judged(x: Column) -> Column:
+        url, p = x["url"], x["parts"]
         host = F.regexp_replace(p["host"], r"^\[|\]$", "")
         literal = p["host"].startswith("[") | host.rlike(r"^\d+(\.\d+){3}$")
         reason = (
-            F.when(url.isNull() | ~F.trim(url).rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), "not an absolute URL")
-            .when(~F.trim(url).rlike(r"(?i)^https?:"), "scheme")
+            F.when(url.isNull() | ~url.rlike(r"^[\x00-\x20]*[a-zA-Z][a-zA-Z0-9+.\-]*:"), "not an absolute URL")
+            .when(~url.rlike(r"(?i)^[\x00-\x20]*https?:"), "scheme")
             .when(p.isNull(), "not an absolute URL")
             .when((p["user"] != "") | (p["password"] != ""), "credentials")
             .when((p["port"] != "") & ~p["port"].isin("80", "443"), "port")
@@ -123,7 +124,7 @@ def _verdict(url: Column) -> Column:
             ),
         )
 
-    return let(parse_url(url), judged)
+    return let(url, lambda u: let(F.struct(u.alias("url"), parse_url(u).alias("parts")), judged))
 
 
 def admit_urls(df: DataFrame, url: str = "url") -> DataFrame:

@@ -33,45 +33,60 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: st
 # --- pagination ---------------------------------------------------------------------------
 
 
+def _key(url: Column, done: Column, own: Column) -> Column:
+    """Join key of a round; finished rows get a key of their own, so they match nothing and spread."""
+    return F.when(done | url.isNull(), F.concat(F.lit("done "), own.cast("string"))).otherwise(url)
+
+
 def paginate(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Pages visited by following next links: (run_id, page_index, url, stop_reason).
 
     ``seeds`` (run_id, url); ``links`` (url, next_url), one row per landed page. A run goes on
-    until there is no next link, the next one was visited, it leaves the origin, or the cap. The
-    number of rounds is the page cap, so the plan is a fixed chain of equi-joins on the URL.
+    until there is no next link, the next one was visited, it leaves the origin, or the cap.
     ``stop_reason`` is set on the last page of a run that stopped for a warning.
+
+    The page cap bounds the rounds. Each round is one equi-join on the URL; links are parsed and
+    shuffled once (the exchange is reused), and a run carries at most ``max_pages`` URLs along.
     """
+    target = F.struct(
+        let(parse_url(F.col("next_url")), lambda p: F.struct(build_url(p, fragment=False).alias("url"), origin_of(p).alias("origin"))).alias("p"),
+        F.col("next_url").isNotNull().alias("given"),
+    )
+    hops = links.select(F.col("url").alias("_at"), target.alias("_t"))
     start = seeds.select("run_id", admitted_url(F.col("url")).alias("url")).filter(F.col("url").isNotNull())
-    hops = links.select(F.col("url").alias("_at"), "next_url")
-    frontier = start.select(
+    state = start.select(
         "run_id",
         "url",
         let(parse_url(F.col("url")), origin_of).alias("origin"),
         F.array("url").alias("seen"),
+        F.lit(False).alias("done"),
+        F.lit(None).cast("string").alias("reason"),
     )
-    visited = None
     for index in range(max_pages):
-        at = frontier.join(hops, frontier["url"] == hops["_at"], "left").drop("_at")
-        target = let(
-            parse_url(F.col("next_url")),
-            lambda p: F.struct(
-                F.when(origin_of(p) == F.col("origin"), build_url(p, fragment=False)).alias("url"),
-                F.coalesce(origin_of(p) != F.col("origin"), F.col("next_url").isNotNull()).alias("foreign"),
-            ),
-        )
-        at = at.withColumn("_t", target)
         last = index + 1 == max_pages
-        reason = F.when(F.col("_t.foreign"), WARN_NEXT_OTHER_ORIGIN)
-        if not last:  # at the cap nobody looks whether the next page was visited
-            reason = reason.when(F.array_contains("seen", F.col("_t.url")), WARN_NEXT_REPEATED)
-        at = at.withColumn("stop_reason", reason)
-        page = at.select("run_id", F.lit(index).alias("page_index"), "url", "stop_reason")
-        visited = page if visited is None else visited.unionByName(page)
-        if not last:
-            frontier = at.filter(F.col("stop_reason").isNull() & F.col("_t.url").isNotNull()).select(
-                "run_id", F.col("_t.url").alias("url"), "origin", F.array_append("seen", F.col("_t.url")).alias("seen")
-            )
-    return visited
+        keyed = state.withColumn("_at", _key(F.col("url"), F.col("done"), F.col("run_id")))
+        at = keyed.join(hops, ["_at"], "left")
+        url, origin = F.col("_t.p.url"), F.col("_t.p.origin")
+        given = F.coalesce(F.col("_t.given"), F.lit(False))
+        foreign = given & ~F.coalesce(origin == F.col("origin"), F.lit(False))
+        # at the cap nobody looks whether the next page was visited
+        repeated = F.lit(False) if last else given & F.coalesce(F.array_contains("seen", url), F.lit(False))
+        goes_on = given & ~foreign & ~repeated & F.lit(not last)
+        state = at.select(
+            "run_id",
+            F.when(goes_on, url).alias("url"),
+            "origin",
+            F.when(goes_on, F.array_append("seen", url)).otherwise(F.col("seen")).alias("seen"),
+            (~goes_on).alias("done"),
+            F.coalesce(
+                "reason", F.when(foreign, WARN_NEXT_OTHER_ORIGIN).when(repeated, WARN_NEXT_REPEATED)
+            ).alias("reason"),
+        )
+    visited = state.select("run_id", "seen", "reason", F.posexplode_outer("seen").alias("page_index", "url"))
+    return visited.select(
+        "run_id", "page_index", "url",
+        F.when(F.col("page_index") == F.size("seen") - 1, F.col("reason")).alias("stop_reason"),
+    )
 
 
 def page_urls(rules: DataFrame) -> DataFrame:
@@ -107,9 +122,18 @@ def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects:
 
     ``requests`` (request_id, url, method, same_origin); ``fetch_log`` (url, status, location),
     one row per URL. Every target is admitted again; a POST is never redirected. The hop limit
-    bounds the number of joins.
+    bounds the number of joins; targets are resolved once, on the log.
     """
-    log = fetch_log.select(F.col("url").alias("_at"), F.col("status").alias("_status"), "location")
+    moved = F.col("status").isin(*REDIRECTS)
+    target = F.when(moved, admitted_url(resolve_url(F.col("location"), parse_url(F.col("url")))))
+    log = fetch_log.withColumn("_target", target).select(
+        F.col("url").alias("_at"),
+        F.col("status").alias("_status"),
+        moved.alias("_moved"),
+        (F.coalesce(F.col("location"), F.lit("")) == "").alias("_no_location"),
+        "_target",
+        let(parse_url(F.col("_target")), origin_of).alias("_target_origin"),
+    )
     state = requests.select(
         "request_id",
         "url",
@@ -118,36 +142,35 @@ def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects:
         admitted_url(F.col("url")).alias("final_url"),
         let(parse_url(F.col("url")), origin_of).alias("_origin"),
         F.lit(0).alias("hops"),
+        F.lit(None).cast("int").alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(False).alias("done"),
     )
-    outputs = ["request_id", "url", "final_url", "hops", "status", "reason"]
-    refused = state.filter(F.col("final_url").isNull()).select(
-        "request_id", "url", "final_url", "hops", F.lit(None).cast("int").alias("status"), F.lit("not admitted").alias("reason")
-    )
-    done, state = refused, state.filter(F.col("final_url").isNotNull())
+    state = state.withColumn("reason", F.when(F.col("final_url").isNull(), "not admitted"))
+    state = state.withColumn("done", F.col("final_url").isNull())
     for hop in range(max_redirects + 1):
-        at = state.join(log, state["final_url"] == log["_at"], "left").drop("_at")
-        moved = F.col("_status").isin(*REDIRECTS)
-        target = F.when(moved, resolve_url(F.col("location"), parse_url(F.col("final_url"))))
-        at = at.withColumn("_target", admitted_url(target))
-        reason = (
+        at = state.withColumn("_at", _key(F.col("final_url"), F.col("done"), F.col("request_id"))).join(log, ["_at"], "left")
+        going = ~F.col("done") & F.coalesce("_moved", F.lit(False))
+        reason = F.when(~F.col("done"), (
             F.when(F.col("_status").isNull(), "no response")
-            .when(moved & (F.coalesce(F.col("location"), F.lit("")) == ""), "invalid redirect")
-            .when(moved & (F.col("method") == "POST"), "redirected POST")
-            .when(moved & F.col("_target").isNull(), "invalid redirect")
-            .when(
-                moved & F.col("same_origin") & (let(parse_url(F.col("_target")), origin_of) != F.col("_origin")),
-                "redirect to another site",
-            )
-            .when(moved & F.lit(hop == max_redirects), "too many redirects")
+            .when(going & F.col("_no_location"), "invalid redirect")
+            .when(going & (F.col("method") == "POST"), "redirected POST")
+            .when(going & F.col("_target").isNull(), "invalid redirect")
+            .when(going & F.col("same_origin") & (F.col("_target_origin") != F.col("_origin")), "redirect to another site")
+            .when(going & F.lit(hop == max_redirects), "too many redirects")
+        ))
+        at = at.withColumn("_reason", F.coalesce("reason", reason))
+        follow = going & F.col("_reason").isNull()
+        state = at.select(
+            "request_id", "url", "method", "same_origin",
+            F.when(follow, F.col("_target")).otherwise(F.col("final_url")).alias("final_url"),
+            "_origin",
+            (F.col("hops") + follow.cast("int")).alias("hops"),
+            F.when(~F.col("done") & ~follow, F.col("_status")).otherwise(F.col("status")).alias("status"),
+            F.col("_reason").alias("reason"),
+            (F.col("done") | ~follow).alias("done"),
         )
-        at = at.withColumn("reason", reason).withColumn("_go", moved & F.col("reason").isNull())
-        done = done.unionByName(at.filter(~F.coalesce("_go", F.lit(False))).withColumn("status", F.col("_status")).select(*outputs))
-        if hop < max_redirects:
-            state = at.filter("_go").select(
-                "request_id", "url", "method", "same_origin", F.col("_target").alias("final_url"), "_origin",
-                (F.col("hops") + 1).alias("hops"),
-            )
-    return done
+    return state.select("request_id", "url", "final_url", "hops", "status", "reason")
 
 
 # --- robots -------------------------------------------------------------------------------
@@ -234,7 +257,7 @@ def agent_rules(parsed: DataFrame, agent: str) -> DataFrame:
 
 def _allowed(path: Column, rules: Column) -> Column:
     """Longest matching rule decides, allow wins ties, no match allows."""
-    hits = F.filter(rules, lambda r: F.coalesce(path.startswith(r["prefix"]), path.rlike(r["pattern"]), F.lit(False)))
+    hits = F.filter(rules, lambda r: F.coalesce(path.startswith(r["prefix"]), F.rlike(path, r["pattern"]), F.lit(False)))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"))))
     return F.coalesce(best["allow"], F.lit(True))
 
@@ -289,8 +312,9 @@ def schedule(requests: DataFrame, chunk_ms: int = 3_600_000) -> DataFrame:
     order = [F.col("arrival_ms"), F.col("request_id")]
     inner = W.partitionBy("origin", "_chunk").orderBy(*order)
     # The gap in front of a chunk's first row needs the last interval of the chunk before.
-    local_gap = F.greatest(F.col("interval_ms"), F.lag("interval_ms").over(inner))
-    df = df.withColumn("_gap", F.coalesce(local_gap, F.lit(0)).cast("long"))
+    previous = F.lag("interval_ms").over(inner)
+    local_gap = F.when(previous.isNull(), F.lit(0)).otherwise(F.greatest(F.col("interval_ms"), previous))
+    df = df.withColumn("_gap", local_gap.cast("long"))
     df = df.withColumn("_sum", F.sum("_gap").over(inner.rowsBetween(W.unboundedPreceding, 0)))
     df = df.withColumn(
         "_lead", F.max(F.col("arrival_ms") - F.col("_sum")).over(inner.rowsBetween(W.unboundedPreceding, 0))

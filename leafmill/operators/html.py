@@ -53,15 +53,16 @@ def nodes_table(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def base_url(nodes: Column, url: Column) -> Column:
     """Parsed base of a page: the first base[href] if it is a web URL, else the page URL."""
-    own = parse_url(url)
     href = _attr(first(nodes, "base[href]"), "href")
-    return let(own, lambda o: F.coalesce(F.when(href.isNotNull(), resolve_parts(href, o)), o))
+    return let(
+        F.struct(parse_url(url).alias("own"), href.alias("href")),
+        lambda x: F.coalesce(F.when(x["href"].isNotNull(), resolve_parts(x["href"], x["own"])), x["own"]),
+    )
 
 
 def page_title(nodes: Column, url: Column) -> Column:
-    title = first(nodes, "title")
-    text = F.when(title.isNotNull(), trim_all(subtree_text(nodes, title)))
-    return F.coalesce(F.nullif(text, F.lit("")), let(parse_url(url), lambda p: p["host"]))
+    text = let(first(nodes, "title"), lambda t: F.when(t.isNotNull(), trim_all(subtree_text(nodes, t))))
+    return let(text, lambda t: F.coalesce(F.when(t != "", t), let(parse_url(url), lambda p: p["host"])))
 
 
 def text_value(nodes: Column, n: Column) -> Column:
@@ -73,7 +74,7 @@ def attribute_value(n: Column, name) -> Column:
 
 
 def link_value(value: Column, base: Column) -> Column:
-    return F.when(value == "", "").otherwise(F.coalesce(resolve_url(value, base), F.lit("")))
+    return let(value, lambda v: F.when(v == "", "").otherwise(F.coalesce(resolve_url(v, base), F.lit(""))))
 
 
 def _value(nodes: Column, base: Column, n: Column, attribute: str) -> Column:
@@ -96,10 +97,12 @@ def next_link(nodes: Column, base: Column, selector: str) -> Column:
     Other schemes are kept as they are; admission rejects them later. ``url`` is NULL for a
     reference that cannot be resolved.
     """
-    href = F.nullif(_attr(first(nodes, selector), "href"), F.lit(""))
-    return F.struct(
-        href.alias("href"),
-        F.coalesce(resolve_url(href, base), F.when(is_other_scheme(href), trim_all(href))).alias("url"),
+    return let(
+        F.nullif(_attr(first(nodes, selector), "href"), F.lit("")),
+        lambda href: F.struct(
+            href.alias("href"),
+            F.coalesce(resolve_url(href, base), F.when(is_other_scheme(href), trim_all(href))).alias("url"),
+        ),
     )
 
 
