@@ -113,7 +113,7 @@ def sql_encode(x: str) -> str:
 
 SQL_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 SQL_CATALOGUE_ROWS = """
-SELECT p_partkey // 20 AS page_no, p_partkey % 20 AS row_pos,
+SELECT p_partkey // 20 AS page_no, CAST(p_partkey % 20 AS INTEGER) AS row_pos,
        p_name || ' & co ' || p_partkey AS title,
        '£' || CAST(CAST(p_retailprice AS DECIMAL(14,2)) AS VARCHAR) AS price,
        'In stock' AS stock,

@@ -90,7 +90,7 @@ def empty_page_stop(spark, sf):
 
 EMPTY_PAGE_STOP = """
 WITH o AS (SELECT o_orderkey // 40 AS run_id, o_orderkey % 40 AS page_index, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE month(o_orderdate) END AS rows FROM orders)
-SELECT run_id, page_index, rows FROM (
+SELECT run_id, page_index, CAST(rows AS INTEGER) AS rows FROM (
   SELECT *, count(*) FILTER (rows = 0) OVER (PARTITION BY run_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
 WHERE before = 0
 """
@@ -173,8 +173,8 @@ def robots_groups(spark, sf):
 
 ROBOTS_GROUPS = f"""
 WITH {SQL_ROBOTS}
-SELECT origin, CASE WHEN form = 3 THEN 3 ELSE 2 END AS groups, CASE WHEN form = 3 THEN 4 ELSE 2 END AS agents,
-       CASE WHEN form = 3 THEN 7 ELSE 5 END AS rules, CASE form WHEN 1 THEN '2.5' WHEN 2 THEN '20' END AS delay
+SELECT origin, CAST(CASE WHEN form = 3 THEN 3 ELSE 2 END AS BIGINT) AS groups, CAST(CASE WHEN form = 3 THEN 4 ELSE 2 END AS BIGINT) AS agents,
+       CAST(CASE WHEN form = 3 THEN 7 ELSE 5 END AS BIGINT) AS rules, CASE form WHEN 1 THEN '2.5' WHEN 2 THEN '20' END AS delay
 FROM f WHERE form < 4
 """
 
@@ -197,7 +197,7 @@ SELECT page_id,
        ELSE CASE WHEN regexp_matches(path, '^/.*\\?utm') THEN false
                  WHEN starts_with(path, '/en/1') THEN true
                  WHEN starts_with(path, '/en/') OR path = '/fr/' THEN false ELSE true END END AS allowed,
-  CASE form WHEN 1 THEN 2500 WHEN 2 THEN NULL ELSE 1000 END AS interval_ms
+  CAST(CASE form WHEN 1 THEN 2500 WHEN 2 THEN NULL ELSE 1000 END AS BIGINT) AS interval_ms
 FROM j
 """
 

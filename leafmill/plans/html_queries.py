@@ -52,7 +52,7 @@ WITH links AS (
          unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS label,
          generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]*)">', 1), 1) - 1 AS row_pos
   FROM pages)
-SELECT page_id, row_pos, {sql_unescape('label')} AS text,
+SELECT page_id, CAST(row_pos AS INTEGER) AS row_pos, {sql_unescape('label')} AS text,
        {SQL_ORIGIN} || {sql_encode(sql_unescape('href'))} AS href, url AS _source
 FROM links
 """
