@@ -163,16 +163,12 @@ def audit_resources(
         F.min(F.when(F.col("_allowed") & F.col("navigation"), F.col("seq"))).alias("_first_navigation"),
     )
     # Of the navigations only the first one is served.
-    first = totals.select(page, "_first_navigation").filter(F.col("_first_navigation").isNotNull())
+    first = totals.select(page, "_first_navigation")
     permitted = (
-        log.filter("_allowed AND NOT navigation")
-        .select(page, "seq", "status", "bytes")
-        .unionByName(
-            log.filter("_allowed AND navigation")
-            .join(first, [page])
-            .filter(F.col("seq") == F.col("_first_navigation"))
-            .select(page, "seq", "status", "bytes")
-        )
+        log.filter("_allowed")
+        .select(page, "seq", "navigation", "status", "bytes")
+        .join(first, [page])
+        .filter(~F.col("navigation") | (F.col("seq") == F.col("_first_navigation")))
     )
     order = W.partitionBy(page).orderBy("seq")
     kept = permitted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_requests)

@@ -16,6 +16,7 @@ from ..fixed import (
 )
 from ..functions.text import let, unnest
 from ..functions.urls import build_url, host_of, origin_of, parse_url, percent_encode, resolve_url, set_query_param
+from ..session import materialize
 from .admission import admitted_url
 
 
@@ -45,14 +46,14 @@ def paginate(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES) ->
     until there is no next link, the next one was visited, it leaves the origin, or the cap.
     ``stop_reason`` is set on the last page of a run that stopped for a warning.
 
-    The page cap bounds the rounds. Each round is one equi-join on the URL; links are parsed and
-    shuffled once (the exchange is reused), and a run carries at most ``max_pages`` URLs along.
+    The page cap bounds the rounds. Each round is one equi-join on the URL; the parsed links are
+    written once for all rounds, and a run carries at most ``max_pages`` URLs along.
     """
     target = F.struct(
         let(parse_url(F.col("next_url")), lambda p: F.struct(build_url(p, fragment=False).alias("url"), origin_of(p).alias("origin"))).alias("p"),
         F.col("next_url").isNotNull().alias("given"),
     )
-    hops = links.select(F.col("url").alias("_at"), target.alias("_t"))
+    hops = materialize(links.select(F.col("url").alias("_at"), target.alias("_t")), "links")
     start = seeds.select("run_id", admitted_url(F.col("url")).alias("url")).filter(F.col("url").isNotNull())
     state = start.select(
         "run_id",
@@ -122,7 +123,7 @@ def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects:
 
     ``requests`` (request_id, url, method, same_origin); ``fetch_log`` (url, status, location),
     one row per URL. Every target is admitted again; a POST is never redirected. The hop limit
-    bounds the number of joins; targets are resolved once, on the log.
+    bounds the number of joins; targets are resolved once, in a table written for the rounds.
     """
     moved = F.col("status").isin(*REDIRECTS)
     target = F.when(moved, admitted_url(resolve_url(F.col("location"), parse_url(F.col("url")))))
@@ -134,6 +135,7 @@ def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects:
         "_target",
         let(parse_url(F.col("_target")), origin_of).alias("_target_origin"),
     )
+    log = materialize(log, "fetch-log")
     state = requests.select(
         "request_id",
         "url",

@@ -27,7 +27,7 @@ from .common import catalogue_pages, pages, spread, table
 
 def _rules(spark, sf):
     """One rule per part; size, brand and type decide what is wrong with it."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     is_json = F.col("p_type") == "ECONOMY"
     field = F.struct(

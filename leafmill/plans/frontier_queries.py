@@ -16,7 +16,7 @@ from ..operators.frontier import (
     schedule,
     stop_at_empty,
 )
-from .common import SQL_ORIGIN, table
+from .common import SQL_ORIGIN, spread, table
 
 
 def paginate_sites(spark, sf):
@@ -98,7 +98,7 @@ WHERE before = 0
 
 def redirect_chains(spark, sf):
     """Every order is a URL; it redirects to half its key until the key is odd."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
 
     def link(k):
         return F.concat(F.lit("https://r.example.com/"), k.cast("string"))
@@ -139,7 +139,7 @@ FROM (SELECT * FROM walk QUALIFY hops = max(hops) OVER (PARTITION BY request_id)
 
 
 def _origins(spark, sf):
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     return p.select("page_id", "url", let(parse_url(F.col("url")), origin_of).alias("origin"))
 
 

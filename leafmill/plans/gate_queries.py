@@ -8,12 +8,12 @@ from ..operators.admission import admit_urls, audit_resources, classify_addresse
 from ..operators.caps import byte_cap_page, byte_cap_run, page_cap, row_cap
 from ..operators.gates import classify, content_type_reason, decode_body, gate_size, gate_status
 from ..sources.responses import pages_as_responses
-from .common import table
+from .common import spread, table
 
 
 def _responses(spark, sf):
     """Responses from documents: status, type and declared size derived from the row."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     status = (
         F.when(F.col("lang") == "en", 200).when(F.col("lang") == "fr", 204).when(F.col("lang") == "de", 403).otherwise(500)
     )
@@ -97,7 +97,7 @@ SELECT 'page', page_id, CASE WHEN regexp_matches(html, '(?i)^<!doctype html') TH
 
 def decode_charsets(spark, sf):
     """Texts written in one charset per language and read back from header, mark or meta tag."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     lang = F.col("lang")
     text = F.regexp_replace("text", r"[^\x00-\x7fäöüßéèêàçñíóáú]", "?")
     body = (
@@ -118,7 +118,7 @@ SELECT doc_id, CASE WHEN lang = 'es' THEN '<meta charset="iso-8859-15">' ELSE ''
 
 def url_admission(spark, sf):
     """Page URLs and forbidden variants of each."""
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     variants = F.array(
         F.col("url"),
         F.regexp_replace("url", "^https?:", "ftp:"),
@@ -159,7 +159,7 @@ FROM v
 
 def public_hosts(spark, sf):
     """Hosts (one per user) with the addresses of their events; one bad address spoils a host."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     octet = F.pmod("event_id", F.lit(224))
     address = F.when(F.col("event_type") == "view", F.concat(F.lit("::ffff:"), octet.cast("string"), F.lit(".5.6.7"))).otherwise(
         F.concat(octet.cast("string"), F.lit(".5.6.7"))
@@ -176,7 +176,7 @@ FROM events GROUP BY 1
 
 def resource_audit(spark, sf):
     """Events as the request log of rendered pages, one page per user."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     log = e.select(
         F.col("user_id").alias("page_id"),
         F.col("event_id").alias("seq"),
@@ -208,7 +208,7 @@ FROM tot LEFT JOIN served ON tot.page_id = served.page_id
 
 def _records(spark, sf):
     """Documents as records of runs: 50 rows to a page, 10 pages to a run."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(
         F.floor(F.col("doc_id") / 500).alias("run_id"),
         F.pmod(F.floor(F.col("doc_id") / 50), F.lit(10)).alias("page_index"),

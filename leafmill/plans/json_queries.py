@@ -13,7 +13,7 @@ from .common import spread, table
 
 
 def json_props(spark, sf):
-    events = table(spark, sf, "events").withColumn("url", F.lit("https://api.example.com/events?key=secret"))
+    events = spread(table(spark, sf, "events")).withColumn("url", F.lit("https://api.example.com/events?key=secret"))
     rule = {"rowSelector": "$", "fields": [{"name": "k", "selector": "k"}, {"name": "whole", "selector": "$"}, {"name": "none", "selector": "k.x"}]}
     docs = events.select("event_id", F.col("props").alias("doc"), "url")
     return extract_json(docs, rule, ["event_id"])
@@ -90,7 +90,7 @@ FROM orders
 
 def json_body_rejects(spark, sf):
     """Malformed bodies are rejected: every customer whose balance is negative has a cut-off body."""
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"))
     whole = F.to_json(F.struct("c_custkey", "c_name"))
     text = F.when(F.col("c_acctbal") < 0, F.substring(whole, 1, 12)).otherwise(whole)
     _, bad = split_rejects(json_bodies(c.select("c_custkey", F.encode(text, "UTF-8").alias("body"))))
@@ -105,7 +105,7 @@ FROM customer WHERE c_acctbal < 0
 
 def _customer_docs(spark, sf):
     """Objects with optional members; a negative balance leaves out the profile, nation 0 is null."""
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"))
     profile = F.when(
         F.col("c_acctbal") >= 0,
         F.struct(F.col("c_mktsegment").alias("segment"), F.when(F.col("c_nationkey") > 0, F.col("c_nationkey")).alias("nation")),
@@ -181,7 +181,7 @@ FROM part
 
 def _ranked_docs(spark, sf):
     """Documents with two lists; which one wins depends on the customer's balance and nation."""
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"))
     return c.select(
         "c_custkey",
         F.concat(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # decode() must accept every charset label the JVM knows (GBK, Big5, Shift_JIS, ...)
@@ -52,3 +52,14 @@ def work_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` once below the shared folder and reads it back.
+
+    For tables that several rounds of a job join with: they are computed once, later stages start
+    from files that survive lost executors, and equal exchanges over them can be reused.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
