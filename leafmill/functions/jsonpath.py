@@ -99,14 +99,19 @@ def number_text(c: Column) -> Column:
     )
 
 
-_LOOSE_NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+# numbers whose spelling may differ from the printed form: a fraction, an exponent or -0
+_ODD_NUMBER = r"^-?\d+(\.\d+([eE][+-]?\d+)?|[eE][+-]?\d+)$|^-0$"
 
 
 def scalar_text(raw: Column, doc: Column, path: str) -> Column:
     """``raw`` (from get_json_object) as cell text; only odd-looking numbers need their kind."""
-    odd = raw.rlike(_LOOSE_NUMBER) & (~raw.rlike(r"^-?\d+$") | (raw == "-0"))
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
-    return F.when(odd & (kind != "STRING"), number_text(raw)).otherwise(raw)
+
+    def text(r: Column) -> Column:
+        odd = r.rlike(_ODD_NUMBER) & (kind != "STRING")
+        return F.when(odd, let(r, number_text)).otherwise(r)
+
+    return let(raw, text)
 
 
 def json_value(doc: Column, path: str) -> Column:
@@ -115,13 +120,16 @@ def json_value(doc: Column, path: str) -> Column:
     if not steps:
         # A record that was a JSON string is already unquoted, so it is taken as it is.
         return F.when(doc == "null", F.lit(None)).when(
-            doc.rlike(_LOOSE_NUMBER) & ~doc.rlike(r"^-?\d+$"), number_text(doc)
+            doc.rlike(_ODD_NUMBER), number_text(doc)
         ).otherwise(doc)
     where = spark_path(steps)
     found = scalar_text(F.get_json_object(doc, where), doc, where)
     if steps[-1] == "length":
-        parent = F.get_json_object(doc, spark_path(steps[:-1]))
-        found = F.coalesce(found, F.when(parent.startswith("["), F.json_array_length(parent).cast("string")))
+        listed = let(
+            F.get_json_object(doc, spark_path(steps[:-1])),
+            lambda p: F.when(p.startswith("["), F.json_array_length(p).cast("string")),
+        )
+        found = F.coalesce(found, listed)
     return found
 
 

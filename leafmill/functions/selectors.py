@@ -444,7 +444,8 @@ def _data_test(nodes: Column, n: Column, t: Column) -> Column:
 
     own = inside(n, lambda g: F.lit(True))
     return (
-        F.when(t["kind"] == "not", ~own)
+        F.when(~t["kind"].isin("not", "is", "has"), _data_simple(nodes, n, t))
+        .when(t["kind"] == "not", ~own)
         .when(t["kind"] == "is", own)
         .when(
             t["kind"] == "has",
@@ -453,7 +454,6 @@ def _data_test(nodes: Column, n: Column, t: Column) -> Column:
                 lambda d: is_element(d) & inside(d, lambda g: (g["rel"] == "") | (d["parent"] == n["pre"])),
             ),
         )
-        .otherwise(_data_simple(nodes, n, t))
     )
 
 
@@ -471,11 +471,12 @@ def select_by(nodes: Column, branches: Column, scope: Column | None = None) -> C
                 .when(comb == "+", _related(nodes, n, flags, "+"))
                 .otherwise(_related(nodes, n, flags, "~"))
             )
-            scoped = F.exists(step["tests"], lambda t: t["kind"] == "scope")
-            tested = is_element(n) & F.forall(step["tests"], lambda t: _data_test(nodes, n, t)) & linked
-            return F.when(scoped, n["pre"] == scope_pre).otherwise(tested)
+            return is_element(n) & F.forall(step["tests"], lambda t: _data_test(nodes, n, t)) & linked
 
-        return F.transform(nodes, lambda n: holds(n))
+        scoped = F.exists(step["tests"], lambda t: t["kind"] == "scope")
+        return F.when(scoped, F.transform(nodes, lambda n: n["pre"] == scope_pre)).otherwise(
+            F.transform(nodes, lambda n: holds(n))
+        )
 
     matched = F.transform(
         branches,

@@ -135,13 +135,16 @@ def extract_page(
     )
     df = df.withColumn("_containers", containers)
 
+    # Columns that lambdas use are bound by let(): the optimizer may move an expression that is
+    # referenced once into the lambda, where it would be evaluated for every element.
     def valued(found: Column, attribute: str) -> Column:
-        return F.transform(
-            found,
-            lambda n: F.struct(
-                n["pre"].alias("pre"), _value(nodes, F.col("_base"), n, attribute).alias("value")
-            ),
-        )
+        def with_base(base: Column) -> Column:
+            return F.transform(
+                found,
+                lambda n: F.struct(n["pre"].alias("pre"), _value(nodes, base, n, attribute).alias("value")),
+            )
+
+        return let(F.col("_base"), with_base) if attribute in URL_ATTRIBUTES else with_base(F.lit(None))
 
     def empty_everywhere(name: str) -> Column:
         return (F.size("records") > 0) & F.forall("records", lambda r: r[name] == "")
@@ -156,22 +159,24 @@ def extract_page(
             hits[key] = f"_hits{len(hits)}"
             df = df.withColumn(hits[key], valued(select(nodes, f["selector"]), f["attribute"]))
 
-    def cell(f: dict, c: Column) -> Column:
+    def cell(f: dict, c: Column, page: Column) -> Column:
         if f["selector"] == ":scope":
             own = F.get(nodes, c["pre"])
-            return fold_values(F.array(_value(nodes, F.col("_base"), own, f["attribute"])), max_chars)
+            return fold_values(F.array(_value(nodes, page["_base"], own, f["attribute"])), max_chars)
         if is_scoped(f["selector"]):
             found = valued(select(nodes, f["selector"], scope=c), f["attribute"])
         else:
-            found = F.col(hits[f["selector"], f["attribute"]])
+            found = page[hits[f["selector"], f["attribute"]]]
         inside = F.filter(found, lambda h: (h["pre"] > c["pre"]) & (h["pre"] <= c["pre"] + c["n_desc"]))
         return fold_values(F.transform(F.slice(inside, 1, max_nodes), lambda h: h["value"]), max_chars)
 
-    records = F.transform(
-        F.slice(F.col("_containers"), 1, max_rows),
-        lambda c: F.struct(*[cell(f, c).alias(f["name"]) for f in fields], F.col(url).alias("_source")),
-    )
-    df = df.withColumn("_records", records)
+    def all_records(page: Column) -> Column:
+        return F.transform(
+            F.slice(page["_containers"], 1, max_rows),
+            lambda c: F.struct(*[cell(f, c, page).alias(f["name"]) for f in fields], F.col(url).alias("_source")),
+        )
+
+    df = df.withColumn("_records", let(F.struct("_base", "_containers", *hits.values()), all_records))
     df = df.withColumn("_kept", rows_within_bytes(F.col("_records"), max_bytes))
     selector = (rule.get("nextSelector") or "").strip()
     link = (
@@ -285,50 +290,50 @@ def extract_html_multi(
         "_containers", F.transform(containers, lambda n: F.struct(n["pre"], n["n_desc"]))
     )
 
-    def value(n: Column, attribute: Column) -> Column:
+    def value(n: Column, attribute: Column, base: Column) -> Column:
         plain = attribute_value(n, attribute)
         return (
             F.when(attribute == "text", text_value(nodes, n))
-            .when(attribute.isin(URL_ATTRIBUTES), link_value(plain, F.col("_base")))
+            .when(attribute.isin(URL_ATTRIBUTES), link_value(plain, base))
             .otherwise(plain)
         )
 
-    def valued(found: Column, f: Column) -> Column:
+    def valued(found: Column, f: Column, base: Column) -> Column:
         return F.transform(
-            found, lambda n: F.struct(n["pre"].alias("pre"), value(n, f["attribute"]).alias("value"))
+            found, lambda n: F.struct(n["pre"].alias("pre"), value(n, f["attribute"], base).alias("value"))
         )
 
     no_nodes = F.slice(nodes, 1, 0)
-    df = df.withColumn(
-        "_hits",
-        F.transform(
+    shared_hits = let(
+        F.col("_base"),
+        lambda base: F.transform(
             "fields",
-            lambda f: valued(F.when(f["scoped"], no_nodes).otherwise(select_by(nodes, f["sel"])), f),
+            lambda f: valued(F.when(f["scoped"], no_nodes).otherwise(select_by(nodes, f["sel"])), f, base),
         ),
     )
+    df = df.withColumn("_hits", shared_hits)
+
+    def cell(c: Column, f: Column, i: Column, page: Column) -> Column:
+        def inside(x: Column) -> Column:
+            return (x["pre"] > c["pre"]) & (x["pre"] <= c["pre"] + c["n_desc"])
 
-    def cell(c: Column, f: Column, i: Column) -> Column:
         in_scope = F.when(f["own"], F.slice(nodes, c["pre"] + 1, 1)).otherwise(
-            F.filter(
-                select_by(nodes, f["sel"], scope=c),
-                lambda n: (n["pre"] > c["pre"]) & (n["pre"] <= c["pre"] + c["n_desc"]),
-            )
-        )
-        shared = F.filter(
-            F.get(F.col("_hits"), i),
-            lambda h: (h["pre"] > c["pre"]) & (h["pre"] <= c["pre"] + c["n_desc"]),
+            F.filter(select_by(nodes, f["sel"], scope=c), inside)
         )
-        chosen = F.slice(F.when(f["scoped"], valued(in_scope, f)).otherwise(shared), 1, max_nodes)
+        shared = F.filter(F.get(page["_hits"], i), inside)
+        chosen = F.slice(F.when(f["scoped"], valued(in_scope, f, page["_base"])).otherwise(shared), 1, max_nodes)
         return F.struct(
             f["name"].alias("name"),
             fold_values(F.transform(chosen, lambda h: h["value"]), max_chars).alias("value"),
         )
 
-    records = F.transform(
-        F.slice(F.col("_containers"), 1, max_rows),
-        lambda c: F.transform("fields", lambda f, i: cell(c, f, i)),
-    )
-    df = df.withColumn("_records", records)
+    def all_records(page: Column) -> Column:
+        return F.transform(
+            F.slice(page["_containers"], 1, max_rows),
+            lambda c: F.transform("fields", lambda f, i: cell(c, f, i, page)),
+        )
+
+    df = df.withColumn("_records", let(F.struct("_base", "_containers", "_hits"), all_records))
     # The size rule looks at the record as an object: name to value, plus the source.
     as_maps = F.transform(
         "_records",

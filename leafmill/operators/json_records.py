@@ -17,6 +17,7 @@ from ..fixed import (
     WARN_ROW_CAP,
 )
 from ..functions.jsonpath import json_records, json_value
+from ..functions.text import let
 from ..functions.urls import host_of, strip_query
 from .gates import decode_utf8, gate
 from .html import rows_within_bytes, unnest_records
@@ -46,16 +47,17 @@ def extract_json_page(
     fields = rule["fields"]
     df = docs.withColumn("_source", strip_query(F.col(url)))
     df = df.withColumn("_items", json_records(F.col(doc), rule.get("rowSelector") or ""))
-    df = df.withColumn(
-        "_records",
-        F.transform(
+
+    def all_records(source: Column) -> Column:
+        return F.transform(
             F.slice("_items", 1, max_rows),
             lambda r: F.struct(
                 *[json_field(r, f["selector"], max_chars).alias(f["name"]) for f in fields],
-                F.col("_source").alias("_source"),
+                source.alias("_source"),
             ),
-        ),
-    )
+        )
+
+    df = df.withColumn("_records", let(F.col("_source"), all_records))
     df = df.withColumn("_kept", rows_within_bytes(F.col("_records"), max_bytes))
     df = df.withColumn("records", F.slice("_records", 1, F.col("_kept")))
 

@@ -22,7 +22,7 @@ from ..functions.text import unnest
 from ..functions.urls import host_of
 from ..schemas import CONFIG
 from ..session import work_path
-from .common import catalogue_pages, pages, spread, table
+from .common import by_key, catalogue_pages, pages, spread, table
 
 
 def _rules(spark, sf):
@@ -223,7 +223,7 @@ SQL_PAGE_FIELDS = """
 
 def catalogue_suggestions(spark, sf):
     """Suggested rule of product pages, voted per site."""
-    df = suggest_html(with_nodes(spread(catalogue_pages(spark, sf)))).withColumn("host", host_of(F.col("url")))
+    df = suggest_html(with_nodes(catalogue_pages(spark, sf))).withColumn("host", host_of(F.col("url")))
     return vote_by_host(df).select(
         "host", "pages", "votes", "row_selector", "next_selector",
         F.array_join(F.transform("fields", lambda f: f["selector"]), "|").alias("fields"),
@@ -239,7 +239,7 @@ SELECT 'books.example.com' AS host, n AS pages, CASE WHEN n > 1 THEN n - 1 ELSE
 
 def catalogue_lists(spark, sf):
     """Candidate lists of product pages with their scores."""
-    df = with_nodes(spread(catalogue_pages(spark, sf))).select("page_no", html_lists(F.col("nodes")).alias("lists"))
+    df = with_nodes(catalogue_pages(spark, sf)).select("page_no", html_lists(F.col("nodes")).alias("lists"))
     return unnest(df, ["page_no"], "lists", "rank", "_l").select("page_no", "rank", "_l.selector", "_l.score")
 
 
@@ -254,10 +254,10 @@ def table_fields(spark, sf):
     """Columns of customer tables, one table per ten customers; some headers repeat or are blank."""
     c = table(spark, sf, "customer").withColumn("page_no", F.floor(F.col("c_custkey") / 10))
     row = F.concat(F.lit("<tr><td>"), "c_name", F.lit("<td>"), F.col("c_nationkey").cast("string"), F.lit("<td>"), F.lower("c_mktsegment"), F.lit("</tr>"))
-    tables = c.groupBy("page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    tables = by_key(c, "page_no").groupBy("page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
     second = F.when(F.col("page_no") % 3 == 0, "name").when(F.col("page_no") % 3 == 1, " ").otherwise("nation")
     html = F.concat(F.lit("<table><thead><tr><th> name <th>"), second, F.lit("<th>segment</tr></thead><tbody>"), "rows", F.lit("</table>"))
-    df = with_nodes(spread(tables.select("page_no", html.alias("html")))).select("page_no", table_columns(F.col("nodes")).alias("fields"))
+    df = with_nodes(tables.select("page_no", html.alias("html"))).select("page_no", table_columns(F.col("nodes")).alias("fields"))
     return unnest(df, ["page_no"], "fields", "pos", "_f").select("page_no", "pos", "_f.name", "_f.selector")
 
 

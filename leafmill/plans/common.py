@@ -20,6 +20,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Partitions a corpus by its page key, so the grouping and the extraction after it share one
+    shuffle; the count follows the cluster and is not coalesced below it."""
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, key)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
@@ -41,7 +49,7 @@ def catalogue_pages(spark: SparkSession, sf_dir: str, head: str = "") -> DataFra
         F.lit('  </p><p class="instock availability">In   stock</p><ul class="facts"><li>'), "p_brand",
         F.lit("<li>"), "p_type", F.lit("</ul></article>"),
     )
-    grouped = part.groupBy("page_no").agg(
+    grouped = by_key(part, "page_no").groupBy("page_no").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), ""
         ).alias("items")

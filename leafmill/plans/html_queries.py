@@ -23,6 +23,7 @@ from .common import (
     NAV_RULE,
     SQL_CATALOGUE_ROWS,
     SQL_ORIGIN,
+    by_key,
     catalogue_pages,
     pages,
     spread,
@@ -122,12 +123,12 @@ SELECT tag, CAST(sum(n) AS BIGINT) AS nodes, count(*) FILTER (n > 0) AS pages FR
 
 
 def catalog_roundtrip(spark, sf):
-    return extract_html(with_nodes(spread(catalogue_pages(spark, sf))), BOOK_RULE, ["page_no"])
+    return extract_html(with_nodes(catalogue_pages(spark, sf)), BOOK_RULE, ["page_no"])
 
 
 def base_href_resolve(spark, sf):
     based = catalogue_pages(spark, sf, '<base href="/shop/"><base href="/ignored/">')
-    return extract_html(with_nodes(spread(based)), BOOK_RULE, ["page_no"])
+    return extract_html(with_nodes(based), BOOK_RULE, ["page_no"])
 
 
 def catalog_multisite(spark, sf):
@@ -139,7 +140,7 @@ def catalog_multisite(spark, sf):
         F.col("c_nationkey").cast("string"), F.lit('</small><div class="tags"><a class="tag">'),
         F.lower("c_mktsegment"), F.lit('</a> <a class="tag">'), F.col("c_custkey").cast("string"), F.lit("</a></div></div>"),
     )
-    quotes = customers.groupBy("page_no").agg(
+    quotes = by_key(customers, "page_no").groupBy("page_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("card")))), lambda x: x["card"]), "").alias("cards")
     ).select(
         F.concat(F.lit("https://quotes.example.com/page/"), F.col("page_no").cast("string"), F.lit("/")).alias("url"),
@@ -147,7 +148,7 @@ def catalog_multisite(spark, sf):
     )
     quote_rule = {**preset("quotes"), "url": "https://quotes.example.com/"}
     rules = compile_rules(spark, [BOOK_RULE, quote_rule])
-    routed = with_nodes(spread(route(books.unionByName(quotes), rules)))
+    routed = with_nodes(route(books.unionByName(quotes), rules))
     return extract_html_multi(routed, []).select("rule_id", "_source", "row_pos", "field_pos", "field_name", "value")
 
 
@@ -170,7 +171,7 @@ SELECT 'quotes', _source, CAST(row_pos AS INTEGER), CAST(field_pos AS INTEGER),
 
 
 def next_links(spark, sf):
-    df = extract_page(with_nodes(spread(catalogue_pages(spark, sf))), BOOK_RULE)
+    df = extract_page(with_nodes(catalogue_pages(spark, sf)), BOOK_RULE)
     return df.select("page_no", "title", "matched", "next_url")
 
 

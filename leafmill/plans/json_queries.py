@@ -9,7 +9,7 @@ from ..functions.text import unnest
 from ..operators.gates import split_rejects
 from ..operators.infer import json_lists, suggest_json
 from ..operators.json_records import extract_json, extract_json_page, json_bodies
-from .common import spread, table
+from .common import by_key, spread, table
 
 
 def json_props(spark, sf):
@@ -40,17 +40,15 @@ def _order_bodies(spark, sf):
             F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("tags"),
         )
     )
-    bodies = orders.groupBy("body_no").agg(
+    bodies = by_key(orders, "body_no").groupBy("body_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))), lambda x: x["item"]), ",").alias("items")
     )
-    return spread(
-        bodies.select(
-            "body_no",
-            F.concat(F.lit("https://api.example.com/orders?page="), F.col("body_no").cast("string"), F.lit("&token=t")).alias("url"),
-            F.lit(200).alias("status"),
-            F.lit("application/json").alias("content_type"),
-            F.encode(F.concat(F.lit('﻿{"data":{"items":['), "items", F.lit("]}}")), "UTF-8").alias("body"),
-        )
+    return bodies.select(
+        "body_no",
+        F.concat(F.lit("https://api.example.com/orders?page="), F.col("body_no").cast("string"), F.lit("&token=t")).alias("url"),
+        F.lit(200).alias("status"),
+        F.lit("application/json").alias("content_type"),
+        F.encode(F.concat(F.lit('﻿{"data":{"items":['), "items", F.lit("]}}")), "UTF-8").alias("body"),
     )
 
 
