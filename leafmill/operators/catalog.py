@@ -24,6 +24,7 @@ from ..functions.jsonpath import normalize_path
 from ..functions.selectors import is_valid_selector
 from ..functions.text import is_blank, trim_all, unnest
 from ..schemas import CONFIG, RULES
+from ..session import small_table
 from .runs import redact_config
 
 for module in (fixed, selectors, sys.modules[__name__]):
@@ -321,19 +322,26 @@ def read_rules(spark: SparkSession, path: str, max_rules: int = MAX_RULES_KEPT)
     return keep_rules(parsed, ["file"], max_rules)
 
 
-def upsert_rules(catalogue: DataFrame, changes: DataFrame, max_rules: int = MAX_RULES_KEPT) -> DataFrame:
-    """Replaces rules by id in place and appends new ones while there is room.
+def upsert_rules(
+    catalogue: DataFrame, changes: DataFrame, owner: list[str] | None = None, max_rules: int = MAX_RULES_KEPT
+) -> DataFrame:
+    """Replaces rules by id in place and appends new ones while an owner has room.
 
-    Both sides have (pos, id, name, config, updatedAt); a catalogue is a small table per owner.
+    Both sides have (owner columns, pos, id, name, config, updatedAt). New rules are ranked on the
+    map side and meet the size of their owner's catalogue by an equi-join.
     """
-    columns = catalogue.columns
-    replaced = catalogue.select("pos", "id").join(changes.drop("pos"), ["id"])
-    untouched = catalogue.join(changes.select("id"), ["id"], "left_anti")
-    size = catalogue.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.max("pos"), F.lit(-1)).alias("_last"))
-    fresh = changes.join(catalogue.select("id"), ["id"], "left_anti")
-    ranked = fresh.withColumn("_rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("pos"))).filter(F.col("_rank") <= max_rules)
-    added = ranked.crossJoin(F.broadcast(size)).filter(F.col("_n") + F.col("_rank") <= max_rules)
-    added = added.withColumn("pos", (F.col("_last") + F.col("_rank")).cast("int"))
+    columns, keys = catalogue.columns, owner or ["_all"]
+    if not owner:
+        catalogue, changes = catalogue.withColumn("_all", F.lit(0)), changes.withColumn("_all", F.lit(0))
+    ids = [*keys, "id"]
+    replaced = catalogue.select("pos", *ids).join(changes.drop("pos"), ids)
+    untouched = catalogue.join(changes.select(*ids), ids, "left_anti")
+    size = catalogue.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_last"))
+    fresh = changes.join(catalogue.select(*ids), ids, "left_anti")
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("pos"))
+    ranked = fresh.withColumn("_rank", rank).filter(F.col("_rank") <= max_rules).join(size, keys, "left")
+    added = ranked.filter(F.coalesce("_n", F.lit(0)) + F.col("_rank") <= max_rules)
+    added = added.withColumn("pos", (F.coalesce("_last", F.lit(-1)) + F.col("_rank")).cast("int"))
     out = untouched.select(*columns).unionByName(replaced.select(*columns)).unionByName(added.select(*columns))
     return out.withColumn("config", redact_config(F.col("config")))
 
@@ -362,4 +370,4 @@ def presets(spark: SparkSession) -> DataFrame:
         )
         for i, p in enumerate(PRESETS)
     ]
-    return spark.createDataFrame(rows, f"pos int, id string, name string, config {CONFIG}, updatedAt string")
+    return small_table(spark, rows, f"pos int, id string, name string, config {CONFIG}, updatedAt string")

@@ -222,21 +222,21 @@ def _pattern(value: Column) -> Column:
 
 
 def agent_rules(parsed: DataFrame, agent: str) -> DataFrame:
-    """One row per origin: the rules and delay of the group for ``agent``, else of ``*``.
+    """One row per origin: the rules and delay of the groups for ``agent``, else of ``*``.
 
-    An origin's rules come from one bounded file, so they fit one row.
+    An origin's rules come from one bounded file, so its windows are small and its rules fit one
+    row; everything runs on the partitioning by origin.
     """
     wanted = agent.lower()
-    agents = parsed.filter("field = 'user-agent'").select(
-        "origin", "group_id", F.regexp_replace(F.lower("value"), r"/.*$", "").alias("_agent")
+    named = F.regexp_replace(F.lower("value"), r"/.*$", "")
+    rank = F.when(F.col("field") != "user-agent", 0).when(named == wanted, 2).when(named == "*", 1).otherwise(0)
+    best_of_file, best_of_group = W.partitionBy("origin"), W.partitionBy("origin", "group_id")
+    ranked = (
+        parsed.withColumn("_rank", rank)
+        .withColumn("_best", F.max("_rank").over(best_of_file))
+        .withColumn("_group", F.max("_rank").over(best_of_group))
     )
-    match = F.when(F.col("_agent") == wanted, 2).when(F.col("_agent") == "*", 1)
-    ranked = agents.select("origin", "group_id", match.alias("_rank")).filter("_rank IS NOT NULL")
-    chosen = (
-        ranked.groupBy("origin").agg(F.max("_rank").alias("_rank")).join(ranked, ["origin", "_rank"])
-        .select("origin", "group_id").distinct()
-    )
-    rules = parsed.filter("field <> 'user-agent' AND group_id > 0").join(chosen, ["origin", "group_id"])
+    rules = ranked.filter("field <> 'user-agent' AND group_id > 0 AND _best > 0 AND _group = _best")
     is_path = F.col("field").isin("allow", "disallow") & (F.col("value") != "")
     plain = ~F.col("value").rlike(r"[*$]")
     delay = F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double"))
@@ -345,10 +345,10 @@ def schedule(requests: DataFrame, chunk_ms: int = 3_600_000) -> DataFrame:
 
 
 def route(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Each page with the rules of its exact host.
+    """Each page with the rules of its exact host; run it before shredding.
 
-    ``rules`` has ``host`` and its own columns; pages of a hot host are salted, and a small
-    catalogue is broadcast by Spark's own size check. Run it before shredding.
+    A catalogue below Spark's broadcast threshold is broadcast and pages do not move. A larger one
+    is joined by shuffle with pages of hot hosts salted.
     """
     keyed = pages.withColumn("host", host_of(F.col(url)))
     salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(url), F.lit(8)).cast("int"))

@@ -34,8 +34,9 @@ from ..functions.selectors import (
     subtree_text,
 )
 from ..functions.shred import shred
+from ..session import small_table
 from ..functions.text import collapse, let, trim_all, unnest
-from ..functions.urls import is_other_scheme, parse_url, resolve_parts, resolve_url
+from ..functions.urls import host_of, is_other_scheme, parse_url, resolve_parts, resolve_url
 
 
 def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -247,8 +248,6 @@ RULE_PLAN = (
 
 def compile_rules(spark, rules: Sequence[dict]) -> DataFrame:
     """The rule catalogue in evaluated form, one row per rule (the catalogue is small)."""
-    from ..functions.urls import host_of
-
     rows = [
         (
             r["id"],
@@ -263,7 +262,7 @@ def compile_rules(spark, rules: Sequence[dict]) -> DataFrame:
         for r in rules
     ]
     schema = RULE_PLAN.replace("host string", "url string")
-    return spark.createDataFrame(rows, schema).withColumn("host", host_of(F.col("url"))).drop("url")
+    return small_table(spark, rows, schema).withColumn("host", host_of(F.col("url"))).drop("url")
 
 
 def extract_html_multi(

@@ -228,13 +228,19 @@ def result_json(spark, sf):
     write_result_json(view, ["lang", "source"], path, original=source, filters={"query": "de", "dedupe": "source"})
     rows = spark.read.schema("lang string, source string, _source string").json(f"{path}/rows")
     selection = spark.read.schema("selection struct<originalCount:long,filters:map<string,string>>").json(f"{path}/selection")
-    counts = selection.select(F.col("selection.originalCount").alias("original_count"), F.col("selection.filters")["query"].alias("query"))
-    return rows.join(F.broadcast(counts), F.lit(True)).select("lang", "source", "_source", "original_count", "query")
+    return rows.withColumn("original_count", F.lit(None).cast("long")).unionByName(
+        selection.select(
+            F.col("selection.filters")["query"].alias("lang"),
+            F.col("selection.filters")["dedupe"].alias("source"),
+            F.lit("selection").alias("_source"),
+            F.col("selection.originalCount").alias("original_count"),
+        )
+    )
 
 
 RESULT_JSON = """
-SELECT DISTINCT lang, source, 'https://docs.example.com/' || source AS _source, (SELECT count(*) FROM documents) AS original_count, 'de' AS query
-FROM documents WHERE lang = 'de'
+SELECT DISTINCT lang, source, 'https://docs.example.com/' || source AS _source, CAST(NULL AS BIGINT) AS original_count FROM documents WHERE lang = 'de'
+UNION ALL SELECT 'de', 'source', 'selection', count(*) FROM documents
 """
 
 QUERIES = {

@@ -54,6 +54,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A driver-side list as a local relation.
+
+    Its size is then known to the optimizer, which broadcasts it below the broadcast threshold and
+    joins by shuffle above; a plain list of rows would count as unbounded.
+    """
+    return spark.createDataFrame(spark.createDataFrame(rows, schema).toArrow())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once below the shared folder and reads it back.
 
