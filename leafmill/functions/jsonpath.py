@@ -133,10 +133,36 @@ def json_value(doc: Column, path: str) -> Column:
     return found
 
 
+def json_value_at(doc: Column, path: Column) -> Column:
+    """``json_value`` for a path held in a column (checked by ``normalize_path``)."""
+
+    def found(p: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), p, "variant"))
+        whole = F.when(doc == "null", F.lit(None)).otherwise(doc)
+        return let(
+            F.when(p == "$", whole).otherwise(F.call_function("get_json_object", doc, p)),
+            lambda r: F.when(
+                r.rlike(_ODD_NUMBER) & ((p == "$") | F.coalesce(kind != "STRING", F.lit(True))), number_text(r)
+            ).otherwise(r),
+        )
+
+    return let(normalize_path(path), found)
+
+
+def json_records_at(doc: Column, path: Column) -> Column:
+    """``json_records`` for a path held in a column."""
+    return _records(
+        let(normalize_path(path), lambda p: F.when(p == "$", doc).otherwise(F.call_function("get_json_object", doc, p)))
+    )
+
+
 def json_records(doc: Column, row_path: str) -> Column:
     """The records at ``row_path`` as an array of JSON texts: array elements, or the one value."""
     steps = path_steps(row_path)
-    selected = F.get_json_object(doc, spark_path(steps)) if steps else doc
+    return _records(F.get_json_object(doc, spark_path(steps)) if steps else doc)
+
+
+def _records(selected: Column) -> Column:
 
     def unnested(x: Column) -> Column:
         listed = F.when(x.rlike(r"^\s*\["), F.from_json(x, "array<string>"))

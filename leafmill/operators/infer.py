@@ -352,7 +352,7 @@ def next_selector(nodes: Column) -> Column:
     return F.coalesce(*[F.when(present(nodes, s), s) for s in NEXT_SELECTORS], F.lit(""))
 
 
-def suggest_html(pages: DataFrame) -> DataFrame:
+def suggest_html(pages: DataFrame, keep_nodes: bool = False) -> DataFrame:
     """Adds ``row_selector``, ``fields`` and ``next_selector`` to shredded pages."""
     nodes = F.col("nodes")
     df = pages.withColumn("_best", best_scored(html_lists(nodes)))
@@ -374,7 +374,7 @@ def suggest_html(pages: DataFrame) -> DataFrame:
     )
     whole = F.array(_field(LABEL_CONTENT, F.when(F.col("_row") == "", "body").otherwise(":scope")))
     return df.select(
-        *[c for c in pages.columns if c != "nodes"],
+        *[c for c in pages.columns if keep_nodes or c != "nodes"],
         F.when(F.col("_row") == "tr", "tr:has(td)").otherwise(F.col("_row")).alias("row_selector"),
         unique_names(F.when(F.size("_fields") > 0, F.col("_fields")).otherwise(whole)).alias("fields"),
         next_selector(nodes).alias("next_selector"),

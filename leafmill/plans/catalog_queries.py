@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.analyze import analyze, probe_documents, probe_pages
 from ..operators.catalog import (
     clear_pointer,
     delete_rules,
@@ -22,6 +23,7 @@ from ..functions.text import unnest
 from ..functions.urls import host_of
 from ..schemas import CONFIG
 from ..session import work_path
+from ..sources.responses import pages_as_responses
 from .common import by_key, catalogue_pages, pages, spread, table
 
 
@@ -290,7 +292,55 @@ WITH n AS (SELECT p_partkey, [p_name, '字段 2', '字段 3', '字段 4', left(r
 SELECT p_partkey, CAST(unnest([0, 1, 2, 3, 4]) AS INTEGER) AS pos, unnest(names) AS name FROM n
 """
 
+def analyzed_pages(spark, sf):
+    """Every page analysed, its suggestion applied and probed."""
+    suggested, _, _ = analyze(pages_as_responses(pages(spark, sf)))
+    return probe_pages(suggested)
+
+
+def _sql_inner(x: str) -> str:
+    return f"trim(regexp_replace({x}, '<[^>]*(>|$)', '', 'g'))"
+
+
+ANALYZED_PAGES = f"""
+WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*)$', 1) AS rest FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(string_split(string_split(rest, '</article>')[1], '<p>')[2:], lambda x: {_sql_inner("string_split(x, '</p>')[1]")}), lambda x: x <> '') AS ps, html FROM a)
+SELECT page_id AS response_id, CAST(0 AS INTEGER) AS field_pos, '标题' AS field_name, CAST(1 AS BIGINT) AS sampled, CAST(1 AS BIGINT) AS filled, CAST(100 AS INTEGER) AS hit_rate FROM p
+UNION ALL SELECT page_id, 1, '链接', 1, 1, 100 FROM p WHERE contains(html, '<a href=')
+UNION ALL SELECT page_id, CASE WHEN contains(html, '<a href=') THEN 2 ELSE 1 END, '描述', 1, CAST(len(ps) > 0 AS INTEGER), CASE WHEN len(ps) > 0 THEN 100 ELSE 0 END FROM p WHERE contains(html, '<p>')
+"""
+
+
+def analyzed_documents(spark, sf):
+    """Customers as JSON, cut-off JSON and other responses: suggestions applied and probed, rejects listed."""
+    c = spread(table(spark, sf, "customer"))
+    name = F.when(F.col("c_nationkey") % 3 == 0, "").otherwise(F.col("c_name"))
+    doc = F.concat(F.lit('{"data":{"items":[{"n":'), F.to_json(F.struct(name.alias("x"))), F.lit(',"v":1.50},{"v":"2"}]}}'))
+    body = F.when(F.col("c_nationkey") == 7, F.substring(doc, 1, 20)).when(F.col("c_nationkey") == 8, "plain").otherwise(doc)
+    responses = c.select(
+        F.col("c_custkey").alias("response_id"), F.lit("https://api.example.com/x?k=1").alias("url"),
+        F.lit("text/plain").alias("content_type"), F.encode(body, "UTF-8").alias("body"),
+    )
+    _, documents, rejected = analyze(responses)
+    return probe_documents(documents).select("response_id", "field_name", "sampled", "filled", "hit_rate").unionByName(
+        rejected.select(
+            "response_id", F.col("reject_reason").alias("field_name"), F.lit(0).cast("long").alias("sampled"),
+            F.lit(0).cast("long").alias("filled"), F.lit(0).alias("hit_rate"),
+        )
+    )
+
+
+ANALYZED_DOCUMENTS = """
+WITH c AS (SELECT c_custkey AS response_id, c_nationkey AS n FROM customer)
+SELECT response_id, 'n.x' AS field_name, CAST(2 AS BIGINT) AS sampled, CAST(CASE WHEN n % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS filled,
+       CAST(CASE WHEN n % 3 = 0 THEN 0 ELSE 50 END AS INTEGER) AS hit_rate FROM c WHERE n NOT IN (7, 8)
+UNION ALL SELECT response_id, 'v', 2, 2, 100 FROM c WHERE n NOT IN (7, 8)
+UNION ALL SELECT response_id, CASE WHEN n = 7 THEN 'invalid JSON' ELSE 'not HTML or JSON' END, 0, 0, 0 FROM c WHERE n IN (7, 8)
+"""
+
 QUERIES = {
+    "analyzed_pages": (analyzed_pages, ANALYZED_PAGES),
+    "analyzed_documents": (analyzed_documents, ANALYZED_DOCUMENTS),
     "rule_violations": (rule_violations, RULE_VIOLATIONS),
     "rule_normal_form": (rule_normal_form, RULE_NORMAL_FORM),
     "redacted_rules": (redacted_rules, REDACTED_RULES),

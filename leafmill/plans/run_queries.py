@@ -21,21 +21,25 @@ from ..sources.sinks import write_events
 from .common import table
 
 
-def _events(spark, sf):
-    """Conversations as run logs: the role and the length of a turn give the event."""
-    c = table(spark, sf, "conversations")
+def as_events(turns) -> list:
+    """Conversation turns as run events: the role and the length of a turn give the event."""
     size = F.length("text")
     kind = (
         F.when(size % 7 == 0, "done").when(size % 11 == 0, "error").when(F.col("role") == "user", "page").otherwise("log")
     )
-    return c.select(
+    return [
         F.col("conv_id").alias("run_id"),
         F.col("turn").alias("pos"),
         kind.alias("type"),
         F.concat(F.lit("m"), (size % 3).cast("string")).alias("message"),
         F.when(size % 2 == 0, "warning").otherwise("info").alias("level"),
         (size % 50).cast("long").alias("rows_n"),
-    )
+    ]
+
+
+def _events(spark, sf):
+    turns = table(spark, sf, "conversations")
+    return turns.select(*as_events(turns))
 
 
 SQL_EVENTS = """

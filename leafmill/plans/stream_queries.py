@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import tune
-from ..streaming.jobs import run_available, stream_distinct, stream_extract, stream_table
+from ..streaming.jobs import latest_fold, run_available, stream_distinct, stream_extract, stream_table
 from .common import NAV_RULE
 from .html_queries import HTML_NAV_LINKS
+from .run_queries import SQL_EVENTS, as_events
 
 
 def stream_links(spark, sf):
@@ -28,7 +29,24 @@ def stream_warnings(spark, sf):
     )
 
 
+def stream_runs(spark, sf):
+    """Run status folded from conversations read as an event stream."""
+    tune(spark)
+    turns = stream_table(spark, sf, "conv_id long, turn long, role string, text string", "conversations.parquet")
+    events = turns.select(F.col("conv_id").cast("string").alias("run_id"), *as_events(turns)[1:])
+    return latest_fold(events, "stream-runs")
+
+
+STREAM_RUNS = f"""
+WITH {SQL_EVENTS}
+SELECT CAST(run_id AS VARCHAR) AS run_id, coalesce(max(CASE WHEN pos = stop THEN type END), 'running') AS status,
+       count(*) FILTER (type = 'page') AS pages, CAST(coalesce(sum(rows_n) FILTER (type = 'page'), 0) AS BIGINT) AS rows,
+       coalesce(max(CASE WHEN pos = stop AND type = 'error' THEN message END), '') AS error
+FROM live GROUP BY run_id
+"""
+
 QUERIES = {
+    "stream_runs": (stream_runs, STREAM_RUNS),
     "stream_links": (stream_links, HTML_NAV_LINKS),
     "stream_warnings": (stream_warnings, "SELECT DISTINCT user_id, event_type FROM events"),
 }

@@ -77,3 +77,22 @@ def run_available(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     append_to(df, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/table")
+
+
+def latest_fold(events: DataFrame, name: str) -> DataFrame:
+    """Runs ``stream_fold`` over the data at hand: the last state of every run.
+
+    Each trigger's updates are appended with its number, so a repeated trigger changes nothing.
+    """
+    spark = events.sparkSession
+    path = work_path(spark, name)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+
+    stream_fold(events).writeStream.outputMode("update").foreachBatch(append).option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    columns = ["status", "pages", "rows", "error"]
+    table = spark.read.schema(f"{FOLD_OUTPUT}, batch long").parquet(f"{path}/table")
+    return table.groupBy("run_id").agg(F.max_by(F.struct(*columns), "batch").alias("_s")).select("run_id", "_s.*")
