@@ -24,7 +24,9 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     """Partitions a corpus by its page key, so the grouping and the extraction after it share one
     shuffle; the count follows the cluster and is not coalesced below it."""
     spark = df.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    # a partition count left at its default on a small machine would only make tiny tasks
+    wanted = max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
     return df.repartition(wanted, key)
 
 

@@ -131,3 +131,25 @@ def test_json_inference(spark):
     assert [r.row_selector for r in got] == ["data.items", "$", "data", "z.c"]
     assert [f.selector for f in got[0].fields] == ["id", "author.name", "enabled"]
     assert [f.selector for f in got[1].fields] == ["$"] and [f.selector for f in got[2].fields] == ["$"]
+
+
+def test_landed_files_are_responses(spark, tmp_path):
+    from leafmill.sources.responses import read_files
+
+    (tmp_path / "a.html").write_bytes("<title>é</title>".encode())
+    (tmp_path / "b.json").write_bytes(b"{}")
+    got = read_files(spark, str(tmp_path), "text/html", "*.html").collect()
+    assert len(got) == 1 and got[0].url.endswith("/a.html") and got[0].headers == {"content-length": "17"}
+
+
+def test_analysis_rejects_and_probes(spark):
+    from leafmill.operators.analyze import analyze, probe_documents, probe_pages
+
+    rows = [(1, "text/html", b'<ul><li><a href="/a">x</a><li><a href="/b"></a>y</ul>'), (2, "application/json", b"{broken"), (3, "image/png", b"x"),
+            (4, "", b'{"a":[{"b":1.0},{"b":null}]}'), (5, "text/html", b"plain")]
+    df = spark.createDataFrame([(i, "https://e.org/", t, bytearray(b)) for i, t, b in rows], "response_id int, url string, content_type string, body binary")
+    pages, documents, rejected = analyze(df)
+    assert {r.response_id: r.reject_reason for r in rejected.collect()} == {2: "invalid JSON", 3: "not HTML or JSON"}
+    found = {(r.response_id, r.field_name): (r.sampled, r.filled) for r in probe_pages(pages).collect()}
+    assert found == {(1, "链接"): (2, 2), (5, "内容"): (1, 1)}
+    assert [(r.field_name, r.sampled, r.filled, r.hit_rate) for r in probe_documents(documents).collect()] == [("b", 2, 1, 50)]
