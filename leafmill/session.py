@@ -45,10 +45,13 @@ def build_session(app: str = "leafmill", master: str | None = None, **conf: str)
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, below the cluster's shared checkpoint folder.
 
-    A folder of our own is used only where ``spark.checkpoint.dir`` is unset (tests, local runs).
+    Where ``spark.checkpoint.dir`` is unset a folder of our own is set, in local mode only: on a
+    cluster each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
