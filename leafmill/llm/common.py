@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
     A part has one row at least, so a single text may be larger.
     """
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         start = 0
         ends = np.cumsum(sizes)
         while start < batch.num_rows:
@@ -47,7 +48,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column laid end to end, and the n + 1 offsets of its rows; null is empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -75,8 +76,11 @@ class Rolling:
         if len(cls._up) < n:
             size = 1 << int(n - 1).bit_length()
             inverse = pow(cls.BASE, -1, 1 << 64)
-            cls._up = np.concatenate([[1], np.full(size - 1, cls.BASE, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
-            cls._down = np.concatenate([[1], np.full(size - 1, inverse, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
+            cls._up = np.full(size, cls.BASE, np.uint64)
+            cls._down = np.full(size, inverse, np.uint64)
+            for powers in (cls._up, cls._down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
         return cls._up, cls._down
 
     def __init__(self, data: np.ndarray):

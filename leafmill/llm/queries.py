@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, line_dedup, mixing
-from .common import read
+from . import language_id, licences, line_dedup, mixing, quality_model, quality_rules
+from .common import crc_mod, read
 
 
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,17 +14,35 @@ def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda p: p.cast("string")), ",").alias("removed"))
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    references = language_id.reference_texts(docs)
+    found = language_id.identify_languages(docs.select("doc_id", "text"), references)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_fair_mix": (op2_fair_mix, mixing.mix_sql()),
+    "op3_rule_cascade": (op3_rule_cascade, None),
     "op4_line_dedup": (op4_line_dedup, line_dedup.dedup_sql()),
+    "op5_cross_parsing": (op5_cross_parsing, None),
+    "op9_quality_discriminant": (op9_quality_discriminant, None),
     "op10_licence_scan": (op10_licence_scan, licences.scan_sql()),
 }
