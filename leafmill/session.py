@@ -66,12 +66,21 @@ def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(spark.createDataFrame(rows, schema).toArrow())
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once below the shared folder and reads it back.
 
-    For tables that several rounds of a job join with: they are computed once, later stages start
-    from files that survive lost executors, and equal exchanges over them can be reused.
+    For tables that several rounds of a job join with: they are computed once, and later stages start
+    from files that survive lost executors. The shuffle files of the write go when it is done.
     """
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
