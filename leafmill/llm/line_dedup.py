@@ -37,6 +37,21 @@ def _windows(line: Column, parts: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(2 * parts - 1)), window)
 
 
+def _halves(line: Column) -> Column:
+    """Keys of which two lines within one edit share one at least: the first and the last characters,
+    as many on either side.
+
+    If the edit is not among the first, they are the same in both lines, else the last ones are. The
+    number is half the shorter line's length, down to a multiple of four; a line cannot know whether
+    it is that one, so it gives the number for one less too where that differs.
+    """
+    length = F.length(line)
+    size = lambda n: (F.floor(n / 8) * 4).cast("int")
+    ends = lambda n: (F.xxhash64(F.lit(1), F.substring(line, F.lit(1), n)), F.xxhash64(F.lit(2), F.substring(line, length - n + 1, n)))
+    own, less = size(length), size(length - 1)
+    return F.when(own == less, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(less)))
+
+
 def _shared(windows: DataFrame) -> DataFrame:
     """The keys that at least two different lines have."""
     return windows.groupBy("outside").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high")).where("low < high").select("outside")
@@ -53,7 +68,7 @@ def near_lines(lines: DataFrame, first: DataFrame, parts: int = PARTS) -> DataFr
     within a key. What is found is verified on the texts.
     """
     halves = first.select("line_key", F.explode("halves").alias("outside"))
-    candidates = halves.join(_shared(halves), "outside").select("line_key").distinct()
+    candidates = materialize(halves.join(_shared(halves), "outside").select("line_key").distinct(), "near-candidates")
     near = lines.join(first.drop("halves"), "line_key").where("at = first").select("line_key", "first", "line").dropDuplicates(["line_key"])
     near = materialize(near.join(candidates, "line_key"), "near-lines")
     windows = near.select("line_key", "first", F.inline(_windows(F.col("line"), parts)))
@@ -99,8 +114,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS)
     place = F.struct("_id", "_hash", "pos")
     lines = source.select("_id", "_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
     lines = lines.select(_digest(F.col("line")).alias("line_key"), place.alias("at"), "line")
-    two = F.transform(_windows(F.col("line"), 2), lambda w: w["outside"])
-    keys = materialize(lines.select("line_key", "at", two.alias("halves")), "line-keys")
+    keys = materialize(lines.select("line_key", "at", _halves(F.col("line")).alias("halves")), "line-keys")
     # equal lines have equal halves
     first = keys.groupBy("line_key", "halves").agg(F.min("at").alias("first"))
     near = near_lines(lines, first, parts).withColumn("near", F.lit(True))
