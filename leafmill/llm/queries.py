@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licences, line_dedup, mixing, quality_model, quality_rules
+from . import language_id, licences, line_dedup, mixing, packing, quality_model, quality_rules
 from .common import crc_mod, read
 
 
@@ -30,6 +30,16 @@ def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,6 +53,7 @@ QUERIES = {
     "op3_rule_cascade": (op3_rule_cascade, None),
     "op4_line_dedup": (op4_line_dedup, line_dedup.dedup_sql()),
     "op5_cross_parsing": (op5_cross_parsing, None),
+    "op6_cutting_stock": (op6_cutting_stock, None),
     "op9_quality_discriminant": (op9_quality_discriminant, None),
     "op10_licence_scan": (op10_licence_scan, licences.scan_sql()),
 }
