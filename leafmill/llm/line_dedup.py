@@ -57,10 +57,10 @@ def _shared(windows: DataFrame) -> DataFrame:
     return windows.groupBy("outside").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high")).where("low < high").select("outside")
 
 
-def near_lines(lines: DataFrame, first: DataFrame, parts: int = PARTS) -> DataFrame:
+def near_lines(source: DataFrame, first: DataFrame, parts: int = PARTS) -> DataFrame:
     """(line_key): lines that have a line within one edit, other than themselves, with an earlier first place.
 
-    ``lines`` has (line_key, line) per occurrence, ``first`` (line_key, first, halves) per line. Lines that share
+    ``source`` has (_id, _hash, text), ``first`` (line_key, first, halves) per line. Lines that share
     neither half with another line are set aside; what is left is compared part by part. Within a part
     each line gives its text and the part without each of its characters. Lines alike in a rest and the
     place of the deletion differ by one replaced character, a line that is another's rest by one
@@ -69,8 +69,13 @@ def near_lines(lines: DataFrame, first: DataFrame, parts: int = PARTS) -> DataFr
     """
     halves = first.select("line_key", F.explode("halves").alias("outside"))
     candidates = materialize(halves.join(_shared(halves), "outside").select("line_key").distinct(), "near-candidates")
-    near = lines.join(first.drop("halves"), "line_key").where("at = first").select("line_key", "first", "line").dropDuplicates(["line_key"])
-    near = materialize(near.join(candidates, "line_key"), "near-lines")
+    # texts move as whole documents, each once, and only the wanted lines of them go on
+    wanted = first.drop("halves").join(candidates, "line_key").groupBy(F.col("first._id").alias("_wid"), F.col("first._hash").alias("_whash"))
+    wanted = wanted.agg(F.map_from_entries(F.collect_list(F.struct("first.pos", "line_key"))).alias("wanted"))
+    texts = source.select("_id", "_hash", "text").join(wanted, (F.col("_id") == F.col("_wid")) & (F.col("_hash") == F.col("_whash")))
+    each = texts.select("_id", "_hash", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    each = each.withColumn("line_key", F.try_element_at("wanted", F.col("pos"))).where("line_key is not null")
+    near = materialize(each.select("line_key", F.struct("_id", "_hash", "pos").alias("first"), "line"), "near-lines")
     windows = near.select("line_key", "first", F.inline(_windows(F.col("line"), parts)))
     windows = materialize(windows.join(_shared(windows), "outside"), "near-windows")
     own = windows.where("short").select("line_key", "first", F.xxhash64("outside", "part").alias("rest"))
@@ -117,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS)
     keys = materialize(lines.select("line_key", "at", _halves(F.col("line")).alias("halves")), "line-keys")
     # equal lines have equal halves
     first = keys.groupBy("line_key", "halves").agg(F.min("at").alias("first"))
-    near = near_lines(lines, first, parts).withColumn("near", F.lit(True))
+    near = near_lines(source, first, parts).withColumn("near", F.lit(True))
     verdicts = materialize(first.drop("halves").join(near, "line_key", "left"), "line-verdicts")
     gone = keys.select("line_key", "at").join(verdicts, "line_key").where("near or at <> first")
     by_doc = gone.groupBy(F.col("at._id").alias("_gid"), F.col("at._hash").alias("_ghash")).agg(F.sort_array(F.collect_set("at.pos")).alias("removed"))
