@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licences, line_dedup, mixing, packing, quality_model, quality_rules
+from . import jaccard_join, language_id, licences, line_dedup, mixing, packing, permutation_index, quality_model, quality_rules
 from .common import crc_mod, read
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(read(spark, sf_dir, "embeddings"))
+
+
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -40,6 +44,10 @@ def op6_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,11 +57,13 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_index": (op1_permutation_index, None),
     "op2_fair_mix": (op2_fair_mix, mixing.mix_sql()),
     "op3_rule_cascade": (op3_rule_cascade, None),
     "op4_line_dedup": (op4_line_dedup, line_dedup.dedup_sql()),
     "op5_cross_parsing": (op5_cross_parsing, None),
     "op6_cutting_stock": (op6_cutting_stock, None),
+    "op8_chosen_path": (op8_chosen_path, None),
     "op9_quality_discriminant": (op9_quality_discriminant, None),
     "op10_licence_scan": (op10_licence_scan, licences.scan_sql()),
 }
