@@ -219,10 +219,10 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshol
 
 
 def _class_links(members: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, links_a, links_b, edge): exact comparison within tiles of classes.
+    """(a, b, links): exact comparison within tiles of classes.
 
-    ``members`` has class, tile_a, tile_b, side, set_key, text. Rows say how many copies of similar sets
-    the other side gives to a set; ``b`` is a similar set, so that the rows also join the sets.
+    Rows with a = b say how many copies of similar sets the tile gives to a set; the others are the
+    edges that join the tile's sets into connected groups.
     """
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
@@ -233,17 +233,24 @@ def _class_links(members: DataFrame, words: int, threshold: float) -> DataFrame:
         first = np.flatnonzero(side == 0)
         second = first if one else np.flatnonzero(side == 1)
         links = np.zeros(len(frame), np.int64)
-        joined: dict[int, int] = {}
+        parent = list(range(len(frame)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        joins = []
         for i, found in exact_links([sets[x] for x in first], None if one else [sets[x] for x in second], threshold):
-            a, b = first[i], second[found]
+            a, b = int(first[i]), second[found]
             links[a] += copies[b].sum()
             links[b] += copies[a]
-            for x in b:
-                joined.setdefault(int(x), int(a))
-            joined.setdefault(int(a), int(b[0]))
-        rows = np.flatnonzero(links)
-        # a set that met only sets already joined to others is joined by its own first neighbour
-        return pd.DataFrame({"a": [keys[x] for x in rows], "b": [keys[joined[x]] for x in rows], "links": links[rows]})
+            for x in b.tolist():
+                if root(a) != root(x):
+                    parent[root(x)] = root(a)
+                    joins.append((a, x))
+        rows = np.flatnonzero(links).tolist()
+        return pd.DataFrame({"a": [keys[x] for x in rows] + [keys[a] for a, _ in joins], "b": [keys[x] for x in rows] + [keys[b] for _, b in joins], "links": [int(links[x]) for x in rows] + [0] * len(joins)})
 
     return members.groupBy("class", "tile_a", "tile_b").applyInPandas(meet, "a binary, b binary, links long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, licences, line_dedup, mixing, packing, permutation_index, quality_model, quality_rules
+from . import jaccard_join, language_id, licences, line_dedup, mixing, packing, permutation_index, quality_model, quality_rules, suffix_dedup
 from .common import crc_mod, read
 
 
@@ -44,6 +44,11 @@ def op6_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_line_dedup": (op4_line_dedup, line_dedup.dedup_sql()),
     "op5_cross_parsing": (op5_cross_parsing, None),
     "op6_cutting_stock": (op6_cutting_stock, None),
+    "op7_two_stage_suffixes": (op7_two_stage_suffixes, None),
     "op8_chosen_path": (op8_chosen_path, None),
     "op9_quality_discriminant": (op9_quality_discriminant, None),
     "op10_licence_scan": (op10_licence_scan, licences.scan_sql()),
