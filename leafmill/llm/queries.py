@@ -61,6 +61,12 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_permutation_index": (op1_permutation_index, None),
     "op2_fair_mix": (op2_fair_mix, mixing.mix_sql()),
@@ -72,4 +78,5 @@ QUERIES = {
     "op8_chosen_path": (op8_chosen_path, None),
     "op9_quality_discriminant": (op9_quality_discriminant, None),
     "op10_licence_scan": (op10_licence_scan, licences.scan_sql()),
+    "pipeline": (pipeline, None),
 }
