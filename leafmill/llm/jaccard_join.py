@@ -288,7 +288,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
         sized = materialize(paths.join(counts, "path"), "bucket-members")
         if depth == 1:
             # only sets that share a bucket are looked at again, so only their texts move from here on
-            texts = materialize(texts.join(sized.select("set_key").distinct(), "set_key"), "bucket-texts")
+            texts = materialize(texts.join(sized.select("set_key").distinct(), "set_key").dropDuplicates(["set_key"]), "bucket-texts")
         cold = sized if depth == max_depth else sized.where(F.col("size") <= bucket_sets)
         leaves = cold.select("set_key", "path") if leaves is None else leaves.unionByName(cold.select("set_key", "path"))
         hot = sized.where(F.col("size") > bucket_sets)

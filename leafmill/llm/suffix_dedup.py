@@ -124,7 +124,10 @@ def common_prefix_reaches(x: np.ndarray, a: np.ndarray, b: np.ndarray, width: in
     while done < width and len(alive):
         step = min(8, width - done)
         at = np.minimum(a[alive] + done, len(x)), np.minimum(b[alive] + done, len(x))
-        alive = alive[(words[at[0], :step] == words[at[1], :step]).all(axis=1)]
+        if step == 8:
+            alive = alive[words[at[0]].view(np.uint64).ravel() == words[at[1]].view(np.uint64).ravel()]
+        else:
+            alive = alive[(words[at[0], :step] == words[at[1], :step]).all(axis=1)]
         done += 8
     reaches = np.zeros(len(a), bool)
     reaches[alive] = True

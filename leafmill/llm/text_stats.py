@@ -87,7 +87,8 @@ class Texts:
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """(number of lines with a word, those equal to an earlier line) of each row."""
         breaks = np.flatnonzero(self.data == 10)
-        starts = np.sort(np.concatenate([self.offsets[:-1], breaks + 1]))
+        # a break that ends a text starts no line of the next one
+        starts = np.unique(np.concatenate([self.offsets[:-1], breaks + 1]))
         row = np.searchsorted(self.offsets[1:], starts, side="right")
         # a start at a row's end belongs to that row's last, empty line
         inner = row < self.n
