@@ -109,9 +109,9 @@ def _filled(values: DataFrame) -> DataFrame:
     return counted.withColumn("hit_rate", hit_rate(F.col("filled"), F.col("sampled")))
 
 
-def probe_documents(suggested: DataFrame, max_rows: int = fixed.MAX_ROWS_PER_PAGE) -> DataFrame:
+def probe_documents(suggested: DataFrame) -> DataFrame:
     """Applies each document's own suggestion, in the same layout as ``probe_pages``."""
-    items = F.slice(json_records_at(F.col("doc"), F.col("row_selector")), 1, max_rows)
+    items = json_records_at(F.col("doc"), F.col("row_selector"))
     records = unnest(suggested, ["response_id", "url", "fields"], items, "row_pos", "_record")
     cells = unnest(records, ["response_id", "row_pos", "_record"], "fields", "field_pos", "_f")
     values = cells.select(

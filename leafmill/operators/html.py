@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (
-    MAX_CELL_CHARS,
-    MAX_NODES_PER_FIELD,
-    MAX_PAGE_BYTES,
-    MAX_ROWS_PER_PAGE,
     URL_ATTRIBUTES,
     WARN_EMPTY_FIELD_HTML,
     WARN_NEXT_INVALID,
@@ -85,11 +81,16 @@ def _value(nodes: Column, base: Column, n: Column, attribute: str) -> Column:
     return link_value(value, base) if attribute in URL_ATTRIBUTES else value
 
 
-def fold_values(values: Column, max_chars: int = MAX_CELL_CHARS) -> Column:
-    """Drops empty values, keeps the first of equal ones, joins by line feed and cuts."""
-    cut = F.transform(values, lambda v: F.left(v, F.lit(max_chars)))
-    kept = F.array_distinct(F.filter(cut, lambda v: v != ""))
-    return F.left(F.array_join(kept, "\n"), F.lit(max_chars))
+def first_of(items: Column, limit: int | None) -> Column:
+    """All items, or the first ones where a caller asks for a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def fold_values(values: Column, max_chars: int | None = None) -> Column:
+    """Drops empty values, keeps the first of equal ones and joins by line feed; cuts only if asked."""
+    cut = values if max_chars is None else F.transform(values, lambda v: F.left(v, F.lit(max_chars)))
+    joined = F.array_join(F.array_distinct(F.filter(cut, lambda v: v != "")), "\n")
+    return joined if max_chars is None else F.left(joined, F.lit(max_chars))
 
 
 def next_link(nodes: Column, base: Column, selector: str) -> Column:
@@ -115,10 +116,10 @@ def extract_page(
     rule: dict,
     *,
     url: str = "url",
-    max_rows: int = MAX_ROWS_PER_PAGE,
-    max_nodes: int = MAX_NODES_PER_FIELD,
-    max_chars: int = MAX_CELL_CHARS,
-    max_bytes: int = MAX_PAGE_BYTES,
+    max_rows: int | None = None,
+    max_nodes: int | None = None,
+    max_chars: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per page: ``records`` (array of structs), matched, title, next and warnings.
 
@@ -169,16 +170,15 @@ def extract_page(
         else:
             found = page[hits[f["selector"], f["attribute"]]]
         inside = F.filter(found, lambda h: (h["pre"] > c["pre"]) & (h["pre"] <= c["pre"] + c["n_desc"]))
-        return fold_values(F.transform(F.slice(inside, 1, max_nodes), lambda h: h["value"]), max_chars)
+        return fold_values(F.transform(first_of(inside, max_nodes), lambda h: h["value"]), max_chars)
 
     def all_records(page: Column) -> Column:
         return F.transform(
-            F.slice(page["_containers"], 1, max_rows),
+            first_of(page["_containers"], max_rows),
             lambda c: F.struct(*[cell(f, c, page).alias(f["name"]) for f in fields], F.col(url).alias("_source")),
         )
 
     df = df.withColumn("_records", let(F.struct("_base", "_containers", *hits.values()), all_records))
-    df = df.withColumn("_kept", rows_within_bytes(F.col("_records"), max_bytes))
     selector = (rule.get("nextSelector") or "").strip()
     link = (
         next_link(nodes, F.col("_base"), selector)
@@ -186,13 +186,13 @@ def extract_page(
         else F.struct(F.lit(None).cast("string").alias("href"), F.lit(None).cast("string").alias("url"))
     )
     df = df.withColumn("_next", link)
-    out = F.slice(F.col("_records"), 1, F.col("_kept"))
+    out = F.col("_records") if max_bytes is None else F.slice("_records", 1, rows_within_bytes(F.col("_records"), max_bytes))
     df = df.withColumn("records", out)
     warnings = F.filter(
         F.array(
             F.when(F.size("_containers") == 0, WARN_NO_CONTAINER),
-            F.when(F.size("_containers") > max_rows, WARN_ROW_CAP),
-            F.when(F.col("_kept") < F.size("_records"), WARN_PAGE_BYTES),
+            *([F.when(F.size("_containers") > max_rows, WARN_ROW_CAP)] if max_rows is not None else []),
+            *([F.when(F.size("records") < F.size("_records"), WARN_PAGE_BYTES)] if max_bytes is not None else []),
             *[F.when(empty_everywhere(name), WARN_EMPTY_FIELD_HTML % name) for name in names],
             F.when(F.col("_next.href").isNotNull() & F.col("_next.url").isNull(), WARN_NEXT_INVALID),
         ),
@@ -270,10 +270,10 @@ def extract_html_multi(
     keys: Sequence[str],
     *,
     url: str = "url",
-    max_rows: int = MAX_ROWS_PER_PAGE,
-    max_nodes: int = MAX_NODES_PER_FIELD,
-    max_chars: int = MAX_CELL_CHARS,
-    max_bytes: int = MAX_PAGE_BYTES,
+    max_rows: int | None = None,
+    max_nodes: int | None = None,
+    max_chars: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Long form for any number of rules in one plan.
 
@@ -320,7 +320,7 @@ def extract_html_multi(
             F.filter(select_by(nodes, f["sel"], scope=c), inside)
         )
         shared = F.filter(F.get(page["_hits"], i), inside)
-        chosen = F.slice(F.when(f["scoped"], valued(in_scope, f, page["_base"])).otherwise(shared), 1, max_nodes)
+        chosen = first_of(F.when(f["scoped"], valued(in_scope, f, page["_base"])).otherwise(shared), max_nodes)
         return F.struct(
             f["name"].alias("name"),
             fold_values(F.transform(chosen, lambda h: h["value"]), max_chars).alias("value"),
@@ -328,18 +328,19 @@ def extract_html_multi(
 
     def all_records(page: Column) -> Column:
         return F.transform(
-            F.slice(page["_containers"], 1, max_rows),
+            first_of(page["_containers"], max_rows),
             lambda c: F.transform("fields", lambda f, i: cell(c, f, i, page)),
         )
 
     df = df.withColumn("_records", let(F.struct("_base", "_containers", "_hits"), all_records))
-    # The size rule looks at the record as an object: name to value, plus the source.
-    as_maps = F.transform(
-        "_records",
-        lambda r: F.map_concat(F.map_from_entries(r), F.create_map(F.lit("_source"), F.col(url))),
-    )
-    df = df.withColumn("_kept", rows_within_bytes(as_maps, max_bytes))
-    kept = F.slice("_records", 1, F.col("_kept"))
+    kept = F.col("_records")
+    if max_bytes is not None:
+        # The size rule looks at the record as an object: name to value, plus the source.
+        as_maps = F.transform(
+            "_records",
+            lambda r: F.map_concat(F.map_from_entries(r), F.create_map(F.lit("_source"), F.col(url))),
+        )
+        kept = F.slice("_records", 1, rows_within_bytes(as_maps, max_bytes))
     rows = unnest(df, [*keys, "rule_id", F.col(url).alias("_source")], kept, "row_pos", "_cells")
     cells = unnest(rows, [*keys, "rule_id", "row_pos", "_source"], "_cells", "field_pos", "_c")
     return cells.select(

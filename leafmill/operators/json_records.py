@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (
-    MAX_CELL_CHARS,
-    MAX_PAGE_BYTES,
-    MAX_ROWS_PER_PAGE,
     WARN_EMPTY_FIELD_JSON,
     WARN_NO_RECORD_JSON,
     WARN_PAGE_BYTES,
@@ -20,7 +17,7 @@ from ..functions.jsonpath import json_records, json_value
 from ..functions.text import let
 from ..functions.urls import host_of, strip_query
 from .gates import decode_utf8, gate
-from .html import rows_within_bytes, unnest_records
+from .html import first_of, rows_within_bytes, unnest_records
 
 
 def json_bodies(responses: DataFrame) -> DataFrame:
@@ -29,8 +26,9 @@ def json_bodies(responses: DataFrame) -> DataFrame:
     return gate(df, F.when(F.try_parse_json("doc").isNull(), "invalid JSON"))
 
 
-def json_field(record: Column, path: str, max_chars: int = MAX_CELL_CHARS) -> Column:
-    return F.left(F.coalesce(json_value(record, path), F.lit("")), F.lit(max_chars))
+def json_field(record: Column, path: str, max_chars: int | None = None) -> Column:
+    value = F.coalesce(json_value(record, path), F.lit(""))
+    return value if max_chars is None else F.left(value, F.lit(max_chars))
 
 
 def extract_json_page(
@@ -39,9 +37,9 @@ def extract_json_page(
     *,
     doc: str = "doc",
     url: str = "url",
-    max_rows: int = MAX_ROWS_PER_PAGE,
-    max_chars: int = MAX_CELL_CHARS,
-    max_bytes: int = MAX_PAGE_BYTES,
+    max_rows: int | None = None,
+    max_chars: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per body: ``records``, matched, title and warnings; the URL loses its query."""
     fields = rule["fields"]
@@ -50,7 +48,7 @@ def extract_json_page(
 
     def all_records(source: Column) -> Column:
         return F.transform(
-            F.slice("_items", 1, max_rows),
+            first_of(F.col("_items"), max_rows),
             lambda r: F.struct(
                 *[json_field(r, f["selector"], max_chars).alias(f["name"]) for f in fields],
                 source.alias("_source"),
@@ -58,8 +56,8 @@ def extract_json_page(
         )
 
     df = df.withColumn("_records", let(F.col("_source"), all_records))
-    df = df.withColumn("_kept", rows_within_bytes(F.col("_records"), max_bytes))
-    df = df.withColumn("records", F.slice("_records", 1, F.col("_kept")))
+    out = F.col("_records") if max_bytes is None else F.slice("_records", 1, rows_within_bytes(F.col("_records"), max_bytes))
+    df = df.withColumn("records", out)
 
     def empty_everywhere(name: str) -> Column:
         return (F.size("records") > 0) & F.forall("records", lambda r: r[name] == "")
@@ -67,8 +65,8 @@ def extract_json_page(
     warnings = F.filter(
         F.array(
             F.when(F.size("_items") == 0, WARN_NO_RECORD_JSON),
-            F.when(F.size("_items") > max_rows, WARN_ROW_CAP),
-            F.when(F.col("_kept") < F.size("_records"), WARN_PAGE_BYTES),
+            *([F.when(F.size("_items") > max_rows, WARN_ROW_CAP)] if max_rows is not None else []),
+            *([F.when(F.size("records") < F.size("_records"), WARN_PAGE_BYTES)] if max_bytes is not None else []),
             *[F.when(empty_everywhere(f["name"]), WARN_EMPTY_FIELD_JSON % f["name"]) for f in fields],
         ),
         lambda w: w.isNotNull(),

@@ -99,7 +99,7 @@ firsts AS (SELECT page_id, para, min(pos) AS pos FROM paras WHERE para <> '' GRO
 joined AS (SELECT page_id, string_agg(para, chr(10) ORDER BY pos) AS paragraphs FROM firsts GROUP BY page_id)
 SELECT a.page_id, CAST(0 AS INTEGER) AS row_pos,
        {_sql_text("regexp_extract(art, '<h1>(.*?)</h1>', 1)")} AS title,
-       left(coalesce(paragraphs, ''), 20000) AS paragraphs, url AS _source
+       coalesce(paragraphs, '') AS paragraphs, url AS _source
 FROM art a LEFT JOIN joined j ON a.page_id = j.page_id
 """
 

@@ -216,7 +216,7 @@ def _entries(spark, sf):
 
 
 def run_store(spark, sf):
-    """Saves all runs, keeps the newest twenty, deletes one and lists the rest with their payload."""
+    """Saves all runs, deletes the newest and lists the rest with their payload."""
     store = RunStore(spark, work_path(spark, "store"))
     store.save(_entries(spark, sf))
     newest = store.list().limit(1).select("id")
@@ -235,7 +235,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM r)
 SELECT id, created_at, CAST(c_nationkey % 4 AS INTEGER) AS count, CAST(c_nationkey % 4 AS INTEGER) AS stored_rows,
   CASE WHEN c_nationkey % 2 = 0 THEN 'https://api.example.com/' || id ELSE 'https://u:p@api.example.com/' || id || '?token=secret' END AS url,
   CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE -1 END AS headers
-FROM k WHERE rank BETWEEN 2 AND 20
+FROM k WHERE rank >= 2
 """
 
 QUERIES = {

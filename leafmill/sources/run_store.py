@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.runs import newest_first, retain, run_summary
+from ..operators.runs import newest_first, run_summary
 from ..schemas import CONFIG, REPORT, RESULT
 
 RUNS = (
@@ -36,13 +36,9 @@ class RunStore:
         return self._table(name, schema).join(self._table("deleted", "id string").distinct(), ["id"], "left_anti")
 
     def save(self, entries: DataFrame) -> None:
-        """Adds runs (id, created_at, status, operation, config, result, report, error)."""
+        """Adds runs (id, created_at, status, operation, config, result, report, error); older ones stay."""
         entries.select("id", "result", "report").write.mode("append").parquet(f"{self.root}/results")
         run_summary(entries).write.mode("append").parquet(f"{self.root}/runs")
-        kept = retain(self._live("runs", RUNS)).select("id")
-        self._live("runs", RUNS).select("id").join(kept, ["id"], "left_anti").write.mode("append").parquet(
-            f"{self.root}/deleted"
-        )
 
     def list(self) -> DataFrame:
         """Summaries, newest first."""

@@ -61,20 +61,28 @@ def test_values_of_one_cell_join_by_line(spark):
     assert got.records[0]["标签"] == "one\ntwo"
 
 
-def test_row_and_byte_caps_warn(spark):
-    many = extract_page(page(spark, '<article class="product_pod"></article>' * 230), BOOKS).head()
-    assert len(many.records) == 200 and many.matched == 230 and WARN_ROW_CAP in many.warnings
-    none = extract_page(page(spark, "<div>empty</div>"), BOOKS).head()
-    assert none.records == [] and none.warnings == [WARN_NO_CONTAINER]
-    # the record that crosses the limit is dropped too
-    html = "<p>%s</p>" % "</p><p>".join(["x" * 100] * 5)
-    sized = extract_page(page(spark, html, "https://e.org/"), rule("p", ("t", ":scope", "text")), max_bytes=300).head()
+def test_nothing_is_cut_unless_asked(spark):
+    shelf = "".join(f"<li class='jar'><b>{n}</b></li>" for n in range(517))
+    jars = rule("li.jar", ("n", "b", "text"))
+    whole = extract_page(page(spark, f"<ul>{shelf}</ul>"), jars).head()
+    assert [r["n"] for r in whole.records] == [str(n) for n in range(517)] and whole.warnings == []
+    some = extract_page(page(spark, f"<ul>{shelf}</ul>"), jars, max_rows=9).head()
+    assert len(some.records) == 9 and some.matched == 517 and WARN_ROW_CAP in some.warnings
+    folded = extract_page(page(spark, f"<ul>{shelf}</ul>"), rule("ul", ("all", "b", "text"))).head().records[0]["all"]
+    assert folded.split("\n") == [str(n) for n in range(517)]
+    bare = extract_page(page(spark, "<section>nothing on sale</section>"), jars).head()
+    assert bare.records == [] and bare.warnings == [WARN_NO_CONTAINER]
+    # the record that crosses a byte limit goes too
+    notes = "".join(f"<i>{c * 90}</i>" for c in "abcd")
+    sized = extract_page(page(spark, notes, "https://shop.test/"), rule("i", ("t", ":scope", "text")), max_bytes=300).head()
     assert len(sized.records) == 2 and WARN_PAGE_BYTES in sized.warnings
 
 
-def test_cells_are_cut(spark):
-    html = "<p>%s</p>" % ("y" * 25_000)
-    assert len(extract_page(page(spark, html), rule("", ("t", "p", "text"))).head().records[0]["t"]) == 20_000
+def test_long_cells_stay_whole(spark):
+    html = "<em>%s</em>" % ("ab " * 11_111)
+    cell = extract_page(page(spark, html), rule("", ("t", "em", "text"))).head().records[0]["t"]
+    assert cell == ("ab " * 11_111).strip()
+    assert extract_page(page(spark, html), rule("", ("t", "em", "text")), max_chars=7).head().records[0]["t"] == "ab ab a"
 
 
 @pytest.mark.parametrize(
