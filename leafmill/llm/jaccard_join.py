@@ -54,34 +54,55 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarra
     return [np.unique(shingles[f : f + v]) for f, v in zip(first, valid, strict=True)]
 
 
-def sketch(tokens: np.ndarray, size: int = SKETCH) -> bytes:
-    """One byte of the smallest token in each of ``size`` orders (one permutation, empty bins filled
-    from the bin that a fixed probe finds)."""
+def sketches(tokens: np.ndarray, row: np.ndarray, n: int, size: int = SKETCH) -> np.ndarray:
+    """For each of ``n`` sets, one byte of the smallest token in each of ``size`` orders (one permutation,
+    empty bins filled from the bin that a fixed probe finds). ``row`` is the set of each token; no set is empty."""
+    none = np.uint64(np.iinfo(np.uint64).max)
     mixed = mix64(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A))
     bins = (mixed >> np.uint64(57)).astype(np.int64) % size
-    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, bins, mixed & np.uint64((1 << 57) - 1))
-    empty = np.flatnonzero(least == np.iinfo(np.uint64).max)
+    least = np.full(n * size, none, np.uint64)
+    np.minimum.at(least, row * size + bins, mixed & np.uint64((1 << 57) - 1))
     filled = least.copy()
+    empty = np.flatnonzero(least == none)
     probe = 0
     while len(empty):
         probe += 1
-        at = (mix64(empty.astype(np.uint64) * _GOLDEN + np.uint64(probe)) % np.uint64(size)).astype(np.int64)
-        found = least[at] != np.iinfo(np.uint64).max
-        filled[empty[found]] = least[at[found]]
+        to = (mix64(np.arange(size, dtype=np.uint64) * _GOLDEN + np.uint64(probe)) % np.uint64(size)).astype(np.int64)
+        bin_of = empty % size
+        at = least[empty - bin_of + to[bin_of]]
+        found = at != none
+        filled[empty[found]] = at[found]
         empty = empty[~found]
-    return (mix64(filled) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (mix64(filled) >> np.uint64(56)).astype(np.uint8).reshape(n, size)
+
+
+def _limits(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The hash up to which a token of a set of each size is chosen: with chance 1 / (threshold times size)."""
+    return np.minimum(2.0**64 / (threshold * sizes), 2.0**64 - 2048).astype(np.uint64)
 
 
 def next_paths(tokens: np.ndarray, path: np.uint64, threshold: float) -> np.ndarray:
-    """The paths that a set takes from ``path``: each token is chosen by a hash of path and token, with
-    chance 1 / (threshold times the number of tokens)."""
-    hashes = mix64(mix64(tokens + path) ^ path)
-    chosen = hashes <= np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
+    """The paths that a set takes from ``path``: each token is chosen by a hash of path and token."""
+    hashes = mix64(tokens + path)
+    chosen = hashes <= _limits(np.array([len(tokens)]), threshold)[0]
     return mix64(hashes[chosen] + _GOLDEN)
 
 
-def _first_paths(runs: int) -> np.ndarray:
+def first_paths(tokens: np.ndarray, row: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The paths that many sets take from each seed, set by set, and the n + 1 offsets of the sets."""
+    limits = _limits(sizes, threshold)[row]
+    rows, paths = [], []
+    for seed in seeds:
+        hashes = mix64(tokens + seed)
+        chosen = np.flatnonzero(hashes <= limits)
+        rows.append(row[chosen])
+        paths.append(mix64(hashes[chosen] + _GOLDEN))
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return np.concatenate(paths)[order], np.append(0, np.cumsum(np.bincount(rows, minlength=len(sizes))))
+
+
+def _seeds(runs: int) -> np.ndarray:
     return mix64(np.arange(1, runs + 1, dtype=np.uint64) * _GOLDEN)
 
 
@@ -89,19 +110,24 @@ def describe(docs: DataFrame, runs: int, words: int, threshold: float) -> DataFr
     """(row_key, set_key, n, sketch, paths) for each document that has a word: its first paths of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _first_paths(runs)
+        seeds = _seeds(runs)
         for batch in slices(batches, "text", 4 << 20):
             sets = shingle_sets(batch.column("text"), words)
             some = [i for i, s in enumerate(sets) if len(s)]
-            out = {"row_key": [], "set_key": [], "n": [], "sketch": [], "paths": []}
-            keys = batch.column("row_key").take(pa.array(some, pa.int64())) if some else pa.array([], batch.column("row_key").type)
-            for i in some:
-                s = sets[i]
-                out["set_key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                out["n"].append(len(s))
-                out["sketch"].append(sketch(s))
-                out["paths"].append(np.concatenate([next_paths(s, seed, threshold) for seed in seeds]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(out["set_key"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["sketch"], pa.binary()), pa.array(out["paths"], pa.list_(pa.int64()))], list(out))
+            if not some:
+                continue
+            sets = [sets[i] for i in some]
+            sizes = np.array([len(s) for s in sets])
+            tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            paths, ends = first_paths(tokens, row, sizes, seeds, threshold)
+            columns = {
+                "row_key": batch.column("row_key").take(pa.array(some, pa.int64())),
+                "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                "n": pa.array(sizes.astype(np.int64)),
+                "sketch": pa.array([s.tobytes() for s in sketches(tokens, row, len(sets))], pa.binary()),
+                "paths": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(paths.view(np.int64))),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.select("row_key", "text").mapInArrow(run, "row_key binary, set_key binary, n long, sketch binary, paths array<long>")
 
@@ -281,14 +307,15 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
     reps = table.dropDuplicates(["set_key"]).select("set_key", "sketch", "paths")
     paths = materialize(reps.select("set_key", F.explode("paths").alias("path")).distinct(), "paths")
     sets = materialize(sets, "set-copies")
-    texts = source.join(sets.withColumnRenamed("row_key", "_rk"), F.col("row_key") == F.col("_rk")).select("set_key", "text", "copies")
-    leaves = None
+    texts = leaves = None
     for depth in range(1, max_depth + 1):
         counts = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         sized = materialize(paths.join(counts, "path"), "bucket-members")
         if depth == 1:
             # only sets that share a bucket are looked at again, so only their texts move from here on
-            texts = materialize(texts.join(sized.select("set_key").distinct(), "set_key").dropDuplicates(["set_key"]), "bucket-texts")
+            rows = sets.join(sized.select("set_key").distinct(), "set_key")
+            texts = source.join(rows, "row_key").dropDuplicates(["row_key"]).select("set_key", "text", "copies")
+            texts = materialize(texts, "bucket-texts")
         cold = sized if depth == max_depth else sized.where(F.col("size") <= bucket_sets)
         leaves = cold.select("set_key", "path") if leaves is None else leaves.unionByName(cold.select("set_key", "path"))
         hot = sized.where(F.col("size") > bucket_sets)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,7 +243,7 @@ def repeated_windows(contexts: DataFrame, width: int, array_bytes: int = ARRAY_B
 
 
 def removable(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, array_bytes: int = ARRAY_BYTES, anchor_contexts: int = ANCHOR_CONTEXTS) -> DataFrame:
-    """(tid, spans): for each different text, the repeated windows as (start, windows) pairs to be removed.
+    """(tid, ranges): for each different text, starts and ends of runs of repeated windows, flat, in any order.
 
     ``docs`` has tid and text.
     """
@@ -265,7 +266,8 @@ def removable(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, array_bytes
     different = occurrences.groupBy("anchor", "digest", "count").agg(F.max("context").alias("context"), F.count("*").alias("copies"))
     windows = materialize(repeated_windows(different, width, array_bytes, anchor_contexts), "repeated-windows")
     hits = occurrences.select("tid", "start", "digest").join(windows, "digest").select("tid", F.struct("start", "ranges").alias("hit"))
-    return hits.groupBy("tid").agg(F.collect_set("hit").alias("hits"))
+    moved = F.transform("hits", lambda hit: F.transform(hit["ranges"], lambda at: at + hit["start"]))
+    return hits.groupBy("tid").agg(F.collect_set("hit").alias("hits")).select("tid", F.flatten(moved).alias("ranges"))
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, array_bytes: int = ARRAY_BYTES, anchor_contexts: int = ANCHOR_CONTEXTS) -> DataFrame:
@@ -288,25 +290,22 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, arra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            kept, size, removed, n_spans = [], [], [], []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                data = text.encode()
-                size.append(len(data))
-                if not hits:
-                    kept.append(data)
-                    removed.append(0)
-                    n_spans.append(0)
-                    continue
-                marks = np.zeros(len(data) + 1, np.int32)
-                for hit in hits:
-                    ranges = np.array(hit["ranges"])
-                    np.add.at(marks, hit["start"] + ranges[0::2], 1)
-                    np.add.at(marks, hit["start"] + ranges[1::2] + width - 1, -1)
-                gone = np.cumsum(marks)[:-1] > 0
-                kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-                removed.append(int(gone.sum()))
-                n_spans.append(len(_ranges(gone)) // 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    joined = source.join(spans, "tid", "left").select("doc_id", "text", "hits")
+            data, offsets = text_bytes(batch.column("text"))
+            ranges = batch.column("ranges")
+            counts = np.asarray(pc.fill_null(pc.list_value_length(ranges), 0), np.int64)
+            edges = np.asarray(pc.list_flatten(ranges), np.int64) + np.repeat(offsets[:-1], counts)
+            marks = np.bincount(edges[0::2], minlength=len(data) + 1) - np.bincount(edges[1::2] + width - 1, minlength=len(data) + 1)
+            gone = np.cumsum(marks)[:-1] > 0
+            # a removed run begins after a byte that stays and at the start of a text
+            heads = gone.copy()
+            heads[1:] &= ~gone[:-1]
+            starts = offsets[:-1][np.diff(offsets) > 0]
+            heads[starts] = gone[starts]
+            removed, n_spans = (np.append(0, np.cumsum(x))[offsets] for x in (gone, heads))
+            left = (offsets - removed).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(left), pa.py_buffer(data[~gone])])
+            numbers = [pa.array(np.diff(x).astype(np.int64)) for x in (offsets, removed, n_spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept, *numbers], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+
+    joined = source.join(spans, "tid", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
