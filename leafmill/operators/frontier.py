@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed import (
     MAX_CRAWL_DELAY_SECONDS,
-    MAX_PAGES,
-    MAX_REDIRECTS,
     MIN_INTERVAL_MS,
     WARN_NEXT_OTHER_ORIGIN,
     WARN_NEXT_REPEATED,
@@ -34,20 +35,30 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: st
 # --- pagination ---------------------------------------------------------------------------
 
 
-def _key(url: Column, done: Column, own: Column) -> Column:
-    """Join key of a round; finished rows get a key of their own, so they match nothing and spread."""
-    return F.when(done | url.isNull(), F.concat(F.lit("done "), own.cast("string"))).otherwise(url)
+def _until_done(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
+    """Applies ``step`` (state, round) to the rows that are not ``done`` until none is left.
+
+    Each round is written to the shared folder; its finished rows leave, so only open ones join again.
+    """
+    finished = []
+    while True:
+        table = materialize(step(state, len(finished)), name)
+        finished.append(table.where("done"))
+        state = table.where("not done")
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, finished)
 
 
-def paginate(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def paginate(seeds: DataFrame, links: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages visited by following next links: (run_id, page_index, url, stop_reason).
 
     ``seeds`` (run_id, url); ``links`` (url, next_url), one row per landed page. A run goes on
-    until there is no next link, the next one was visited, it leaves the origin, or the cap.
-    ``stop_reason`` is set on the last page of a run that stopped for a warning.
+    until there is no next link, the next one was visited, it leaves the origin, or it has
+    ``max_pages`` pages where such a limit is asked for. ``stop_reason`` is set on the last page of
+    a run that stopped for a warning.
 
-    The page cap bounds the rounds. Each round is one equi-join on the URL; the parsed links are
-    written once for all rounds, and a run carries at most ``max_pages`` URLs along.
+    Each round is one equi-join of the open runs on the URL; the parsed links are written once for
+    all rounds. A run carries its visited URLs along, so that it ends where it would repeat one.
     """
     target = F.struct(
         let(parse_url(F.col("next_url")), lambda p: F.struct(build_url(p, fragment=False).alias("url"), origin_of(p).alias("origin"))).alias("p"),
@@ -63,17 +74,17 @@ def paginate(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES) ->
         F.lit(False).alias("done"),
         F.lit(None).cast("string").alias("reason"),
     )
-    for index in range(max_pages):
+
+    def follow(state: DataFrame, index: int) -> DataFrame:
         last = index + 1 == max_pages
-        keyed = state.withColumn("_at", _key(F.col("url"), F.col("done"), F.col("run_id")))
-        at = keyed.join(hops, ["_at"], "left")
+        at = state.withColumn("_at", F.col("url")).join(hops, ["_at"], "left")
         url, origin = F.col("_t.p.url"), F.col("_t.p.origin")
         given = F.coalesce(F.col("_t.given"), F.lit(False))
         foreign = given & ~F.coalesce(origin == F.col("origin"), F.lit(False))
         # at the cap nobody looks whether the next page was visited
         repeated = F.lit(False) if last else given & F.coalesce(F.array_contains("seen", url), F.lit(False))
         goes_on = given & ~foreign & ~repeated & F.lit(not last)
-        state = at.select(
+        return at.select(
             "run_id",
             F.when(goes_on, url).alias("url"),
             "origin",
@@ -83,7 +94,8 @@ def paginate(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES) ->
                 "reason", F.when(foreign, WARN_NEXT_OTHER_ORIGIN).when(repeated, WARN_NEXT_REPEATED)
             ).alias("reason"),
         )
-    visited = state.select("run_id", "seen", "reason", F.posexplode_outer("seen").alias("page_index", "url"))
+
+    visited = _until_done(state, follow, "pages-followed").select("run_id", "seen", "reason", F.posexplode_outer("seen").alias("page_index", "url"))
     return visited.select(
         "run_id", "page_index", "url",
         F.when(F.col("page_index") == F.size("seen") - 1, F.col("reason")).alias("stop_reason"),
@@ -118,12 +130,14 @@ def stop_at_empty(page_stats: DataFrame, run: str = "run_id", page: str = "page_
 REDIRECTS = (301, 302, 303, 307, 308)
 
 
-def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects: int | None = None) -> DataFrame:
     """Final response of each request: (request_id, url, final_url, hops, status, reason).
 
     ``requests`` (request_id, url, method, same_origin); ``fetch_log`` (url, status, location),
-    one row per URL. Every target is admitted again; a POST is never redirected. The hop limit
-    bounds the number of joins; targets are resolved once, in a table written for the rounds.
+    one row per URL. Every target is admitted again; a POST is never redirected. A chain ends with
+    "too many redirects" where it would reach a URL for the second time, or after ``max_redirects``
+    hops where such a limit is asked for. Targets are resolved once, in a table written for the
+    rounds; a round joins only the requests that are still being redirected.
     """
     moved = F.col("status").isin(*REDIRECTS)
     target = F.when(moved, admitted_url(resolve_url(F.col("location"), parse_url(F.col("url")))))
@@ -149,30 +163,35 @@ def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects:
         F.lit(False).alias("done"),
     )
     state = state.withColumn("reason", F.when(F.col("final_url").isNull(), "not admitted"))
-    state = state.withColumn("done", F.col("final_url").isNull())
-    for hop in range(max_redirects + 1):
-        at = state.withColumn("_at", _key(F.col("final_url"), F.col("done"), F.col("request_id"))).join(log, ["_at"], "left")
-        going = ~F.col("done") & F.coalesce("_moved", F.lit(False))
-        reason = F.when(~F.col("done"), (
+    state = state.withColumn("seen", F.array("final_url"))
+
+    def follow(state: DataFrame, hop: int) -> DataFrame:
+        at = state.withColumn("_at", F.col("final_url")).join(log, ["_at"], "left")
+        going = F.coalesce("_moved", F.lit(False))
+        again = F.coalesce(F.array_contains("seen", F.col("_target")), F.lit(False))
+        reason = (
             F.when(F.col("_status").isNull(), "no response")
             .when(going & F.col("_no_location"), "invalid redirect")
             .when(going & (F.col("method") == "POST"), "redirected POST")
             .when(going & F.col("_target").isNull(), "invalid redirect")
             .when(going & F.col("same_origin") & (F.col("_target_origin") != F.col("_origin")), "redirect to another site")
-            .when(going & F.lit(hop == max_redirects), "too many redirects")
-        ))
-        at = at.withColumn("_reason", F.coalesce("reason", reason))
-        follow = going & F.col("_reason").isNull()
-        state = at.select(
+            .when(going & (again | F.lit(hop == max_redirects)), "too many redirects")
+        )
+        at = at.withColumn("reason", F.coalesce("reason", reason))
+        goes_on = going & F.col("reason").isNull()
+        return at.select(
             "request_id", "url", "method", "same_origin",
-            F.when(follow, F.col("_target")).otherwise(F.col("final_url")).alias("final_url"),
+            F.when(goes_on, F.col("_target")).otherwise(F.col("final_url")).alias("final_url"),
             "_origin",
-            (F.col("hops") + follow.cast("int")).alias("hops"),
-            F.when(~F.col("done") & ~follow, F.col("_status")).otherwise(F.col("status")).alias("status"),
-            F.col("_reason").alias("reason"),
-            (F.col("done") | ~follow).alias("done"),
+            (F.col("hops") + goes_on.cast("int")).alias("hops"),
+            F.when(~goes_on, F.col("_status")).alias("status"),
+            "reason",
+            F.when(goes_on, F.array_append("seen", F.col("_target"))).alias("seen"),
+            (~goes_on).alias("done"),
         )
-    return state.select("request_id", "url", "final_url", "hops", "status", "reason")
+
+    done = _until_done(state, follow, "redirects-followed")
+    return done.select("request_id", "url", "final_url", "hops", "status", "reason")
 
 
 # --- robots -------------------------------------------------------------------------------

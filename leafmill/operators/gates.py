@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import CHARSET_PATTERN, CHARSETS, HTML_CONTENT_TYPE, JSON_CONTENT_TYPE, MAX_BODY_BYTES
+from ..fixed import CHARSET_PATTERN, CHARSETS, HTML_CONTENT_TYPE, JSON_CONTENT_TYPE
 from ..functions.text import let
 
 REASON = "reject_reason"
@@ -27,7 +27,7 @@ def content_type_reason(content_type: Column, kind: str) -> Column:
     return F.when(~F.coalesce(content_type, F.lit("")).rlike(pattern), f"not {kind}")
 
 
-def size_reason(body: Column, declared: Column, max_bytes: int = MAX_BODY_BYTES) -> Column:
+def size_reason(body: Column, declared: Column, max_bytes: int) -> Column:
     too_big = (F.octet_length(body) > max_bytes) | (F.coalesce(declared.try_cast("double"), F.lit(0)) > max_bytes)
     return F.when(too_big, "too large")
 
@@ -47,7 +47,10 @@ def gate_content_type(responses: DataFrame, kind: str) -> DataFrame:
     return gate(responses, content_type_reason(F.col("content_type"), kind))
 
 
-def gate_size(responses: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+def gate_size(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Rejects bodies above ``max_bytes``; without a limit none."""
+    if max_bytes is None:
+        return gate(responses, F.lit(None).cast("string"))
     declared = F.try_element_at("headers", F.lit("content-length"))
     return gate(responses, size_reason(F.col("body"), declared, max_bytes))
 
@@ -58,13 +61,12 @@ def decode_utf8(body: Column) -> Column:
 
 
 def response_kind(content_type: Column, body: Column) -> Column:
-    """json, html or NULL, from the header or the first 100 bytes."""
-    head = F.regexp_replace(decode_utf8(F.substring(body, 1, 100)), r"(?U)^[\s\x{FEFF}]+", "")
+    """json, html or NULL, from the header or the first characters after white space of any length."""
     kind = F.coalesce(content_type, F.lit(""))
     return let(
-        head,
-        lambda h: F.when(kind.rlike(JSON_CONTENT_TYPE) | h.rlike(r"^[\[{]"), "json").when(
-            kind.rlike(HTML_CONTENT_TYPE) | h.rlike(r"(?i)^<!doctype html|^<html[\s>]"), "html"
+        F.decode(body, "UTF-8"),
+        lambda t: F.when(kind.rlike(JSON_CONTENT_TYPE) | t.rlike(r"(?U)^[\s\x{FEFF}]*+[\[{]"), "json").when(
+            kind.rlike(HTML_CONTENT_TYPE) | t.rlike(r"(?i)^(?U:[\s\x{FEFF}]*+)(?:<!doctype html|<html[\s>])"), "html"
         ),
     )
 
@@ -81,8 +83,7 @@ def charset_of(content_type: Column, body: Column) -> Column:
         return F.try_element_at(known, F.lower(F.nullif(label, F.lit(""))))
 
     mark = F.hex(F.substring(body, 1, 3))
-    head = F.decode(F.substring(body, 1, 1024), "ISO-8859-1")
-    meta = F.regexp_extract(head, r"(?is)<meta[^>]*?charset\s*=\s*[\"']?\s*([^\s\"'/>;]+)", 1)
+    meta = F.regexp_extract(F.decode(body, "ISO-8859-1"), r"(?is)<meta[^>]*?charset\s*=\s*[\"']?\s*([^\s\"'/>;]+)", 1)
     # A meta tag that could be read as bytes cannot be UTF-16
     meta_charset = F.regexp_replace(named(meta), "^UTF-16.E$", "UTF-8")
     header = F.regexp_extract(F.coalesce(content_type, F.lit("")), CHARSET_PATTERN, 1)

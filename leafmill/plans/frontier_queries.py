@@ -35,7 +35,7 @@ def paginate_sites(spark, sf):
     )
     links = pages.select(link(site, page).alias("url"), target.alias("next_url"))
     seeds = pages.filter(page == 0).select(site.alias("run_id"), F.concat(link(site, F.lit(0)), F.lit("#top")).alias("url"))
-    return paginate(seeds, links, max_pages=8)
+    return paginate(seeds, links)
 
 
 PAGINATE_SITES = f"""
@@ -49,11 +49,11 @@ walk AS (
   SELECT s AS run_id, 0 AS page_index, url, [url] AS seen FROM links WHERE url LIKE '%/p/0'
   UNION ALL
   SELECT w.run_id, w.page_index + 1, l.next_url, list_append(w.seen, l.next_url) FROM walk w JOIN links l ON l.url = w.url
-  WHERE l.next_url IS NOT NULL AND w.page_index < 7 AND NOT list_contains(w.seen, l.next_url)
+  WHERE l.next_url IS NOT NULL AND NOT list_contains(w.seen, l.next_url)
     AND split_part(l.next_url, '/p/', 1) = split_part(w.url, '/p/', 1))
 SELECT w.run_id, CAST(w.page_index AS INTEGER) AS page_index, w.url,
   CASE WHEN split_part(l.next_url, '/p/', 1) <> split_part(w.url, '/p/', 1) THEN '{WARN_NEXT_OTHER_ORIGIN}'
-       WHEN list_contains(w.seen, l.next_url) AND w.page_index < 7 THEN '{WARN_NEXT_REPEATED}' END AS stop_reason
+       WHEN list_contains(w.seen, l.next_url) THEN '{WARN_NEXT_REPEATED}' END AS stop_reason
 FROM walk w LEFT JOIN links l ON l.url = w.url
 """
 
@@ -116,7 +116,7 @@ def redirect_chains(spark, sf):
         F.when(F.col("o_orderstatus") == "P", "POST").otherwise("GET").alias("method"),
         F.lit(True).alias("same_origin"),
     )
-    return resolve_redirects(requests, log, max_redirects=3)
+    return resolve_redirects(requests, log)
 
 
 REDIRECT_CHAINS = """
@@ -129,11 +129,10 @@ walk AS (
   SELECT o_orderkey AS request_id, o_orderkey AS k, 0 AS hops, o_orderstatus = 'P' AS post FROM orders
   UNION ALL
   SELECT w.request_id, w.k // 2, w.hops + 1, w.post FROM walk w JOIN log l ON l.k = w.k
-  WHERE l.moved AND l.has_location AND NOT w.post AND w.hops < 3)
+  WHERE l.moved AND l.has_location AND NOT w.post)
 SELECT request_id, 'https://r.example.com/' || request_id AS url, 'https://r.example.com/' || w.k AS final_url, CAST(hops AS INTEGER) AS hops,
   CAST(l.status AS INTEGER) AS status,
-  CASE WHEN l.k IS NULL THEN 'no response' WHEN l.moved AND NOT has_location THEN 'invalid redirect' WHEN l.moved AND post THEN 'redirected POST'
-       WHEN l.moved AND hops = 3 THEN 'too many redirects' END AS reason
+  CASE WHEN l.k IS NULL THEN 'no response' WHEN l.moved AND NOT has_location THEN 'invalid redirect' WHEN l.moved AND post THEN 'redirected POST' END AS reason
 FROM (SELECT * FROM walk QUALIFY hops = max(hops) OVER (PARTITION BY request_id)) w LEFT JOIN log l ON l.k = w.k
 """
 

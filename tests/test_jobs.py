@@ -98,11 +98,26 @@ def test_redirects(spark):
            (f"{h}/l", 308, "http://127.0.0.1/"), *[(f"{h}/c{i}", 301, f"c{i + 1}") for i in range(9)]]
     asked = [(1, f"{h}/0", "GET", False), (2, f"{h}/0", "GET", True), (3, f"{h}/0", "POST", False), (4, f"{h}/x", "GET", False),
              (5, f"{h}/l", "GET", False), (6, f"{h}/c0", "GET", False), (7, f"{h}/none", "GET", False), (8, "ftp://x", "GET", False)]
-    got = {r.request_id: (r.hops, r.status, r.reason) for r in resolve_redirects(
-        spark.createDataFrame(asked, "request_id int, url string, method string, same_origin boolean"),
-        spark.createDataFrame(log, "url string, status int, location string")).collect()}
-    assert got == {1: (2, 200, None), 2: (1, 302, "redirect to another site"), 3: (0, 301, "redirected POST"), 4: (0, 307, "invalid redirect"),
-                   5: (0, 308, "invalid redirect"), 6: (5, 301, "too many redirects"), 7: (0, None, "no response"), 8: (0, None, "not admitted")}
+    log += [(f"{h}/round", 302, "trip"), (f"{h}/trip", 302, "round")]
+    asked.append((9, f"{h}/round", "GET", False))
+    tables = (spark.createDataFrame(asked, "request_id int, url string, method string, same_origin boolean"),
+              spark.createDataFrame(log, "url string, status int, location string"))
+    want = {1: (2, 200, None), 2: (1, 302, "redirect to another site"), 3: (0, 301, "redirected POST"), 4: (0, 307, "invalid redirect"),
+            5: (0, 308, "invalid redirect"), 6: (9, None, "no response"), 7: (0, None, "no response"), 8: (0, None, "not admitted"),
+            9: (1, 302, "too many redirects")}
+    assert {r.request_id: (r.hops, r.status, r.reason) for r in resolve_redirects(*tables).collect()} == want
+    limited = {r.request_id: (r.hops, r.status, r.reason) for r in resolve_redirects(*tables, max_redirects=5).collect()}
+    assert limited == want | {6: (5, 301, "too many redirects")}
+    none = resolve_redirects(tables[0].where("false"), tables[1])
+    assert none.count() == 0
+
+
+def test_pagination_has_no_limit_of_its_own(spark):
+    at = "https://long.example.com/list?p="
+    links = spark.createDataFrame([(f"{at}{i}", f"{at}{i + 1}" if i < 13 else None) for i in range(14)], "url string, next_url string")
+    seeds = spark.createDataFrame([(7, f"{at}0")], "run_id int, url string")
+    assert sorted(r.page_index for r in paginate(seeds, links).collect()) == list(range(14))
+    assert paginate(seeds, links, max_pages=4).count() == 4
 
 
 def test_robots(spark):
