@@ -132,20 +132,26 @@ def describe(docs: DataFrame, runs: int, words: int, threshold: float) -> DataFr
     return docs.select("row_key", "text").mapInArrow(run, "row_key binary, set_key binary, n long, sketch binary, paths array<long>")
 
 
-def _split(texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(set_key, path): the paths that go on from each of the large buckets (``hot``) of a set."""
+def _split(texts: DataFrame, words: int, threshold: float, levels: int) -> DataFrame:
+    """(set_key, parent, path, level): the paths that go on from each of the large buckets (``hot``) of a
+    set, those that go on from these, and so on for ``levels`` levels; texts are read once for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            keys, paths = [], []
+            keys, parents, paths, depths = [], [], [], []
             for key, tokens, hot in zip(batch.column("set_key").to_pylist(), shingle_sets(batch.column("text"), words), batch.column("hot").to_pylist(), strict=True):
-                for p in hot:
-                    new = next_paths(tokens, np.array(p, np.int64).view(np.uint64)[()], threshold).view(np.int64)
-                    keys += [key] * len(new)
-                    paths += new.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(paths, pa.int64())], ["set_key", "path"])
+                ends = np.array(hot, np.int64).view(np.uint64)
+                for level in range(1, levels + 1):
+                    new = [next_paths(tokens, p, threshold) for p in ends]
+                    parents += np.repeat(ends, [len(x) for x in new]).view(np.int64).tolist()
+                    ends = np.concatenate(new) if new else ends
+                    paths += ends.view(np.int64).tolist()
+                    keys += [key] * len(ends)
+                    depths += [level] * len(ends)
+            columns = [pa.array(keys, pa.binary()), pa.array(parents, pa.int64()), pa.array(paths, pa.int64()), pa.array(depths, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["set_key", "parent", "path", "level"])
 
-    return texts.select("set_key", "text", "hot").mapInArrow(run, "set_key binary, path long")
+    return texts.select("set_key", "text", "hot").mapInArrow(run, "set_key binary, parent long, path long, level int")
 
 
 def loose_edges(sketches: np.ndarray, agreement: float) -> list[tuple[int, int]]:
@@ -303,36 +309,38 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
     text = F.lower(F.coalesce("text", F.lit("")))
     source = docs.select("doc_id", text.alias("text")).withColumn("row_key", F.unhex(F.md5(F.to_binary(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text"), F.lit("utf-8")))))
     table = materialize(describe(source, runs, words, threshold), "sets")
-    sets = table.groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.count("*").alias("copies"))
-    reps = table.dropDuplicates(["set_key"]).select("set_key", "sketch", "paths")
-    paths = materialize(reps.select("set_key", F.explode("paths").alias("path")).distinct(), "paths")
-    sets = materialize(sets, "set-copies")
-    texts = leaves = None
+    one = [F.first(c).alias(c) for c in ("n", "sketch", "paths")]
+    sets = materialize(table.groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.count("*").alias("copies"), *one), "set-copies")
+    paths = sets.select("set_key", F.explode("paths").alias("path"))
+    texts = leaves = splits = None
     for depth in range(1, max_depth + 1):
         counts = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         sized = materialize(paths.join(counts, "path"), "bucket-members")
+        hot = sized.where(F.col("size") > bucket_sets)
         if depth == 1:
             # only sets that share a bucket are looked at again, so only their texts move from here on
-            rows = sets.join(sized.select("set_key").distinct(), "set_key")
-            texts = source.join(rows, "row_key").dropDuplicates(["row_key"]).select("set_key", "text", "copies")
+            by_set = hot.groupBy("set_key").agg(F.collect_list("path").alias("hot"))
+            rows = sets.select("set_key", "row_key", "copies").join(sized.select("set_key").distinct(), "set_key").join(by_set, "set_key", "left")
+            texts = source.join(rows, "row_key").dropDuplicates(["row_key"]).select("set_key", "text", "copies", "hot")
             texts = materialize(texts, "bucket-texts")
         cold = sized if depth == max_depth else sized.where(F.col("size") <= bucket_sets)
         leaves = cold.select("set_key", "path") if leaves is None else leaves.unionByName(cold.select("set_key", "path"))
-        hot = sized.where(F.col("size") > bucket_sets)
         if depth == max_depth or hot.isEmpty():
             break
-        by_set = hot.groupBy("set_key").agg(F.collect_list("path").alias("hot"))
-        paths = materialize(_split(texts.join(by_set, "set_key"), words, threshold).distinct(), "paths")
-    edges = _bucket_edges(leaves.join(reps.select("set_key", "sketch"), "set_key"), SKETCH_AGREEMENT)
+        if depth == 1:
+            splits = materialize(_split(texts.where("hot is not null"), words, threshold, max_depth - 1), "splits")
+        parents = hot.select("set_key", F.col("path").alias("parent"))
+        paths = materialize(splits.where(F.col("level") == depth).join(parents, ["set_key", "parent"]).select("set_key", "path"), "paths")
+    edges = _bucket_edges(leaves.join(sets.select("set_key", "sketch"), "set_key"), SKETCH_AGREEMENT)
     classes = materialize(components(materialize(edges, "loose-edges")), "loose-classes")
-    members = classes.select(F.col("node").alias("set_key"), F.col("root").alias("class")).join(table.select("set_key", "n").distinct(), "set_key")
+    members = classes.select(F.col("node").alias("set_key"), F.col("root").alias("class")).join(sets.select("set_key", "n"), "set_key")
     tiles = members.groupBy("class").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("tiles"))
     tiled = members.join(tiles, "class").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     tiled = tiled.withColumn("other", other).select(
         "class", "set_key", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     )
-    compared = texts.join(tiled, "set_key")
+    compared = texts.drop("hot").join(tiled, "set_key")
     links = materialize(_class_links(compared, words, threshold), "links")
     exact = components(links.select("a", "b"))
     n_links = links.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("others"))
