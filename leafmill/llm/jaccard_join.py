@@ -133,8 +133,9 @@ def describe(docs: DataFrame, runs: int, words: int, threshold: float) -> DataFr
 
 
 def _split(texts: DataFrame, words: int, threshold: float, levels: int) -> DataFrame:
-    """(set_key, parent, path, level): the paths that go on from each of the large buckets (``hot``) of a
-    set, those that go on from these, and so on for ``levels`` levels; texts are read once for all."""
+    """(set_key, parent, paths, level): the paths that go on from each of the large buckets (``hot``) of a
+    set, those that go on from these, and so on for ``levels`` levels; texts are read once for all.
+    Parents from which nothing goes on are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -142,16 +143,18 @@ def _split(texts: DataFrame, words: int, threshold: float, levels: int) -> DataF
             for key, tokens, hot in zip(batch.column("set_key").to_pylist(), shingle_sets(batch.column("text"), words), batch.column("hot").to_pylist(), strict=True):
                 ends = np.array(hot, np.int64).view(np.uint64)
                 for level in range(1, levels + 1):
-                    new = [next_paths(tokens, p, threshold) for p in ends]
-                    parents += np.repeat(ends, [len(x) for x in new]).view(np.int64).tolist()
-                    ends = np.concatenate(new) if new else ends
-                    paths += ends.view(np.int64).tolist()
-                    keys += [key] * len(ends)
-                    depths += [level] * len(ends)
-            columns = [pa.array(keys, pa.binary()), pa.array(parents, pa.int64()), pa.array(paths, pa.int64()), pa.array(depths, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["set_key", "parent", "path", "level"])
+                    new = [(p, on) for p in ends if len(on := next_paths(tokens, p, threshold))]
+                    if not new:
+                        break
+                    parents += np.array([p for p, _ in new]).view(np.int64).tolist()
+                    paths += [on.view(np.int64) for _, on in new]
+                    keys += [key] * len(new)
+                    depths += [level] * len(new)
+                    ends = np.concatenate([on for _, on in new])
+            columns = [pa.array(keys, pa.binary()), pa.array(parents, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(depths, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["set_key", "parent", "paths", "level"])
 
-    return texts.select("set_key", "text", "hot").mapInArrow(run, "set_key binary, parent long, path long, level int")
+    return texts.select("set_key", "text", "hot").mapInArrow(run, "set_key binary, parent long, paths array<long>, level int")
 
 
 def loose_edges(sketches: np.ndarray, agreement: float) -> list[tuple[int, int]]:
@@ -329,8 +332,11 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
             break
         if depth == 1:
             splits = materialize(_split(texts.where("hot is not null"), words, threshold, max_depth - 1), "splits")
-        parents = hot.select("set_key", F.col("path").alias("parent"))
-        paths = materialize(splits.where(F.col("level") == depth).join(parents, ["set_key", "parent"]).select("set_key", "path"), "paths")
+        further = splits.where(F.col("level") == depth)
+        if depth > 1:
+            # the first level goes on from large buckets only
+            further = further.join(hot.select("set_key", F.col("path").alias("parent")), ["set_key", "parent"])
+        paths = materialize(further.select("set_key", F.explode("paths").alias("path")), "paths")
     edges = _bucket_edges(leaves.join(sets.select("set_key", "sketch"), "set_key"), SKETCH_AGREEMENT)
     classes = materialize(components(materialize(edges, "loose-edges")), "loose-classes")
     members = classes.select(F.col("node").alias("set_key"), F.col("root").alias("class")).join(sets.select("set_key", "n"), "set_key")
