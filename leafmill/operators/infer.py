@@ -39,7 +39,6 @@ from ..functions.selectors import (
 from ..functions.text import is_blank, let, trim_all
 
 FIELD_TYPE = "struct<name:string,selector:string,attribute:string>"
-MAX_FIELDS = 12
 
 
 def _field(name, selector, attribute="text") -> Column:
@@ -47,6 +46,11 @@ def _field(name, selector, attribute="text") -> Column:
     return F.struct(name.alias("name"), selector.alias("selector"), attribute.alias("attribute"))
 
 
+def _first_n(items: Column, n: int | None) -> Column:
+    """The first ``n`` items; all of them without a limit."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def _present(fields: Column) -> Column:
     return F.filter(fields, lambda f: f.isNotNull())
 
@@ -56,7 +60,7 @@ def _present(fields: Column) -> Column:
 _ENTRY = "struct<path:string,ord:array<int>,depth:int,kind:string,json:string>"
 
 
-def json_walk(df: DataFrame, roots: Column, out: str, max_depth: int, max_keys: int) -> DataFrame:
+def json_walk(df: DataFrame, roots: Column, out: str, max_depth: int, max_keys: int | None = None) -> DataFrame:
     """Adds ``out``: the values reached from the root values through objects, in document order.
 
     Entries are (path, ord, depth, kind, json); arrays are not entered. ``ord`` holds the root's
@@ -68,7 +72,7 @@ def json_walk(df: DataFrame, roots: Column, out: str, max_depth: int, max_keys:
         entries = F.map_entries(F.from_json(parent["json"], "map<string,string>"))
         kinds = F.from_json(parent["json"], "map<string,variant>")
         listed = F.transform(
-            F.slice(entries, 1, max_keys),
+            _first_n(entries, max_keys),
             lambda e, i: F.struct(
                 F.when(parent["path"] == "$", e["key"])
                 .otherwise(F.concat(parent["path"], F.lit("."), e["key"]))
@@ -119,12 +123,15 @@ def _elements(json: Column) -> Column:
     return F.from_json(json, "array<string>")
 
 
-def json_lists(docs: DataFrame, doc: str = "doc", max_visits: int = 1500) -> DataFrame:
-    """Adds ``lists``: candidate lists as (path, score, json), in document order."""
-    df = json_walk(docs, F.array(F.col(doc)), "_walk", 6, 100)
+def json_lists(docs: DataFrame, doc: str = "doc", max_visits: int | None = None) -> DataFrame:
+    """Adds ``lists``: candidate lists as (path, score, json), in document order.
+
+    Lists stand at most five names deep; values, keys and lists are not limited in number.
+    """
+    df = json_walk(docs, F.array(F.col(doc)), "_walk", 6)
     # Values one level too deep count as visited but are not looked at.
     seen = F.filter(
-        F.slice("_walk", 1, max_visits), lambda x: (x["depth"] <= 5) & (x["kind"] == "array")
+        _first_n(F.col("_walk"), max_visits), lambda x: (x["depth"] <= 5) & (x["kind"] == "array")
     )
 
     def score(x: Column) -> Column:
@@ -144,13 +151,13 @@ def best_scored(candidates: Column) -> Column:
     return let(top, lambda t: F.get(F.filter(candidates, lambda c: c["score"] == t), F.lit(0)))
 
 
-def json_field_paths(df: DataFrame, records: Column, max_records: int = 20) -> DataFrame:
-    """Adds ``paths``: distinct leaf paths of the first records, in first-seen order."""
-    roots = F.transform(F.slice(records, 1, max_records), lambda r: F.coalesce(r, F.lit("null")))
-    walked = json_walk(df, roots, "_walk", 3, 40)
+def json_field_paths(df: DataFrame, records: Column, max_records: int | None = None) -> DataFrame:
+    """Adds ``paths``: distinct leaf paths of the records, in first-seen order."""
+    roots = F.transform(_first_n(records, max_records), lambda r: F.coalesce(r, F.lit("null")))
+    walked = json_walk(df, roots, "_walk", 3)
     leaves = F.filter("_walk", lambda x: (x["kind"] != "object") | (x["depth"] == 3))
     paths = F.array_distinct(F.transform(leaves, lambda x: x["path"]))
-    return walked.withColumn("paths", F.slice(paths, 1, MAX_FIELDS)).drop("_walk")
+    return walked.withColumn("paths", paths).drop("_walk")
 
 
 def suggest_json(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -191,9 +198,9 @@ def _has(nodes: Column, n: Column, selector: str) -> Column:
     return F.exists(descendants(nodes, n), lambda d: _matches(nodes, d, selector))
 
 
-def html_lists(nodes: Column, max_elements: int = 2500) -> Column:
+def html_lists(nodes: Column, max_elements: int | None = None) -> Column:
     """Candidate row selectors as (selector, score), in order of first qualifying element."""
-    found = F.slice(F.filter(nodes, lambda n: n["tag"].isin(*LIST_TAGS)), 1, max_elements)
+    found = _first_n(F.filter(nodes, lambda n: n["tag"].isin(*LIST_TAGS)), max_elements)
     listed = F.transform(
         found,
         lambda n: F.struct(
@@ -314,9 +321,7 @@ def _columns(nodes: Column, row: Column) -> Column:
             lambda n: trim_all(subtree_text(nodes, n)),
         ),
     )
-    cells = F.slice(
-        F.filter(descendants(nodes, row), lambda n: (n["parent"] == row["pre"]) & (n["tag"] == "td")), 1, MAX_FIELDS
-    )
+    cells = F.filter(descendants(nodes, row), lambda n: (n["parent"] == row["pre"]) & (n["tag"] == "td"))
 
     def named(hs: Column) -> Column:
         # A header already taken, empty, too long or reserved gives a numbered column.
@@ -393,15 +398,14 @@ def unique_names(fields: Column) -> Column:
         cut = F.left(trim_all(f["name"]), F.lit(40))
         index = F.size(acc) + 1
         numbered = F.transform(
-            F.sequence(index, index + MAX_FIELDS), lambda k: F.concat(F.lit(LABEL_FIELD_PREFIX), k.cast("string"))
+            # one more than there are names, so one is free
+            F.sequence(index, index * 2), lambda k: F.concat(F.lit(LABEL_FIELD_PREFIX), k.cast("string"))
         )
         free = F.get(F.filter(numbered, lambda n: ~F.array_contains(names, n)), F.lit(0))
         bad = (cut == "") | F.array_contains(F.concat(names, reserved), cut)
         return F.array_append(acc, _field(F.when(bad, free).otherwise(cut), f["selector"], f["attribute"]))
 
-    return F.aggregate(
-        F.slice(fields, 1, MAX_FIELDS), F.array().cast(f"array<{FIELD_TYPE}>"), step
-    )
+    return F.aggregate(fields, F.array().cast(f"array<{FIELD_TYPE}>"), step)
 
 
 def vote_by_host(suggestions: DataFrame, host: str = "host") -> DataFrame:

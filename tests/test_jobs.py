@@ -1,3 +1,5 @@
+import csv
+import io
 import random
 
 from pyspark.sql import functions as F
@@ -17,21 +19,26 @@ from leafmill.streaming.jobs import FOLD_OUTPUT, stream_fold
 from leafmill.plans.registry import registry
 
 
-def rows(spark):
-    data = [(0, "2", "Alpha", "a"), (1, "2", "Alpha", "b"), (2, "10", "Beta", "c"), (3, "", "Beta", "d"), (4, "", "", "e")]
-    return spark.createDataFrame(data, "row_pos int, id string, title string, _source string")
-
-
 def test_view(spark):
-    df, fields = rows(spark), ["id", "title"]
-    ordered = select_rows(df, fields, "row_pos", dedupe="__all__", sort="id").collect()
-    assert [r.id for r in ordered] == ["", "", "2", "10"]
-    assert select_rows(df, fields, "row_pos", query="ALPHA", column="title", dedupe="id").count() == 1
-    assert select_rows(df, fields, "row_pos", dedupe="id").count() == 4
-    assert select_rows(df, fields, "row_pos", empty="missing").count() == 2
-    assert select_rows(df, fields, "row_pos", column="title", empty="filled").count() == 4
-    counts = view_counts(df, fields, "row_pos", dedupe="__all__").head()
-    assert (counts.filtered_count, counts.shown_count, counts.removed_count) == (5, 4, 1)
+    """Three towns in turn, every fourth weight missing, against plain Python."""
+    cells = [(i, ("Turku", "oulu", "Vaasa")[i % 3], "" if i % 4 == 0 else str(i * 7 % 24), f"p{i // 6}") for i in range(48)]
+    df, fields = spark.createDataFrame(cells, "row_pos int, town string, weight string, _source string"), ["town", "weight"]
+    firsts = {}
+    for i, town, weight, _ in cells:
+        firsts.setdefault((town, weight), i)
+    got = select_rows(df, fields, "row_pos", dedupe="__all__", sort="weight").collect()
+    assert {r.row_pos for r in got if r.weight} == {i for (_, w), i in firsts.items() if w}
+    numbers = [int(r.weight) for r in got if r.weight]
+    assert numbers == sorted(numbers)
+    found = select_rows(df, fields, "row_pos", query="OUL", column="town").collect()
+    assert {r.row_pos for r in found} == {i for i, town, _, _ in cells if town == "oulu"}
+    once = {r.row_pos for r in select_rows(df, fields, "row_pos", dedupe="weight").collect()}
+    # blank keys are no copies of each other
+    assert once == {i for i, _, w, _ in cells if not w or i == min(j for j, _, x, _ in cells if x == w)}
+    assert select_rows(df, fields, "row_pos", empty="missing").count() == 12
+    assert select_rows(df, fields, "row_pos", column="weight", empty="filled").count() == 36
+    counts = view_counts(df, fields, "row_pos", dedupe="weight").head()
+    assert (counts.filtered_count, counts.shown_count, counts.removed_count) == (48, len(once), 48 - len(once))
 
 
 def test_natural_order_is_stable_both_ways(spark):
@@ -50,11 +57,21 @@ def test_dedupe_keeps_the_first_of_a_hot_key(spark):
 
 
 def test_csv_parts_are_complete_files(spark):
-    df = spark.createDataFrame([('书名, "quoted"\n第二行', '=HYPERLINK("bad")', "https://example.com")], "title string, price string, _source string")
+    """Every part is read back by Python's own reader; text that a spreadsheet would run is guarded."""
+    cells = [("plain", "5"), ('a "b", c', "line\nbreak"), ("+1", "-2"), ("@x", "tab\there"), (" =1", ""), ("x=1", "ü")]
+    df = spark.createDataFrame([(a, b, "https://garden.test/") for a, b in cells], "a string, b string, _source string")
     path = work_path(spark, "csv")
-    write_csv(df.coalesce(1), path, ["title", "price"])
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).head().content
-    assert content.decode() == '﻿"title","price","_source"\r\n"书名, ""quoted""\n第二行","\'=HYPERLINK(""bad"")","https://example.com"\r\n'
+    write_csv(df.repartition(3), path, ["a", "b"])
+    read = []
+    for part in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+        if part.length:
+            text = part.content.decode("utf-8-sig")
+            assert text.endswith("\r\n") and part.content.startswith("\ufeff".encode())
+            head, *rest = csv.reader(io.StringIO(text, newline=""))
+            assert head == ["a", "b", "_source"]
+            read += [tuple(r[:2]) for r in rest]
+    guard = lambda t: "'" + t if t.strip()[:1] in tuple("=+-@") else t
+    assert sorted(read) == sorted((guard(a), guard(b)) for a, b in cells)
 
 
 def test_prefix_sum_over_chunks(spark):
