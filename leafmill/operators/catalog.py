@@ -15,7 +15,6 @@ from ..fixed import (
     ATTRIBUTE_PATTERN,
     DENIED_HEADER_PREFIXES,
     DENIED_HEADERS,
-    MAX_RULES_KEPT,
     PAGE_PARAM_PATTERN,
     RESERVED_NAMES,
 )
@@ -297,22 +296,23 @@ def storable(rules: DataFrame) -> Column:
     return F.coalesce(named & shape & ((F.coalesce(c["sourceType"], F.lit("html")) != "json") | request), F.lit(False))
 
 
-def keep_rules(rules: DataFrame, owner: list[str] | None = None, max_rules: int = MAX_RULES_KEPT) -> DataFrame:
-    """Usable stored rules: valid ones, first of equal ids, at most ``max_rules``, redacted.
+def keep_rules(rules: DataFrame, owner: list[str] | None = None, max_rules: int | None = None) -> DataFrame:
+    """Usable stored rules: valid ones, first of equal ids, redacted; ``max_rules`` of an owner, if given.
 
-    ``pos`` is the position in the catalogue. The final cut ranks per owner on the map side.
+    ``pos`` is the position in the catalogue.
     """
     keys = owner or []
     valid = rules.filter(storable(rules))
     first = valid.groupBy(*keys, "id").agg(
         F.min_by(F.struct(*[c for c in rules.columns if c not in (*keys, "id")]), "pos").alias("_r")
     ).select(*keys, "id", "_r.*")
-    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("pos")
-    kept = first.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max_rules).drop("_rank")
-    return kept.withColumn("config", redact_config(F.col("config"))).select(*rules.columns)
+    if max_rules is not None:
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("pos")
+        first = first.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max_rules).drop("_rank")
+    return first.withColumn("config", redact_config(F.col("config"))).select(*rules.columns)
 
 
-def read_rules(spark: SparkSession, path: str, max_rules: int = MAX_RULES_KEPT) -> DataFrame:
+def read_rules(spark: SparkSession, path: str, max_rules: int | None = None) -> DataFrame:
     """Stored rule files (each one JSON array) as (file, pos, id, name, config, updatedAt)."""
     raw = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.from_json("value", "array<string>").alias("_items")
@@ -323,9 +323,9 @@ def read_rules(spark: SparkSession, path: str, max_rules: int = MAX_RULES_KEPT)
 
 
 def upsert_rules(
-    catalogue: DataFrame, changes: DataFrame, owner: list[str] | None = None, max_rules: int = MAX_RULES_KEPT
+    catalogue: DataFrame, changes: DataFrame, owner: list[str] | None = None, max_rules: int | None = None
 ) -> DataFrame:
-    """Replaces rules by id in place and appends new ones while an owner has room.
+    """Replaces rules by id in place and appends new ones; where ``max_rules`` is given, while an owner has room.
 
     Both sides have (owner columns, pos, id, name, config, updatedAt). New rules are ranked on the
     map side and meet the size of their owner's catalogue by an equi-join.
@@ -339,8 +339,12 @@ def upsert_rules(
     size = catalogue.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_last"))
     fresh = changes.join(catalogue.select(*ids), ids, "left_anti")
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("pos"))
-    ranked = fresh.withColumn("_rank", rank).filter(F.col("_rank") <= max_rules).join(size, keys, "left")
-    added = ranked.filter(F.coalesce("_n", F.lit(0)) + F.col("_rank") <= max_rules)
+    ranked = fresh.withColumn("_rank", rank)
+    if max_rules is not None:
+        ranked = ranked.filter(F.col("_rank") <= max_rules)
+    added = ranked.join(size, keys, "left")
+    if max_rules is not None:
+        added = added.filter(F.coalesce("_n", F.lit(0)) + F.col("_rank") <= max_rules)
     added = added.withColumn("pos", (F.coalesce("_last", F.lit(-1)) + F.col("_rank")).cast("int"))
     out = untouched.select(*columns).unionByName(replaced.select(*columns)).unionByName(added.select(*columns))
     return out.withColumn("config", redact_config(F.col("config")))

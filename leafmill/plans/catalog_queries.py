@@ -125,7 +125,7 @@ FROM part
 
 
 def stored_rules(spark, sf):
-    """Catalogues by brand: usable rules, first of equal ids, twenty at most."""
+    """Catalogues by brand: usable rules, first of equal ids."""
     kept = keep_rules(_rules(spark, sf), ["p_brand"])
     return kept.select("p_brand", "id", "p_partkey")
 
@@ -134,15 +134,14 @@ STORED_RULES = """
 WITH ok AS (SELECT p_brand, 'r' || p_partkey % 1000 AS id, p_partkey FROM part
             WHERE p_size % 10 <> 3 AND NOT p_size % 13 = 0 AND NOT (p_size % 3 <> 0 AND p_size % 17 = 1)),
 f AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY p_brand, id ORDER BY p_partkey) = 1)
-SELECT p_brand, id, p_partkey FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 20
+SELECT p_brand, id, p_partkey FROM f
 """
 
 
 def rule_files(spark, sf):
-    """Writes one rule file per brand and reads the catalogues back."""
+    """Writes all rules, unusable ones too, to files of 20 and reads the usable ones back."""
     path = work_path(spark, "rules")
-    rules = _rules(spark, sf).filter("p_size % 10 <> 3")
-    # A catalogue file is one user's list: a page of 20 rules, grouped by position.
+    rules = _rules(spark, sf)
     packed = rules.groupBy(F.floor(F.col("p_partkey") / 20).alias("file_no")).agg(
         F.to_json(
             F.transform(
@@ -172,7 +171,7 @@ def rule_edits(spark, sf):
     catalogue = base.drop("p_type", "p_brand")
     changes = base.filter("p_type = 'ECONOMY'").drop("p_type", "p_brand").withColumn("name", F.lit("edited"))
     gone = base.filter("p_brand = 'Brand#5'").select("id")
-    edited = delete_rules(upsert_rules(catalogue, changes, max_rules=1 << 30), gone)
+    edited = delete_rules(upsert_rules(catalogue, changes), gone)
     pointer = clear_pointer(base.select("id", F.lit("last").alias("role")), gone)
     return edited.join(pointer, ["id"]).select("id", "pos", "name", "role")
 
