@@ -146,6 +146,15 @@ def test_json_inference(spark):
     assert [[f.selector for f in r.fields] for r in got[1:]] == [["$"], ["$"], ["k"], ["note"]]
 
 
+def test_inference_sees_all_fields_and_records(spark):
+    wide = '[' + ",".join(f'{{"k{i}":{i}}}' for i in range(57)) + "]"
+    got = suggest_json(spark.createDataFrame([(1, wide)], "id int, doc string")).head()
+    assert [f.selector for f in got.fields] == [f"k{i}" for i in range(57)]
+    cells = "".join(f"<td>{i}</td>" for i in range(31))
+    found = suggest_html(with_nodes(spark.createDataFrame([(1, f"<table><tr>{cells}</tr><tr>{cells}</tr></table>")], "id int, html string"))).head()
+    assert [f.name for f in found.fields] == [f"{LABEL_COLUMN_PREFIX}{i}" for i in range(1, 32)]
+
+
 def test_landed_files_are_responses(spark, tmp_path):
     from leafmill.sources.responses import read_files
 
