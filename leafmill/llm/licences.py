@@ -56,8 +56,11 @@ RULES = [
     ("ISC", "permissive", (24,)),
     ("proprietary", "proprietary", (25,)),
 ]
+# Known beyond the SQL counterpart, which has the tables above: the bare notice.
+KNOWN = SENTENCES | {26: "all rights reserved"}
+ORDERED = [*RULES, ("proprietary", "proprietary", (26,))]
 # Every known sentence holds one of these, so texts without any need no sentence work.
-ANCHORS = ("licen", "copyright", "permi", "redistrib", "software", "warrant")
+ANCHORS = ("licen", "copyright", "permi", "redistrib", "software", "warrant", "reserved")
 
 
 def sentences(text: Column) -> Column:
@@ -67,7 +70,7 @@ def sentences(text: Column) -> Column:
     return F.filter(bare, lambda s: s != "")
 
 
-def scan(docs: DataFrame, known: dict[int, str] = SENTENCES, rules: list = RULES, anchors: tuple = ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, known: dict[int, str] = KNOWN, rules: list = ORDERED, anchors: tuple = ANCHORS) -> DataFrame:
     """One row per document: (doc_id, sentence_ids, licences, classes, n_matches).
 
     ``sentence_ids`` has the identifier of each sentence of the whole text, 0 for runs of unknown ones,
