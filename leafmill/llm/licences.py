@@ -56,18 +56,42 @@ RULES = [
     ("ISC", "permissive", (24,)),
     ("proprietary", "proprietary", (25,)),
 ]
-# Known beyond the SQL counterpart, which has the tables above: the bare notice.
-KNOWN = SENTENCES | {26: "all rights reserved"}
-ORDERED = [*RULES, ("proprietary", "proprietary", (26,))]
+# Known beyond the SQL counterpart, which has the tables above: the bare notice, and the clause that BSD-2-Clause lacks.
+KNOWN = SENTENCES | {
+    26: "all rights reserved",
+    27: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+}
+ORDERED = [("BSD-3-Clause", "permissive", (19, 20, 21, 27)), *RULES, ("proprietary", "proprietary", (26,))]
 # Every known sentence holds one of these, so texts without any need no sentence work.
 ANCHORS = ("licen", "copyright", "permi", "redistrib", "software", "warrant", "reserved")
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and after . ! ? ; before a blank; lower case, words only."""
-    lines = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r]+", "$1\n"), "\n")
-    bare = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.filter(bare, lambda s: s != "")
+# Marks in a normalised text: a place where a sentence may begin or end, one behind a list number, a known sentence.
+_CUT, _LISTED, _FOUND = "\x01", "\x02", "\x03"
+
+
+def identified(text: Column, known: dict[int, str]) -> Column:
+    """The identifiers of the text's sentences in their order, as text; 0 for an unknown sentence.
+
+    A sentence may begin and end at a line end, after . ! ? ; : before white space, and behind a list
+    number. A known one is found where its words follow each other between two such places, whatever
+    lines, marks and comment signs stand between the words; the one with more words goes first. List
+    numbers outside known sentences count for nothing.
+    """
+    bare = F.translate(F.lower(text), _CUT + _LISTED + _FOUND, "   ")
+    bare = F.regexp_replace(bare, r"\r\n?", "\n")
+    number = r"\(?(?:\p{N}{1,2}|[a-z]|[ivx]{1,4})[.)]"
+    bare = F.regexp_replace(bare, rf"(?m)(^[^\p{{L}}\p{{N}}\n]*|[.!?;:][ \t]+)({number})(?=\s)", f"$1$2{_LISTED}")
+    bare = F.regexp_replace(bare, rf"(?<=[\p{{L}}\p{{N}}])[.)]{_LISTED}[^\p{{L}}\p{{N}}]*", _LISTED)
+    bare = F.regexp_replace(bare, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]*?(?:\n|[.!?;:][ \t])[^\p{L}\p{N}]*", _CUT)
+    bare = F.regexp_replace(bare, rf"[^\p{{L}}\p{{N}}{_CUT}{_LISTED}]+", " ")
+    bare = F.concat(F.lit(_CUT), F.regexp_replace(bare, rf"^[ {_CUT}{_LISTED}]+|[ {_CUT}{_LISTED}]+$", ""), F.lit(_CUT))
+    for i, sentence in sorted(known.items(), key=lambda x: -len(x[1].split())):
+        words = f"[ {_CUT}{_LISTED}]".join(sentence.split())
+        bare = F.regexp_replace(bare, f"(?<=[{_CUT}{_LISTED}]){words}(?=[{_CUT}{_LISTED}])", f"{_FOUND}{i}")
+    bare = F.regexp_replace(bare, rf"(?<=[{_CUT}{_LISTED}])[\p{{L}}\p{{N}}]+{_LISTED}", "")
+    parts = F.filter(F.split(bare, f"[{_CUT}{_LISTED}]"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.when(s.startswith(_FOUND), F.substring(s, 2, 9)).otherwise("0"))
 
 
 def scan(docs: DataFrame, known: dict[int, str] = KNOWN, rules: list = ORDERED, anchors: tuple = ANCHORS) -> DataFrame:
@@ -85,11 +109,8 @@ def scan(docs: DataFrame, known: dict[int, str] = KNOWN, rules: list = ORDERED,
     for sentence in known.values():
         if not any(a in sentence for a in anchors):
             raise ValueError(f"no anchor occurs in the sentence: {sentence}")
-    lookup = F.create_map(*[x for i, s in known.items() for x in (F.lit(s), F.lit(i))])
-    longest = max(map(len, known.values()))
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = F.transform(sentences(text), lambda s: F.when(F.length(s) <= longest, F.coalesce(F.try_element_at(lookup, s), F.lit(0))).otherwise(0))
-    joined = F.concat(F.lit("  "), F.array_join(F.transform(ids, lambda i: i.cast("string")), "  "), F.lit("  "))
+    joined = F.concat(F.lit("  "), F.array_join(identified(text, known), "  "), F.lit("  "))
     squeezed = F.regexp_replace(joined, r"( 0 )( 0 )+", " 0 ")
     some = text.rlike("(?i)" + "|".join(anchors))
     table = F.array(*[F.struct(F.lit("".join(f" {i} " for i in ids)).alias("pattern"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, ids in rules])

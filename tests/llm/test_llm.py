@@ -307,6 +307,73 @@ def test_every_known_sentence_is_found_as_a_text_of_its_own(spark):
     assert alone[26] == "proprietary"
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_published_licences_in_their_lines(spark):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + THIRD, "GPL-3.0": GPL, "Apache-2.0": APACHE, "MPL-2.0": MPL}
+    shapes = [lambda t: t, lambda t: "Copyright (c) 2020 A\n\n" + t + "\nTHE SOFTWARE IS PROVIDED", lambda t: " ".join(t.split()), lambda t: t.replace("\n", "\r\n")]
+    shapes += [lambda t, mark=mark: "".join(f"{mark}{line}\n" for line in t.split("\n")) for mark in ("# ", " * ", "// ", ";; ", "-- ", "   ")]
+    shapes += [lambda t: t.replace("1. ", "a) ").replace("2. R", "(b) R"), lambda t: t.replace("1. ", "* ").replace("2. R", "- R")]
+    rows = [(k, name, shape(text)) for name, text in texts.items() for k, shape in enumerate(shapes)]
+    got = [(r["doc_id"], r["licences"], r["n_matches"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, name string, text string").drop("name")).collect()]
+    assert collections.Counter(got) == collections.Counter((k, name, 1) for k, name, _ in rows)
+
+
+def test_line_ends_still_end_sentences(spark):
+    rows = [(1, "Notes\nReleased under the MIT License\nmore notes"), (2, "It is not\nreleased under the MIT license of old"), (3, "under the GNU General Public License, version\n3. This work is licensed under the GNU General Public License, version\n3. Bye")]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("0  1  0", "MIT"), 2: ("", ""), 3: ("0  10  0", "GPL-3.0")}
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(400, 16))
