@@ -20,22 +20,23 @@ REFERENCE_DOC_CHARS = 20_000
 # A phrase ends at every WINDOW symbols, so that windows of all texts are parsed side by side.
 WINDOW_SYMBOLS = 512
 UNDETERMINED = "und"
-_DROP = 255
+# Automata over more letters than this have sparse transitions.
+DENSE_LETTERS = 200
+_DROP = -1
 
 
 class Alphabet:
     """Numbers for code points: 0 a blank, then the letters in use, then one for all other letters."""
 
     def __init__(self, letters: list[str]):
-        self.letters = letters[:200]
-        self.unknown = len(self.letters) + 1
+        self.known = {c: i + 1 for i, c in enumerate(letters)}
+        self.unknown = len(letters) + 1
         self.size = self.unknown + 1
-        known = {c: i + 1 for i, c in enumerate(self.letters)}
-        self.table = np.fromiter((self._number(chr(c), known) for c in range(0x10000)), np.uint8, 0x10000)
+        self.table = np.fromiter((self._number(chr(c)) for c in range(0x10000)), np.int32, 0x10000)
 
-    def _number(self, c: str, known: dict[str, int]) -> int:
+    def _number(self, c: str) -> int:
         if c.isalpha():
-            return known.get(c.lower()[0], self.unknown)
+            return self.known.get(c.lower()[0], self.unknown)
         return _DROP if unicodedata.category(c)[0] == "M" else 0
 
     def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +45,10 @@ class Alphabet:
         first = np.flatnonzero((data & 0xC0) != 0x80)
         row = np.searchsorted(offsets[1:], first, side="right")
         symbols = self.table[np.minimum(points, 0xFFFF)]
-        for c in np.unique(points[points > 0xFFFF]):
-            symbols[points == c] = self._number(chr(c), {})
+        high = np.flatnonzero(points > 0xFFFF)
+        if len(high):
+            found, at = np.unique(points[high], return_inverse=True)
+            symbols[high] = np.array([self._number(chr(c)) for c in found], np.int32)[at]
         stay = symbols != _DROP
         symbols, row = symbols[stay], row[stay]
         blank = symbols == 0
@@ -85,43 +88,93 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Dense:
+    """Automata of few letters each: one table of transitions, with a column for each letter of a language."""
+
+    def __init__(self, rows: list[int], automata: list[list[dict[int, int]]], size: int):
+        self.rows = rows
+        letters = [sorted({s for row in moves for s in row if s < size - 1}) for moves in automata]
+        self.width = max(map(len, letters)) + 1
+        # the last column is that of letters which the language lacks
+        self.columns = np.full((len(automata), size), self.width - 1, np.int32)
+        tables = [np.full((1, self.width), -1, np.int32)]
+        self.starts = np.zeros((len(automata), size), np.int32)
+        base = 1
+        for n, (moves, own) in enumerate(zip(automata, letters, strict=True)):
+            self.columns[n, own] = np.arange(len(own))
+            column = {s: i for i, s in enumerate(own)}
+            table = np.full((len(moves), self.width), -1, np.int32)
+            for state, row in enumerate(moves):
+                for s, to in row.items():
+                    if s in column:
+                        table[state, column[s]] = to + base
+            self.starts[n, own] = table[0, : len(own)]
+            tables.append(table)
+            base += len(moves)
+        self.flat = np.concatenate(tables).ravel()
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.flat[state.astype(np.int64) * self.width + self.columns[:, c]]
+
+
+class Sparse:
+    """Automata of many letters: the transitions that there are, sorted by state and letter."""
+
+    def __init__(self, rows: list[int], automata: list[list[dict[int, int]]], size: int):
+        self.rows, self.size = rows, size
+        self.starts = np.zeros((len(automata), size), np.int32)
+        keys, targets = [], []
+        base = 1
+        for n, moves in enumerate(automata):
+            for s, to in moves[0].items():
+                if s < size - 1:
+                    self.starts[n, s] = to + base
+            for state, row in enumerate(moves):
+                kept = [(s, to) for s, to in row.items() if s < size - 1]
+                keys += [(state + base) * size + s for s, _ in kept]
+                targets += [to + base for _, to in kept]
+            base += len(moves)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.size + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], -1)
+
+
 class CrossParser:
-    """Suffix automata of one reference text per language, in one dense table of transitions."""
+    """Suffix automata of one reference text per language.
 
-    def __init__(self, references: dict[str, list[str]]):
+    State 0 reads nothing: a symbol that a language lacks is a phrase of its own.
+    """
+
+    def __init__(self, references: dict[str, list[str]], dense_letters: int = DENSE_LETTERS):
         self.languages = sorted(references)
         used = sorted({c.lower()[0] for texts in references.values() for text in texts for c in text if c.isalpha()})
         self.alphabet = Alphabet(used)
         size = self.alphabet.size
-        tables, self.roots, self.bits = [np.full((1, size), -1, np.int32)], [], []
-        base = 1
-        for name in self.languages:
+        self.bits = []
+        groups: dict[type, tuple[list, list]] = {Dense: ([], []), Sparse: ([], [])}
+        for n, name in enumerate(self.languages):
             reference: list[int] = []
             for text in references[name]:
                 data, offsets = text_bytes(pa.array([text]))
                 # a symbol that no text has stands between documents
                 reference += [*self.alphabet.numbers(data, offsets)[0].tolist(), size]
-            moves = suffix_automaton(reference[: REFERENCE_SYMBOLS + 1])
-            table = np.full((len(moves), size), -1, np.int32)
-            for state, row in enumerate(moves):
-                for s, to in row.items():
-                    if s < self.alphabet.unknown:
-                        table[state, s] = to + base
-            # state 0 of the whole reads nothing: a symbol that the language lacks is a phrase of its own
-            table[0, table[0] < 0] = 0
-            tables.append(table)
-            self.roots.append(base)
+            reference = reference[: REFERENCE_SYMBOLS + 1]
+            rows, automata = groups[Dense if len(set(reference)) <= dense_letters else Sparse]
+            rows.append(n)
+            automata.append(suffix_automaton(reference))
             self.bits.append(np.log2(max(len(reference), 2)))
-            base += len(moves)
-        self.flat = np.concatenate(tables).ravel()
-        self.starts = np.stack([self.flat[r * size : (r + 1) * size] for r in self.roots]) if self.roots else np.zeros((0, size), np.int32)
+        self.groups = [kind(rows, automata, size) for kind, (rows, automata) in groups.items() if rows]
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each row in each language, letters of each row).
 
         A phrase is the longest text that the reference has; all windows advance by one symbol a step.
         """
-        n, size = len(offsets) - 1, self.alphabet.size
+        n = len(offsets) - 1
         symbols, row = self.alphabet.numbers(data, offsets)
         letters = np.bincount(row[symbols > 0], minlength=n)[:n]
         per_row = np.bincount(row, minlength=n)[:n]
@@ -132,19 +185,20 @@ class CrossParser:
         length = np.minimum(per_row[owner] - nth * WINDOW_SYMBOLS, WINDOW_SYMBOLS)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        state = np.zeros((len(self.languages), len(owner)), np.int32)
-        count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(WINDOW_SYMBOLS), side="left")
-        for t in range(int(length.max(initial=0))):
-            k = active[t]
-            c = symbols[start[:k] + t]
-            to = self.flat[state[:, :k].astype(np.int64) * size + c]
-            ended = to < 0
-            count[:, :k] += ended
-            state[:, :k] = np.where(ended, self.starts[:, c], to)
         totals = np.zeros((len(self.languages), n), np.int64)
-        for i in range(len(self.languages)):
-            totals[i] = np.bincount(owner, weights=count[i], minlength=n)[:n]
+        for group in self.groups:
+            state = np.zeros((len(group.rows), len(owner)), np.int32)
+            count = np.zeros(state.shape, np.int32)
+            for t in range(int(length.max(initial=0))):
+                k = active[t]
+                c = symbols[start[:k] + t]
+                to = group.step(state[:, :k], c)
+                ended = to < 0
+                count[:, :k] += ended
+                state[:, :k] = np.where(ended, group.starts[:, c], to)
+            for i, language in enumerate(group.rows):
+                totals[language] = np.bincount(owner, weights=count[i], minlength=n)[:n]
         return totals, letters
 
     def identify(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -180,9 +234,9 @@ def _parser(references: dict[str, list[str]]) -> CrossParser:
 
 def reference_texts(docs: DataFrame, folds: int = 3, held_fold: int = 1, docs_per_language: int = REFERENCE_DOCS, doc_chars: int = REFERENCE_DOC_CHARS) -> dict[str, list[str]]:
     """Labelled texts to learn from, bounded per language: the ``docs_per_language`` documents whose ids
-    hash lowest, of those outside the held-out fold with at most ``doc_chars`` characters."""
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") <= doc_chars) & (crc_mod(F.col("doc_id"), folds) != held_fold))
-    ranked = labelled.select("lang", "text", F.xxhash64("doc_id", F.lit("reference")).alias("h"))
+    hash lowest, of those outside the held-out fold; of a longer one the first ``doc_chars`` characters."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_fold))
+    ranked = labelled.select("lang", F.substring("text", 1, doc_chars).alias("text"), F.xxhash64("doc_id", F.lit("reference")).alias("h"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     texts: dict[str, list[str]] = {}
     for row in ranked.withColumn("n", first).where(F.col("n") <= docs_per_language).orderBy("lang", "n").collect():

@@ -173,6 +173,49 @@ def test_language_of_awkward_texts(docs, empty):
     assert language_id.reference_texts(empty) == {}
 
 
+def scripts() -> dict[str, str]:
+    """Two languages of the same letters in each of three scripts; the words are what differs."""
+    made = {}
+    for name, low, n in (("la", 0x61, 26), ("han", 0x4E00, 1500), ("old", 0x20000, 400)):
+        rng = np.random.default_rng(low)
+        for k in range(2):
+            vocabulary = ["".join(map(chr, low + rng.integers(0, n, 3))) for _ in range(n)]
+            made[f"{name}{k}"] = [" ".join(rng.choice(vocabulary, 1500)) for _ in range(2)]
+    return made
+
+
+def phrases_in(reference: str, text: str) -> int:
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in reference:
+            end += 1
+        count, at = count + 1, end
+    return count
+
+
+@pytest.mark.parametrize("dense", [200, 0, 10_000])
+def test_languages_of_large_alphabets(dense):
+    texts = scripts()
+    parser = language_id.CrossParser({name: t[:1] for name, t in texts.items()}, dense)
+    assert parser.alphabet.size > 1800
+    tested = [(name, t[1][:400]) for name, t in texts.items()]
+    data = "".join(t for _, t in tested).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for _, t in tested)])
+    totals, _ = parser.phrases(np.frombuffer(data, np.uint8), offsets)
+    assert totals.tolist() == [[phrases_in(texts[name][0], t) for _, t in tested] for name in parser.languages]
+    names, _ = parser.identify(np.frombuffer(data, np.uint8), offsets)
+    assert names == [name for name, _ in tested]
+
+
+def test_references_of_long_texts_only(spark):
+    table = spark.createDataFrame([(i, (PROSE + " ") * 300, "en") for i in range(6)] + [(9, None, "en")], "doc_id long, text string, lang string")
+    texts = language_id.reference_texts(table)["en"]
+    assert texts and all(t == ((PROSE + " ") * 300)[: language_id.REFERENCE_DOC_CHARS] for t in texts)
+    parser = language_id.CrossParser({"en": ["ab " * 20_000], "de": ["ba " * 10_000]})
+    assert parser.bits[0] == parser.bits[1]
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
