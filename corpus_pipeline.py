@@ -56,7 +56,8 @@ STAGES = [
     ("source_mix", mix_sources),
     ("packing", pack_sequences),
 ]
-# Automata, chosen paths and tokenizers are beyond SQL; tests hold the pipeline against plain Python.
+# Automata, chosen paths and tokenizers are beyond SQL; tests hold the rows of the first and the third stage
+# against plain Python, and of the others the operators.
 ORACLE_SQL = None
 
 

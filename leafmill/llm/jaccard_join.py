@@ -291,15 +291,16 @@ def _class_links(members: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_sets: int = BUCKET_SETS, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per document: (row_key, doc_id, class_id, n_links).
+    """One row per document: (row_key, doc_id, class_id, class_key, n_links).
 
     Documents are sets of shingles of ``words`` lower-case words between white space; a text of fewer
     words is one shingle. Two documents are linked at a Jaccard similarity of ``threshold`` or more, and
     n_links counts the linked documents, copies too. A class is a connected set of documents; its id is
     the smallest doc_id in it. Texts without words, null ones too, are linked to nothing, and are
     classes of their own. Rows that repeat are documents of their own, linked to each other. A null
-    doc_id counts as larger than all others; a class of such rows has a null id. Other columns are not
-    read. An empty table gives no rows.
+    doc_id counts as larger than all others; a class of such rows has a null id. Ids may be null or stand
+    for several documents, so classes may share an id; class_key tells them apart and is null for texts
+    without words. Other columns are not read. An empty table gives no rows.
 
     Equal sets are one set with a number of copies. Each run every set chooses tokens by a common hash,
     so similar sets tend to choose the same; sets that chose the same path share a bucket. Large
@@ -362,18 +363,19 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
     full = materialize(full.select("row_key", "doc_id", "root", F.col("n_links").cast("long").alias("n_links")), "document-links")
     ids = full.where("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("class_id"))
     joined = full.join(ids, F.col("root") == F.col("_root"), "left")
-    return joined.select("row_key", "doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
+    return joined.select("row_key", "doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("root").alias("class_key"), "n_links")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without those that are linked to a document of their class with a smaller place.
 
-    Of each class the document with the class's id stays; of rows that repeat it, one does.
+    Of each class the document with the smallest doc_id stays, null ids last; of rows that repeat it, one does.
     """
     key = F.unhex(F.md5(F.to_binary(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.lower(F.coalesce("text", F.lit("")))), F.lit("utf-8"))))
     found = join_documents(docs, **how)
-    # rows without links stay as they are; of linked rows the one with the class's id
-    first = found.where("n_links > 0 and doc_id <=> class_id").groupBy("class_id").agg(F.min("row_key").alias("row_key")).select("row_key")
+    # rows without links stay as they are; of linked rows the first of each class
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = found.where("n_links > 0").groupBy("class_key").agg(F.min(place)["row_key"].alias("row_key")).select("row_key")
     linked = found.where("n_links > 0").select(F.col("row_key").alias("_lk")).distinct()
     keyed = docs.withColumn("_key", key)
     alone = keyed.join(linked, F.col("_key") == F.col("_lk"), "left_anti")

@@ -306,6 +306,41 @@ def test_one_document_of_each_class_stays(docs):
     assert len(classes & {r["doc_id"] for r in joined}) == len(classes)
 
 
+def without_near_copies(rows: list[tuple]) -> collections.Counter:
+    """The rows (doc_id, text) that stay, by comparison of all pairs; texts without case."""
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if (w := WORD.findall((t or "").lower())) else None for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    groups = collections.defaultdict(list)
+    for (doc_id, text), r in zip(rows, root, strict=True):
+        key = hashlib.md5(f"{'' if doc_id is None else doc_id} {(text or '').lower()}".encode()).digest()
+        groups[r].append(((doc_id is None, doc_id or 0, key), doc_id, text))
+    return collections.Counter(min(g)[1:] if len(g) > 1 else g[0][1:] for g in groups.values())
+
+
+def test_classes_of_null_and_repeated_ids_keep_one_each(spark):
+    rows = [(None, f"{sentence(300 + k, 80)}{end}") for k in range(6) for end in ("", " tail", " other")]
+    rows += [(7, f"{sentence(320 + k, 80)}{end}") for k in range(3) for end in ("", " tail")]
+    rows += [(8, sentence(320, 80) + " more"), (None, sentence(321, 80) + " more"), (None, None), (None, ""), (None, sentence(330, 50)), (7, sentence(331, 50))]
+    left = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left.collect()) == without_near_copies(rows)
+
+
+def test_rows_of_the_first_and_third_stage(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    lower = lambda rows: collections.Counter((i, (t or "").lower()) for i, t in rows)
+    first = corpus_pipeline.identify_language(spark, docs, str(tmp_path))
+    got = [(r["doc_id"], r["text"]) for r in first.collect()]
+    assert collections.Counter(got) == collections.Counter((i, t) for i, t in pairs() if any(c.isalpha() for c in t or ""))
+    third = corpus_pipeline.drop_near_copies(spark, first, str(tmp_path))
+    assert lower((r["doc_id"], r["text"]) for r in third.collect()) == lower(without_near_copies(got).elements())
+
+
 def test_quality_model(docs, empty, spark):
     labels = spark.createDataFrame([(r[0], 0 if r[1] and (r[1].isupper() or "#" in r[1]) else 1, 5) for r in corpus() if r[0] is not None] + [(None, 1, 1), (1, None, 1)], "doc_id long, quality int, text int")
     rows = quality_model.classify(docs, labels).collect()
