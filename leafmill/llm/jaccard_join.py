@@ -16,8 +16,6 @@ from .common import Rolling, mix64, slices, text_bytes, word_spans
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-# A pair at the threshold meets in one run with this chance at least, at the depths in use.
-RUN_RECALL = 0.5
 TARGET_RECALL = 0.9999
 # A bucket with more sets is split on a further token, up to MAX_DEPTH tokens.
 BUCKET_SETS = 256
@@ -30,9 +28,20 @@ BLOCK_SHINGLES = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs_for(recall: float, run_recall: float = RUN_RECALL) -> int:
-    """How often to repeat so that a pair at the threshold is met with the given chance."""
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - run_recall))))
+def run_recall(depth: int) -> float:
+    """The chance at least that a pair at the threshold shares a path of ``depth`` tokens in one run.
+
+    A set within the other goes on with one common token a level on average, sets of equal size with more.
+    """
+    chance = 1.0
+    for _ in range(depth):
+        chance = 1 - np.exp(-chance)
+    return float(chance)
+
+
+def runs_for(recall: float, depth: int = MAX_DEPTH) -> int:
+    """How often to repeat so that a pair at the threshold is met with the given chance at any depth up to ``depth``."""
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - run_recall(depth)))))
 
 
 def shingle_sets(column: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -306,10 +315,10 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
     so similar sets tend to choose the same; sets that chose the same path share a bucket. Large
     buckets are split on further tokens. Within buckets sketches of the sets are compared (a bucket that
     stays large at the greatest depth is one of near copies, and is not cut). ``recall`` sets the number
-    of runs. What agrees loosely is compared exactly, whole class against whole class: large classes in
+    of runs, for buckets of the greatest depth. What agrees loosely is compared exactly, whole class against whole class: large classes in
     tiles of bounded size.
     """
-    runs = runs_for(recall)
+    runs = runs_for(recall, max_depth)
     text = F.lower(F.coalesce("text", F.lit("")))
     source = docs.select("doc_id", text.alias("text")).withColumn("row_key", F.unhex(F.md5(F.to_binary(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text"), F.lit("utf-8")))))
     table = materialize(describe(source, runs, words, threshold), "sets")

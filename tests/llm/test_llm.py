@@ -306,6 +306,30 @@ def test_one_document_of_each_class_stays(docs):
     assert len(classes & {r["doc_id"] for r in joined}) == len(classes)
 
 
+def test_pairs_meet_at_the_greatest_depth():
+    rng = np.random.default_rng(11)
+    runs, met, pairs_made = jaccard_join.runs_for(0.9999), 0, 400
+    seeds = jaccard_join._seeds(100)
+    for _ in range(pairs_made):
+        large = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+        for seed in seeds:
+            ends = [{int(seed)}, {int(seed)}]
+            for _ in range(jaccard_join.MAX_DEPTH):
+                ends = [{int(p) for e in both for p in jaccard_join.next_paths(tokens, np.uint64(e), 0.8)} for tokens, both in zip((large, large[:40]), ends, strict=True)]
+                ends = [ends[0] & ends[1]] * 2
+            met += bool(ends[0])
+    share = met / (pairs_made * len(seeds))
+    assert (1 - share) ** runs <= 1.5e-4
+
+
+def test_small_class_within_a_large_template(spark):
+    template = sentence(400, 44)
+    rows = [(i, f"{template} {sentence(500 + i, 30)}") for i in range(60)]
+    rows += [(1000 + i, template + (" " + sentence(401, 10) if i else "")) for i in range(2)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), bucket_sets=1).collect()}
+    assert got == {i: (i, 0) for i in range(60)} | {1000: (1000, 1), 1001: (1000, 1)}
+
+
 def without_near_copies(rows: list[tuple]) -> collections.Counter:
     """The rows (doc_id, text) that stay, by comparison of all pairs; texts without case."""
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if (w := WORD.findall((t or "").lower())) else None for _, t in rows]
