@@ -8,17 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixed import MAX_PAGE_BYTES, MAX_RUN_BYTES
-
 
 def record_bytes(columns: Sequence[str]) -> Column:
     """UTF-8 size of a record as compact JSON."""
     return F.octet_length(F.to_json(F.struct(*columns))).cast("long")
 
 
-def row_cap(df: DataFrame, pos: str = "row_pos", max_rows: int = 200) -> DataFrame:
-    """The first rows of each page; ``pos`` counts from 0 within the page."""
-    return df.filter(F.col(pos) < max_rows)
+def _limited(df: DataFrame, total: Column, limit: int | None, drop: bool, name: str) -> DataFrame:
+    """Rows up to the limit, or with ``drop=False`` all rows with their running total and ``over_limit``."""
+    if not drop:
+        return df.withColumn(name, total).withColumn("over_limit", F.lit(False) if limit is None else F.col(name) > limit)
+    return df if limit is None else df.filter(total <= limit)
+
+
+def row_cap(df: DataFrame, pos: str = "row_pos", max_rows: int | None = None, *, drop: bool = True) -> DataFrame:
+    """The first rows of each page, all where no limit is asked for; ``pos`` counts from 0 within the page.
+
+    ``drop=False`` returns all rows with ``total_rows`` and ``over_limit``.
+    """
+    return _limited(df, F.col(pos) + 1, max_rows, drop, "total_rows")
 
 
 def prefix_sum(
@@ -48,12 +56,19 @@ def prefix_sum(
 
 
 def byte_cap_page(
-    df: DataFrame, page: Sequence[str], pos: str, columns: Sequence[str], max_bytes: int = MAX_PAGE_BYTES
+    df: DataFrame, page: Sequence[str], pos: str, columns: Sequence[str], max_bytes: int | None = None, *, drop: bool = True
 ) -> DataFrame:
-    """Rows of a page up to ``max_bytes`` of JSON; a page holds few rows, so one window serves."""
+    """Rows of a page up to ``max_bytes`` of JSON, all where no limit is asked for.
+
+    A page holds few rows, so one window serves. ``drop=False`` returns all rows with ``total_bytes``
+    and ``over_limit``.
+    """
+    if drop and max_bytes is None:
+        return df
     w = W.partitionBy(*page).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     sized = df.withColumn("_bytes", record_bytes(columns))
-    return sized.withColumn("_total", F.sum("_bytes").over(w)).filter(F.col("_total") <= max_bytes).drop("_bytes", "_total")
+    summed = sized.withColumn("_total", F.sum("_bytes").over(w))
+    return _limited(summed, F.col("_total"), max_bytes, drop, "total_bytes").drop("_bytes", "_total")
 
 
 def byte_cap_run(
@@ -62,12 +77,19 @@ def byte_cap_run(
     page: str,
     pos: str,
     columns: Sequence[str],
-    max_bytes: int = MAX_RUN_BYTES,
+    max_bytes: int | None = None,
+    *,
+    drop: bool = True,
 ) -> DataFrame:
-    """Rows of a run up to ``max_bytes`` of JSON over its pages in order; later pages go too."""
+    """Rows of a run up to ``max_bytes`` of JSON over its pages in order, all where no limit is asked for.
+
+    Later pages go too. ``drop=False`` returns all rows with ``total_bytes`` and ``over_limit``.
+    """
+    if drop and max_bytes is None:
+        return df
     sized = df.withColumn("_bytes", record_bytes(columns))
     summed = prefix_sum(sized, [run], [page], [pos], "_bytes", "_total")
-    return summed.filter(F.col("_total") <= max_bytes).drop("_bytes", "_total")
+    return _limited(summed, F.col("_total"), max_bytes, drop, "total_bytes").drop("_bytes", "_total")
 
 
 def page_cap(df: DataFrame, max_pages: Column | int, page: str = "page_index") -> DataFrame:

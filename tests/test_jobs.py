@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from leafmill.operators.admission import audit_resources
+from leafmill.operators.caps import byte_cap_page, byte_cap_run, row_cap
 from leafmill.operators.caps import prefix_sum
 from leafmill.operators.catalog import keep_rules, presets, upsert_rules, validate_rules
 from leafmill.operators.frontier import agent_rules, paginate, parse_robots, resolve_redirects, robots_allowed, schedule
@@ -197,6 +198,22 @@ def test_retention(spark):
     assert sorted(r.id for r in retain(big).collect()) == ["19", "20", "21", "22", "23"]
 
 
+def test_caps_cut_only_where_asked(spark):
+    df = spark.createDataFrame([("r", p, i, "x" * 4000) for p in range(6) for i in range(300)], "run_id string, page_index int, row_pos int, v string")
+    page = (["run_id", "page_index"], "row_pos", ["v"])
+    run = ("run_id", "page_index", "row_pos", ["v"])
+    assert row_cap(df).count() == byte_cap_page(df, *page).count() == byte_cap_run(df, *run).count() == 1800
+    size = len('{"v":""}') + 4000
+    assert byte_cap_page(df, *page, 10 * size).count() == 60 and byte_cap_run(df, *run, 310 * size).count() == 310
+    for flagged, total, over in (
+        (row_cap(df, max_rows=20, drop=False), "total_rows", 6 * 280),
+        (byte_cap_page(df, *page, 10 * size, drop=False), "total_bytes", 6 * 290),
+        (byte_cap_run(df, *run, 310 * size, drop=False), "total_bytes", 1490),
+    ):
+        assert flagged.columns == [*df.columns, total, "over_limit"]
+        assert flagged.count() == 1800 and flagged.where("over_limit").count() == over
+
+
 def test_rules(spark):
     found = presets(spark)
     valid, broken = validate_rules(found)
