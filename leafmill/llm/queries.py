@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, licences, line_dedup, mixing, packing, permutation_index, quality_model, quality_rules, suffix_dedup
+from . import conversation_repair, importance, jaccard_join, language_id, licences, line_dedup, mixing, packing, permutation_index, quality_model, quality_rules, scaled_sketch, suffix_dedup
 from .common import crc_mod, read
 
 
@@ -61,6 +61,20 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = scaled_sketch.compare_edits(read(spark, sf_dir, "documents"))
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(read(spark, sf_dir, "conversations"))
+    return conversation_repair.audit_conversations(rows, F.col("present"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,5 +92,8 @@ QUERIES = {
     "op8_chosen_path": (op8_chosen_path, None),
     "op9_quality_discriminant": (op9_quality_discriminant, None),
     "op10_licence_scan": (op10_licence_scan, licences.scan_sql()),
+    "op11_importance_draw": (op11_importance_draw, importance.resample_sql()),
+    "op12_scaled_sketch": (op12_scaled_sketch, scaled_sketch.compare_sql()),
+    "op13_conversation_repair": (op13_conversation_repair, conversation_repair.audit_sql()),
     "pipeline": (pipeline, None),
 }
