@@ -15,13 +15,21 @@ from leafmill.llm.queries import tokenizer_path
 from leafmill.session import work_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A language found with a smaller lead over the next one doesn't replace a label.
+SURE_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of undetermined language: null texts and texts without a letter."""
+    """Rejects documents of undetermined language: null texts and texts without a letter.
+
+    Of the others ``lang`` becomes the language found, unless the two nearest languages are all but alike
+    and the document already has a label.
+    """
     references = language_id.reference_texts(docs)
     found = language_id.identify_languages(docs.select(*COLUMNS), references)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+    sure = F.col("lang").isNull() | (F.col("score") >= SURE_SCORE)
+    lang = F.when(sure, F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", lang).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             start = stop
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+def aside(df: DataFrame, used: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns but the ``used`` ones under names that no operator uses, and those names.
+
+    What an operator adds can then not clash with a column that only passes through.
+    """
+    hidden = {c: c if c in used else f"_aside_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(name) for c, name in hidden.items()]), hidden
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of whole texts stay small: the setting counts rows, and a text may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release_memory() -> None:
+    """Gives the memory that a task is done with back to the system: Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column laid end to end, and the n + 1 offsets of its rows; null is empty."""
     column = column.cast(pa.large_string())
@@ -68,20 +102,23 @@ class Rolling:
     """Polynomial hashes of any substring of a byte buffer, modulo 2**64, from one prefix sum."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
-    _up = np.ones(1, np.uint64)
-    _down = np.ones(1, np.uint64)
+    # Powers for so many bytes are kept; those of longer buffers are made anew and go with them.
+    KEPT = 1 << 18
+    _kept: tuple = ()
 
     @classmethod
     def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._up) < n:
-            size = 1 << int(n - 1).bit_length()
-            inverse = pow(cls.BASE, -1, 1 << 64)
-            cls._up = np.full(size, cls.BASE, np.uint64)
-            cls._down = np.full(size, inverse, np.uint64)
-            for powers in (cls._up, cls._down):
-                powers[0] = 1
-                np.cumprod(powers, out=powers)
-        return cls._up, cls._down
+        if n <= cls.KEPT and cls._kept:
+            return cls._kept
+        made = []
+        for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
+            powers = np.full(max(n, cls.KEPT), base, np.uint64)
+            powers[0] = 1
+            np.cumprod(powers, out=powers)
+            made.append(powers)
+        if n <= cls.KEPT:
+            cls._kept = tuple(made)
+        return made[0], made[1]
 
     def __init__(self, data: np.ndarray):
         up, self.down = self._powers(len(data) + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Rolling, mix64, slices, text_bytes, word_spans
+from .common import Rolling, aside, mix64, slices, text_bytes, word_spans
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -381,12 +381,13 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Of each class the document with the smallest doc_id stays, null ids last; of rows that repeat it, one does.
     """
     key = F.unhex(F.md5(F.to_binary(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.lower(F.coalesce("text", F.lit("")))), F.lit("utf-8"))))
-    found = join_documents(docs, **how)
+    found = join_documents(docs.select("doc_id", "text"), **how)
+    named, names = aside(docs, ["doc_id", "text"])
     # rows without links stay as they are; of linked rows the first of each class
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     first = found.where("n_links > 0").groupBy("class_key").agg(F.min(place)["row_key"].alias("row_key")).select("row_key")
     linked = found.where("n_links > 0").select(F.col("row_key").alias("_lk")).distinct()
-    keyed = docs.withColumn("_key", key)
+    keyed = named.withColumn("_key", key)
     alone = keyed.join(linked, F.col("_key") == F.col("_lk"), "left_anti")
     chosen = keyed.join(first, F.col("_key") == F.col("row_key"), "left_semi").dropDuplicates(["_key"])
-    return alone.unionByName(chosen).select(*docs.columns)
+    return alone.unionByName(chosen).select(*[F.col(hidden).alias(c) for c, hidden in names.items()])

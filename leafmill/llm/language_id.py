@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod, slices, text_bytes
+from .common import crc_mod, fresh, release_memory, slices, small_batches, text_bytes
 
 # Symbols of labelled text per language, and the documents it is taken from.
 REFERENCE_SYMBOLS = 30_000
@@ -19,6 +18,7 @@ REFERENCE_DOCS = 60
 REFERENCE_DOC_CHARS = 20_000
 # A phrase ends at every WINDOW symbols, so that windows of all texts are parsed side by side.
 WINDOW_SYMBOLS = 512
+SLICE_BYTES = 2 << 20
 UNDETERMINED = "und"
 # Automata over more letters than this have sparse transitions.
 DENSE_LETTERS = 200
@@ -220,18 +220,6 @@ class CrossParser:
         return names.tolist(), np.where(found, np.clip(score, 0, 1), 0.0)
 
 
-_PARSERS: dict[tuple, CrossParser] = {}
-
-
-def _parser(references: dict[str, list[str]]) -> CrossParser:
-    """One parser per worker process."""
-    key = tuple((name, len(texts), hash(tuple(texts))) for name, texts in sorted(references.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(references)
-    return _PARSERS[key]
-
-
 def reference_texts(docs: DataFrame, folds: int = 3, held_fold: int = 1, docs_per_language: int = REFERENCE_DOCS, doc_chars: int = REFERENCE_DOC_CHARS) -> dict[str, list[str]]:
     """Labelled texts to learn from, bounded per language: the ``docs_per_language`` documents whose ids
     hash lowest, of those outside the held-out fold; of a longer one the first ``doc_chars`` characters."""
@@ -252,14 +240,29 @@ def identify_languages(docs: DataFrame, references: dict[str, list[str]]) -> Dat
     to the second best, 1 with one language only. Null texts, and texts without a letter, are ``und``
     with score 0, and so is all with no reference. Rows alike get the same result; other columns pass
     through, except for those named like the two new ones. An empty table gives no rows.
+
+    Only texts go to Python and only verdicts come back. A task makes the automata anew and lets go of
+    them at its end.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            names, score = _parser(references).identify(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return source.mapInArrow(run, schema)
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def identified(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parser = CrossParser(references)
+        for column in columns:
+            names: list[str] = []
+            scores = [np.zeros(0)]
+            for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", SLICE_BYTES):
+                found, score = parser.identify(*text_bytes(part.column("text")))
+                names += found
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+        del parser
+        release_memory()
+
+    found = fresh("found", keep)
+    # else the optimizer may run it once for a filter and once more for the result
+    verdict = identified.asNondeterministic()(F.col("text"))
+    kept = [f"`{c}`" for c in keep]
+    return docs.select(*kept, verdict.alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")

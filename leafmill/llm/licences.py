@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Normalised sentences of public licence texts and notices, by identifier.
 SENTENCES = {
     1: "released under the mit license",
@@ -32,13 +36,37 @@ SENTENCES = {
     23: "this is free and unencumbered software released into the public domain",
     24: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     25: "all rights reserved copyright",
+    26: "all rights reserved",
+    27: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    28: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    29: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    30: "see the gnu affero general public license for more details",
+    31: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    32: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    33: "see the gnu lesser general public license for more details",
+    34: "this software is provided as is without any express or implied warranty",
+    35: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    36: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    37: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    38: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    39: "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    40: "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    41: "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    42: "this project is licensed under the mit license",
+    43: "this project is licensed under the apache license version 2 0",
+    44: "this work is licensed under the gnu general public license version 2",
+    45: "distributed under the boost software license version 1 0",
 }
 # Licence, class, identifiers in their order. Earlier rules win their sentences.
 RULES = [
+    ("BSD-3-Clause", "permissive", (19, 20, 21, 27)),
     ("MIT", "permissive", (3, 4)),
     ("Apache-2.0", "permissive", (6, 7, 8)),
     ("Apache-2.0", "permissive", (5, 7, 8)),
     ("GPL-3.0", "copyleft", (11, 12, 13)),
+    ("GPL-2.0", "copyleft", (28, 12, 13)),
+    ("AGPL-3.0", "copyleft", (29, 12, 30)),
+    ("LGPL-2.1", "copyleft", (31, 32, 33)),
     ("BSD-2-Clause", "permissive", (19, 20, 21)),
     ("MIT", "permissive", (1,)),
     ("MIT", "permissive", (2,)),
@@ -55,64 +83,104 @@ RULES = [
     ("Unlicense", "permissive", (23,)),
     ("ISC", "permissive", (24,)),
     ("proprietary", "proprietary", (25,)),
+    ("proprietary", "proprietary", (26,)),
+    ("GPL-2.0", "copyleft", (28,)),
+    ("AGPL-3.0", "copyleft", (29,)),
+    ("LGPL-2.1", "copyleft", (31,)),
+    ("Zlib", "permissive", (35,)),
+    ("BSL-1.0", "permissive", (36,)),
+    ("0BSD", "permissive", (37,)),
+    ("CC-BY-SA-4.0", "copyleft", (38,)),
+    ("CC-BY-NC-SA-4.0", "noncommercial", (39,)),
+    ("CC-BY-ND-4.0", "noderivatives", (40,)),
+    ("CC-BY-NC-ND-4.0", "noncommercial", (41,)),
+    ("MIT", "permissive", (42,)),
+    ("Apache-2.0", "permissive", (43,)),
+    ("GPL-2.0", "copyleft", (44,)),
+    ("BSL-1.0", "permissive", (45,)),
 ]
-# Known beyond the SQL counterpart, which has the tables above: the bare notice, and the clause that BSD-2-Clause lacks.
-KNOWN = SENTENCES | {
-    26: "all rights reserved",
-    27: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-}
-ORDERED = [("BSD-3-Clause", "permissive", (19, 20, 21, 27)), *RULES, ("proprietary", "proprietary", (26,))]
-# Every known sentence holds one of these, so texts without any need no sentence work.
+# Every rule has a sentence that holds one of these, so texts without any need no sentence work.
 ANCHORS = ("licen", "copyright", "permi", "redistrib", "software", "warrant", "reserved")
 
+# Marks in a text that is being cut: the end of a paragraph, of a sentence, of a line within a sentence.
+_PARAGRAPH, _SENTENCE, _LINE = "\x01", "\x02", "\x03"
+_NUMBER = r"(\p{N}{1,2}|[a-z]|[ivx]{1,4})"
+_BLANK = r"[ \t\n\f\x0B]"
+_INSIDE = rf"[^\p{{L}}\p{{N}} \t\n\f\x0B{_PARAGRAPH}{_SENTENCE}]*"
+# (pattern, replacement) in their order, for Spark and for the SQL counterpart. A sentence ends with its
+# paragraph, after a word with . ! ? ; before white space, and after one with : where no small letter follows. A list number
+# in brackets ends like one with a full stop; "v. 2" is no end.
+CUTS = [
+    (f"[{_PARAGRAPH}{_SENTENCE}{_LINE}]", " "),
+    (r"\r\n?", "\n"),
+    (r"([^\p{L}\p{N}]\p{L})\.[ \t\n]+(\p{N})", r"\1 \2"),
+    (r"\n([^\p{L}\p{N}\n]*\n)+", _PARAGRAPH),
+    (rf"(^|[\n{_PARAGRAPH}]|[.!?;:][ \t])([^\p{{L}}\p{{N}}\n]*)\(?{_NUMBER}\)([ \t\n])", rf"\1\2{_SENTENCE}\4"),
+    (rf"([\p{{L}}\p{{N}}]{_INSIDE}[.!?;]{_INSIDE}){_BLANK}+", rf"\1{_SENTENCE}"),
+    (rf"([\p{{L}}\p{{N}}]{_INSIDE}:){_BLANK}+([^\p{{Ll}}])", rf"\1{_SENTENCE}\2"),
+    (r"\n", _LINE),
+    (rf"[^\p{{L}}\p{{N}}{_PARAGRAPH}{_SENTENCE}{_LINE}]+", " "),
+]
 
-# Marks in a normalised text: a place where a sentence may begin or end, one behind a list number, a known sentence.
-_CUT, _LISTED, _FOUND = "\x01", "\x02", "\x03"
 
+def sentences(text: Column) -> Column:
+    """The sentences of a text, each as the array of its lines: lower-case letters and digits, one blank
+    between words. Lines without a word are left out."""
+    for pattern, by in CUTS:
+        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"$\1", by))
+    lines = lambda s: F.filter(F.transform(F.split(s, _LINE), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.lower(text), f"[{_PARAGRAPH}{_SENTENCE}]"), lines), lambda s: F.size(s) > 0)
 
-def identified(text: Column, known: dict[int, str]) -> Column:
-    """The identifiers of the text's sentences in their order, as text; 0 for an unknown sentence.
 
-    A sentence may begin and end at a line end, after . ! ? ; : before white space, and behind a list
-    number. A known one is found where its words follow each other between two such places, whatever
-    lines, marks and comment signs stand between the words; the one with more words goes first. List
-    numbers outside known sentences count for nothing.
+def identifiers(lines: Column, known: dict[int, str]) -> Column:
+    """The identifiers of one sentence: its own where it is known, whatever lines it is wrapped in; else
+    that of its last lines or its first ones, if they make a known sentence; else one for each line. 0 is
+    unknown. A list number alone counts for nothing.
     """
-    bare = F.translate(F.lower(text), _CUT + _LISTED + _FOUND, "   ")
-    bare = F.regexp_replace(bare, r"\r\n?", "\n")
-    number = r"\(?(?:\p{N}{1,2}|[a-z]|[ivx]{1,4})[.)]"
-    bare = F.regexp_replace(bare, rf"(?m)(^[^\p{{L}}\p{{N}}\n]*|[.!?;:][ \t]+)({number})(?=\s)", f"$1$2{_LISTED}")
-    bare = F.regexp_replace(bare, rf"(?<=[\p{{L}}\p{{N}}])[.)]{_LISTED}[^\p{{L}}\p{{N}}]*", _LISTED)
-    bare = F.regexp_replace(bare, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]*?(?:\n|[.!?;:][ \t])[^\p{L}\p{N}]*", _CUT)
-    bare = F.regexp_replace(bare, rf"[^\p{{L}}\p{{N}}{_CUT}{_LISTED}]+", " ")
-    bare = F.concat(F.lit(_CUT), F.regexp_replace(bare, rf"^[ {_CUT}{_LISTED}]+|[ {_CUT}{_LISTED}]+$", ""), F.lit(_CUT))
-    for i, sentence in sorted(known.items(), key=lambda x: -len(x[1].split())):
-        words = f"[ {_CUT}{_LISTED}]".join(sentence.split())
-        bare = F.regexp_replace(bare, f"(?<=[{_CUT}{_LISTED}]){words}(?=[{_CUT}{_LISTED}])", f"{_FOUND}{i}")
-    bare = F.regexp_replace(bare, rf"(?<=[{_CUT}{_LISTED}])[\p{{L}}\p{{N}}]+{_LISTED}", "")
-    parts = F.filter(F.split(bare, f"[{_CUT}{_LISTED}]"), lambda s: s != "")
-    return F.transform(parts, lambda s: F.when(s.startswith(_FOUND), F.substring(s, 2, 9)).otherwise("0"))
-
-
-def scan(docs: DataFrame, known: dict[int, str] = KNOWN, rules: list = ORDERED, anchors: tuple = ANCHORS) -> DataFrame:
+    table = F.array(*[F.lit(known[i]) for i in range(1, len(known) + 1)])
+    longest = max(len(s.split()) for s in known.values())
+    find = lambda s: F.nullif(F.array_position(table, s).cast("int"), F.lit(0))
+    join = lambda array: F.array_join(array, " ")
+    single = lambda array: F.transform(F.filter(array, lambda x: ~x.rlike(f"^{_NUMBER}$")), lambda x: F.coalesce(find(x), F.lit(0)))
+
+    def parts(ls: Column) -> Column:
+        n = F.size(ls)
+        some = n > 1
+        ends = F.when(some, F.sequence(F.greatest(F.lit(2), n - longest + 1), n))
+        starts = F.when(some, F.sequence(F.lit(1), F.least(n - 1, F.lit(longest))))
+        tail = F.array_min(F.filter(ends, lambda i: find(join(F.slice(ls, i, n))).isNotNull()))
+        head = F.array_max(F.filter(starts, lambda i: find(join(F.slice(ls, F.lit(1), i))).isNotNull()))
+        found = lambda t, h: (
+            F.when(t.isNotNull(), F.concat(single(F.slice(ls, F.lit(1), t - 1)), F.array(find(join(F.slice(ls, t, n))))))
+            .when(h.isNotNull(), F.concat(F.array(find(join(F.slice(ls, F.lit(1), h)))), single(F.slice(ls, h + 1, n))))
+            .otherwise(single(ls))
+        )
+        return let(tail, lambda t: let(head, lambda h: found(t, h)))
+
+    return let(find(join(lines)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(parts(lines)))
+
+
+def scan(docs: DataFrame, known: dict[int, str] = SENTENCES, rules: list = RULES, anchors: tuple = ANCHORS) -> DataFrame:
     """One row per document: (doc_id, sentence_ids, licences, classes, n_matches).
 
-    ``sentence_ids`` has the identifier of each sentence of the whole text, 0 for runs of unknown ones,
-    as text between blanks. Rules are tried in order; a rule matches where its identifiers stand one
-    after the other, and takes those sentences from later rules. ``licences`` and ``classes`` are the
-    distinct names found, in code point order, joined by commas.
+    The whole text is cut into sentences, each is normalised (comment signs, line ends and punctuation
+    gone) and looked up among the known ones. ``sentence_ids`` has the identifiers in their order, 0 for
+    runs of unknown sentences, as text between blanks. Rules are tried in order; a rule matches where its
+    identifiers stand one after the other, and takes those sentences from later rules. ``licences`` and
+    ``classes`` are the distinct names found, in code point order, joined by commas.
 
-    Everything happens within the document's row, without a shuffle. Null and empty texts and texts
-    without a known sentence have empty strings and 0 matches. Repeated rows give repeated rows; other
-    columns are not read.
+    ``known`` is numbered from 1. Everything happens within the document's row, without a shuffle. Null
+    and empty texts and texts without a known sentence have empty strings and 0 matches. Repeated rows
+    give repeated rows; other columns are not read.
     """
-    for sentence in known.values():
-        if not any(a in sentence for a in anchors):
-            raise ValueError(f"no anchor occurs in the sentence: {sentence}")
+    for name, _, ids in rules:
+        if not any(a in known[i] for i in ids for a in anchors):
+            raise ValueError(f"no anchor occurs in the rule of {name}: {ids}")
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = F.concat(F.lit("  "), F.array_join(identified(text, known), "  "), F.lit("  "))
+    ids = F.flatten(F.transform(sentences(text), lambda lines: identifiers(lines, known)))
+    joined = F.concat(F.lit("  "), F.array_join(ids.cast("array<string>"), "  "), F.lit("  "))
     squeezed = F.regexp_replace(joined, r"( 0 )( 0 )+", " 0 ")
-    some = text.rlike("(?i)" + "|".join(anchors))
+    some = F.lower(text).rlike("|".join(anchors))
     table = F.array(*[F.struct(F.lit("".join(f" {i} " for i in ids)).alias("pattern"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, ids in rules])
     none = F.lit([]).cast("array<string>")
 
@@ -153,23 +221,42 @@ def _replaced() -> str:
 
 
 def scan_sql() -> str:
-    table = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
+    """The same tables, cuts and rules in DuckDB."""
     hits = " + ".join(f"n{n}" for n in range(len(RULES)))
     pick = lambda at: "[" + ", ".join(f"CASE WHEN n{n} > 0 THEN '{r[at]}' END" for n, r in enumerate(RULES)) + "]"
     joined = lambda at: f"array_to_string(list_sort(list_distinct(list_filter({pick(at)}, lambda x: x IS NOT NULL))), ',')"
+    marked = "coalesce(text, '')"
+    for pattern, by in CUTS:
+        marked = f"regexp_replace({marked}, '{pattern}', '{by}', 'g')"
+    table = "[" + ", ".join(f"'{SENTENCES[i]}'" for i in range(1, len(SENTENCES) + 1)) + "]"
+    longest = max(len(s.split()) for s in SENTENCES.values())
+    find = lambda s: f"nullif(coalesce(list_position({table}, {s}), 0), 0)"
+    join = lambda array: f"array_to_string({array}, ' ')"
+    single = lambda array: f"list_transform(list_filter({array}, lambda x: NOT regexp_full_match(x, '{_NUMBER}')), lambda x: coalesce({find('x')}, 0))"
     return f"""
-WITH known(id, sentence) AS (VALUES {table}),
-cut AS (
-    SELECT row_number() OVER () AS row_no, doc_id,
-           string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r]+', '\\1' || chr(10), 'g'), chr(10)) AS parts
-    FROM documents
+WITH cut AS (
+    SELECT row_number() OVER () AS row_no, doc_id, string_split_regex(lower({marked}), '[{_PARAGRAPH}{_SENTENCE}]') AS parts FROM documents
+),
+wrapped AS (
+    SELECT row_no, place, list_filter(list_transform(string_split(part, '{_LINE}'), lambda x: trim(x)), lambda x: x <> '') AS lines
+    FROM (SELECT row_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM cut)
+),
+tried AS (
+    SELECT *, {find(join("lines"))} AS whole,
+           list_min(list_filter(range(greatest(2, len(lines) - {longest} + 1), len(lines) + 1), lambda i: {find(join("lines[i:]"))} IS NOT NULL)) AS tail,
+           list_max(list_filter(range(1, least(len(lines) - 1, {longest}) + 1), lambda i: {find(join("lines[:i]"))} IS NOT NULL)) AS head
+    FROM wrapped WHERE len(lines) > 0
+),
+ids AS (
+    SELECT row_no, place, CASE WHEN whole IS NOT NULL THEN [whole]
+           WHEN tail IS NOT NULL THEN {single("lines[:tail - 1]")} || [{find(join("lines[tail:]"))}]
+           WHEN head IS NOT NULL THEN [{find(join("lines[:head]"))}] || {single("lines[head + 1:]")}
+           ELSE {single("lines")} END AS found
+    FROM tried
 ),
-parts AS (SELECT row_no, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM cut),
-bare AS (
-    SELECT row_no, doc_id, place, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS sentence FROM parts
+strings AS (
+    SELECT row_no, '  ' || string_agg(array_to_string(found, '  '), '  ' ORDER BY place) || '  ' AS joined FROM ids WHERE len(found) > 0 GROUP BY row_no
 ),
-ids AS (SELECT row_no, doc_id, place, coalesce(id, 0) AS id FROM bare LEFT JOIN known USING (sentence) WHERE bare.sentence <> ''),
-strings AS (SELECT row_no, '  ' || string_agg(id::VARCHAR, '  ' ORDER BY place) || '  ' AS joined FROM ids GROUP BY row_no),
 s0 AS (
     SELECT cut.row_no, doc_id, regexp_replace(coalesce(joined, ''), '( 0 )( 0 )+', ' 0 ', 'g') AS rest0
     FROM cut LEFT JOIN strings USING (row_no)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import aside
 
 # Shorter lines (headings, bullets, closing marks) always stay.
 MIN_CHARS = 20
@@ -115,7 +116,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS)
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     id_ = F.col("doc_id")
-    source = docs.select(*keep).withColumns({"_id": F.coalesce(id_, F.lit(-(1 << 63))), "_hash": F.coalesce(F.xxhash64(id_.isNull(), "text"), F.lit(0))})
+    named, names = aside(docs.select(*[f"`{c}`" for c in keep]), ["doc_id", "text"])
+    source = named.withColumns({"_id": F.coalesce(id_, F.lit(-(1 << 63))), "_hash": F.coalesce(F.xxhash64(id_.isNull(), "text"), F.lit(0))})
     place = F.struct("_id", "_hash", "pos")
     lines = source.select("_id", "_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
     lines = lines.select(_digest(F.col("line")).alias("line_key"), place.alias("at"), "line")
@@ -133,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS)
     joined = joined.withColumn("removed", F.coalesce("removed", none)).withColumn("n_removed", F.size("removed").cast("long"))
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.col("n_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in keep], "n_lines", "n_removed", "removed")
+    return joined.select(*[text.alias("text") if c == "text" else F.col(names[c]).alias(c) for c in keep], "n_lines", "n_removed", "removed")
 
 
 def dedup_sql(min_chars: int = MIN_CHARS) -> str:

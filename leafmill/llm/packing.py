@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_table
-from .common import slices
+from .common import Rolling, aside, release_memory, slices, small_batches, text_bytes, word_spans
 
 SEQUENCE = 4096
 # Lengths are counted in units of so many tokens, rounded up: at most one less is lost with each piece.
@@ -21,16 +21,19 @@ END_ID = 2
 # Ranks within one length are summed in two levels over so many cells.
 CELLS = 4096
 MAX_COLUMNS = 5000
-# Words whose ids a worker remembers at once.
-CACHE_WORDS = 400_000
+# Bytes of chunks and their ids that a task remembers at once.
+CACHE_BYTES = 48 << 20
+SLICE_BYTES = 2 << 20
 
 
-class WordCache(dict):
-    """Chunks between blanks -> place of their ids in a pool, each chunk encoded once.
+class ChunkIds:
+    """Ids of texts, chunk by chunk between blanks; each chunk is encoded when it is met first.
 
     A blank always separates words of this tokenizer, so the ids of a text are those of its chunks one
-    after the other. Chunks in plain Latin letters are cut by the tokenizer's own word pattern and each
-    word goes to its model; all other chunks go through the whole tokenizer.
+    after the other. A chunk is known by a 64-bit hash of its bytes, so the cache takes some 30 bytes a
+    chunk; beyond ``max_bytes`` it keeps what the present slice uses. Chunks in plain Latin letters are cut
+    by the tokenizer's own word pattern and each word goes to its model; all other chunks go through the
+    whole tokenizer.
     """
 
     # The word pattern of the vocabulary file, and its byte alphabet (bytes without a
@@ -39,97 +42,102 @@ class WordCache(dict):
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     SPECIAL = re.compile(r"<\|")
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, max_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.max_bytes = Tokenizer.from_file(path), max_bytes
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in printable]
         self.bytes = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words: dict[str, list[int]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.words.clear()
-        self.ids: list[int] = []
-        self.bounds = [0]
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else "".join(self.bytes[b] for b in word.encode())
-            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-        return ids
-
-    def __missing__(self, chunk: str) -> int:
-        if self.PLAIN.fullmatch(chunk) and not self.SPECIAL.search(chunk):
-            for word in self.PATTERN.findall(chunk.lower()):
-                self.ids += self._word(word)
-        else:
-            self.ids += self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        place = self[chunk] = len(self.bounds) - 1
-        self.bounds.append(len(self.ids))
-        return place
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        places = []
-        for text in texts:
-            if text is None:
-                places.append(np.zeros(0, np.int64))
-            elif not text.isascii() and not text.isprintable() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                # rare characters that split() takes for blanks but the tokenizer may not
-                places.append(self._exact(text))
+        # hashes in their order, and where their ids begin in the pool and how many they are
+        self.keys, self.start, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint16)
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Adds chunks whose hashes, in their order, are not known yet."""
+        words: dict[str, list[int]] = {}
+        ids: list[int] = []
+        counts = []
+        tokenize, cut, plain, special = self.tokenizer.model.tokenize, self.PATTERN.findall, self.PLAIN.fullmatch, self.SPECIAL.search
+        for chunk in chunks:
+            before = len(ids)
+            if plain(chunk) and not special(chunk):
+                for word in cut(chunk.lower()):
+                    found = words.get(word)
+                    if found is None:
+                        spelled = word if word.isascii() else "".join(self.bytes[b] for b in word.encode())
+                        found = words[word] = [t.id for t in tokenize(spelled)]
+                    ids += found
             else:
-                chunks = text.split()
-                places.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
-        ids, bounds = np.array(self.ids, np.uint32), np.array(self.bounds)
-        for place in places:
-            if place.dtype == np.uint32:
-                yield place
-                continue
-            start, n = bounds[place], bounds[place + 1] - bounds[place]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield ids[np.repeat(start - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32)
-
-    def _exact(self, text: str) -> np.ndarray:
-        odd = set(re.findall(r"\s", text)) - set(" \t\n\v\f\r")
-        if odd:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = text.split()
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-
-
-_CACHES: dict[str, WordCache] = {}
+                ids += self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            counts.append(len(ids) - before)
+        new = np.array(ids, np.uint32)
+        if self.pool.dtype == np.uint16 and len(new) and new.max() > 0xFFFF:
+            self.pool = self.pool.astype(np.uint32)
+        n = np.array(counts, np.int32)
+        at = np.searchsorted(self.keys, hashes)
+        self.start = np.insert(self.start, at, len(self.pool) + np.cumsum(n, dtype=np.int64) - n)
+        self.n = np.insert(self.n, at, n)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.pool = np.concatenate([self.pool, new.astype(self.pool.dtype)])
+
+    def _keep(self, hashes: np.ndarray) -> None:
+        """Forgets all chunks but these."""
+        at = np.searchsorted(self.keys, hashes)
+        start, n = self.start[at], self.n[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        self.pool = self.pool[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.keys, self.start, self.n = hashes, ends - n, n
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows end to end, number of ids of each row) of texts laid end to end."""
+        starts, ends, row = word_spans(data, offsets)
+        hashes, first, which = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, hashes)
+        unknown = np.ones(len(hashes), bool)
+        inside = at < len(self.keys)
+        unknown[inside] = self.keys[at[inside]] != hashes[inside]
+        if unknown.any():
+            if self.keys.nbytes + self.start.nbytes + self.n.nbytes + self.pool.nbytes > self.max_bytes:
+                self._keep(hashes[~unknown])
+            raw, places = data.tobytes(), first[unknown]
+            self._learn(hashes[unknown], [raw[a:b].decode() for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, hashes)
+        n = self.n[at][which]
+        stop = np.cumsum(n, dtype=np.int64)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.pool[np.repeat(self.start[at][which] - (stop - n), n) + np.arange(total)]
+        return ids, np.bincount(row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut at every ``sequence``.
 
     ``ids`` are unsigned 32-bit little-endian numbers. A null text is empty and has the end id alone.
-    Repeated rows give repeated pieces. The vocabulary file must be at the same path on every executor.
+    Repeated rows give repeated pieces. The vocabulary file must be at the same path on every executor; a
+    task has its tokenizer and chunks of its own, and lets go of both at its end.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _CACHES.setdefault(tokenizer_path, None) or _CACHES.update({tokenizer_path: WordCache(tokenizer_path)}) or _CACHES[tokenizer_path]
-        for batch in slices(batches, "text", 4 << 20):
-            doc, start, length, total, raw = [], [], [], [], []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(ids), sequence):
-                    piece = ids[at : at + sequence]
-                    doc.append(doc_id)
-                    start.append(at)
-                    length.append(len(piece))
-                    total.append(len(ids))
-                    raw.append(piece.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
+        cache = ChunkIds(tokenizer_path)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            found, counts = cache.encode(*text_bytes(batch.column("text")))
+            rows = len(counts)
+            total = counts + 1
+            # every row's ids are followed by the end id
+            ids = np.full(len(found) + rows, end_id, "<u4")
+            ids[np.arange(len(found)) + np.repeat(np.arange(rows), counts)] = found
+            pieces = -(-total // sequence)
+            owner = np.repeat(np.arange(rows), pieces)
+            start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * sequence
+            length = np.minimum(total[owner] - start, sequence)
+            bounds = np.concatenate([[0], np.cumsum(length)]) * 4
+            raw = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(total[owner]), raw], ["doc_id", "start", "length", "doc_tokens", "ids"])
+        del cache
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
@@ -225,7 +233,8 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, unit: int = UNIT, order: t
     """
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    sized = pieces.select(*keep).withColumn("_size", F.ceil(F.col("length") / unit).cast("int"))
+    named, names = aside(pieces.select(*[f"`{c}`" for c in keep]), ["length", *order])
+    sized = named.withColumn("_size", F.ceil(F.col("length") / unit).cast("int"))
     demand = {r["_size"]: r["n"] for r in sized.groupBy("_size").agg(F.count("*").alias("n")).collect()}
     slots: dict[int, list] = {}
     filled: dict[int, int] = {}
@@ -247,7 +256,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, unit: int = UNIT, order: t
     slot = F.element_at(F.filter("_slots", lambda s: s["first"] <= F.col("_rank")), -1)
     placed = ranked.withColumn("_slot", slot).withColumn("sequence_id", (F.col("_slot.base") + F.floor((F.col("_rank") - F.col("_slot.first")) / F.col("_slot.each"))).cast("long"))
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("_size"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).select(*keep, "sequence_id", "offset")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).select(*[F.col(names[c]).alias(c) for c in keep], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:

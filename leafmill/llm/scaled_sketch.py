@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, n: int = SHINGLE_W
     Null texts are empty and have an empty fingerprint, all others a filled one; equal texts have equal
     ones. No shuffle. Other columns pass through, save one named fingerprint or _words.
     """
-    kept = [c for c in docs.columns if c not in ("fingerprint", "_words")]
+    kept = [f"`{c}`" for c in docs.columns if c not in ("fingerprint", "_words")]
     cut = docs.select(*kept).withColumn("_words", words_of(F.coalesce(F.col("text"), F.lit(""))))
     return cut.select(*kept, written(sketch(shingle_hashes(F.col("_words"), n), fraction)).alias("fingerprint"))
 

@@ -399,12 +399,12 @@ def test_licence_rules_take_their_sentences_in_order(spark):
 
 
 def test_every_known_sentence_is_found_as_a_text_of_its_own(spark):
-    rows = [(i, s.capitalize() + end) for i, s in licences.KNOWN.items() for end in ("", ".", ".\nBye")]
+    rows = [(i, s.capitalize() + end) for i, s in licences.SENTENCES.items() for end in ("", ".", ".\nBye")]
     rows += [(26, "All rights reserved."), (26, "All rights reserved. Copyright 2020 A.")]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     assert all(str(r["doc_id"]) in r["sentence_ids"].split() or r["n_matches"] == 0 for r in got)
-    alone = {ids[0]: name for name, _, ids in licences.ORDERED if len(ids) == 1}
+    alone = {ids[0]: name for name, _, ids in licences.RULES if len(ids) == 1}
     assert all(r["licences"] == alone.get(r["doc_id"], "") for r in got)
     assert alone[26] == "proprietary"
 

@@ -1,4 +1,4 @@
-"""Importance draws, scaled sketches and conversation repair against plain Python."""
+"""Importance draws, scaled sketches and conversation repair against plain Python, and rows that clash or lack ids."""
 
 import hashlib
 import heapq
@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import conversation_repair, importance, scaled_sketch
+from leafmill.llm import conversation_repair, importance, jaccard_join, language_id, line_dedup, mixing, packing, scaled_sketch
+from leafmill.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, _words string, cell int, rank int, fingerprint string, key long, bounds int"
 CLASH = ("en", "w", 1, 2, "f", 3, 4)
@@ -313,3 +314,90 @@ def test_a_slice_makes_its_own_dictionary():
     assert words.tolist() == [0, 1, 2, 0] and ends.tolist() == [2, 5, 5007, 5009]
     data, offsets = np.frombuffer("A b\nÀ".encode(), np.uint8), np.array([0, 3, 3, 6])
     assert importance.bucket_rows(data, offsets, 1 << 32, 2, importance.Zeros())[1].tolist() == [3, 0, 1]
+
+
+# --- names that clash, ids that are missing ------------------------------------------------------
+
+CLASHING = "_id string, _hash string, _key string, row_key string, _lk string, _size string, _words string, _copy string, words string, times string, copy string, `a.b` string, found string, _found string"
+
+
+def clashing(spark, rows):
+    extra = CLASHING.split(", ")
+    return spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in extra)) for r in rows], f"doc_id long, text string, source string, {CLASHING}")
+
+
+def test_columns_that_clash_pass_through(spark):
+    line = prose(80, 12)
+    docs = clashing(spark, [(1, f"{line}\n{prose(81, 12)}", "a"), (2, f"{prose(82, 12)}\n{line}", "b"), (3, prose(83, 40), "a"), (4, prose(83, 40), "a")])
+    extra = [c.strip("`") for c in (x.split()[0] for x in CLASHING.split(", "))]
+    for result in (line_dedup.dedup_lines(docs), jaccard_join.one_of_each(docs), mixing.mixed_documents(docs), language_id.identify_languages(docs, {"x": [prose(80, 300)]})):
+        rows = result.collect()
+        assert rows and set(docs.columns) <= set(result.columns)
+        for r in rows:
+            assert all(r[c].endswith(str(r["doc_id"])) and r[c].startswith(c[:2] if "." not in c else "`a.b`") for c in extra)
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()} == {1, 2, 3}
+    pieces = spark.createDataFrame([(1, 0, 30, "s", "c"), (2, 0, 50, "s", "c")], "doc_id long, start long, length long, _size string, _cell string")
+    assert {(r["_size"], r["_cell"]) for r in packing.pack(pieces).collect()} == {("s", "c")}
+
+
+def test_a_mix_of_documents_without_ids(spark):
+    """The cut decides: words are taken up to the budget, whatever ids are missing."""
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * (i % 40)), f"s{i % 4}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = sum(i % 40 for i in range(600))
+    for share in (0.0, 0.25, 1.0, 1e9):
+        taken = mixing.mix(docs, budget_share=share).agg(F.sum("taken")).first()[0]
+        assert taken == min(int(share * words), 3 * words)
+    sums = {r["source"]: r for r in mixing.mix(docs, [1, 2]).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in sums.values())
+    again = [sorted(map(str, mixing.mix(docs.repartition(n)).collect())) for n in (2, 7)]
+    assert again[0] == again[1]
+
+
+def test_languages_of_texts_beyond_a_window(spark):
+    """Phrases of a text of several windows, against a search for the longest matches of each window."""
+    references = {"a": [prose(90, 400, "abcde ")], "b": [prose(91, 400, "defgh ")]}
+    parser = language_id.CrossParser(references)
+    text = prose(92, 900, "abcdefgh")
+    symbols = re.sub(r"[^a-z]+", " ", text).lstrip()
+    data = np.frombuffer(text.encode(), np.uint8)
+    totals, _ = parser.phrases(data, np.array([0, len(data)]))
+    for n, name in enumerate(sorted(references)):
+        reference = re.sub(r"[^a-z]+", " ", references[name][0]).lstrip()[: language_id.REFERENCE_SYMBOLS]
+        known = set(reference)
+        count = 0
+        for at in range(0, len(symbols), language_id.WINDOW_SYMBOLS):
+            phrase = ""
+            for c in symbols[at : at + language_id.WINDOW_SYMBOLS]:
+                if phrase and phrase + c in reference:
+                    phrase += c
+                else:
+                    count += 1
+                    phrase = c if c in known else ""
+        assert totals[n, 0] == count
+    docs = spark.createDataFrame([(1, text), (2, "defg " * 700), (3, None), (4, "12 .")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(docs, references).collect()}
+    assert got[2] == "b" and got[3] == got[4] == "und"
+
+
+def test_the_language_stage_corrects_labels_and_rejects_texts_without_letters(spark):
+    import corpus_pipeline
+
+    rows = [(i, prose(100 + i, 60, "abcde" if i % 2 else "vwxyz"), "odd" if i % 2 else "even", "s", 9) for i in range(40)]
+    # held out, so it's no reference itself
+    wrong = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows += [(wrong, prose(300, 60, "abcde"), "even", "s", 9), (101, prose(301, 60, "vwxyz"), None, "s", 9), (102, "123 ...", "odd", "s", 9), (103, None, "odd", "s", 9), (104, "k", "odd", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {i: lang for i, _, lang, _, _ in rows[:40]} | {wrong: "odd", 101: "even", 104: "odd"}
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 30])
+def test_chunks_are_forgotten_and_learnt_again(max_bytes):
+    cache = packing.ChunkIds(tokenizer_path(), max_bytes)
+    for part in [texts(), ["Don't 日本語\u00a0x\u2003y \x1cz É\u0301 <|endoftext|>a", "", prose(7, 200)], texts()]:
+        part = [t or "" for t in part]
+        raw = [t.encode() for t in part]
+        ids, counts = cache.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
