@@ -1,9 +1,11 @@
-"""The small JSON path grammar, and reading values and records out of JSON text."""
+"""The small JSON path grammar, and reading values and records out of parsed JSON (VARIANT)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import RESERVED_PATH_NAMES
@@ -65,19 +67,6 @@ def normalize_path(c: Column) -> Column:
     return F.when(text.isin("", "$"), F.lit("$")).when(ok, F.concat(F.lit("$"), joined))
 
 
-def kind_of(doc: Column) -> Column:
-    """object, array, string, number, boolean, null - or NULL for malformed JSON."""
-    name = F.schema_of_variant(F.try_parse_json(doc))
-    return (
-        F.when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .when(name.isNotNull(), "number")
-    )
-
-
 def number_text(c: Column) -> Column:
     """A JSON number literal the way a browser prints it (1.0 is 1, 1.5E-7 is 1.5e-7)."""
     d = c.try_cast("double")
@@ -99,75 +88,166 @@ def number_text(c: Column) -> Column:
     )
 
 
-# numbers whose spelling may differ from the printed form: a fraction, an exponent or -0
+# Numbers whose spelling may differ from the printed form: a fraction, an exponent or -0.
 _ODD_NUMBER = r"^-?\d+(\.\d+([eE][+-]?\d+)?|[eE][+-]?\d+)$|^-0$"
+# Texts whose kind must be known before they are a cell.
+_UNSURE = rf"^[\[{{]|{_ODD_NUMBER}"
+# Stand for a backslash and a quote that are escaped within a JSON string: no text has these code points.
+_BACKSLASH, _QUOTE = "\ufdd0", "\ufdd1"
 
 
-def scalar_text(raw: Column, doc: Column, path: str) -> Column:
-    """``raw`` (from get_json_object) as cell text; only odd-looking numbers need their kind."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
-
-    def text(r: Column) -> Column:
-        odd = r.rlike(_ODD_NUMBER) & (kind != "STRING")
-        return F.when(odd, let(r, number_text)).otherwise(r)
-
-    return let(raw, text)
-
-
-def json_value(doc: Column, path: str) -> Column:
-    """Text of the value at ``path``; NULL when it is missing or null."""
-    steps = path_steps(path)
-    if not steps:
-        # A record that was a JSON string is already unquoted, so it is taken as it is.
-        return F.when(doc == "null", F.lit(None)).when(
-            doc.rlike(_ODD_NUMBER), number_text(doc)
-        ).otherwise(doc)
-    where = spark_path(steps)
-    found = scalar_text(F.get_json_object(doc, where), doc, where)
-    if steps[-1] == "length":
-        listed = let(
-            F.get_json_object(doc, spark_path(steps[:-1])),
-            lambda p: F.when(p.startswith("["), F.json_array_length(p).cast("string")),
-        )
-        found = F.coalesce(found, listed)
-    return found
-
-
-def json_value_at(doc: Column, path: Column) -> Column:
-    """``json_value`` for a path held in a column (checked by ``normalize_path``)."""
-
-    def found(p: Column) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), p, "variant"))
-        whole = F.when(doc == "null", F.lit(None)).otherwise(doc)
-        return let(
-            F.when(p == "$", whole).otherwise(F.call_function("get_json_object", doc, p)),
-            lambda r: F.when(
-                r.rlike(_ODD_NUMBER) & ((p == "$") | F.coalesce(kind != "STRING", F.lit(True))), number_text(r)
-            ).otherwise(r),
-        )
-
-    return let(normalize_path(path), found)
-
-
-def json_records_at(doc: Column, path: Column) -> Column:
-    """``json_records`` for a path held in a column."""
-    return _records(
-        let(normalize_path(path), lambda p: F.when(p == "$", doc).otherwise(F.call_function("get_json_object", doc, p)))
-    )
+def parsed(df: DataFrame, doc: str = "doc", name: str = "parsed") -> DataFrame:
+    """Adds the VARIANT of a JSON text, NULL where it is malformed. With duplicate names the last one wins.
+
+    The generator keeps the optimizer from parsing once more for every filter and projection above.
+    """
+    return df.select("*", F.explode_outer(F.array(F.try_parse_json(doc))).alias(name))
+
+
+class JsonPlace:
+    """A place in JSON, read from VARIANT by ``get`` and ``text``; ``steps`` lead there in JSON text.
+
+    A position may also be the name of an object's member, and ``length`` behind an array is its size.
+    """
+
+    def __init__(self, steps: Column, read: Callable[[Column, str], Column], parent: JsonPlace | None):
+        self.steps, self.get, self.parent = steps, read, parent
+
+    @classmethod
+    def of(cls, path: str) -> JsonPlace:
+        return cls._fixed(path_steps(path))
+
+    @classmethod
+    def _fixed(cls, steps: list[str | int]) -> JsonPlace:
+        positions = [i for i, s in enumerate(steps) if isinstance(s, int)]
+
+        def read(value: Column, kind: str = "variant") -> Column:
+            done = 0
+            for i in positions:
+                found = F.try_variant_get(value, spark_path(steps[done:i]), "variant") if i > done else value
+                value, done = let(found, lambda v, s=steps[i]: _member_or_element(v, F.lit(f"[{s}]"))), i + 1
+            return F.try_variant_get(value, spark_path(steps[done:]), kind)
+
+        written = F.array(*[F.lit(f"[{s}]" if isinstance(s, int) else f".{s}") for s in steps]).cast("array<string>")
+        return cls(written, read, cls._fixed(steps[:-1]) if steps and steps[-1] == "length" else None)
+
+    @classmethod
+    def at(cls, path: Column) -> JsonPlace:
+        """For a path column as ``normalize_path`` gives it."""
+
+        def cut(path: Column) -> Column:
+            return F.regexp_extract_all(path, F.lit(r"\.[^.\[]+|\[\d+\]"), 0)
+
+        def reader(path: Column) -> Callable[[Column, str], Column]:
+            steps = cut(path)
+            by_step = lambda value: F.aggregate(steps, value, _member_or_element)
+            return lambda value, kind="variant": F.when(path.contains("["), F.try_variant_get(by_step(value), "$", kind)).otherwise(
+                F.try_variant_get(value, path, kind)
+            )
+
+        above = F.when(path.endswith(".length"), F.regexp_replace(path, r"\.length$", ""))
+        return cls(cut(path), reader(path), cls(cut(above), reader(above), None))
+
+    def text(self, value: Column) -> Column:
+        found = self.get(value, "string")
+        return found if self.parent is None else F.coalesce(found, F.size(self.parent.get(value, "array<variant>")).cast("string"))
+
+
+def _member_or_element(value: Column, step: Column) -> Column:
+    """One step of a path, ``.name`` or ``[position]``."""
+    found = F.try_variant_get(value, F.concat(F.lit("$"), step), "variant")
+    return F.coalesce(found, F.when(step.startswith("["), F.try_variant_get(value, F.regexp_replace(step, r"\[(\d+)\]", r"\$['$1']"), "variant")))
+
+
+def json_cell(value: Column, place: JsonPlace) -> Column:
+    """(text, nested) of what stands at ``place`` in a VARIANT; the text is NULL when it is missing or null.
+
+    Strings are as they are, numbers as a browser prints them. Objects and arrays are ``nested``, and their
+    text is still that of ``to_json``, with the names in order: see ``nested_text``.
+    """
+
+    def typed(text: Column) -> Column:
+        def by_kind(json: Column) -> Column:
+            nested = json.rlike(r"^[\[{]")
+            return F.struct(F.when(json.startswith('"'), text).when(nested, json).otherwise(let(json, number_text)).alias("text"), nested.alias("nested"))
+
+        plain = F.struct(text.alias("text"), F.lit(False).alias("nested"))
+        return F.when(text.rlike(_UNSURE), let(F.to_json(place.get(value)), by_kind)).otherwise(plain)
+
+    return let(place.text(value), typed)
+
+
+def json_records(value: Column, place: JsonPlace) -> Column:
+    """The records at ``place`` as an array of VARIANT: array elements, or the one value; none for null."""
+
+    def listed(found: Column) -> Column:
+        elements = F.coalesce(F.try_variant_get(found, "$", "array<variant>"), F.array(found))
+        return F.when(found.isNull() | F.is_variant_null(found), F.slice(F.array(found), 1, 0)).otherwise(elements)
+
+    return let(place.get(value), listed)
+
+
+def text_at(json: Column, place: JsonPlace) -> Column:
+    """The JSON text at ``place``, members in their original order; of members with one name the last."""
+
+    def member(text: Column, step: Column) -> Column:
+        name = F.regexp_replace(step, r"^\.|[\[\]]", "")
+        entries = F.map_entries(F.from_json(text, "map<string,string>"))
+        named = F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+        element = F.get(F.from_json(F.when(text.startswith("["), text), "array<string>"), name.try_cast("int"))
+        return F.when(step.startswith("["), F.coalesce(element, named)).otherwise(named)
+
+    return F.aggregate(place.steps, F.trim(json), member)
+
+
+def record_texts(doc: Column, place: JsonPlace) -> Column:
+    """The JSON texts of the records at ``place``, members in their original order."""
+    return let(text_at(doc, place), lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x)))
+
+
+def _masked(json: Column) -> Column:
+    return F.replace(F.replace(json, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+_PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+
+
+def browser_text(json: Column) -> Column:
+    """A JSON text with its numbers as a browser prints them, and characters instead of escaped pairs."""
+
+    # the patterns have only quantifiers that give nothing back, so long strings need no stack
+    def numbers(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(r'"[^"]*+"|-?\d[\d.eE+-]*+|[^"\d-]++|-'), 0)
+        spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(_ODD_NUMBER), let(t, number_text)).otherwise(t)), "")
+        return F.when(text.rlike(r"\d[.eE]|-0"), spelled).otherwise(text)
+
+    def characters(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(rf"{_PAIR}|[^\\]++|\\"), 0)
+        units = lambda t: F.unhex(F.concat(F.substring(t, 3, 4), F.substring(t, 9, 4)))
+        spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"^{_PAIR}"), F.decode(units(t), "UTF-16BE")).otherwise(t)), "")
+        return F.when(text.rlike(_PAIR), spelled).otherwise(text)
+
+    plain = let(let(_masked(json), numbers), characters)
+    plain = F.replace(F.replace(plain, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    return F.when(json.rlike(rf"\d[.eE]|-0|{_PAIR}"), plain).otherwise(json)
+
 
+def _members(json: Column) -> Column:
+    """Names with their values, and values, of a JSON text: alike for texts that differ in order only."""
+    return F.array_sort(F.regexp_extract_all(_masked(json), F.lit(r'"[^"]*+":(?:"[^"]*+"|[^"{\[,}\]]++|[{\[])|"[^"]*+"|[^",:{}\[\]]++'), 0))
 
-def json_records(doc: Column, row_path: str) -> Column:
-    """The records at ``row_path`` as an array of JSON texts: array elements, or the one value."""
-    steps = path_steps(row_path)
-    return _records(F.get_json_object(doc, spark_path(steps)) if steps else doc)
 
+def nested_text(json: Column, doc: Column, place: JsonPlace) -> Column:
+    """The text of an object or array, from its ``to_json`` and the JSON text that it stands in.
 
-def _records(selected: Column) -> Column:
+    VARIANT has the right values and no order of members, the text has the order and all duplicates. Where
+    both have the same members the text is taken; else there are duplicates, and members are sorted.
+    """
 
-    def unnested(x: Column) -> Column:
-        listed = F.when(x.rlike(r"^\s*\["), F.from_json(x, "array<string>"))
-        return F.when(x.isNull() | (F.trim(x) == "null"), F.array().cast("array<string>")).otherwise(
-            F.coalesce(listed, F.array(x))
-        )
+    def chosen(sorted_: Column) -> Column:
+        # without the blanks between members
+        original = browser_text(F.get_json_object(text_at(doc, place), "$"))
+        same = lambda o: (F.length(o) == F.length(sorted_)) & (_members(o) == _members(sorted_))
+        return let(original, lambda o: F.when(same(o), o).otherwise(sorted_))
 
-    return let(selected, unnested)
+    return let(browser_text(json), chosen)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import selectors
-from ..functions.jsonpath import json_records_at, json_value_at
+from ..functions.jsonpath import JsonPlace, json_cell, json_records, normalize_path, parsed
 from ..functions.selectors import BRANCHES, selector_rows
-from ..functions.text import is_blank, unnest
+from ..functions.text import is_blank, let, unnest
 from .gates import classify, decode_text, decode_utf8, gate, split_rejects
 from .html import extract_html_multi, with_nodes
 from .infer import suggest_html, suggest_json
@@ -73,7 +73,7 @@ def analyze(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     html = known.filter("kind = 'html'").withColumn("html", decode_text(F.col("content_type"), F.col("body"))).drop("body")
     pages = suggest_html(with_nodes(html), keep_nodes=True)
     docs = known.filter("kind = 'json'").withColumn("doc", decode_utf8(F.col("body"))).drop("body")
-    good, broken = split_rejects(gate(docs, F.when(F.try_parse_json("doc").isNull(), "invalid JSON")))
+    good, broken = split_rejects(gate(parsed(docs), F.when(F.col("parsed").isNull(), "invalid JSON")))
     reasons = rejected.select("response_id", "reject_reason").unionByName(broken.select("response_id", "reject_reason"))
     return pages, suggest_json(good), reasons
 
@@ -111,11 +111,12 @@ def _filled(values: DataFrame) -> DataFrame:
 
 def probe_documents(suggested: DataFrame) -> DataFrame:
     """Applies each document's own suggestion, in the same layout as ``probe_pages``."""
-    items = json_records_at(F.col("doc"), F.col("row_selector"))
-    records = unnest(suggested, ["response_id", "url", "fields"], items, "row_pos", "_record")
+    docs = suggested if "parsed" in suggested.columns else parsed(suggested)
+    items = json_records(F.col("parsed"), JsonPlace.at(normalize_path(F.col("row_selector"))))
+    records = unnest(docs, ["response_id", "url", "fields"], items, "row_pos", "_record")
     cells = unnest(records, ["response_id", "row_pos", "_record"], "fields", "field_pos", "_f")
+    text = let(normalize_path(F.col("_f.selector")), lambda p: json_cell(F.col("_record"), JsonPlace.at(p))["text"])
     values = cells.select(
-        "response_id", "row_pos", "field_pos", F.col("_f.name").alias("field_name"),
-        F.coalesce(json_value_at(F.col("_record"), F.col("_f.selector")), F.lit("")).alias("value"),
+        "response_id", "row_pos", "field_pos", F.col("_f.name").alias("field_name"), F.coalesce(text, F.lit("")).alias("value")
     )
     return _filled(values)

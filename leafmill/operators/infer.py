@@ -25,7 +25,7 @@ from ..fixed import (
     NEXT_SELECTORS,
     RESERVED_NAMES,
 )
-from ..functions.jsonpath import kind_of, normalize_path
+from ..functions.jsonpath import normalize_path
 from ..functions.selectors import (
     _all,
     _attr,
@@ -92,7 +92,7 @@ def json_walk(df: DataFrame, roots: Column, out: str, max_depth: int, max_keys:
             F.lit("$").alias("path"),
             F.array(i).alias("ord"),
             F.lit(0).alias("depth"),
-            F.coalesce(kind_of(json), F.lit("scalar")).alias("kind"),
+            let(F.try_parse_json(json), lambda v: F.when(v.isNull(), "scalar").otherwise(_kind(v))).alias("kind"),
             json.alias("json"),
         ),
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from ..fixed import (
     WARN_PAGE_BYTES,
     WARN_ROW_CAP,
 )
-from ..functions.jsonpath import json_records, json_value
+from ..functions.jsonpath import JsonPlace, json_cell, json_records, nested_text, parsed, record_texts
 from ..functions.text import let
 from ..functions.urls import host_of, strip_query
 from .gates import decode_utf8, gate
@@ -21,14 +23,9 @@ from .html import first_of, rows_within_bytes, unnest_records
 
 
 def json_bodies(responses: DataFrame) -> DataFrame:
-    """Adds ``doc`` (text without byte order mark) and rejects malformed JSON."""
-    df = responses.withColumn("doc", decode_utf8(F.col("body")))
-    return gate(df, F.when(F.try_parse_json("doc").isNull(), "invalid JSON"))
-
-
-def json_field(record: Column, path: str, max_chars: int | None = None) -> Column:
-    value = F.coalesce(json_value(record, path), F.lit(""))
-    return value if max_chars is None else F.left(value, F.lit(max_chars))
+    """Adds ``doc`` (text without byte order mark) and ``parsed``, its VARIANT; rejects malformed JSON."""
+    df = parsed(responses.withColumn("doc", decode_utf8(F.col("body"))))
+    return gate(df, F.when(F.col("parsed").isNull(), "invalid JSON"))
 
 
 def extract_json_page(
@@ -41,21 +38,35 @@ def extract_json_page(
     max_chars: int | None = None,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per body: ``records``, matched, title and warnings; the URL loses its query."""
-    fields = rule["fields"]
-    df = docs.withColumn("_source", strip_query(F.col(url)))
-    df = df.withColumn("_items", json_records(F.col(doc), rule.get("rowSelector") or ""))
-
-    def all_records(source: Column) -> Column:
+    """One row per body: ``records``, matched, title and warnings; the URL loses its query.
+
+    A body is parsed once, or not at all where ``docs`` has its VARIANT as ``parsed``. Only where a page has
+    a cell that is an object or array, its text is read once more for the order of members.
+    """
+    fields = [(f["name"], JsonPlace.of(f["selector"])) for f in rule["fields"]]
+    rows = JsonPlace.of(rule.get("rowSelector") or "")
+    df = docs if "parsed" in docs.columns else parsed(docs, doc)
+    df = df.withColumn("_source", strip_query(F.col(url)))
+    df = df.withColumn("_items", json_records(F.col("parsed"), rows))
+    cells = F.transform(first_of(F.col("_items"), max_rows), lambda r: F.struct(*[json_cell(r, place).alias(name) for name, place in fields]))
+    df = df.withColumn("_cells", cells)
+    nested = F.exists("_cells", lambda r: reduce(or_, [r[name]["nested"] for name, _ in fields]))
+    df = df.withColumn("_texts", F.when(nested, record_texts(F.col(doc), rows)))
+
+    def cell(value: Column, text: Column, place: JsonPlace) -> Column:
+        printed = F.when(value["nested"], nested_text(value["text"], text, place)).otherwise(value["text"])
+        printed = F.coalesce(printed, F.lit(""))
+        return printed if max_chars is None else F.left(printed, F.lit(max_chars))
+
+    def all_records(page: Column) -> Column:
         return F.transform(
-            first_of(F.col("_items"), max_rows),
-            lambda r: F.struct(
-                *[json_field(r, f["selector"], max_chars).alias(f["name"]) for f in fields],
-                source.alias("_source"),
+            page["_cells"],
+            lambda r, i: F.struct(
+                *[cell(r[name], F.get(page["_texts"], i), place).alias(name) for name, place in fields], page["_source"].alias("_source")
             ),
         )
 
-    df = df.withColumn("_records", let(F.col("_source"), all_records))
+    df = df.withColumn("_records", let(F.struct("_cells", "_texts", "_source"), all_records))
     out = F.col("_records") if max_bytes is None else F.slice("_records", 1, rows_within_bytes(F.col("_records"), max_bytes))
     df = df.withColumn("records", out)
 
@@ -67,11 +78,11 @@ def extract_json_page(
             F.when(F.size("_items") == 0, WARN_NO_RECORD_JSON),
             *([F.when(F.size("_items") > max_rows, WARN_ROW_CAP)] if max_rows is not None else []),
             *([F.when(F.size("records") < F.size("_records"), WARN_PAGE_BYTES)] if max_bytes is not None else []),
-            *[F.when(empty_everywhere(f["name"]), WARN_EMPTY_FIELD_JSON % f["name"]) for f in fields],
+            *[F.when(empty_everywhere(f["name"]), WARN_EMPTY_FIELD_JSON % f["name"]) for f in rule["fields"]],
         ),
         lambda w: w.isNotNull(),
     )
-    kept = [F.col("_source").alias(c) if c == url else F.col(c) for c in docs.columns if c != doc]
+    kept = [F.col("_source").alias(c) if c == url else F.col(c) for c in docs.columns if c not in (doc, "parsed")]
     return df.select(
         *kept,
         "records",

@@ -20,7 +20,7 @@ def json_props(spark, sf):
 
 
 JSON_PROPS = """
-SELECT event_id, CAST(0 AS INTEGER) AS row_pos, json_extract_string(props, '$.k') AS k, props AS whole, '' AS none,
+SELECT event_id, CAST(0 AS INTEGER) AS row_pos, json_extract_string(props, '$.k') AS k, replace(props, '": ', '":') AS whole, '' AS none,
        'https://api.example.com/events' AS _source
 FROM events
 """
@@ -86,6 +86,44 @@ FROM orders
 """
 
 
+def json_kinds(spark, sf):
+    """Bodies whose spelling matters: duplicate names, numbers in strings, numbers with needless digits, nested texts.
+
+    A line item's quantity is written with a fraction of zero, its price as a string with two digits, and its
+    tax twice; every seventh body names the list twice, and then only the last one counts.
+    """
+    lines = spread(table(spark, sf, "lineitem")).where("l_linenumber <= 3")
+    quantity = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".0"))
+    price = F.col("l_extendedprice").cast("decimal(14,2)").cast("string")
+    tax = F.col("l_tax").cast("decimal(4,2)").cast("string")
+    item = F.concat(
+        F.lit('{"quantity":'), quantity, F.lit(',"price":"'), price, F.lit('","tax":9.99,"flag":"'), "l_returnflag",
+        F.lit('","z":{"b":['), quantity, F.lit(',"'), price, F.lit('"],"a":"\\"1.0\\""},"tax":'), tax, F.lit(',"7":[1e3]}'),
+    )
+    lists = F.concat(F.lit('"items":[null,'), item, F.lit(","), item, F.lit("]"))
+    twice = F.when(F.col("l_orderkey") % 7 == 0, '"items":[{"quantity":5}],').otherwise("")
+    docs = lines.select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("{"), twice, lists, F.lit("}")).alias("doc"), F.lit("https://api.example.com/lines?k=1").alias("url")
+    )
+    paths = {"quantity": "quantity", "price": "price", "tax": "tax", "nested": "z", "second": "z.b[1]", "first": "z.b[0]", "n": "z.b.length", "seven": "[7]", "deep": "[7][0]", "text": "z.a"}
+    rule = {"rowSelector": "items", "fields": [{"name": n, "selector": p} for n, p in paths.items()]}
+    return extract_json(docs, rule, ["l_orderkey", "l_linenumber"])
+
+
+JSON_KINDS = r"""
+WITH b AS (
+  SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR) AS p,
+         CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) AS t FROM lineitem WHERE l_linenumber <= 3)
+SELECT l_orderkey, l_linenumber, CAST(i AS INTEGER) AS row_pos, 'https://api.example.com/lines' AS _source,
+  CASE WHEN i > 0 THEN q ELSE '' END AS quantity, CASE WHEN i > 0 THEN p ELSE '' END AS price,
+  CASE WHEN i > 0 THEN regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') ELSE '' END AS tax,
+  CASE WHEN i > 0 THEN '{"b":[' || q || ',"' || p || '"],"a":"\"1.0\""}' ELSE '' END AS nested,
+  CASE WHEN i > 0 THEN p ELSE '' END AS second, CASE WHEN i > 0 THEN q ELSE '' END AS first, CASE WHEN i > 0 THEN '2' ELSE '' END AS n,
+  CASE WHEN i > 0 THEN '[1000]' ELSE '' END AS seven, CASE WHEN i > 0 THEN '1000' ELSE '' END AS deep, CASE WHEN i > 0 THEN '"1.0"' ELSE '' END AS text
+FROM (SELECT *, unnest([0, 1, 2]) AS i FROM b)
+"""
+
+
 def json_body_rejects(spark, sf):
     """Malformed bodies are rejected: every customer whose balance is negative has a cut-off body."""
     c = spread(table(spark, sf, "customer"))
@@ -229,6 +267,7 @@ FROM b
 QUERIES = {
     "json_props": (json_props, JSON_PROPS),
     "json_api_roundtrip": (json_api_roundtrip, JSON_API_ROUNDTRIP),
+    "json_kinds": (json_kinds, JSON_KINDS),
     "json_body_rejects": (json_body_rejects, JSON_BODY_REJECTS),
     "json_missing_object": (json_missing_object, JSON_MISSING_OBJECT),
     "json_page_warnings": (json_page_warnings, JSON_PAGE_WARNINGS),
