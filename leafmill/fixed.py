@@ -89,6 +89,8 @@ WARN_NO_RECORD_JSON = "数据路径没有匹配到记录，可能已到最后一
 WARN_NEXT_INVALID = "下一页链接无效。"
 WARN_NEXT_OTHER_ORIGIN = "下一页链接指向其他网站，已停止翻页。"
 WARN_NEXT_REPEATED = "检测到重复分页链接，已停止翻页。"
+WARN_LANDED_REPEATED = "分页跳转到已采集网页，已停止。"
+ERROR_PAGE_OTHER_ORIGIN = "分页跳转到了其他网站，已停止采集。"
 WARN_RUN_BYTES = "任务数据达到 5 MB 上限，已停止采集。"
 WARN_INTERRUPTED = "连接意外中断，已采集的数据仍可导出。"
 WARN_STOPPED = "用户已停止任务，保留已获取的数据。"

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed import (
+    ERROR_PAGE_OTHER_ORIGIN,
     MAX_CRAWL_DELAY_SECONDS,
     MIN_INTERVAL_MS,
+    WARN_LANDED_REPEATED,
     WARN_NEXT_OTHER_ORIGIN,
     WARN_NEXT_REPEATED,
 )
@@ -19,6 +18,7 @@ from ..functions.text import let, unnest
 from ..functions.urls import build_url, host_of, origin_of, parse_url, percent_encode, resolve_url, set_query_param
 from ..session import materialize
 from .admission import admitted_url
+from .chains import follow_chains
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, salts: int = 8) -> DataFrame:
@@ -35,71 +35,67 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: st
 # --- pagination ---------------------------------------------------------------------------
 
 
-def _until_done(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
-    """Applies ``step`` (state, round) to the rows that are not ``done`` until none is left.
-
-    Each round is written to the shared folder; its finished rows leave, so only open ones join again.
-    """
-    finished = []
-    while True:
-        table = materialize(step(state, len(finished)), name)
-        finished.append(table.where("done"))
-        state = table.where("not done")
-        if state.isEmpty():
-            return reduce(DataFrame.unionByName, finished)
-
-
-def paginate(seeds: DataFrame, links: DataFrame, max_pages: int | None = None) -> DataFrame:
+def paginate(seeds: DataFrame, links: DataFrame, max_pages: int | None = None, fetch_log: DataFrame | None = None) -> DataFrame:
     """Pages visited by following next links: (run_id, page_index, url, stop_reason).
 
     ``seeds`` (run_id, url); ``links`` (url, next_url), one row per landed page. A run goes on
     until there is no next link, the next one was visited, it leaves the origin, or it has
     ``max_pages`` pages where such a limit is asked for. ``stop_reason`` is set on the last page of
-    a run that stopped for a warning.
+    a run that stopped for a warning or an error.
+
+    With ``fetch_log`` (url, status, location) every URL is asked for first, and the page is where its
+    redirects end; ``links`` is then by final URL. The first page may be anywhere, later ones that leave
+    its origin on the way are an error, and a landing on a visited page is a warning. A seed whose
+    redirects fail has one row, without a URL.
 
-    Each round is one equi-join of the open runs on the URL; the parsed links are written once for
-    all rounds. A run carries its visited URLs along, so that it ends where it would repeat one.
+    Pages form chains in which each has one successor, followed by steps that double.
     """
-    target = F.struct(
-        let(parse_url(F.col("next_url")), lambda p: F.struct(build_url(p, fragment=False).alias("url"), origin_of(p).alias("origin"))).alias("p"),
-        F.col("next_url").isNotNull().alias("given"),
-    )
-    hops = materialize(links.select(F.col("url").alias("_at"), target.alias("_t")), "links")
-    start = seeds.select("run_id", admitted_url(F.col("url")).alias("url")).filter(F.col("url").isNotNull())
-    state = start.select(
-        "run_id",
-        "url",
-        let(parse_url(F.col("url")), origin_of).alias("origin"),
-        F.array("url").alias("seen"),
-        F.lit(False).alias("done"),
-        F.lit(None).cast("string").alias("reason"),
+    start = seeds.select("run_id", admitted_url(F.col("url")).alias("asked")).filter(F.col("asked").isNotNull())
+    target = let(parse_url(F.col("next_url")), lambda p: F.struct(build_url(p, fragment=False).alias("url"), origin_of(p).alias("origin")))
+    given = links.where("next_url is not null").select("url", target.alias("next"))
+    foreign = ~F.coalesce(F.col("next.origin") == let(parse_url(F.col("url")), origin_of), F.lit(False))
+    given = given.select("url", F.col("next.url").alias("asked"), foreign.alias("foreign"))
+    if fetch_log is None:
+        start = start.withColumn("node", F.col("asked")).withColumn("failed", F.lit(None).cast("string"))
+        given = given.withColumn("target", F.col("asked")).withColumn("failed", F.lit(None).cast("string"))
+    else:
+        start = _landed(start, fetch_log, same_origin=False).withColumnRenamed("landed", "node")
+        given = _landed(given, fetch_log, same_origin=True).withColumnRenamed("landed", "target")
+    hops = materialize(given, "links")
+    chains = follow_chains(hops.where("not foreign and failed is null").select(F.col("url").alias("node"), "target"))
+    runs = start.where("failed is null").join(chains.ends, "node", "left").withColumn("full", F.coalesce("hops", F.lit(0)) + 1)
+    runs = materialize(runs.withColumn("length", F.least("full", F.lit(max_pages)).cast("long") if max_pages else F.col("full")), "runs")
+    longest = runs.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    pages = chains.walk(runs.select("run_id", "node", "length", "full", F.col("asked").alias("seed"), "entry", "entry_at"), longest)
+    at_end = F.col("place") + 1 == F.col("full")
+    # the link that first led to the page that comes again, and the one that leads there last
+    ways = pages.where(at_end | (F.col("place") + 1 == F.col("entry_at"))).join(hops.withColumnRenamed("url", "node"), "node")
+    last = F.max(F.when(at_end, F.struct("asked", "foreign", "failed"))).alias("last")
+    ways = ways.groupBy("run_id", "seed").agg(last, F.max(F.when(F.col("place") + 1 == F.col("entry_at"), F.col("asked"))).alias("first"))
+    ways = ways.select(F.col("run_id").alias("_run"), F.col("seed").alias("_seed"), "last", "first")
+    ended = pages.join(ways, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("seed") == F.col("_seed")) & at_end, "left")
+    known = F.col("last.asked").isin(F.col("entry")) | (F.col("last.asked") == F.when(F.col("entry_at") == 0, F.col("seed")).otherwise(F.col("first")))
+    # at the cap nobody looks where the next link leads
+    goes_on = F.col("length") < max_pages if max_pages else F.lit(True)
+    reason = F.when(F.col("last.foreign"), WARN_NEXT_OTHER_ORIGIN).when(
+        goes_on,
+        F.when(F.col("last.failed") == OTHER_SITE, ERROR_PAGE_OTHER_ORIGIN)
+        .when(F.col("last.failed").isNotNull(), F.col("last.failed"))
+        .when(F.col("entry").isNotNull(), F.when(known, WARN_NEXT_REPEATED).otherwise(WARN_LANDED_REPEATED)),
     )
+    found = ended.select("run_id", F.col("place").cast("int").alias("page_index"), F.col("node").alias("url"), F.when(at_end, reason).alias("stop_reason"))
+    if fetch_log is None:
+        return found
+    failed = start.where("failed is not null").select("run_id", F.lit(0).alias("page_index"), F.lit(None).cast("string").alias("url"), F.col("failed").alias("stop_reason"))
+    return found.unionByName(failed)
 
-    def follow(state: DataFrame, index: int) -> DataFrame:
-        last = index + 1 == max_pages
-        at = state.withColumn("_at", F.col("url")).join(hops, ["_at"], "left")
-        url, origin = F.col("_t.p.url"), F.col("_t.p.origin")
-        given = F.coalesce(F.col("_t.given"), F.lit(False))
-        foreign = given & ~F.coalesce(origin == F.col("origin"), F.lit(False))
-        # at the cap nobody looks whether the next page was visited
-        repeated = F.lit(False) if last else given & F.coalesce(F.array_contains("seen", url), F.lit(False))
-        goes_on = given & ~foreign & ~repeated & F.lit(not last)
-        return at.select(
-            "run_id",
-            F.when(goes_on, url).alias("url"),
-            "origin",
-            F.when(goes_on, F.array_append("seen", url)).otherwise(F.col("seen")).alias("seen"),
-            (~goes_on).alias("done"),
-            F.coalesce(
-                "reason", F.when(foreign, WARN_NEXT_OTHER_ORIGIN).when(repeated, WARN_NEXT_REPEATED)
-            ).alias("reason"),
-        )
-
-    visited = _until_done(state, follow, "pages-followed").select("run_id", "seen", "reason", F.posexplode_outer("seen").alias("page_index", "url"))
-    return visited.select(
-        "run_id", "page_index", "url",
-        F.when(F.col("page_index") == F.size("seen") - 1, F.col("reason")).alias("stop_reason"),
-    )
+
+def _landed(rows: DataFrame, fetch_log: DataFrame, same_origin: bool) -> DataFrame:
+    """``rows`` with ``landed``, where ``asked`` ends after redirects, and ``failed``, why it doesn't."""
+    asked = rows.select("asked").where("asked is not null").distinct()
+    requests = asked.select(F.col("asked").alias("request_id"), F.col("asked").alias("url"), F.lit("GET").alias("method"), F.lit(same_origin).alias("same_origin"))
+    ends = resolve_redirects(requests, fetch_log).select(F.col("request_id").alias("asked"), F.col("final_url").alias("landed"), F.col("reason").alias("failed"))
+    return materialize(rows.join(ends, "asked", "left"), "landed")
 
 
 def page_urls(rules: DataFrame) -> DataFrame:
@@ -128,6 +124,7 @@ def stop_at_empty(page_stats: DataFrame, run: str = "run_id", page: str = "page_
 # --- redirects ----------------------------------------------------------------------------
 
 REDIRECTS = (301, 302, 303, 307, 308)
+OTHER_SITE = "redirect to another site"
 
 
 def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects: int | None = None) -> DataFrame:
@@ -136,62 +133,49 @@ def resolve_redirects(requests: DataFrame, fetch_log: DataFrame, max_redirects:
     ``requests`` (request_id, url, method, same_origin); ``fetch_log`` (url, status, location),
     one row per URL. Every target is admitted again; a POST is never redirected. A chain ends with
     "too many redirects" where it would reach a URL for the second time, or after ``max_redirects``
-    hops where such a limit is asked for. Targets are resolved once, in a table written for the
-    rounds; a round joins only the requests that are still being redirected.
+    hops where such a limit is asked for.
+
+    Targets are resolved once, in a table. Redirects form chains in which each URL has one successor,
+    followed by steps that double; requests join the ends of their chains once. Requests that must stay on
+    their site follow chains without the hops that leave one.
     """
-    moved = F.col("status").isin(*REDIRECTS)
+    moved = F.coalesce(F.col("status").isin(*REDIRECTS), F.lit(False))
     target = F.when(moved, admitted_url(resolve_url(F.col("location"), parse_url(F.col("url")))))
-    log = fetch_log.withColumn("_target", target).select(
-        F.col("url").alias("_at"),
-        F.col("status").alias("_status"),
-        moved.alias("_moved"),
-        (F.coalesce(F.col("location"), F.lit("")) == "").alias("_no_location"),
-        "_target",
-        let(parse_url(F.col("_target")), origin_of).alias("_target_origin"),
-    )
+    log = fetch_log.withColumn("target", target).select(
+        "url", "status", moved.alias("moved"), (F.coalesce(F.col("location"), F.lit("")) == "").alias("no_location"), "target",
+        (~let(parse_url(F.col("target")), origin_of).eqNullSafe(let(parse_url(F.col("url")), origin_of))).alias("leaves"),
+    )
     log = materialize(log, "fetch-log")
-    state = requests.select(
-        "request_id",
-        "url",
-        "method",
-        "same_origin",
-        admitted_url(F.col("url")).alias("final_url"),
-        let(parse_url(F.col("url")), origin_of).alias("_origin"),
-        F.lit(0).alias("hops"),
-        F.lit(None).cast("int").alias("status"),
-        F.lit(None).cast("string").alias("reason"),
-        F.lit(False).alias("done"),
+    asked = requests.select(
+        "request_id", "url", (F.coalesce("method", F.lit("GET")) == "POST").alias("post"), F.coalesce("same_origin", F.lit(False)).alias("stays"),
+        admitted_url(F.col("url")).alias("start"),
+    )
+    asked = materialize(asked, "requests")
+    # a node is a URL behind a mark that tells whether its requests must stay on their site
+    marks = [r["stays"] for r in asked.where("start is not null and not post").select("stays").distinct().collect()]
+    node = lambda stays, url: F.concat(F.when(stays, "=").otherwise("+"), url)
+    goes_on = log.where(F.col("moved") & ~F.col("no_location") & F.col("target").isNotNull())
+    edges = goes_on.withColumn("stays", F.explode(F.array(*[F.lit(m) for m in marks]).cast("array<boolean>"))).where("not (stays and leaves)")
+    chains = follow_chains(edges.select(node(F.col("stays"), F.col("url")).alias("node"), node(F.col("stays"), F.col("target")).alias("target")))
+    placed = asked.withColumn("node", F.when(~F.col("post"), node(F.col("stays"), F.col("start")))).join(chains.ends, "node", "left")
+    end = F.when(F.col("last").isNotNull(), F.expr("substring(last, 2)")).otherwise(F.col("start"))
+    placed = placed.select("request_id", "url", "post", "stays", "node", end.alias("final_url"), F.coalesce("hops", F.lit(0)).alias("hops"), F.col("entry").isNotNull().alias("many"))
+    if max_redirects is not None:
+        far = placed.where(F.col("hops") > max_redirects)
+        far = chains.at(far, max_redirects).withColumn("final_url", F.expr("substring(node, 2)")).withColumn("hops", F.lit(max_redirects).cast("long")).withColumn("many", F.lit(True))
+        placed = placed.where(F.col("hops") <= max_redirects).unionByName(far)
+    known = log.select(F.col("url").alias("final_url"), "status", "moved", "no_location", "target", "leaves")
+    found = placed.join(known, "final_url", "left")
+    reason = (
+        F.when(F.col("final_url").isNull(), "not admitted")
+        .when(F.col("status").isNull(), "no response")
+        .when(F.col("moved") & F.col("no_location"), "invalid redirect")
+        .when(F.col("moved") & F.col("post"), "redirected POST")
+        .when(F.col("moved") & F.col("target").isNull(), "invalid redirect")
+        .when(F.col("moved") & F.col("stays") & F.col("leaves"), OTHER_SITE)
+        .when(F.col("moved") & F.col("many"), "too many redirects")
     )
-    state = state.withColumn("reason", F.when(F.col("final_url").isNull(), "not admitted"))
-    state = state.withColumn("seen", F.array("final_url"))
-
-    def follow(state: DataFrame, hop: int) -> DataFrame:
-        at = state.withColumn("_at", F.col("final_url")).join(log, ["_at"], "left")
-        going = F.coalesce("_moved", F.lit(False))
-        again = F.coalesce(F.array_contains("seen", F.col("_target")), F.lit(False))
-        reason = (
-            F.when(F.col("_status").isNull(), "no response")
-            .when(going & F.col("_no_location"), "invalid redirect")
-            .when(going & (F.col("method") == "POST"), "redirected POST")
-            .when(going & F.col("_target").isNull(), "invalid redirect")
-            .when(going & F.col("same_origin") & (F.col("_target_origin") != F.col("_origin")), "redirect to another site")
-            .when(going & (again | F.lit(hop == max_redirects)), "too many redirects")
-        )
-        at = at.withColumn("reason", F.coalesce("reason", reason))
-        goes_on = going & F.col("reason").isNull()
-        return at.select(
-            "request_id", "url", "method", "same_origin",
-            F.when(goes_on, F.col("_target")).otherwise(F.col("final_url")).alias("final_url"),
-            "_origin",
-            (F.col("hops") + goes_on.cast("int")).alias("hops"),
-            F.when(~goes_on, F.col("_status")).alias("status"),
-            "reason",
-            F.when(goes_on, F.array_append("seen", F.col("_target"))).alias("seen"),
-            (~goes_on).alias("done"),
-        )
-
-    done = _until_done(state, follow, "redirects-followed")
-    return done.select("request_id", "url", "final_url", "hops", "status", "reason")
+    return found.select("request_id", "url", "final_url", F.col("hops").cast("int").alias("hops"), "status", reason.alias("reason"))
 
 
 # --- robots -------------------------------------------------------------------------------

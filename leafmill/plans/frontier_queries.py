@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed import WARN_NEXT_OTHER_ORIGIN, WARN_NEXT_REPEATED
+from ..fixed import ERROR_PAGE_OTHER_ORIGIN, WARN_LANDED_REPEATED, WARN_NEXT_OTHER_ORIGIN, WARN_NEXT_REPEATED
 from ..functions.urls import origin_of, parse_url
 from ..functions.text import let
 from ..operators.frontier import (
@@ -58,6 +58,44 @@ FROM walk w LEFT JOIN links l ON l.url = w.url
 """
 
 
+def paginate_redirects(spark, sf):
+    """The same sites behind redirects: plain ones, a landing on a visited page, on another site, in a loop of
+    redirects, and a next link that is the redirected seed."""
+    pages = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("n")).distinct()
+    site, page = F.floor(F.col("n") / 10), F.pmod("n", F.lit(10))
+    kind = F.pmod(site, F.lit(5))
+
+    def link(path, p="", s=site):
+        return F.concat(F.lit("https://s"), s.cast("string"), F.lit(f".example.com/{path}"), F.lit(p) if isinstance(p, str) else p.cast("string"))
+
+    target = (
+        F.when((kind == 0) & (page < 9), link("r/", page + 1))
+        .when((kind == 1) & (page == 5), link("r/", F.lit(2)))
+        .when((kind == 2) & (page == 4), link("out"))
+        .when((kind == 3) & (page == 6), link("loop"))
+        .when((kind == 4) & (page == 3), link("r/", F.lit(0)))
+        .when(page < 9, link("p/", page + 1))
+    )
+    links = pages.select(link("p/", page).alias("url"), target.alias("next_url"))
+    moved = [(link("r/", page), link("p/", page)), (link("out"), link("p/0", s=site + 1)), (link("loop"), link("pool")), (link("pool"), link("loop"))]
+    answers = [F.struct(link("p/", page).alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"))]
+    answers += [F.struct(a.alias("url"), F.lit(302).alias("status"), b.alias("location")) for a, b in moved]
+    log = pages.select(F.inline(F.array(*answers))).distinct()
+    seeds = pages.filter(page == 0).select(site.alias("run_id"), link("", F.when(kind == 4, "r/0").otherwise("p/0")).alias("url"))
+    return paginate(seeds, links, fetch_log=log)
+
+
+PAGINATE_REDIRECTS = f"""
+WITH p AS (SELECT DISTINCT p_partkey // 20 AS n FROM part),
+s AS (SELECT n // 10 AS s, max(n % 10) AS m, CASE (n // 10) % 5 WHEN 0 THEN 9 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 6 ELSE 3 END AS stop FROM p GROUP BY 1)
+SELECT s AS run_id, CAST(i AS INTEGER) AS page_index, 'https://s' || s || '.example.com/p/' || i AS url,
+  CASE WHEN i < least(m, stop) THEN NULL WHEN m < stop THEN 'no response'
+       WHEN s % 5 = 1 THEN '{WARN_LANDED_REPEATED}' WHEN s % 5 = 2 THEN '{ERROR_PAGE_OTHER_ORIGIN}'
+       WHEN s % 5 = 3 THEN 'too many redirects' WHEN s % 5 = 4 THEN '{WARN_NEXT_REPEATED}' END AS stop_reason
+FROM (SELECT *, unnest(range(least(m, stop) + 1)) AS i FROM s)
+"""
+
+
 def page_param_urls(spark, sf):
     c = table(spark, sf, "customer")
     rules = c.select(
@@ -228,6 +266,7 @@ SELECT request_id, CAST(start AS BIGINT) AS start_ms, CAST(start - arrival AS BI
 
 QUERIES = {
     "paginate_sites": (paginate_sites, PAGINATE_SITES),
+    "paginate_redirects": (paginate_redirects, PAGINATE_REDIRECTS),
     "page_param_urls": (page_param_urls, PAGE_PARAM_URLS),
     "empty_page_stop": (empty_page_stop, EMPTY_PAGE_STOP),
     "redirect_chains": (redirect_chains, REDIRECT_CHAINS),
