@@ -142,28 +142,30 @@ def describe(docs: DataFrame, runs: int, words: int, threshold: float) -> DataFr
 
 
 def _split(texts: DataFrame, words: int, threshold: float, levels: int) -> DataFrame:
-    """(set_key, parent, paths, level): the paths that go on from each of the large buckets (``hot``) of a
-    set, those that go on from these, and so on for ``levels`` levels; texts are read once for all.
-    Parents from which nothing goes on are left out."""
+    """(set_key, level, ways): the paths that go on from each of the large buckets (``hot``) of a set, those
+    that go on from these, and so on for ``levels`` levels; texts are read once for all. ``ways`` has a
+    parent and its paths; parents from which nothing goes on are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            keys, parents, paths, depths = [], [], [], []
+            keys, depths, sizes, parents, paths = [], [], [], [], []
             for key, tokens, hot in zip(batch.column("set_key").to_pylist(), shingle_sets(batch.column("text"), words), batch.column("hot").to_pylist(), strict=True):
                 ends = np.array(hot, np.int64).view(np.uint64)
                 for level in range(1, levels + 1):
                     new = [(p, on) for p in ends if len(on := next_paths(tokens, p, threshold))]
                     if not new:
                         break
+                    keys.append(key)
+                    depths.append(level)
+                    sizes.append(len(new))
                     parents += np.array([p for p, _ in new]).view(np.int64).tolist()
                     paths += [on.view(np.int64) for _, on in new]
-                    keys += [key] * len(new)
-                    depths += [level] * len(new)
                     ends = np.concatenate([on for _, on in new])
-            columns = [pa.array(keys, pa.binary()), pa.array(parents, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(depths, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["set_key", "parent", "paths", "level"])
+            ways = pa.StructArray.from_arrays([pa.array(parents, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], ["parent", "paths"])
+            ways = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), ways)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(depths, pa.int32()), ways], ["set_key", "level", "ways"])
 
-    return texts.select("set_key", "text", "hot").mapInArrow(run, "set_key binary, parent long, paths array<long>, level int")
+    return texts.select("set_key", "text", "hot").mapInArrow(run, "set_key binary, level int, ways array<struct<parent: long, paths: array<long>>>")
 
 
 def loose_edges(sketches: np.ndarray, agreement: float) -> list[tuple[int, int]]:
@@ -344,9 +346,10 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
             splits = materialize(_split(texts.where("hot is not null"), words, threshold, max_depth - 1), "splits")
         further = splits.where(F.col("level") == depth)
         if depth > 1:
-            # the first level goes on from large buckets only
-            further = further.join(hot.select("set_key", F.col("path").alias("parent")), ["set_key", "parent"])
-        paths = materialize(further.select("set_key", F.explode("paths").alias("path")), "paths")
+            # the first level goes on from large buckets only; a set brings all its large buckets in one row
+            by_set = hot.groupBy("set_key").agg(F.collect_list("path").alias("hot"))
+            further = further.join(by_set, "set_key").withColumn("ways", F.filter("ways", lambda w: F.array_contains("hot", w["parent"])))
+        paths = materialize(further.select("set_key", F.explode(F.flatten("ways.paths")).alias("path")), "paths")
     edges = _bucket_edges(leaves.join(sets.select("set_key", "sketch"), "set_key"), SKETCH_AGREEMENT)
     classes = materialize(components(materialize(edges, "loose-edges")), "loose-classes")
     members = classes.select(F.col("node").alias("set_key"), F.col("root").alias("class")).join(sets.select("set_key", "n"), "set_key")
