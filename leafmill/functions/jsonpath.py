@@ -162,14 +162,18 @@ def _member_or_element(value: Column, step: Column) -> Column:
 def json_cell(value: Column, place: JsonPlace) -> Column:
     """(text, nested) of what stands at ``place`` in a VARIANT; the text is NULL when it is missing or null.
 
-    Strings are as they are, numbers as a browser prints them. Objects and arrays are ``nested``, and their
-    text is still that of ``to_json``, with the names in order: see ``nested_text``.
+    Strings are as they are, numbers as a browser prints them, and so are objects and arrays. Those with
+    several members are ``nested``, and their text is still that of ``to_json``, with the names in order:
+    see ``nested_text``.
     """
 
     def typed(text: Column) -> Column:
         def by_kind(json: Column) -> Column:
-            nested = json.rlike(r"^[\[{]")
-            return F.struct(F.when(json.startswith('"'), text).when(nested, json).otherwise(let(json, number_text)).alias("text"), nested.alias("nested"))
+            container = json.rlike(r"^[\[{]")
+            # only members of one object can be out of order
+            nested = container & json.contains("{") & json.contains(",")
+            printed = F.when(json.startswith('"'), text).when(nested, json).when(container, browser_text(json)).otherwise(let(json, number_text))
+            return F.struct(printed.alias("text"), nested.alias("nested"))
 
         plain = F.struct(text.alias("text"), F.lit(False).alias("nested"))
         return F.when(text.rlike(_UNSURE), let(F.to_json(place.get(value)), by_kind)).otherwise(plain)

@@ -379,7 +379,22 @@ _TEST_TYPE = (
     f"struct<{_SIMPLE_TYPE},"
     f"groups:array<struct<rel:string,tests:array<struct<{_SIMPLE_TYPE}>>>>>"
 )
-BRANCHES = f"array<array<struct<comb:string,tests:array<{_TEST_TYPE}>>>>"
+BRANCHES = f"array<array<struct<comb:string,anchor:struct<kind:string,name:string,value:string>,tests:array<{_TEST_TYPE}>>>>"
+
+
+def _anchor(tests: list[Test]) -> tuple[str, str, str]:
+    """The test to look nodes up by."""
+    wanted = [
+        lambda t: t.kind == "attr" and t.op == "=" and t.name == "id",
+        lambda t: t.kind == "class",
+        lambda t: t.kind == "attr" and t.op == "=",
+        lambda t: t.kind == "tag" and t.value != "*",
+    ]
+    for fits in wanted:
+        for t in tests:
+            if fits(t):
+                return t.kind, t.name, t.value
+    return "any", "", ""
 
 
 def selector_rows(selector: str) -> list:
@@ -392,7 +407,7 @@ def selector_rows(selector: str) -> list:
 
     return [
         [
-            (step.comb, [(*simple(t), [(rel, [simple(x) for x in tests]) for rel, tests in t.groups]) for t in step.tests])
+            (step.comb, _anchor(step.tests), [(*simple(t), [(rel, [simple(x) for x in tests]) for rel, tests in t.groups]) for t in step.tests])
             for step in branch
         ]
         for branch in parse_selector(selector)
@@ -457,32 +472,43 @@ def _data_test(nodes: Column, n: Column, t: Column) -> Column:
     )
 
 
+def _anchored(nodes: Column, step: Column) -> Column:
+    """The elements that pass the step's most telling test: its id, else a class, else its tag.
+
+    One comparison per node, so that all other tests only see what is left.
+    """
+    by = step["anchor"]
+    return (
+        F.when(by["kind"] == "tag", F.filter(nodes, lambda n: n["tag"] == by["value"]))
+        .when(by["kind"] == "class", F.filter(nodes, lambda n: F.array_contains(n["classes"], by["value"])))
+        .when(by["kind"] == "attr", F.filter(nodes, lambda n: is_element(n) & (_attr(n, by["name"]) == by["value"])))
+        .otherwise(F.filter(nodes, is_element))
+    )
+
+
 def select_by(nodes: Column, branches: Column, scope: Column | None = None) -> Column:
-    """Nodes that match a selector held in a column of type BRANCHES."""
+    """Nodes that match a selector held in a column of type BRANCHES, in document order.
+
+    Each step is looked for among the nodes of its anchor, and linked to the places that the step before
+    it has found.
+    """
     scope_pre = scope["pre"] if scope is not None else F.lit(0)
 
-    def follow(flags: Column, step: Column) -> Column:
-        def holds(n: Column) -> Column:
+    def follow(found: Column, step: Column) -> Column:
+        def linked(n: Column) -> Column:
             comb = step["comb"]
-            linked = (
+            return (
                 F.when(comb == "", F.lit(True))
-                .when(comb == " ", _related(nodes, n, flags, " "))
-                .when(comb == ">", _related(nodes, n, flags, ">"))
-                .when(comb == "+", _related(nodes, n, flags, "+"))
-                .otherwise(_related(nodes, n, flags, "~"))
+                .when(comb == " ", F.arrays_overlap(n["path"], found))
+                .when(comb == ">", F.array_contains(found, n["parent"]))
+                .when(comb == "+", F.array_contains(found, n["prev"]))
+                .otherwise(F.exists(found, lambda m: (m < n["pre"]) & (F.get(nodes, m)["parent"] == n["parent"])))
             )
-            return is_element(n) & F.forall(step["tests"], lambda t: _data_test(nodes, n, t)) & linked
 
+        held = F.filter(_anchored(nodes, step), lambda n: linked(n) & F.forall(step["tests"], lambda t: _data_test(nodes, n, t)))
         scoped = F.exists(step["tests"], lambda t: t["kind"] == "scope")
-        return F.when(scoped, F.transform(nodes, lambda n: n["pre"] == scope_pre)).otherwise(
-            F.transform(nodes, lambda n: holds(n))
-        )
+        return F.when(scoped, F.array(scope_pre)).otherwise(F.transform(held, lambda n: n["pre"]))
 
-    matched = F.transform(
-        branches,
-        lambda steps: F.aggregate(steps, F.transform(nodes, lambda n: F.lit(True)), lambda f, s: follow(f, s)),
-    )
-    return let(
-        matched,
-        lambda per_branch: F.filter(nodes, lambda n: F.exists(per_branch, lambda f: _flag(f, n["pre"]))),
-    )
+    places = F.transform(branches, lambda steps: F.aggregate(steps, F.array().cast("array<int>"), follow))
+    one = F.when(F.size(branches) == 1, F.get(places, F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.flatten(places))))
+    return F.transform(one, lambda p: F.get(nodes, p))

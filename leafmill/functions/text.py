@@ -16,6 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def count_upto(numbers: Column, limit: Column) -> Column:
+    """How many of an array's rising numbers are not above ``limit``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(30))])
+    return F.aggregate(steps, F.lit(0), lambda at, by: F.when(F.get(numbers, at + by - 1) <= limit, at + by).otherwise(at))
+
+
 def trim_all(c: Column) -> Column:
     """Trims every Unicode white space, not only blanks."""
     return F.regexp_replace(c, EDGE_SPACES, "")

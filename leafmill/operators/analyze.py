@@ -38,12 +38,13 @@ def _shaped(text: str) -> list:
         [
             {
                 "comb": comb,
+                "anchor": dict(zip(("kind", "name", "value"), anchor)),
                 "tests": [
                     {**plain(t), "groups": [{"rel": rel, "tests": [plain(i) for i in inner]} for rel, inner in t[6]]}
                     for t in tests
                 ],
             }
-            for comb, tests in branch
+            for comb, anchor, tests in branch
         ]
         for branch in selector_rows(text)
     ]
@@ -52,7 +53,8 @@ def _shaped(text: str) -> list:
 def _compiled(texts: pa.Array) -> pa.Array:
     simple = pa.struct([(n, pa.int32() if n in "ab" else pa.string()) for n in _TEST])
     groups = pa.list_(pa.struct([("rel", pa.string()), ("tests", pa.list_(simple))]))
-    step = pa.struct([("comb", pa.string()), ("tests", pa.list_(pa.struct([*simple, pa.field("groups", groups)])))])
+    anchor = pa.struct([(n, pa.string()) for n in ("kind", "name", "value")])
+    step = pa.struct([("comb", pa.string()), ("anchor", anchor), ("tests", pa.list_(pa.struct([*simple, pa.field("groups", groups)])))])
     rows = [[_shaped(t or "") for t in row or []] for row in texts.to_pylist()]
     return pa.array(rows, pa.list_(pa.list_(pa.list_(step))))
 

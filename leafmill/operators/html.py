@@ -31,7 +31,7 @@ from ..functions.selectors import (
 )
 from ..functions.shred import shred
 from ..session import small_table
-from ..functions.text import collapse, let, trim_all, unnest
+from ..functions.text import collapse, count_upto, let, trim_all, unnest
 from ..functions.urls import host_of, is_other_scheme, parse_url, resolve_parts, resolve_url
 
 
@@ -108,6 +108,20 @@ def next_link(nodes: Column, base: Column, selector: str) -> Column:
     )
 
 
+def placed(hits: Column) -> Column:
+    """Hits in document order with their places, to be searched by ``hits_inside``."""
+    return F.struct(hits.alias("hits"), F.transform(hits, lambda h: h["pre"]).alias("places"))
+
+
+def hits_inside(page: Column, c: Column) -> Column:
+    """The hits below container ``c``: as both are in document order, they are one stretch, whose ends are
+    found by halving. Few hits are looked through."""
+    few = F.filter(page["hits"], lambda h: (h["pre"] > c["pre"]) & (h["pre"] <= c["pre"] + c["n_desc"]))
+    ends = F.struct(count_upto(page["places"], c["pre"]).alias("first"), count_upto(page["places"], c["pre"] + c["n_desc"]).alias("last"))
+    many = let(ends, lambda e: F.slice(page["hits"], e["first"] + 1, e["last"] - e["first"]))
+    return F.when(F.size(page["places"]) <= 64, few).otherwise(many)
+
+
 # --- one rule over many pages -------------------------------------------------------------
 
 
@@ -159,7 +173,8 @@ def extract_page(
         key = (f["selector"], f["attribute"])
         if key not in hits:
             hits[key] = f"_hits{len(hits)}"
-            df = df.withColumn(hits[key], valued(select(nodes, f["selector"]), f["attribute"]))
+            found = valued(select(nodes, f["selector"]), f["attribute"])
+            df = df.withColumn(hits[key], let(found, placed))
 
     def cell(f: dict, c: Column, page: Column) -> Column:
         if f["selector"] == ":scope":
@@ -167,9 +182,9 @@ def extract_page(
             return fold_values(F.array(_value(nodes, page["_base"], own, f["attribute"])), max_chars)
         if is_scoped(f["selector"]):
             found = valued(select(nodes, f["selector"], scope=c), f["attribute"])
+            inside = F.filter(found, lambda h: (h["pre"] > c["pre"]) & (h["pre"] <= c["pre"] + c["n_desc"]))
         else:
-            found = page[hits[f["selector"], f["attribute"]]]
-        inside = F.filter(found, lambda h: (h["pre"] > c["pre"]) & (h["pre"] <= c["pre"] + c["n_desc"]))
+            inside = hits_inside(page[hits[f["selector"], f["attribute"]]], c)
         return fold_values(F.transform(first_of(inside, max_nodes), lambda h: h["value"]), max_chars)
 
     def all_records(page: Column) -> Column:
@@ -307,7 +322,7 @@ def extract_html_multi(
         F.col("_base"),
         lambda base: F.transform(
             "fields",
-            lambda f: valued(F.when(f["scoped"], no_nodes).otherwise(select_by(nodes, f["sel"])), f, base),
+            lambda f: let(valued(F.when(f["scoped"], no_nodes).otherwise(select_by(nodes, f["sel"])), f, base), placed),
         ),
     )
     df = df.withColumn("_hits", shared_hits)
@@ -319,7 +334,7 @@ def extract_html_multi(
         in_scope = F.when(f["own"], F.slice(nodes, c["pre"] + 1, 1)).otherwise(
             F.filter(select_by(nodes, f["sel"], scope=c), inside)
         )
-        shared = F.filter(F.get(page["_hits"], i), inside)
+        shared = let(F.get(page["_hits"], i), lambda hits: hits_inside(hits, c))
         chosen = first_of(F.when(f["scoped"], valued(in_scope, f, page["_base"])).otherwise(shared), max_nodes)
         return F.struct(
             f["name"].alias("name"),
