@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import SPACE
 
 SHINGLE_WORDS = 5
@@ -14,38 +15,56 @@ SHINGLE_WORDS = 5
 FRACTION = 1 / 8
 # Hexadecimal digits of a hash.
 DIGITS = 16
+# A shingle's hash has two halves: sums of its words' CRCs, each times a number of its place, modulo a prime.
+# The numbers are powers, so small that the sum of seven products fits into a long.
+PRIMES = (2**31 - 1, 2**31 - 19)
+PLACES = 268435399
+BASES = (31415927, 27182818)
 # Most cells that documents are dealt to in the order of their ids: the bound of what is broadcast.
 MAX_CELLS = 1 << 16
 
 
-def threshold(fraction: float) -> str:
-    """The least hash that is not retained; beyond all hashes for a fraction of 1."""
-    return f"{min(int(fraction * 16**DIGITS), 16**DIGITS - 1):0{DIGITS}x}" if fraction < 1 else "g"
+def threshold(fraction: float) -> int:
+    """The least first half of a hash that is not retained."""
+    return int(fraction * PRIMES[0])
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+def place_numbers(half: int, n: int) -> list[int]:
+    if n > 7:
+        raise ValueError("shingles of more than seven words")
+    return [pow(BASES[half], k + 1, PLACES) for k in range(n)]
 
 
-def shingle_hashes(words: Column, n: int = SHINGLE_WORDS) -> Column:
-    """The distinct hashes of all runs of ``n`` words joined by a blank; a shorter text is one run.
+def word_hashes(text: Column) -> Column:
+    """The CRCs of a text's words, in their order."""
+    return F.transform(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), lambda w: F.crc32(w.cast("binary")))
 
-    ``words`` should be a column of its own: an expression would be evaluated for each run.
+
+def sketch(words: Column, fraction: float = FRACTION, n: int = SHINGLE_WORDS) -> Column:
+    """The sorted distinct hashes, as hexadecimal text, of all runs of ``n`` words that are below the fixed
+    fraction, and the least one in any case. A shorter text is one run, a text without words has none.
+
+    ``words`` are the hashes of the words and should be a column of its own: an expression would be
+    evaluated for each run.
     """
-    runs = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-    hashed = F.transform(runs, lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, n), " ").cast("binary")), 1, DIGITS))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(hashed)
+    runs = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
 
+    def half(i: Column, which: int) -> Column:
+        total = sum(F.coalesce(F.get(words, i + k), F.lit(0)) * F.lit(number) for k, number in enumerate(place_numbers(which, n)))
+        return total % PRIMES[which]
 
-def sketch(hashes: Column, fraction: float = FRACTION) -> Column:
-    """The hashes below the fixed fraction, sorted, and the least one in any case."""
-    below = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < threshold(fraction))))
-    return F.when(F.size(hashes) == 0, hashes).when(F.size(below) == 0, F.array(F.array_min(hashes))).otherwise(below)
+    whole = lambda i: F.lower(F.lpad(F.hex(half(i, 0) * 2**31 + half(i, 1)), DIGITS, "0"))
+    below = F.transform(F.filter(runs, lambda i: half(i, 0) < threshold(fraction)), whole)
+    kept = let(below, lambda some: F.when(F.size(some) > 0, F.array_sort(F.array_distinct(some))).otherwise(F.array(F.array_min(F.transform(runs, whole)))))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(kept)
 
 
 def merged(left: Column, right: Column, fraction: float = FRACTION) -> Column:
     """The sketch of both documents' shingles together, from their sketches alone."""
-    return sketch(F.array_distinct(F.concat(left, right)), fraction)
+    both = F.array_sort(F.array_distinct(F.concat(left, right)))
+    least = f"{threshold(fraction) << 31:0{DIGITS}x}"
+    below = F.filter(both, lambda h: h < least)
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
 
 
 def containment(part: Column, whole: Column) -> Column:
@@ -79,8 +98,8 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, n: int = SHINGLE_W
     ones. No shuffle. Other columns pass through, save one named fingerprint or _words.
     """
     kept = [f"`{c}`" for c in docs.columns if c not in ("fingerprint", "_words")]
-    cut = docs.select(*kept).withColumn("_words", words_of(F.coalesce(F.col("text"), F.lit(""))))
-    return cut.select(*kept, written(sketch(shingle_hashes(F.col("_words"), n), fraction)).alias("fingerprint"))
+    cut = docs.select(*kept).withColumn("_words", word_hashes(F.coalesce(F.col("text"), F.lit(""))))
+    return cut.select(*kept, written(sketch(F.col("_words"), fraction, n)).alias("fingerprint"))
 
 
 def cells(docs: DataFrame) -> DataFrame:
@@ -151,7 +170,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.left("text", n_chars - half), F.left("next_text", half))
     rows = with_next(docs).select("doc_id", n_chars.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", "next_id", edited.alias("edited"))
-    rows = rows.withColumn("_words", words_of(F.col("edited"))).withColumn("_edited", sketch(shingle_hashes(F.col("_words"))))
+    rows = rows.withColumn("_words", word_hashes(F.col("edited"))).withColumn("_edited", sketch(F.col("_words")))
     own, after = read_back(F.col("fingerprint")), read_back(F.col("next_fingerprint"))
     rows = rows.select("doc_id", "n_chars", "edited", "fingerprint", "next_id", "_edited", own.alias("_own"), after.alias("_after"))
     return rows.select(
@@ -167,30 +186,21 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 
 def compare_sql(fraction: float = FRACTION, n: int = SHINGLE_WORDS) -> str:
-    def hashes(text: str) -> str:
-        return (
-            f"list_transform(range(1, greatest(len({text}) - {n - 2}, 2)), "
-            f"lambda i: substr(md5(array_to_string(list_slice({text}, i, i + {n - 1}), ' ')), 1, {DIGITS}))"
-        )
-
-    def words(text: str) -> str:
-        return f"list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
-
-    def sketched(words: str, hashes: str) -> str:
-        below = f"list_filter({hashes}, lambda h: h < '{threshold(fraction)}')"
-        return (
-            f"CASE WHEN len({words}) = 0 THEN [] WHEN len({below}) = 0 THEN [list_min({hashes})] "
-            f"ELSE list_sort(list_distinct({below})) END"
-        )
-
     def alike(a: str, b: str) -> str:
         return (
             f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) = 0 THEN 0.0 "
             f"ELSE len(list_intersect({a}, {b}))::DOUBLE / least(len({a}), len({b})) END"
         )
 
+    halves = [
+        "(" + " + ".join(f"coalesce(lead(crc, {k}) OVER w, 0) * {number}" for k, number in enumerate(place_numbers(which, n))) + f") % {PRIMES[which]}"
+        for which in (0, 1)
+    ]
     return f"""
-WITH ordered AS (
+WITH byte_table AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS steps
+),
+ordered AS (
     SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')) DESC) AS nth, doc_id, coalesce(text, '') AS text FROM documents
 ),
 paired AS (
@@ -198,9 +208,30 @@ paired AS (
            left(a.text, CAST(length(a.text) - length(a.text) // 2 AS BIGINT)) || left(b.text, CAST(length(a.text) // 2 AS BIGINT)) AS edited
     FROM ordered a JOIN ordered b ON b.nth = CASE WHEN a.nth = (SELECT max(nth) FROM ordered) THEN 1 ELSE a.nth + 1 END
 ),
-cut AS (SELECT nth, next_nth, doc_id, next_id, n_chars, edited, {words("text")} AS w, {words("edited")} AS ew FROM paired),
-hashed AS (SELECT *, {hashes("w")} AS h, {hashes("ew")} AS eh FROM cut),
-sketched AS (SELECT *, {sketched("w", "h")} AS s, {sketched("ew", "eh")} AS es FROM hashed)
+cut AS (
+    SELECT nth, which, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM (SELECT nth, 0 AS which, text AS t FROM paired UNION ALL SELECT nth, 1, edited FROM paired)
+),
+each AS (SELECT nth, which, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM cut),
+spelled AS (SELECT word, hex(encode(word)) AS bytes FROM (SELECT DISTINCT word FROM each)),
+crcs AS (
+    SELECT word, xor(list_reduce(list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || substr(bytes, i, 2) AS BIGINT)),
+           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+    FROM spelled, byte_table
+),
+runs AS (
+    SELECT nth, which, n, place, {halves[0]} AS high, {halves[1]} AS low FROM each JOIN crcs USING (word)
+    WINDOW w AS (PARTITION BY nth, which ORDER BY place)
+),
+hashes AS (
+    SELECT nth, which, high < {threshold(fraction)} AS below, lower(lpad(to_hex(high * 2147483648 + low), {DIGITS}, '0')) AS h
+    FROM runs WHERE place <= greatest(n - {n - 1}, 1)
+),
+sketches AS (
+    SELECT nth, which, coalesce(list_sort(list(DISTINCT h) FILTER (WHERE below)), [min(h)]) AS s FROM hashes GROUP BY nth, which
+),
+own AS (SELECT p.*, coalesce(s, []) AS s FROM paired p LEFT JOIN sketches k ON k.nth = p.nth AND which = 0),
+sketched AS (SELECT o.*, coalesce(k.s, []) AS es FROM own o LEFT JOIN sketches k ON k.nth = o.nth AND which = 1)
 SELECT a.doc_id, a.n_chars, sha256(a.edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint,
        array_to_string(a.es, '') AS edited_fingerprint, {alike("a.s", "a.es")} AS near_edited, {alike("a.s", "b.s")} AS near_next, a.next_id
 FROM sketched a JOIN sketched b ON a.next_nth = b.nth

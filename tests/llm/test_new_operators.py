@@ -109,9 +109,14 @@ def test_crc_of_joined_parts():
 
 def sketch_by_hand(text, fraction=1 / 8):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
-    runs = [" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))] if words else []
-    hashes = sorted({hashlib.md5(r.encode()).hexdigest()[:16] for r in runs})
-    return [h for h in hashes if int(h, 16) < fraction * 16**16] or hashes[:1]
+    runs = [words[i : i + 5] for i in range(max(len(words) - 4, 1))] if words else []
+    halves = [(31415927, 2**31 - 1), (27182818, 2**31 - 19)]
+    hashes = set()
+    for run in runs:
+        high, low = (sum(zlib.crc32(w.encode()) * pow(base, k + 1, 268435399) for k, w in enumerate(run)) % prime for base, prime in halves)
+        hashes.add(f"{high * 2**31 + low:016x}")
+    least = f"{int(fraction * (2**31 - 1)) * 2**31:016x}"
+    return [h for h in sorted(hashes) if h < least] or sorted(hashes)[:1]
 
 
 def alike(a, b):
@@ -164,8 +169,8 @@ def test_sketches_merge_and_estimate_containment(spark):
     rows = spark.createDataFrame([(" ".join(parts), parts[1])], "whole string, part string")
     made = rows
     for c in ("whole", "part"):
-        made = made.withColumn(f"_{c}", scaled_sketch.words_of(F.col(c)))
-        made = made.withColumn(c, scaled_sketch.sketch(scaled_sketch.shingle_hashes(F.col(f"_{c}"))))
+        made = made.withColumn(f"_{c}", scaled_sketch.word_hashes(F.col(c)))
+        made = made.withColumn(c, scaled_sketch.sketch(F.col(f"_{c}")))
     row = made.select(
         scaled_sketch.containment(F.col("part"), F.col("whole")).alias("inside"),
         scaled_sketch.containment(F.col("whole"), F.col("part")).alias("share"),
