@@ -109,7 +109,7 @@ def cells(docs: DataFrame) -> DataFrame:
     over the cells between them by their digests; so are null ids, below all others.
     """
     spark = docs.sparkSession
-    levels = min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    levels = min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     n = 2**levels
     rows = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     shares = [i / n for i in range(1, n)]
