@@ -37,16 +37,11 @@ def _nodes(pages: pa.Array) -> pa.Array:
             path_ends.append(len(paths))
             total += 1
         page_ends.append(total)
-    # Arrow marks a missing list by a null offset, but the last offset must be set.
-    if page_ends[-1] is None:
-        valid = [end is not None for end in page_ends[1:]]
-        filled, last = [0], 0
-        for end in page_ends[1:]:
-            last = end if end is not None else last
-            filled.append(last)
-        offsets, mask = pa.array(filled, pa.int32()), pa.array([not v for v in valid])
-    else:
-        offsets, mask = pa.array(page_ends, pa.int32()), None
+    offsets, last = [0], 0
+    for end in page_ends[1:]:
+        last = end if end is not None else last
+        offsets.append(last)
+    missing = pa.array([end is None for end in page_ends[1:]], pa.bool_())
     ints = {i: pa.array(flat[i], pa.int32()) for i in (0, 1, 2, 3, 7, 8, 9, 10)}
     attrs = pa.MapArray.from_arrays(
         pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())
@@ -67,7 +62,7 @@ def _nodes(pages: pa.Array) -> pa.Array:
             "sib", "n_sib", "sib_of_type", "n_sib_of_type", "path", "text",
         ],
     )
-    return pa.ListArray.from_arrays(offsets, node, mask=mask)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), node, mask=missing)
 
 
 # The helper travels with the job, so executors need no copy of this package.

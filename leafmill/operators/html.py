@@ -206,8 +206,8 @@ def extract_page(
     warnings = F.filter(
         F.array(
             F.when(F.size("_containers") == 0, WARN_NO_CONTAINER),
-            *([F.when(F.size("_containers") > max_rows, WARN_ROW_CAP)] if max_rows is not None else []),
-            *([F.when(F.size("records") < F.size("_records"), WARN_PAGE_BYTES)] if max_bytes is not None else []),
+            *([F.when(F.size("_containers") > max_rows, row_cap_text(max_rows))] if max_rows is not None else []),
+            *([F.when(F.size("records") < F.size("_records"), page_bytes_text(max_bytes))] if max_bytes is not None else []),
             *[F.when(empty_everywhere(name), WARN_EMPTY_FIELD_HTML % name) for name in names],
             F.when(F.col("_next.href").isNotNull() & F.col("_next.url").isNull(), WARN_NEXT_INVALID),
         ),
@@ -224,6 +224,15 @@ def extract_page(
     )
 
 
+def row_cap_text(max_rows: int) -> str:
+    return WARN_ROW_CAP.replace("200", str(max_rows))
+
+
+def page_bytes_text(max_bytes: int) -> str:
+    size = f"{max_bytes >> 20} MB" if max_bytes % (1 << 20) == 0 else f"{max_bytes} 字节"
+    return WARN_PAGE_BYTES.replace("1 MB", size)
+
+
 def rows_within_bytes(records: Column, max_bytes: int) -> Column:
     """How many leading records stay within ``max_bytes`` of UTF-8 JSON; the one that crosses goes."""
     sizes = F.transform(records, lambda r: F.octet_length(F.to_json(r)).cast("long"))
@@ -295,6 +304,28 @@ def extract_html_multi(
     ``routed`` holds pages joined with their rule (``nodes`` plus the RULE_PLAN columns). Gives
     (keys, rule_id, row_pos, field_pos, field_name, value, _source).
     """
+    df = with_html_records(routed, url=url, max_rows=max_rows, max_nodes=max_nodes, max_chars=max_chars)
+    kept = F.col("_records")
+    if max_bytes is not None:
+        kept = F.slice("_records", 1, rows_within_bytes(records_as_maps(F.col("_records"), F.col(url)), max_bytes))
+    rows = unnest(df, [*keys, "rule_id", F.col(url).alias("_source")], kept, "row_pos", "_cells")
+    cells = unnest(rows, [*keys, "rule_id", "row_pos", "_source"], "_cells", "field_pos", "_c")
+    return cells.select(
+        *keys, "rule_id", "row_pos", "field_pos",
+        F.col("_c.name").alias("field_name"), F.col("_c.value").alias("value"), "_source",
+    )
+
+
+def records_as_maps(records: Column, source: Column) -> Column:
+    """Records as the size rule looks at them: name to value, plus the source."""
+    return F.transform(records, lambda r: F.map_concat(F.map_from_entries(r), F.create_map(F.lit("_source"), source)))
+
+
+def with_html_records(
+    routed: DataFrame, *, url: str = "url", max_rows: int | None = None, max_nodes: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """Adds ``_base``, ``_containers`` and ``_records``: for each container the (name, value) of every field
+    of the page's own rule."""
     nodes = F.col("nodes")
     df = routed.withColumn("_base", base_url(nodes, F.col(url)))
     containers = F.when(F.size("row_sel") == 0, F.slice(nodes, 1, 1)).otherwise(
@@ -347,18 +378,4 @@ def extract_html_multi(
             lambda c: F.transform("fields", lambda f, i: cell(c, f, i, page)),
         )
 
-    df = df.withColumn("_records", let(F.struct("_base", "_containers", "_hits"), all_records))
-    kept = F.col("_records")
-    if max_bytes is not None:
-        # The size rule looks at the record as an object: name to value, plus the source.
-        as_maps = F.transform(
-            "_records",
-            lambda r: F.map_concat(F.map_from_entries(r), F.create_map(F.lit("_source"), F.col(url))),
-        )
-        kept = F.slice("_records", 1, rows_within_bytes(as_maps, max_bytes))
-    rows = unnest(df, [*keys, "rule_id", F.col(url).alias("_source")], kept, "row_pos", "_cells")
-    cells = unnest(rows, [*keys, "rule_id", "row_pos", "_source"], "_cells", "field_pos", "_c")
-    return cells.select(
-        *keys, "rule_id", "row_pos", "field_pos",
-        F.col("_c.name").alias("field_name"), F.col("_c.value").alias("value"), "_source",
-    )
+    return df.withColumn("_records", let(F.struct("_base", "_containers", "_hits"), all_records)).drop("_hits")

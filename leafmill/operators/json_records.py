@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from ..fixed import (
     WARN_EMPTY_FIELD_JSON,
     WARN_NO_RECORD_JSON,
-    WARN_PAGE_BYTES,
-    WARN_ROW_CAP,
 )
 from ..functions.jsonpath import JsonPlace, json_cell, json_records, nested_text, parsed, record_texts
 from ..functions.text import let
 from ..functions.urls import host_of, strip_query
 from .gates import decode_utf8, gate
-from .html import first_of, rows_within_bytes, unnest_records
+from .html import first_of, page_bytes_text, row_cap_text, rows_within_bytes, unnest_records
 
 
 def json_bodies(responses: DataFrame) -> DataFrame:
@@ -76,8 +74,8 @@ def extract_json_page(
     warnings = F.filter(
         F.array(
             F.when(F.size("_items") == 0, WARN_NO_RECORD_JSON),
-            *([F.when(F.size("_items") > max_rows, WARN_ROW_CAP)] if max_rows is not None else []),
-            *([F.when(F.size("records") < F.size("_records"), WARN_PAGE_BYTES)] if max_bytes is not None else []),
+            *([F.when(F.size("_items") > max_rows, row_cap_text(max_rows))] if max_rows is not None else []),
+            *([F.when(F.size("records") < F.size("_records"), page_bytes_text(max_bytes))] if max_bytes is not None else []),
             *[F.when(empty_everywhere(f["name"]), WARN_EMPTY_FIELD_JSON % f["name"]) for f in rule["fields"]],
         ),
         lambda w: w.isNotNull(),
@@ -95,3 +93,33 @@ def extract_json_page(
 def extract_json(docs: DataFrame, rule: dict, keys: Sequence[str], **options) -> DataFrame:
     """Records of all bodies under one rule, in wide form."""
     return unnest_records(extract_json_page(docs, rule, **options), keys)
+
+
+def with_json_records(routed: DataFrame, *, doc: str = "doc", max_rows: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Adds ``_items`` and ``_json_records``: for each record the (name, value) of every field of the body's
+    own rule.
+
+    ``routed`` holds bodies (``doc``, ``parsed``) joined with their rule: ``json_rows`` is the path of the
+    records, ``json_fields`` an array of (name, path), both as ``normalize_path`` gives them.
+    """
+    rows = JsonPlace.at(F.col("json_rows"))
+    df = routed.withColumn("_items", json_records(F.col("parsed"), rows))
+
+    def cells(record: Column) -> Column:
+        return F.transform("json_fields", lambda f: json_cell(record, JsonPlace.at(f["path"])))
+
+    df = df.withColumn("_cells", F.transform(first_of(F.col("_items"), max_rows), cells))
+    nested = F.exists("_cells", lambda r: F.exists(r, lambda c: c["nested"]))
+    df = df.withColumn("_texts", F.when(nested, record_texts(F.col(doc), rows)))
+
+    def named(cell: Column, field: Column, text: Column) -> Column:
+        printed = F.when(cell["nested"], nested_text(cell["text"], text, JsonPlace.at(field["path"]))).otherwise(cell["text"])
+        printed = F.coalesce(printed, F.lit(""))
+        return F.struct(field["name"].alias("name"), (printed if max_chars is None else F.left(printed, F.lit(max_chars))).alias("value"))
+
+    def all_records(page: Column) -> Column:
+        return F.transform(
+            page["_cells"], lambda r, i: F.transform(r, lambda c, k: named(c, F.get(page["json_fields"], k), F.get(page["_texts"], i)))
+        )
+
+    return df.withColumn("_json_records", let(F.struct("_cells", "_texts", "json_fields"), all_records)).drop("_cells", "_texts")

@@ -27,7 +27,7 @@ FROM events
 
 
 
-def _order_bodies(spark, sf):
+def order_bodies(spark, sf):
     """API bodies of 25 orders each; o_orderkey is unique, so a body has a fixed size."""
     orders = table(spark, sf, "orders").withColumn("body_no", F.floor(F.col("o_orderkey") / 25))
     item = F.to_json(
@@ -70,7 +70,7 @@ ORDER_RULE = {
 
 
 def json_api_roundtrip(spark, sf):
-    good, _ = split_rejects(json_bodies(_order_bodies(spark, sf)))
+    good, _ = split_rejects(json_bodies(order_bodies(spark, sf)))
     return extract_json(good, ORDER_RULE, ["body_no"])
 
 

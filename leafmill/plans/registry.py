@@ -13,6 +13,7 @@ MODULES = (
     "run_queries",
     "catalog_queries",
     "stream_queries",
+    "collect_queries",
 )
 
 
