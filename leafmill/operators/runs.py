@@ -80,6 +80,28 @@ def run_warnings(events: DataFrame) -> DataFrame:
     return distinct_warnings(live.filter(shown).select("run_id", "message", "pos"))
 
 
+def event_reports(events: DataFrame, stopped: DataFrame | None = None) -> DataFrame:
+    """Per run: status, pages, rows, error, fields and warnings as they stand behind its last event.
+
+    ``events`` as in ``fold_events``, with ``fields`` (names, on probe events). Fields are those of the last
+    probe before the last page. Warnings are distinct in the order in which they came first, and the error
+    text, also that of a run that was stopped or broke off, comes last unless it was a warning before.
+    Probes and distinct warnings are joined per run; pages and log lines are only counted.
+    """
+    live = effective_events(events)
+    folded = fold_events(events, stopped)
+    last_page = live.filter(F.col("type") == "page").groupBy("run_id").agg(F.max("pos").alias("_last"))
+    probes = live.filter(F.col("type") == "probe").select("run_id", "pos", "fields").join(last_page, ["run_id"])
+    fields = probes.filter(F.col("pos") < F.col("_last")).groupBy("run_id").agg(F.max_by("fields", "pos").alias("fields"))
+    shown = distinct_warnings(live.filter((F.col("type") == "log") & (F.col("level") == "warning")).select("run_id", "message", "pos"))
+    listed = shown.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda w: w["message"]).alias("_shown"))
+    none = F.array().cast("array<string>")
+    warnings = F.array_distinct(F.concat(F.coalesce("_shown", none), F.when(F.col("error") != "", F.array("error")).otherwise(none)))
+    return folded.join(fields, ["run_id"], "left").join(listed, ["run_id"], "left").select(
+        "run_id", "status", "pages", "rows", "error", F.coalesce("fields", none).alias("fields"), warnings.alias("warnings")
+    )
+
+
 def result_bytes(result: Column, report: Column | None = None) -> Column:
     """Stored size of a run: UTF-8 JSON of its result and of its report ({} without one)."""
     report_json = F.lit("{}") if report is None else F.coalesce(F.to_json(report), F.lit("{}"))

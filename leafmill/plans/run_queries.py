@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from ..fixed import WARN_INTERRUPTED, WARN_STOPPED
 from ..operators.runs import (
     distinct_warnings,
+    event_reports,
     fold_events,
     fold_results,
     retain,
     run_metrics,
+    run_summary,
     run_warnings,
 )
 from ..schemas import CONFIG, REPORT, RESULT
 from ..session import work_path
 from ..sources.responses import read_events
 from ..sources.run_store import RunStore
-from ..sources.sinks import write_events
+from ..sources.sinks import iso_time, write_events
 from .common import table
 
 
@@ -69,6 +71,64 @@ FROM g LEFT JOIN st ON st.run_id = g.run_id
 """
 
 
+def event_report_fold(spark, sf):
+    """Runs with their fields and warnings; a line without punctuation at its end is a probe of three fields."""
+    turns = table(spark, sf, "conversations")
+    events = turns.select(*as_events(turns), F.length("text").alias("size"))
+    probe = (F.col("type") == "log") & (F.col("size") % 3 == 0)
+    fields = F.when(probe, F.array(F.lit("title"), F.concat(F.lit("f"), (F.col("size") % 5).cast("string")), F.lit("价格")))
+    events = events.withColumn("fields", fields).withColumn("type", F.when(probe, "probe").otherwise(F.col("type"))).drop("size")
+    stopped = events.filter(F.col("message") == "m1").select("run_id").distinct()
+    found = event_reports(events, stopped)
+    return found.select("run_id", "status", "pages", "rows", F.array_join("fields", ",").alias("fields"), F.array_join("warnings", "|").alias("warnings"))
+
+
+EVENT_REPORT_FOLD = f"""
+WITH {SQL_EVENTS},
+p AS (SELECT *, type = 'log' AND length(text) % 3 = 0 AS probe FROM live JOIN (SELECT conv_id AS run_id, turn AS pos, text FROM conversations) USING (run_id, pos)),
+st AS (SELECT DISTINCT run_id FROM e WHERE message = 'm1'),
+lp AS (SELECT run_id, max(pos) AS last_page FROM p WHERE type = 'page' GROUP BY 1),
+fl AS (SELECT run_id, max_by('title,f' || length(text) % 5 || ',价格', pos) AS fields FROM p JOIN lp USING (run_id) WHERE probe AND pos < last_page GROUP BY 1),
+g AS (SELECT run_id, max(CASE WHEN pos = stop THEN type END) AS terminal, max(CASE WHEN pos = stop AND type = 'error' THEN message END) AS err,
+             count(*) FILTER (WHERE type = 'page') AS pages, coalesce(sum(rows_n) FILTER (WHERE type = 'page'), 0) AS rows FROM p GROUP BY 1),
+er AS (SELECT g.*, CASE WHEN terminal IS NOT NULL THEN terminal WHEN st.run_id IS NOT NULL THEN 'stopped' ELSE 'error' END AS status,
+              CASE WHEN err IS NOT NULL THEN err WHEN terminal IS NOT NULL THEN NULL WHEN st.run_id IS NOT NULL THEN '{WARN_STOPPED}' ELSE '{WARN_INTERRUPTED}' END AS error
+       FROM g LEFT JOIN st USING (run_id)),
+w AS (SELECT run_id, message, min(pos) AS pos FROM (
+        SELECT run_id, message, pos FROM p WHERE type = 'log' AND NOT probe AND level = 'warning' UNION ALL SELECT run_id, error, 1000000 FROM er WHERE error IS NOT NULL) GROUP BY ALL),
+wl AS (SELECT run_id, string_agg(message, '|' ORDER BY pos) AS warnings FROM w GROUP BY 1)
+SELECT er.run_id, status, pages, CAST(rows AS BIGINT) AS rows, coalesce(fields, '') AS fields, coalesce(warnings, '') AS warnings
+FROM er LEFT JOIN fl USING (run_id) LEFT JOIN wl USING (run_id)
+"""
+
+
+def run_summaries(spark, sf):
+    """Summaries of stored runs with their sizes in bytes and their completion time."""
+    customers = table(spark, sf, "customer")
+    rows = F.transform(F.sequence(F.lit(1), F.pmod("c_nationkey", F.lit(4)) + 1), lambda i: F.create_map(F.lit("name"), F.col("c_name"), F.lit("价"), i.cast("string")))
+    ms = F.col("c_custkey").cast("long") * 86_399_777
+    result = F.struct(
+        rows.alias("rows"), F.array().cast("array<struct<url:string,title:string,rows:int,duration:long>>").alias("pages"), F.array(F.lit("name"), F.lit("价")).alias("fields"),
+        F.array().cast("array<string>").alias("warnings"), (F.col("c_custkey") * 7).cast("long").alias("duration"), iso_time(ms).alias("completedAt"),
+    )
+    config = F.struct(F.concat(F.lit("https://u:p@x.example.com/"), "c_custkey", F.lit("?t=1")).alias("url"), F.lit("json").alias("sourceType"), F.lit(None).cast("struct<headers:map<string,string>,body:string>").alias("api"))
+    report = F.when(F.col("c_custkey") % 2 == 0, F.struct(F.lit("json").alias("sourceType"), F.col("c_nationkey").alias("matched")))
+    runs = customers.select(F.col("c_custkey").alias("id"), ms.alias("created_at"), F.lit("done").alias("status"), F.lit("crawl").alias("operation"), config.alias("config"), result.alias("result"), report.alias("report"), F.lit("").alias("error"))
+    found = run_summary(runs)
+    return found.select("id", "status", "count", "bytes", F.col("config.url").alias("url"), iso_time(F.col("created_at")).alias("created"))
+
+
+RUN_SUMMARIES = """
+WITH c AS (SELECT *, c_nationkey % 4 + 1 AS n, CAST(c_custkey AS BIGINT) * 86399777 AS ms FROM customer),
+t AS (SELECT *, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso,
+             array_to_string(list_transform(range(1, n + 1), lambda i: '{"name":"' || c_name || '","价":"' || i || '"}'), ',') AS rows FROM c)
+SELECT c_custkey AS id, 'done' AS status, CAST(n AS INTEGER) AS count, 'https://x.example.com/' || c_custkey AS url, iso AS created,
+  CAST(strlen('{"rows":[' || rows || '],"pages":[],"fields":["name","价"],"warnings":[],"duration":' || c_custkey * 7 || ',"completedAt":"' || iso || '"}')
+       + CASE WHEN c_custkey % 2 = 0 THEN strlen('{"sourceType":"json","matched":' || c_nationkey || '}') ELSE 2 END AS BIGINT) AS bytes
+FROM t
+"""
+
+
 def event_warnings(spark, sf):
     return run_warnings(_events(spark, sf))
 
@@ -239,6 +299,8 @@ FROM k WHERE rank >= 2
 """
 
 QUERIES = {
+    "event_report_fold": (event_report_fold, EVENT_REPORT_FOLD),
+    "run_summaries": (run_summaries, RUN_SUMMARIES),
     "event_fold": (event_fold, EVENT_FOLD),
     "event_warnings": (event_warnings, EVENT_WARNINGS),
     "event_log_roundtrip": (event_log_roundtrip, EVENT_LOG_ROUNDTRIP),

@@ -16,7 +16,7 @@ from ..operators.view import (
     select_rows,
     view_counts,
 )
-from ..sources.sinks import csv_line, write_csv, write_result_json
+from ..sources.sinks import csv_line, read_result, write_csv, write_result, write_result_json
 from ..session import work_path
 from .common import table
 
@@ -243,7 +243,65 @@ SELECT DISTINCT lang, source, 'https://docs.example.com/' || source AS _source,
 UNION ALL SELECT 'de', 'source', 'selection', count(*) FROM documents
 """
 
+def csv_empty(spark, sf):
+    """An empty view still gives a file with mark and header, and small files keep their headers."""
+    path = work_path(spark, "csv")
+    cells = _cells(spark, sf)
+    write_csv(cells.where("cell is null"), f"{path}/none", ["cell"])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        write_csv(cells, f"{path}/split", ["cell"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    text = F.decode("content", "UTF-8")
+    head = '\ufeff"cell","_source"\r\n'
+    return parts.where("length > 0").groupBy(F.element_at(F.split("path", "/"), -2).alias("view")).agg(
+        F.every(text.startswith(head)).alias("headed"), F.sum(F.octet_length("content") - len(head.encode())).alias("row_bytes")
+    )
+
+
+CSV_EMPTY = f"""
+SELECT 'none' AS view, true AS headed, CAST(0 AS BIGINT) AS row_bytes
+UNION ALL SELECT 'split', true, CAST(sum(strlen({SQL_CSV_LINE}) + 2) AS BIGINT) FROM {SQL_CELL}
+"""
+
+
+def result_document(spark, sf):
+    """A whole result, written and read back: rows, pages, warnings and the document, one line each."""
+    path = work_path(spark, "result")
+    source = _documents(spark, sf)
+    view = select_rows(source, ["lang", "source"], "doc_id", query="de", column="lang", dedupe="source")
+    orders = table(spark, sf, "orders").where("o_orderkey < 500")
+    started = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")
+    pages = orders.select(
+        F.concat(F.lit("https://x.example.com/"), "o_orderkey").alias("url"), F.col("o_orderpriority").alias("title"),
+        F.month("o_orderdate").cast("long").alias("rows"), started.alias("started_ms"), (started + F.dayofmonth("o_orderdate")).alias("finished_ms"),
+    )
+    warnings = orders.select(F.concat(F.col("o_orderstatus"), F.lit(" \"late\"")).alias("message"), F.col("o_orderkey").alias("pos"))
+    filters = {"query": "de", "dedupe": "source"}
+    write_result(view, ["lang", "source"], path, original=source, filters=filters, pages=pages, warnings=warnings)
+    parts = read_result(spark, path, ["lang", "source"])
+    line = lambda part, *columns: parts[part].select(F.lit(part).alias("part"), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("line"))
+    document = parts["result"].select(
+        F.lit("result").alias("part"),
+        F.concat_ws("|", F.array_join("fields", ","), F.col("duration").cast("string"), "completedAt", F.col("selection.originalCount").cast("string"), F.col("selection.filters")["query"], F.col("selection.filters")["dedupe"]).alias("line"),
+    )
+    return line("rows", "lang", "source", "_source").unionByName(line("pages", "url", "title", "rows", "duration")).unionByName(line("warnings", "pos", "message")).unionByName(document)
+
+
+RESULT_DOCUMENT = """
+WITH o AS (SELECT *, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey AS s FROM orders WHERE o_orderkey < 500)
+SELECT DISTINCT 'rows' AS part, lang || '|' || source || '|https://docs.example.com/' || source AS line FROM documents WHERE lang = 'de'
+UNION ALL SELECT 'pages', 'https://x.example.com/' || o_orderkey || '|' || o_orderpriority || '|' || month(o_orderdate) || '|' || day(o_orderdate) FROM o
+UNION ALL SELECT 'warnings', min(o_orderkey) || '|' || o_orderstatus || ' "late"' FROM o GROUP BY o_orderstatus
+UNION ALL SELECT 'result', 'lang,source|' || (max(s + day(o_orderdate)) - min(s)) || '|' || strftime(make_timestamp(max(s + day(o_orderdate)) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')
+  || '|' || (SELECT count(*) FROM documents) || '|de|source' FROM o
+"""
+
 QUERIES = {
+    "csv_empty": (csv_empty, CSV_EMPTY),
+    "result_document": (result_document, RESULT_DOCUMENT),
     "keyword_search": (keyword_search, KEYWORD_SEARCH),
     "keyword_in_column": (keyword_in_column, "SELECT doc_id FROM documents WHERE lang = 'de'"),
     "missing_cells": (missing_cells, MISSING_CELLS),
