@@ -43,16 +43,19 @@ def missing_filter(df: DataFrame, fields: Sequence[str], empty: str, column: str
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Keeps the first row (by ``order``, unique) of equal keys; all-blank keys never merge.
 
-    One aggregation with map-side combine: a key shared by a third of all rows shrinks to one
-    row per map task before the shuffle. Rows with blank keys group by their own order value.
+    Rows meet by a 128-bit digest of their keys, and only the digest and the order value of a key's first
+    row are aggregated, with map-side combine: a key shared by a third of all rows shrinks to one small
+    row per map task before the shuffle. The rows themselves are then picked by their order value. A second,
+    independent hash of 64 bits stands beside the digest.
     """
-    values = [F.coalesce(F.col(k), F.lit("")) for k in keys]
-    blank = reduce(lambda a, b: a & b, [is_blank(F.col(k)) for k in keys])
-    grouped = df.groupBy(
-        *[v.alias(f"_k{i}") for i, v in enumerate(values)],
-        F.when(blank, F.col(order)).alias("_own"),
-    )
-    return grouped.agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")).select("_row.*")
+    values = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys]
+    blank = reduce(lambda a, b: a & b, [is_blank(v) for v in values])
+    # lengths keep ("a", "bc") and ("ab", "c") apart
+    digest = F.unhex(F.md5(F.concat(*[F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in values]).cast("binary")))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{order}`").alias("at"), digest.alias("digest"), F.xxhash64(*values).alias("check"), blank.alias("blank"))
+    firsts = keyed.where(~F.col("blank")).groupBy("digest", "check").agg(F.min("at").alias("at")).select("at")
+    kept = keyed.where(~F.col("blank")).join(firsts, "at", "left_semi").unionByName(keyed.where("blank"))
+    return kept.select("row.*")
 
 
 def dedupe_keys(fields: Sequence[str], dedupe: str) -> list[str]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ..session import tune
-from ..streaming.jobs import latest_fold, run_available, stream_distinct, stream_extract, stream_table
+from ..operators.html import page_title, with_nodes
+from ..session import tune, work_path
+from ..streaming.jobs import append_to, latest_fold, run_available, stream_distinct, stream_extract, stream_table
 from .common import NAV_RULE
-from .html_queries import HTML_NAV_LINKS
+from .html_queries import HTML_NAV_LINKS, HTML_TITLES
 from .run_queries import SQL_EVENTS, as_events
 
 
@@ -29,6 +31,53 @@ def stream_warnings(spark, sf):
     )
 
 
+def stream_daily_warnings(spark, sf):
+    """First event of every user, type and day: state is kept for a day."""
+    tune(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = stream_table(spark, sf, schema.simpleString()[7:-1].replace(":", " "), "events.parquet")
+    keyed = events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return run_available(stream_distinct(keyed, ["user_id", "event_type", "day"], "ts", "1 day"), "stream-warnings").select("user_id", "event_type", "day")
+
+
+def stream_shuffled_runs(spark, sf):
+    """The same fold over events that come out of order, some of them twice, in several triggers."""
+    tune(spark)
+    path = work_path(spark, "stream-events")
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    events = turns.select(F.col("conv_id").cast("string").alias("run_id"), *as_events(turns)[1:])
+    twice = events.unionByName(events.where("pos % 5 = 2"))
+    part = F.pmod(F.xxhash64("run_id", "pos", F.rand(7)), F.lit(6))
+    twice.withColumn("part", part).repartition(6, "part").drop("part").write.parquet(path)
+    schema = "run_id string, pos long, type string, message string, level string, rows_n long"
+    return latest_fold(stream_table(spark, path, schema, "*.parquet", files_per_trigger=2), "stream-runs")
+
+
+def stream_restart(spark, sf):
+    """Titles of pages from a stream that fails on the way and starts again from its checkpoint.
+
+    What was written before the failure stays and can be read (the row -1 says so), and in the end no page
+    is lost or doubled.
+    """
+    tune(spark)
+    path = work_path(spark, "stream-restart")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    pages.repartitionByRange(5, "page_id").write.parquet(f"{path}/in")
+    source = stream_table(spark, f"{path}/in", "page_id long, url string, html string", "*.parquet", files_per_trigger=1)
+    titled = with_nodes(source).select("page_id", page_title(F.col("nodes"), F.col("url")).alias("title"))
+    broken = titled.withColumn("title", F.when(F.col("page_id") == pages.agg(F.percentile_approx("page_id", 0.5)).scalar(), F.raise_error(F.lit("broken on purpose"))).otherwise(F.col("title")))
+    try:
+        append_to(broken, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    except StreamingQueryException as error:
+        if "broken on purpose" not in str(error):
+            raise
+    read = lambda: spark.read.schema("page_id long, title string").parquet(f"{path}/table")
+    partial = read().count()
+    append_to(titled, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    kept = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("partial").alias("title")).where(F.lit(0 < partial < pages.count()))
+    return read().unionByName(kept)
+
+
 def stream_runs(spark, sf):
     """Run status folded from conversations read as an event stream."""
     tune(spark)
@@ -47,6 +96,9 @@ FROM live GROUP BY run_id
 
 QUERIES = {
     "stream_runs": (stream_runs, STREAM_RUNS),
+    "stream_shuffled_runs": (stream_shuffled_runs, STREAM_RUNS),
+    "stream_daily_warnings": (stream_daily_warnings, "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events"),
+    "stream_restart": (stream_restart, f"SELECT * FROM ({HTML_TITLES}) UNION ALL SELECT -1, 'partial'"),
     "stream_links": (stream_links, HTML_NAV_LINKS),
     "stream_warnings": (stream_warnings, "SELECT DISTINCT user_id, event_type FROM events"),
 }

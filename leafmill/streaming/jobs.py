@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -27,36 +29,57 @@ def stream_extract(pages: DataFrame, rule: dict, keys: Sequence[str], **limits)
 
 
 def stream_distinct(df: DataFrame, keys: Sequence[str], ts: str, horizon: str) -> DataFrame:
-    """First row of equal keys; the watermark bounds the state."""
+    """First row of equal keys; the watermark bounds the state.
+
+    ``horizon`` is how far apart equal keys may be, so a run's id among the keys makes it a run's length.
+    Rows that are older than the newest one by more than that go.
+    """
     return df.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
-FOLD_STATE = "terminal string, pages long, rows long, error string"
+# Counts of the events without a gap before them, how many these are, and the events behind a gap.
+FOLD_STATE = "settled long, terminal string, pages long, rows long, error string, pending string"
 FOLD_OUTPUT = "run_id string, status string, pages long, rows long, error string"
 
 
+def _taken(now: tuple, event: list) -> tuple:
+    """(terminal, pages, rows, error) with one more event; nothing counts behind a terminal one."""
+    terminal, pages, rows, error = now
+    kind, message, n = event
+    if terminal is not None:
+        return now
+    if kind in TERMINAL:
+        return kind, pages, rows, (message or "") if kind == "error" else ""
+    return (None, pages + 1, rows + (n or 0), error) if kind == "page" else now
+
+
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    terminal, pages, rows, error = state.get if state.exists else (None, 0, 0, "")
-    if terminal is None:
-        live = pd.concat(list(batches)).sort_values("pos")
-        ends = live["type"].isin(TERMINAL)
-        if ends.any():
-            stop = live.loc[ends, "pos"].iloc[0]
-            last = live.loc[live["pos"] == stop].iloc[0]
-            live, terminal = live[live["pos"] <= stop], str(last["type"])
-            error = str(last["message"] or "") if terminal == "error" else ""
-        seen = live[live["type"] == "page"]
-        pages, rows = pages + len(seen), rows + int(seen["rows_n"].fillna(0).sum())
-        state.update((terminal, pages, rows, error))
-    yield pd.DataFrame(
-        {"run_id": [key[0]], "status": [terminal or "running"], "pages": [pages], "rows": [rows], "error": [error]}
-    )
+    settled, *now, pending = state.get if state.exists else (0, None, 0, 0, "", "{}")
+    now, pending = tuple(now), {int(pos): event for pos, event in json.loads(pending).items()}
+    for frame in batches:
+        if now[0] is not None:
+            # what comes after the settled end counts for nothing
+            continue
+        columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("pos", "type", "message", "rows_n")]
+        for pos, *event in zip(*columns, strict=True):
+            if pos >= settled:
+                pending.setdefault(int(pos), [event[0], event[1], None if event[2] is None else int(event[2])])
+        while settled in pending and now[0] is None:
+            now = _taken(now, pending.pop(settled))
+            settled += 1
+    if now[0] is not None:
+        pending = {}
+    state.update((settled, *now, json.dumps(pending)))
+    # the events behind a gap count as if nothing were to come
+    terminal, pages, rows, error = functools.reduce(lambda x, pos: _taken(x, pending[pos]), sorted(pending), now)
+    yield pd.DataFrame({"run_id": [key[0]], "status": [terminal or "running"], "pages": [pages], "rows": [rows], "error": [error]})
 
 
 def stream_fold(events: DataFrame) -> DataFrame:
-    """Run status after each trigger, update mode; events after the terminal one are dropped.
+    """Run status after each trigger, update mode; events after the terminal one count for nothing.
 
-    State per run is four values. Events of one run must arrive in order across triggers.
+    Events may come in any order and more than once; ``pos`` counts from 0 within a run. What has no gap
+    before it is kept as four counters, and only events behind a gap are kept themselves, until it closes.
     """
     return events.select("run_id", "pos", "type", "message", "rows_n").groupBy("run_id").applyInPandasWithState(
         _fold, FOLD_OUTPUT, FOLD_STATE, "update", "NoTimeout"
