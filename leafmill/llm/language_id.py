@@ -18,7 +18,7 @@ REFERENCE_DOCS = 60
 REFERENCE_DOC_CHARS = 20_000
 # A phrase ends at every WINDOW symbols, so that windows of all texts are parsed side by side.
 WINDOW_SYMBOLS = 512
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 # Automata over more letters than this have sparse transitions.
 DENSE_LETTERS = 200
