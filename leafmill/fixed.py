@@ -9,10 +9,6 @@ MAX_RUN_BYTES = 5 * 1024 * 1024
 MAX_BODY_BYTES = 3 * 1024 * 1024
 MAX_PAGES = 10
 MAX_REDIRECTS = 5
-MAX_RUNS_KEPT = 20
-MAX_RUN_STORE_BYTES = 50 * 1024 * 1024
-MAX_RESOURCES = 60
-MAX_RESOURCE_BYTES = 15 * 1024 * 1024
 MIN_INTERVAL_MS = 1000
 MAX_CRAWL_DELAY_SECONDS = 10
 

@@ -236,6 +236,15 @@ def browser_text(json: Column) -> Column:
     return F.when(json.rlike(rf"\d[.eE]|-0|{_PAIR}"), plain).otherwise(json)
 
 
+def nesting(json: Column) -> Column:
+    """How deep the brackets of a JSON text stand in each other."""
+    brackets = F.split(F.regexp_replace(F.regexp_replace(_masked(json), '"[^"]*+"', ""), r"[^{}\[\]]++", ""), "")
+    deeper = lambda at, c: at + F.when(c.isin("{", "["), 1).when(c == "", 0).otherwise(-1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda s, c: F.struct(deeper(s["now"], c).alias("now"), F.greatest(s["most"], deeper(s["now"], c)).alias("most"))
+    return F.aggregate(brackets, start, step)["most"]
+
+
 def _members(json: Column) -> Column:
     """Names with their values, and values, of a JSON text: alike for texts that differ in order only."""
     return F.array_sort(F.regexp_extract_all(_masked(json), F.lit(r'"[^"]*+":(?:"[^"]*+"|[^"{\[,}\]]++|[{\[])|"[^"]*+"|[^",:{}\[\]]++'), 0))

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..fixed import (
     ALLOWED_RESOURCE_TYPES,
     LOCAL_SUFFIXES,
-    MAX_RESOURCE_BYTES,
-    MAX_RESOURCES,
     SPECIAL_IPV4,
     SPECIAL_IPV6,
     WARN_RESOURCE_BLOCKED,
@@ -143,14 +141,15 @@ def audit_resources(
     requests: DataFrame,
     page: str = "page_id",
     *,
-    max_requests: int = MAX_RESOURCES,
-    max_bytes: int = MAX_RESOURCE_BYTES,
+    max_requests: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Per page: requested, served, blocked, failed and the two warnings.
 
-    ``requests`` has (page, seq, url, method, resource_type, navigation, status, bytes). Only the
-    first ``max_requests`` permitted requests of a page can be served; that ranking is cut on the
-    map side, so a page with very many requests is never gathered in one task.
+    ``requests`` has (page, seq, url, method, resource_type, navigation, status, bytes). Where
+    ``max_requests`` is given, only so many permitted requests of a page can be served; that ranking is cut
+    on the map side, so a page with very many requests is never gathered in one task. Where ``max_bytes`` is
+    given, requests beyond it fail. Without limits a page's requests are only counted.
     """
     log = requests.withColumn(
         "_allowed",
@@ -171,16 +170,13 @@ def audit_resources(
         .filter(~F.col("navigation") | (F.col("seq") == F.col("_first_navigation")))
     )
     order = W.partitionBy(page).orderBy("seq")
-    kept = permitted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_requests)
-    running = F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, 0))
-    served = (
-        kept.withColumn("_total", running)
-        .groupBy(page)
-        .agg(
-            F.count(F.lit(1)).alias("served"),
-            F.count_if((F.col("_total") > max_bytes) | ~F.col("status").between(200, 299)).alias("failed"),
-        )
-    )
+    kept, failed = permitted, ~F.col("status").between(200, 299)
+    if max_requests is not None:
+        kept = kept.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_requests)
+    if max_bytes is not None:
+        kept = kept.withColumn("_total", F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        failed = failed | (F.col("_total") > max_bytes)
+    served = kept.groupBy(page).agg(F.count(F.lit(1)).alias("served"), F.count_if(failed).alias("failed"))
     served_n, failed_n = (F.coalesce(F.col(c), F.lit(0)) for c in ("served", "failed"))
     blocked_n = F.col("requested") - served_n
     return totals.join(served, [page], "left").select(

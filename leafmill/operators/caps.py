@@ -14,7 +14,7 @@ def record_bytes(columns: Sequence[str]) -> Column:
     return F.octet_length(F.to_json(F.struct(*columns))).cast("long")
 
 
-def _limited(df: DataFrame, total: Column, limit: int | None, drop: bool, name: str) -> DataFrame:
+def _limited(df: DataFrame, total: Column, limit: Column | int | None, drop: bool, name: str) -> DataFrame:
     """Rows up to the limit, or with ``drop=False`` all rows with their running total and ``over_limit``."""
     if not drop:
         return df.withColumn(name, total).withColumn("over_limit", F.lit(False) if limit is None else F.col(name) > limit)
@@ -92,5 +92,9 @@ def byte_cap_run(
     return _limited(summed, F.col("_total"), max_bytes, drop, "total_bytes").drop("_bytes", "_total")
 
 
-def page_cap(df: DataFrame, max_pages: Column | int, page: str = "page_index") -> DataFrame:
-    return df.filter(F.col(page) < max_pages)
+def page_cap(df: DataFrame, max_pages: Column | int | None = None, page: str = "page_index", *, drop: bool = True) -> DataFrame:
+    """Rows of the first pages of each run, of all where no limit is asked for; ``page`` counts from 0.
+
+    ``drop=False`` returns all rows with ``total_pages`` and ``over_limit``.
+    """
+    return _limited(df, F.col(page) + 1, max_pages, drop, "total_pages")

@@ -24,6 +24,7 @@ from ..functions.selectors import is_valid_selector
 from ..functions.text import is_blank, trim_all, unnest
 from ..schemas import CONFIG, RULES
 from ..session import small_table
+from .caps import prefix_sum
 from .runs import redact_config
 
 for module in (fixed, selectors, sys.modules[__name__]):
@@ -327,8 +328,8 @@ def upsert_rules(
 ) -> DataFrame:
     """Replaces rules by id in place and appends new ones; where ``max_rules`` is given, while an owner has room.
 
-    Both sides have (owner columns, pos, id, name, config, updatedAt). New rules are ranked on the
-    map side and meet the size of their owner's catalogue by an equi-join.
+    Both sides have (owner columns, pos, id, name, config, updatedAt). New rules are ranked block by block,
+    so no task sees all of them, and meet the size of their owner's catalogue by an equi-join.
     """
     columns, keys = catalogue.columns, owner or ["_all"]
     if not owner:
@@ -338,8 +339,9 @@ def upsert_rules(
     untouched = catalogue.join(changes.select(*ids), ids, "left_anti")
     size = catalogue.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_last"))
     fresh = changes.join(catalogue.select(*ids), ids, "left_anti")
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("pos"))
-    ranked = fresh.withColumn("_rank", rank)
+    # ranks in two levels: rows are counted per block of positions, only blocks pass through an owner's window
+    block = F.floor(F.col("pos") / 4096)
+    ranked = prefix_sum(fresh.withColumns({"_block": block, "_one": F.lit(1)}), keys, ["_block"], ["pos", "id"], "_one", "_rank").drop("_block", "_one")
     if max_rules is not None:
         ranked = ranked.filter(F.col("_rank") <= max_rules)
     added = ranked.join(size, keys, "left")

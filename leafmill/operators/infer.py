@@ -25,7 +25,7 @@ from ..fixed import (
     NEXT_SELECTORS,
     RESERVED_NAMES,
 )
-from ..functions.jsonpath import normalize_path
+from ..functions.jsonpath import MAX_PATH_STEPS, nesting, normalize_path
 from ..functions.selectors import (
     _all,
     _attr,
@@ -123,15 +123,22 @@ def _elements(json: Column) -> Column:
     return F.from_json(json, "array<string>")
 
 
-def json_lists(docs: DataFrame, doc: str = "doc", max_visits: int | None = None) -> DataFrame:
+def names_deep(docs: DataFrame, doc: str = "doc") -> int:
+    """How many names deep any value of the documents can stand, as far as a path may go. One pass over them."""
+    return min(docs.agg(F.coalesce(F.max(nesting(F.col(doc))), F.lit(0))).first()[0], MAX_PATH_STEPS)
+
+
+def json_lists(docs: DataFrame, doc: str = "doc", max_visits: int | None = None, max_depth: int | None = None) -> DataFrame:
     """Adds ``lists``: candidate lists as (path, score, json), in document order.
 
-    Lists stand at most five names deep; values, keys and lists are not limited in number.
+    Values, keys and lists are not limited in number. Lists stand ``max_depth`` names deep at most, or at
+    any depth a path can reach; the documents are then read once more to find how deep they go.
     """
-    df = json_walk(docs, F.array(F.col(doc)), "_walk", 6)
+    depth = names_deep(docs, doc) if max_depth is None else max_depth
+    df = json_walk(docs, F.array(F.col(doc)), "_walk", depth + 1)
     # Values one level too deep count as visited but are not looked at.
     seen = F.filter(
-        _first_n(F.col("_walk"), max_visits), lambda x: (x["depth"] <= 5) & (x["kind"] == "array")
+        _first_n(F.col("_walk"), max_visits), lambda x: (x["depth"] <= depth) & (x["kind"] == "array")
     )
 
     def score(x: Column) -> Column:
@@ -151,20 +158,25 @@ def best_scored(candidates: Column) -> Column:
     return let(top, lambda t: F.get(F.filter(candidates, lambda c: c["score"] == t), F.lit(0)))
 
 
-def json_field_paths(df: DataFrame, records: Column, max_records: int | None = None) -> DataFrame:
-    """Adds ``paths``: distinct leaf paths of the records, in first-seen order."""
+def json_field_paths(df: DataFrame, records: Column, max_records: int | None = None, max_depth: int = MAX_PATH_STEPS) -> DataFrame:
+    """Adds ``paths``: distinct leaf paths of the records, in first-seen order; an object ``max_depth`` names
+    deep is a leaf."""
     roots = F.transform(_first_n(records, max_records), lambda r: F.coalesce(r, F.lit("null")))
-    walked = json_walk(df, roots, "_walk", 3)
-    leaves = F.filter("_walk", lambda x: (x["kind"] != "object") | (x["depth"] == 3))
+    walked = json_walk(df, roots, "_walk", max_depth)
+    leaves = F.filter("_walk", lambda x: (x["kind"] != "object") | (x["depth"] == max_depth))
     paths = F.array_distinct(F.transform(leaves, lambda x: x["path"]))
     return walked.withColumn("paths", paths).drop("_walk")
 
 
-def suggest_json(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Adds ``row_selector``, ``fields`` and ``next_selector`` to JSON documents."""
-    df = json_lists(docs, doc).withColumn("_best", best_scored(F.col("lists"))).drop("lists")
+def suggest_json(docs: DataFrame, doc: str = "doc", list_depth: int | None = None, field_depth: int | None = None) -> DataFrame:
+    """Adds ``row_selector``, ``fields`` and ``next_selector`` to JSON documents.
+
+    Lists and fields are looked for at any depth, or down to the names given; see ``json_lists``.
+    """
+    depth = names_deep(docs, doc) if list_depth is None or field_depth is None else 0
+    df = json_lists(docs, doc, max_depth=depth if list_depth is None else list_depth).withColumn("_best", best_scored(F.col("lists"))).drop("lists")
     records = F.when(F.col("_best").isNotNull(), _elements(F.col("_best.json"))).otherwise(F.array(F.col(doc)))
-    df = json_field_paths(df, records)
+    df = json_field_paths(df, records, max_depth=depth if field_depth is None else field_depth)
     named = F.transform(
         "paths",
         lambda p, i: _field(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixed import MAX_RUN_STORE_BYTES, MAX_RUNS_KEPT, WARN_INTERRUPTED, WARN_STOPPED
+from ..fixed import WARN_INTERRUPTED, WARN_STOPPED
 from ..functions.text import let
 from ..functions.urls import build_url, parse_url
 from .frontier import salted_lookup
@@ -109,21 +109,25 @@ def result_bytes(result: Column, report: Column | None = None) -> Column:
 
 
 def retain(
-    runs: DataFrame,
-    owner: list[str] | None = None,
-    *,
-    max_runs: int = MAX_RUNS_KEPT,
-    max_bytes: int = MAX_RUN_STORE_BYTES,
+    runs: DataFrame, owner: list[str] | None = None, *, max_runs: int | None = None, max_bytes: int | None = None, drop: bool = True
 ) -> DataFrame:
-    """Newest runs per owner within the count and byte limits; adds ``rank`` and ``total_bytes``.
+    """Newest runs per owner within the count and byte limits that are asked for; adds ``rank`` and ``total_bytes``.
 
-    A run past the byte limit still counts for the older ones. Only the newest ``max_runs`` can
-    stay, and that cut is made on the map side, so the running sum sees few rows per owner.
+    A run past the byte limit still counts for the older ones. Where only the newest ``max_runs`` can stay,
+    that cut is made on the map side, so the running sum sees few rows per owner. Without a limit all runs
+    stay as they are. ``drop=False`` returns all runs with ``over_limit``.
     """
+    if drop and max_runs is None and max_bytes is None:
+        return runs
     w = W.partitionBy(*(owner or [F.lit(0)])).orderBy(F.col("created_at").desc(), F.col("id").asc())
-    newest = runs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_runs)
-    total = F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return newest.withColumn("total_bytes", total).filter(F.col("total_bytes") <= max_bytes)
+    ranked = runs.withColumn("rank", F.row_number().over(w))
+    if drop and max_runs is not None:
+        ranked = ranked.filter(F.col("rank") <= max_runs)
+    summed = ranked.withColumn("total_bytes", F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    over = F.lit(False) if max_bytes is None else F.col("total_bytes") > max_bytes
+    if max_runs is not None:
+        over = over | (F.col("rank") > max_runs)
+    return summed.filter(~over) if drop else summed.withColumn("over_limit", over)
 
 
 def newest_first(runs: DataFrame) -> DataFrame:

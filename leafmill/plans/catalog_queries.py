@@ -183,6 +183,23 @@ FROM part WHERE p_brand <> 'Brand#5'
 """
 
 
+def rule_additions(spark, sf):
+    """Changes to catalogues by brand: rules of one type are edited, every third part brings a new one."""
+    base = _rules(spark, sf).withColumn("id", F.col("p_partkey").cast("string"))
+    catalogue = base.select("p_brand", "pos", "id", "name", "config", "updatedAt")
+    edited = base.filter("p_type = 'ECONOMY'").withColumn("name", F.lit("edited"))
+    fresh = base.filter("p_partkey % 3 = 1").withColumn("id", F.concat(F.lit("n"), "id")).withColumn("name", F.lit("new"))
+    changes = edited.unionByName(fresh).select("p_brand", "pos", "id", "name", "config", "updatedAt")
+    return upsert_rules(catalogue, changes, ["p_brand"]).select("p_brand", "pos", "id", "name")
+
+
+RULE_ADDITIONS = """
+WITH p AS (SELECT *, max(p_partkey) OVER (PARTITION BY p_brand) AS top FROM part)
+SELECT p_brand, CAST(p_partkey AS INTEGER) AS pos, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_type = 'ECONOMY' THEN 'edited' WHEN p_size % 10 = 3 THEN ' ' ELSE p_name END AS name FROM p
+UNION ALL SELECT p_brand, CAST(top + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER), 'n' || p_partkey, 'new' FROM p WHERE p_partkey % 3 = 1
+"""
+
+
 def header_policy(spark, sf):
     """Request headers derived from events, checked against the policy."""
     e = table(spark, sf, "events")
@@ -345,6 +362,7 @@ QUERIES = {
     "redacted_rules": (redacted_rules, REDACTED_RULES),
     "stored_rules": (stored_rules, STORED_RULES),
     "rule_files": (rule_files, RULE_FILES),
+    "rule_additions": (rule_additions, RULE_ADDITIONS),
     "rule_edits": (rule_edits, RULE_EDITS),
     "header_policy": (header_policy, HEADER_POLICY),
     "preset_lookup": (preset_lookup, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'books' WHEN 1 THEN 'quotes' END AS preset FROM pages"),

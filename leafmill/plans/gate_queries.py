@@ -260,7 +260,33 @@ WITH {SQL_RECORDS}, t AS (SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY pa
 SELECT doc_id, run_id, page_index, row_pos FROM t WHERE total <= 300000
 """
 
+def record_limits(spark, sf):
+    """All records with all limits as flags and totals, over whole texts."""
+    d = spread(table(spark, sf, "documents"))
+    records = d.select(
+        F.floor(F.col("doc_id") / 500).alias("run_id"), F.pmod(F.floor(F.col("doc_id") / 50), F.lit(10)).alias("page_index"),
+        F.pmod("doc_id", F.lit(50)).cast("int").alias("row_pos"), "doc_id", "text", "source",
+    )
+    columns = ["text", "source"]
+    flag = lambda df, name, total: df.withColumnsRenamed({"over_limit": name, total: f"{name}_at"})
+    rows = flag(row_cap(records, max_rows=20, drop=False), "rows_over", "total_rows")
+    rows = flag(page_cap(rows, 8, drop=False), "pages_over", "total_pages")
+    rows = flag(byte_cap_page(rows, ["run_id", "page_index"], "row_pos", columns, 100_000, drop=False), "page_over", "total_bytes")
+    rows = flag(byte_cap_run(rows, "run_id", "page_index", "row_pos", columns, 700_000, drop=False), "run_over", "total_bytes")
+    return rows.drop("text", "source")
+
+
+RECORD_LIMITS = """
+WITH r AS (SELECT doc_id // 500 AS run_id, (doc_id // 50) % 10 AS page_index, CAST(doc_id % 50 AS INTEGER) AS row_pos, doc_id,
+                  strlen('{"text":' || CAST(to_json(text) AS VARCHAR) || ',"source":"' || source || '"}') AS n FROM documents),
+t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY run_id, page_index ORDER BY row_pos) AS BIGINT) AS page_over_at,
+             CAST(sum(n) OVER (PARTITION BY run_id ORDER BY page_index, row_pos) AS BIGINT) AS run_over_at FROM r)
+SELECT run_id, page_index, row_pos, doc_id, row_pos + 1 AS rows_over_at, row_pos >= 20 AS rows_over, page_index + 1 AS pages_over_at, page_index >= 8 AS pages_over,
+       page_over_at, page_over_at > 100000 AS page_over, run_over_at, run_over_at > 700000 AS run_over FROM t
+"""
+
 QUERIES = {
+    "record_limits": (record_limits, RECORD_LIMITS),
     "status_gate": (status_gate, STATUS_GATE),
     "content_type_gate": (content_type_gate, CONTENT_TYPE_GATE),
     "size_gate": (size_gate, SIZE_GATE),

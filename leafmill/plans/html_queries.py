@@ -122,6 +122,20 @@ SELECT tag, CAST(sum(n) AS BIGINT) AS nodes, count(*) FILTER (n > 0) AS pages FR
 """
 
 
+def html_all_tags(spark, sf):
+    """Every tag of the corpus and in how many pages it stands."""
+    nodes = nodes_table(with_nodes(pages(spark, sf)), ["page_id"])
+    tags = nodes.where("tag not like '#%' and tag not in ('html', 'head', 'body')").groupBy("tag")
+    return tags.agg(F.count_distinct("page_id").alias("pages"))
+
+
+# scripts and styles are no nodes; a paragraph ends where a new one begins, so tags are counted by page
+HTML_ALL_TAGS = """
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(script|style)>).*?(</(script|style)>)', '\\1', 'g'), '<([a-z][a-z0-9]*)[ >/]', 1)) AS tag FROM pages)
+SELECT tag, count(DISTINCT page_id) AS pages FROM t WHERE tag NOT IN ('html', 'head', 'body', 'script', 'style') GROUP BY tag
+"""
+
+
 def catalog_roundtrip(spark, sf):
     return extract_html(with_nodes(catalogue_pages(spark, sf)), BOOK_RULE, ["page_no"])
 
@@ -246,6 +260,7 @@ QUERIES = {
     "html_nav_links": (html_nav_links, HTML_NAV_LINKS),
     "html_links_folded": (html_links_folded, HTML_LINKS_FOLDED),
     "html_articles": (html_articles, HTML_ARTICLES),
+    "html_all_tags": (html_all_tags, HTML_ALL_TAGS),
     "html_tag_counts": (html_tag_counts, HTML_TAG_COUNTS),
     "catalog_roundtrip": (catalog_roundtrip, SQL_CATALOGUE_ROWS.format(folder="catalogue/")),
     "base_href_resolve": (base_href_resolve, SQL_CATALOGUE_ROWS.format(folder="shop/")),

@@ -232,7 +232,7 @@ def _ranked_docs(spark, sf):
 
 def json_list_rank(spark, sf):
     """Every candidate list of every document with its score."""
-    df = json_lists(_ranked_docs(spark, sf))
+    df = json_lists(_ranked_docs(spark, sf), max_depth=5)
     rows = unnest(df, ["c_custkey"], "lists", "pos", "_l")
     return rows.select("c_custkey", "pos", "_l.path", "_l.score")
 
@@ -246,7 +246,7 @@ UNION ALL SELECT c_custkey, 2, 'list', CAST(CASE WHEN rich THEN 100 ELSE 0 END +
 
 
 def json_suggestions(spark, sf):
-    df = suggest_json(_ranked_docs(spark, sf))
+    df = suggest_json(_ranked_docs(spark, sf), list_depth=5, field_depth=3)
     return df.select(
         "c_custkey", "row_selector",
         F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["selector"])), "|").alias("fields"),
@@ -264,7 +264,24 @@ SELECT c_custkey, row_selector,
 FROM b
 """
 
+def json_deep_suggestions(spark, sf):
+    """Lists eight names deep, with fields five names deep."""
+    c = spread(table(spark, sf, "customer"))
+    item = F.concat(F.lit('{"id":'), "c_custkey", F.lit(',"a":{"b":{"c":{"d":{"e":"'), "c_mktsegment", F.lit('","f":['), "c_nationkey", F.lit("]}}}},\"z{\":1}"))
+    rows = F.array_join(F.array_repeat(item, F.pmod("c_nationkey", F.lit(3)).cast("int")), ",")
+    deep = F.concat(F.lit('{"l":[1,2,"{["],"p1":{"p2":{"p3":{"p4":{"p5":{"p6":{"p7":{"p8":['), rows, F.lit("]}}}}}}}}}"))
+    df = suggest_json(c.select("c_custkey", deep.alias("doc")))
+    return df.select("c_custkey", "row_selector", F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["selector"])), "|").alias("fields"))
+
+
+JSON_DEEP_SUGGESTIONS = """
+SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'l' ELSE 'p1.p2.p3.p4.p5.p6.p7.p8' END AS row_selector,
+       CASE WHEN c_nationkey % 3 = 0 THEN '值=$' ELSE 'id=id|a.b.c.d.e=a.b.c.d.e|a.b.c.d.f=a.b.c.d.f' END AS fields
+FROM customer
+"""
+
 QUERIES = {
+    "json_deep_suggestions": (json_deep_suggestions, JSON_DEEP_SUGGESTIONS),
     "json_props": (json_props, JSON_PROPS),
     "json_api_roundtrip": (json_api_roundtrip, JSON_API_ROUNDTRIP),
     "json_kinds": (json_kinds, JSON_KINDS),

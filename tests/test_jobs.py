@@ -155,7 +155,7 @@ def test_resource_audit_counts(spark):
     log = [(1, i, "https://x.example.com/", "GET", "script", False, 200, 10) for i in range(70)]
     log += [(1, 100, "https://x.example.com/", "POST", "xhr", False, 200, 10), (2, 1, "https://x.example.com/", "GET", "document", True, 404, 5), (2, 2, "https://x.example.com/", "GET", "document", True, 200, 5)]
     df = spark.createDataFrame(log, "page_id int, seq int, url string, method string, resource_type string, navigation boolean, status int, bytes long")
-    got = {r.page_id: (r.requested, r.served, r.blocked, r.failed) for r in audit_resources(df, max_bytes=595).collect()}
+    got = {r.page_id: (r.requested, r.served, r.blocked, r.failed) for r in audit_resources(df, max_requests=60, max_bytes=595).collect()}
     assert got == {1: (71, 60, 11, 1), 2: (2, 1, 1, 1)}
 
 
@@ -193,9 +193,13 @@ def test_event_log_scan(spark):
 
 def test_retention(spark):
     runs = spark.createDataFrame([(f"{i:02}", f"2024-01-{i:02}", 10) for i in range(1, 24)], "id string, created_at string, bytes long")
-    assert sorted(r.id for r in retain(runs).collect()) == [f"{i:02}" for i in range(4, 24)]
+    limits = {"max_runs": 20, "max_bytes": 50 << 20}
+    assert sorted(r.id for r in retain(runs, **limits).collect()) == [f"{i:02}" for i in range(4, 24)]
     big = runs.withColumn("bytes", F.lit(10 << 20))
-    assert sorted(r.id for r in retain(big).collect()) == ["19", "20", "21", "22", "23"]
+    assert sorted(r.id for r in retain(big, **limits).collect()) == ["19", "20", "21", "22", "23"]
+    assert retain(big).count() == 23
+    flagged = {r.id: (r.rank, r.over_limit) for r in retain(big, **limits, drop=False).collect()}
+    assert flagged == {f"{i:02}": (24 - i, i < 19) for i in range(1, 24)}
 
 
 def test_caps_cut_only_where_asked(spark):
