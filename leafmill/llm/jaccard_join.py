@@ -344,7 +344,8 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = S
             break
         if depth == 1:
             splits = materialize(_split(texts.where("hot is not null"), words, threshold, max_depth - 1), "splits")
-        further = splits.where(F.col("level") == depth)
+        # few rows that become many: dealt out first, so that every task makes its share
+        further = splits.where(F.col("level") == depth).repartition("set_key")
         if depth > 1:
             # the first level goes on from large buckets only; a set brings all its large buckets in one row
             by_set = hot.groupBy("set_key").agg(F.collect_list("path").alias("hot"))

@@ -20,7 +20,7 @@ RULES: dict[str, Rule] = {
     # more marks than two to every five words
     "symbols": lambda t: 5 * t.n_symbols > 2 * t.n_words,
     # most letters are capitals
-    "shouting": lambda t: t.n_upper > t.n_lower,
+    "shouting": lambda t: 2 * t.n_upper > t.n_letters,
     # an exclamation mark to every other word
     "exclamations": lambda t: 2 * t.count("!") > t.n_words,
     # more than a third of the lines repeat an earlier one
@@ -30,7 +30,7 @@ RULES: dict[str, Rule] = {
     # words of a mean length that no prose has
     "word_length": lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words),
     # more digits than letters
-    "digits": lambda t: t.count("0123456789") > t.n_upper + t.n_lower + t.per_row(t.data >= 0xC0),
+    "digits": lambda t: t.n_digits > t.n_letters,
 }
 # Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+import unicodedata
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,21 @@ import pyarrow as pa
 from .common import Rolling, mix64, text_bytes, word_spans
 
 
+# Kinds of characters, by Unicode category.
+UPPER, LOWER, LETTER, DIGIT = 1, 2, 3, 4
+
+
+def _kind(point: int) -> int:
+    category = unicodedata.category(chr(point))
+    return {"Lu": UPPER, "Lt": UPPER, "Ll": LOWER, "Lo": LETTER, "Lm": LETTER, "Nd": DIGIT}.get(category, 0)
+
+
+@lru_cache(maxsize=1)
+def character_kinds() -> np.ndarray:
+    """The kind of each code point up to U+FFFF."""
+    return np.fromiter(map(_kind, range(0x10000)), np.uint8, 0x10000)
+
+
 class Texts:
     """The texts of a batch as bytes laid end to end; every count has one number per row."""
 
@@ -67,21 +83,35 @@ class Texts:
         return self.count("#*$%&|<>")
 
     @cached_property
-    def _second(self) -> np.ndarray:
-        """Bytes after C3: the letters À to ÿ."""
-        after = np.zeros(len(self.data), bool)
-        after[1:] = self.data[:-1] == 0xC3
-        return after
+    def _kinds(self) -> np.ndarray:
+        """The kind of each character, at its first byte; 0 at all other bytes."""
+        table = character_kinds()
+        kinds = table[self.data]
+        kinds[self.data >= 0x80] = 0
+        if (self.data >= 0x80).any():
+            points = np.frombuffer(self.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+            found = table[np.minimum(points, 0xFFFF)]
+            for point in np.unique(points[points > 0xFFFF]).tolist():
+                found[points == point] = _kind(point)
+            kinds[(self.data & 0xC0) != 0x80] = found
+        return kinds
 
     @cached_property
     def n_upper(self) -> np.ndarray:
-        d = self.data
-        return self.per_row(((d >= 65) & (d <= 90)) | (self._second & (d >= 0x80) & (d <= 0x9E)))
+        return self.per_row(self._kinds == UPPER)
 
     @cached_property
     def n_lower(self) -> np.ndarray:
-        d = self.data
-        return self.per_row(((d >= 97) & (d <= 122)) | (self._second & (d >= 0x9F)))
+        return self.per_row(self._kinds == LOWER)
+
+    @cached_property
+    def n_letters(self) -> np.ndarray:
+        """Letters of all scripts, with case or without."""
+        return self.per_row((self._kinds >= UPPER) & (self._kinds <= LETTER))
+
+    @cached_property
+    def n_digits(self) -> np.ndarray:
+        return self.per_row(self._kinds == DIGIT)
 
     @cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:

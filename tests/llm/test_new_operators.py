@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import conversation_repair, importance, jaccard_join, language_id, line_dedup, mixing, packing, scaled_sketch
+from leafmill.llm import conversation_repair, importance, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, scaled_sketch
 from leafmill.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, _words string, cell int, rank int, fingerprint string, key long, bounds int"
@@ -406,3 +406,18 @@ def test_chunks_are_forgotten_and_learnt_again(max_bytes):
         ids, counts = cache.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         want = [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_letters_of_all_scripts_count(spark):
+    words = {"ru": "река текла мимо старой мельницы и каждый вечер мельник считал мешки зерна".split(), "el": "ο ποταμός κυλούσε δίπλα στον παλιό μύλο και κάθε βράδυ".split(), "zh": "河流 经过 旧 磨坊 每 天 晚上 磨坊主 数 粮食 袋子".split(), "deseret": ["𐐨𐐩𐐪", "𐐫𐐬", "𐐭𐐮𐐯", "𐐰𐐱", "𐐲𐐳𐐴", "𐐵𐐶", "𐐷𐐸𐐹", "𐐺𐐻𐐼𐐽", "𐐾𐐿", "𐑀𐑁𐑂"]}
+    rows = []
+    for name, own in words.items():
+        rng = random.Random(name)
+        prose = "\n".join(" ".join("".join(rng.sample(own, 2)) for _ in range(12)) for _ in range(10))
+        rows += [(f"{name} plain", prose), (f"{name} IT", f"{prose} IT"), (f"{name} loud", prose.upper()), (f"{name} digits", prose + " " + "٣٤٥٦" * len(prose))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    kept = {rows[r["doc_id"]][0]: r["kept"] for r in quality_rules.judge(df).collect()}
+    for name in words:
+        assert kept[f"{name} plain"] and kept[f"{name} IT"]
+        assert kept[f"{name} loud"] == (name == "zh")
+        assert not kept[f"{name} digits"]
