@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import conversation_repair, importance, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, scaled_sketch
+from leafmill.llm import conversation_repair, importance, jaccard_join, language_id, line_dedup, mixing, packing, permutation_index, quality_rules, scaled_sketch
 from leafmill.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, _words string, cell int, rank int, fingerprint string, key long, bounds int"
@@ -421,3 +421,29 @@ def test_letters_of_all_scripts_count(spark):
         assert kept[f"{name} plain"] and kept[f"{name} IT"]
         assert kept[f"{name} loud"] == (name == "zh")
         assert not kept[f"{name} digits"]
+
+
+def test_neighbours_of_extreme_vectors_and_other_lengths(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 0.0]), (3, [5e-324, 5e-324]), (4, [-1.0, 0.0]), (50, [1e-200, 0.0]), (100, [1.0, 2.0, 3.0]), (101, [2.0, 4.0, 6.5]), (150, [7.0])]
+    rows += [(0, [1e200, 1e200]), (200, [-1e308, 1e308])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, v string, ids int")
+    got = {}
+    for r in permutation_index.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    half = round(math.sqrt(0.5), 9)
+    assert got[0] == [(1, 1.0), (3, 1.0), (2, half), (50, half), (200, 0.0)]
+    assert got[50] == [(2, 1.0), (0, half), (1, half), (3, half), (200, -half)]
+    assert got[100][0][0] == 101 and len(got[100]) == 1 and 150 not in got
+    assert got[200] == [(4, half), (0, 0.0), (1, 0.0), (3, 0.0), (2, -half)]
+
+
+def test_recall_with_a_tenth_compared(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    got = {}
+    for r in permutation_index.search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got[q] & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 3000, 50))
+    assert permutation_index.RERANK_SHARE == 0.1 and hits >= 0.95 * 5 * 60
