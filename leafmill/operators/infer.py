@@ -36,7 +36,7 @@ from ..functions.selectors import (
     present,
     subtree_text,
 )
-from ..functions.text import is_blank, let, trim_all
+from ..functions.text import count_upto, is_blank, let, trim_all
 
 FIELD_TYPE = "struct<name:string,selector:string,attribute:string>"
 
@@ -210,8 +210,17 @@ def _has(nodes: Column, n: Column, selector: str) -> Column:
     return F.exists(descendants(nodes, n), lambda d: _matches(nodes, d, selector))
 
 
+def _sibling_key(parent: Column, tag: Column, cls: Column) -> Column:
+    return F.pmod(F.xxhash64(parent, tag, cls), F.lit(1 << 62))
+
+
 def html_lists(nodes: Column, max_elements: int | None = None) -> Column:
-    """Candidate row selectors as (selector, score), in order of first qualifying element."""
+    """Candidate row selectors as (selector, score), in order of first qualifying element.
+
+    Siblings are counted once for the page, as a sorted array of keys that is searched by halving, and only
+    the first qualifying element of each selector is scored, so the work grows with the page's nodes times
+    their depth.
+    """
     found = _first_n(F.filter(nodes, lambda n: n["tag"].isin(*LIST_TAGS)), max_elements)
     listed = F.transform(
         found,
@@ -227,70 +236,43 @@ def html_lists(nodes: Column, max_elements: int | None = None) -> Column:
         ),
     )
     listed = F.filter(listed, lambda n: (n["tag"] != "div") | n["cls"].isNotNull())
+    # an element counts for its tag alone and for its tag with each of its classes
+    classes = lambda m: F.concat(F.array(F.lit("")), F.array_distinct(m["classes"]))
+    keys = F.flatten(F.transform(F.filter(nodes, is_element), lambda m: F.transform(classes(m), lambda c: _sibling_key(m["parent"], m["tag"], c))))
 
     def outside(n: Column) -> Column:
         return ~F.exists(n["path"], lambda p: F.get(nodes, p)["tag"].isin("nav", "header", "footer"))
 
-    def siblings(n: Column) -> Column:
-        parent = F.get(nodes, n["parent"])
-        return F.size(
-            F.filter(
-                descendants(nodes, parent),
-                lambda m: (m["parent"] == n["parent"])
-                & (m["tag"] == n["tag"])
-                & (n["cls"].isNull() | F.array_contains(m["classes"], n["cls"])),
-            )
-        )
-
     def selector(n: Column) -> Column:
         return F.concat(n["tag"], F.coalesce(F.concat(F.lit("."), n["cls"]), F.lit("")))
 
-    def scored(cs: Column) -> Column:
-        # Sibling counts are shared by all children of a parent that share a selector.
-        groups = F.array_distinct(F.transform(cs, lambda n: F.struct(n["parent"], n["tag"], n["cls"])))
-        counts = F.transform(groups, lambda g: F.struct(g.alias("g"), siblings(g).alias("n")))
-
-        def score(n: Column, count: Column) -> Column:
-            kind = F.when(n["tag"] == "article", 6).when(n["tag"] == "tr", 5).otherwise(0)
-            semantic = (
-                kind
-                + F.when(_has(nodes, n, "h1,h2,h3,h4"), 5).otherwise(0)
-                + F.when(_has(nodes, n, "a[href]"), 2).otherwise(0)
-                + F.when(_has(nodes, n, "img"), 1).otherwise(0)
-            )
-            inner = F.size(F.filter(descendants(nodes, n), lambda d: d["tag"].isin(*LIST_TAGS)))
-            return semantic * 10 + F.least(count, F.lit(20)) - F.least(inner, F.lit(30))
-
-        def first_of(name: Column, ks: Column) -> Column:
-            # The first element of a selector that qualifies sets its score.
-            usable = F.filter(
-                cs,
-                lambda n: (selector(n) == name)
-                & F.exists(
-                    ks,
-                    lambda k: (k["n"] >= 2) & (k["g"]["parent"] == n["parent"]) & k["g"]["tag"].eqNullSafe(n["tag"])
-                    & k["g"]["cls"].eqNullSafe(n["cls"]),
-                )
-                & outside(n)
-                & ~is_blank(subtree_text(nodes, n)),
-            )
-
-            def row(n: Column) -> Column:
-                count = F.get(
-                    F.filter(ks, lambda k: (k["g"]["parent"] == n["parent"]) & (k["g"]["tag"] == n["tag"]) & k["g"]["cls"].eqNullSafe(n["cls"])),
-                    F.lit(0),
-                )["n"]
-                return F.when(
-                    n.isNotNull(),
-                    F.struct(n["pre"].alias("pre"), name.alias("selector"), score(n, count).alias("score")),
-                )
-
-            return let(F.get(usable, F.lit(0)), row)
-
-        names = F.array_distinct(F.transform(cs, selector))
-        return let(counts, lambda ks: F.transform(names, lambda name: first_of(name, ks)))
-
-    rows = F.filter(let(listed, scored), lambda c: c.isNotNull())
+    def counted(n: Column, sorted_keys: Column) -> Column:
+        key = _sibling_key(n["parent"], n["tag"], F.coalesce(n["cls"], F.lit("")))
+        count = let(key, lambda k: count_upto(sorted_keys, k) - count_upto(sorted_keys, k - 1))
+        return F.struct(selector(n).alias("selector"), n["pre"].alias("pre"), n["n_desc"].alias("n_desc"), n["tag"].alias("tag"), count.alias("count"))
+
+    def score(n: Column) -> Column:
+        kind = F.when(n["tag"] == "article", 6).when(n["tag"] == "tr", 5).otherwise(0)
+        semantic = (
+            kind
+            + F.when(_has(nodes, n, "h1,h2,h3,h4"), 5).otherwise(0)
+            + F.when(_has(nodes, n, "a[href]"), 2).otherwise(0)
+            + F.when(_has(nodes, n, "img"), 1).otherwise(0)
+        )
+        inner = F.size(F.filter(descendants(nodes, n), lambda d: d["tag"].isin(*LIST_TAGS)))
+        return semantic * 10 + F.least(n["count"], F.lit(20)) - F.least(inner, F.lit(30))
+
+    def scored(by_name: Column) -> Column:
+        # in the order of selector and place, the first of each selector
+        firsts = F.filter(by_name, lambda n, i: ~F.coalesce(F.get(by_name, i - 1)["selector"], F.lit("")).eqNullSafe(n["selector"]))
+        return F.transform(firsts, lambda n: F.struct(n["pre"].alias("pre"), n["selector"].alias("selector"), score(n).alias("score")))
+
+    def repeated(sorted_keys: Column) -> Column:
+        candidates = F.transform(F.filter(listed, outside), lambda n: counted(n, sorted_keys))
+        usable = F.filter(candidates, lambda n: (n["count"] >= 2) & ~is_blank(subtree_text(nodes, n)))
+        return let(F.array_sort(usable), scored)
+
+    rows = let(F.array_sort(keys), repeated)
     return F.array_sort(rows, lambda a, b: a["pre"] - b["pre"])
 
 

@@ -183,3 +183,14 @@ def test_shredding_happens_once_per_page(spark):
     df = spark.createDataFrame([(1, "https://e.org/", SHELF)], "id int, url string, html string")
     plan = extract_html(with_nodes(df), BOOKS, ["id"]).filter("row_pos >= 0")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_lists_of_a_large_page(spark):
+    """Many elements of many selectors; each selector is scored by its first element."""
+    from leafmill.operators.infer import html_lists
+
+    items = "".join(f'<li class="k{i % 40} row"><a href="/{i}">x{i}</a></li>' for i in range(20_000))
+    page = f"<nav><ul><li>a</li><li>b</li></ul></nav><ul>{items}</ul><div class=one>alone</div><table><tr><td>1<tr><td>2</table>"
+    df = with_nodes(spark.createDataFrame([(page,)], "html string")).select(html_lists(F.col("nodes")).alias("lists"))
+    got = [(r["selector"], r["score"]) for r in df.first()["lists"]]
+    assert got == [(f"li.k{i}", 40) for i in range(40)] + [("tr", 52)]
