@@ -76,6 +76,13 @@ NEXT_SELECTORS = [
 ]
 
 # --- warnings ---
+# Notes of a probe report.
+NOTE_ONE_PAGE = "仅抓取一页；命中率按实际保留的记录计算。"
+NOTE_HTML = "按重复元素和常见语义推断规则，建议试运行后再采集多页。"
+NOTE_HTML_NO_LIST = "未发现明显列表，按整页提取；内容由 JavaScript 加载时可尝试动态渲染。"
+NOTE_JSON = "按响应结构推断列表和字段，请核对预览后应用。"
+NOTE_JSON_EMPTY = "列表为空，暂时无法推断记录内的字段。"
+NOTE_JSON_KEYS = "特殊键名可能无法用当前 JSON 路径表达；分页参数需自行填写。"
 WARN_NO_CONTAINER = "列表容器未匹配到内容，请检查 CSS 选择器。"
 WARN_ROW_CAP = "本页超过 200 条记录，仅保留前 200 条。"
 WARN_PAGE_BYTES = "本页提取数据超过 1 MB，仅保留限额内的记录。"

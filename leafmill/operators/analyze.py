@@ -16,8 +16,9 @@ from ..functions.jsonpath import JsonPlace, json_cell, json_records, normalize_p
 from ..functions.selectors import BRANCHES, selector_rows
 from ..functions.text import is_blank, let, unnest
 from .gates import classify, decode_text, decode_utf8, gate, split_rejects
-from .html import extract_html_multi, with_nodes
+from .html import extract_html_multi, with_html_records, with_nodes
 from .infer import suggest_html, suggest_json
+from .json_records import with_json_records
 from .profile import hit_rate
 
 for module in (fixed, selectors, sys.modules[__name__]):
@@ -80,12 +81,8 @@ def analyze(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pages, suggest_json(good), reasons
 
 
-def probe_pages(suggested: DataFrame) -> DataFrame:
-    """Applies each page's own suggestion: (response_id, field_pos, field_name, sampled, filled, hit_rate).
-
-    A page keeps its nodes from the analysis, so it is shredded once and nothing moves before the
-    final counts.
-    """
+def _own_rules(suggested: DataFrame) -> DataFrame:
+    """Pages with their own suggestion in evaluated form, as ``extract_html_multi`` wants it."""
     texts = F.concat(F.array("row_selector"), F.transform("fields", lambda f: f["selector"]))
     compiled = suggested.withColumn("_sels", compiled_selectors(texts))
 
@@ -96,12 +93,61 @@ def probe_pages(suggested: DataFrame) -> DataFrame:
             F.get(F.col("_sels"), i + 1).alias("sel"),
         )
 
-    routed = compiled.select(
-        "response_id", "url", "nodes", F.lit("suggested").alias("rule_id"),
-        F.get(F.col("_sels"), F.lit(0)).alias("row_sel"), F.transform("fields", field).alias("fields"),
+    return compiled.withColumnsRenamed({"fields": "suggested_fields"}).withColumns(
+        {"rule_id": F.lit("suggested"), "row_sel": F.get(F.col("_sels"), F.lit(0)), "fields": F.transform("suggested_fields", field)}
+    ).drop("_sels")
+
+
+def probe_pages(suggested: DataFrame) -> DataFrame:
+    """Applies each page's own suggestion: (response_id, field_pos, field_name, sampled, filled, hit_rate).
+
+    A page keeps its nodes from the analysis, so it is shredded once and nothing moves before the
+    final counts.
+    """
+    routed = _own_rules(suggested).select("response_id", "url", "nodes", "rule_id", "row_sel", "fields")
+    return _filled(extract_html_multi(routed, ["response_id"]))
+
+
+REPORT_COLUMNS = ("response_id", "source_type", "matched", "sampled", "fields", "row_selector", "next_selector", "notes")
+
+
+def probe_reports(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reports, rejected responses): what the analysis of each response suggests and what it would give.
+
+    A report has source_type, matched, sampled, fields (name, selector, attribute, filled), the suggested
+    selectors and notes: those of the analysis, then the warnings of the extraction. One row per response,
+    nothing moves.
+    """
+    pages, documents, rejected = analyze(responses)
+    routed = with_html_records(_own_rules(pages))
+    html = _report(
+        routed, "html", F.col("_records"), F.size("_containers"),
+        [F.lit(fixed.NOTE_HTML), F.when(F.col("row_selector") == "", fixed.NOTE_HTML_NO_LIST)], fixed.WARN_NO_CONTAINER, fixed.WARN_EMPTY_FIELD_HTML,
+    )
+    docs = documents if "parsed" in documents.columns else parsed(documents)
+    paths = F.transform("suggested_fields", lambda f: F.struct(f["name"].alias("name"), normalize_path(f["selector"]).alias("path")))
+    docs = docs.withColumnRenamed("fields", "suggested_fields").withColumns({"json_rows": normalize_path(F.col("row_selector")), "json_fields": paths})
+    listed = with_json_records(docs)
+    json = _report(
+        listed, "json", F.col("_json_records"), F.size("_items"),
+        [F.lit(fixed.NOTE_JSON), F.when(F.size("_items") == 0, fixed.NOTE_JSON_EMPTY), F.lit(fixed.NOTE_JSON_KEYS)], fixed.WARN_NO_RECORD_JSON, fixed.WARN_EMPTY_FIELD_JSON,
+    )
+    return html.unionByName(json), rejected
+
+
+def _report(df: DataFrame, kind: str, records: Column, matched: Column, notes: list[Column], none: str, empty: str) -> DataFrame:
+    def filled(f: Column, i: Column) -> Column:
+        n = F.size(F.filter(records, lambda r: ~is_blank(F.get(r, i)["value"])))
+        return F.struct(f["name"].alias("name"), f["selector"].alias("selector"), f["attribute"].alias("attribute"), n.alias("filled"))
+
+    counted = df.withColumn("_found", F.transform("suggested_fields", filled)).withColumn("_kept", records).withColumn("matched", matched)
+    blank = F.filter("_found", lambda f: F.exists("_kept", lambda r: F.lit(True)) & F.forall("_kept", lambda r: F.forall(r, lambda c: (c["name"] != f["name"]) | (c["value"] == ""))))
+    warned = F.concat(F.array(F.when(F.col("matched") == 0, none)), F.transform(blank, lambda f: F.format_string(empty, f["name"])))
+    said = F.filter(F.concat(F.array(*notes), warned), lambda n: n.isNotNull())
+    return counted.select(
+        "response_id", F.lit(kind).alias("source_type"), "matched", F.size("_kept").alias("sampled"), F.col("_found").alias("fields"),
+        "row_selector", "next_selector", said.alias("notes"),
     )
-    values = extract_html_multi(routed, ["response_id"])
-    return _filled(values)
 
 
 def _filled(values: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.analyze import analyze, probe_documents, probe_pages
+from ..fixed import NOTE_HTML, NOTE_HTML_NO_LIST, NOTE_JSON, NOTE_JSON_EMPTY, NOTE_JSON_KEYS, WARN_NO_RECORD_JSON
+from ..operators.analyze import analyze, probe_documents, probe_pages, probe_reports
 from ..operators.catalog import (
     clear_pointer,
     delete_rules,
@@ -327,6 +328,34 @@ UNION ALL SELECT page_id, CASE WHEN contains(html, '<a href=') THEN 2 ELSE 1 END
 """
 
 
+def analysis_reports(spark, sf):
+    """The whole report of every page and of customers as JSON, some without records."""
+    html = pages_as_responses(pages(spark, sf)).select("response_id", "url", "content_type", "body")
+    c = spread(table(spark, sf, "customer"))
+    name = F.when(F.col("c_nationkey") % 3 == 0, "").otherwise(F.col("c_name"))
+    some = F.concat(F.lit('{"data":{"items":[{"n":'), F.to_json(F.struct(name.alias("x"))), F.lit(',"v":1.50},{"v":"2"}]}}'))
+    body = F.when(F.col("c_nationkey") == 7, '{"list":[]}').otherwise(some)
+    json = c.select((-F.col("c_custkey")).alias("response_id"), F.lit("https://api.example.com/x?k=1").alias("url"), F.lit("application/json").alias("content_type"), F.encode(body, "UTF-8").alias("body"))
+    reports, _ = probe_reports(html.unionByName(json))
+    fields = F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["filled"].cast("string"))), "|")
+    return reports.select("response_id", "source_type", "matched", "sampled", fields.alias("fields"), F.array_join("notes", "|").alias("notes"))
+
+
+ANALYSIS_REPORTS = f"""
+WITH f AS ({ANALYZED_PAGES}),
+h AS (SELECT response_id, string_agg(field_name || '=' || filled, '|' ORDER BY field_pos) AS fields,
+             string_agg(CASE WHEN filled = 0 THEN '|' || '「' || field_name || '」没有提取到内容，请检查选择器或属性。' END, '' ORDER BY field_pos) AS empty FROM f GROUP BY 1),
+c AS (SELECT *, c_nationkey % 3 = 0 AS unnamed, c_nationkey = 7 AS none FROM customer)
+SELECT response_id, 'html' AS source_type, CAST(1 AS INTEGER) AS matched, CAST(1 AS INTEGER) AS sampled, fields, '{NOTE_HTML}|{NOTE_HTML_NO_LIST}' || coalesce(empty, '') AS notes FROM h
+UNION ALL
+SELECT -c_custkey, 'json', CASE WHEN none THEN 0 ELSE 2 END, CASE WHEN none THEN 0 ELSE 2 END,
+  CASE WHEN none THEN '值=0' WHEN unnamed THEN 'n.x=0|v=2' ELSE 'n.x=1|v=2' END,
+  '{NOTE_JSON}|' || CASE WHEN none THEN '{NOTE_JSON_EMPTY}|' ELSE '' END || '{NOTE_JSON_KEYS}'
+  || CASE WHEN none THEN '|{WARN_NO_RECORD_JSON}' WHEN unnamed THEN '|「n.x」没有提取到内容，请核对 JSON 路径。' ELSE '' END
+FROM c
+"""
+
+
 def analyzed_documents(spark, sf):
     """Customers as JSON, cut-off JSON and other responses: suggestions applied and probed, rejects listed."""
     c = spread(table(spark, sf, "customer"))
@@ -362,6 +391,7 @@ QUERIES = {
     "redacted_rules": (redacted_rules, REDACTED_RULES),
     "stored_rules": (stored_rules, STORED_RULES),
     "rule_files": (rule_files, RULE_FILES),
+    "analysis_reports": (analysis_reports, ANALYSIS_REPORTS),
     "rule_additions": (rule_additions, RULE_ADDITIONS),
     "rule_edits": (rule_edits, RULE_EDITS),
     "header_policy": (header_policy, HEADER_POLICY),
