@@ -141,7 +141,7 @@ def catalog_roundtrip(spark, sf):
 
 
 def base_href_resolve(spark, sf):
-    based = catalogue_pages(spark, sf, '<base href="/shop/"><base href="/ignored/">')
+    based = catalogue_pages(spark, sf, '<base target="_top"><base href="../shop/list.html?x#y"><base href="https://elsewhere.example.net/z/">')
     return extract_html(with_nodes(based), BOOK_RULE, ["page_no"])
 
 

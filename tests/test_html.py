@@ -10,7 +10,7 @@ from leafmill.operators.html import compile_rules, extract_html, extract_html_mu
 BOOKS = preset("books")
 
 
-def page(spark, html, url="https://example.com/catalogue/"):
+def page(spark, html, url="https://garden.test/lots/"):
     return with_nodes(spark.createDataFrame([(1, url, html)], "id int, url string, html string"))
 
 
@@ -69,15 +69,17 @@ def test_nothing_is_cut_unless_asked(spark):
     whole = extract_page(page(spark, f"<ul>{shelf}</ul>"), jars).head()
     assert [r["n"] for r in whole.records] == [str(n) for n in range(517)] and whole.warnings == []
     some = extract_page(page(spark, f"<ul>{shelf}</ul>"), jars, max_rows=9).head()
-    assert len(some.records) == 9 and some.matched == 517 and WARN_ROW_CAP in some.warnings
+    assert len(some.records) == 9 and some.matched == 517 and "本页超过 9 条记录，仅保留前 9 条。" in some.warnings
     folded = extract_page(page(spark, f"<ul>{shelf}</ul>"), rule("ul", ("all", "b", "text"))).head().records[0]["all"]
     assert folded.split("\n") == [str(n) for n in range(517)]
     bare = extract_page(page(spark, "<section>nothing on sale</section>"), jars).head()
     assert bare.records == [] and bare.warnings == [WARN_NO_CONTAINER]
+    assert WARN_ROW_CAP in extract_page(page(spark, f"<ul>{shelf}</ul>"), jars, max_rows=200).head().warnings
     # the record that crosses a byte limit goes too
     notes = "".join(f"<i>{c * 90}</i>" for c in "abcd")
     sized = extract_page(page(spark, notes, "https://shop.test/"), rule("i", ("t", ":scope", "text")), max_bytes=300).head()
-    assert len(sized.records) == 2 and WARN_PAGE_BYTES in sized.warnings
+    assert WARN_PAGE_BYTES in extract_page(page(spark, f"<i>{'e' * (1 << 20)}</i>"), rule("i", ("t", ":scope", "text")), max_bytes=1 << 20).head().warnings
+    assert len(sized.records) == 2 and "本页提取数据超过 300 字节，仅保留限额内的记录。" in sized.warnings
 
 
 def test_long_cells_stay_whole(spark):
@@ -129,7 +131,7 @@ def test_selectors_in_both_forms(spark):
         assert len(fixed[i]) == count, s
 
 
-@pytest.mark.parametrize("bad", ["[broken", "a:hover", "p >", "", "a::before", ":has(a b)", ":eq(1)", "li:nth-child(x)", "a,,b"])
+@pytest.mark.parametrize("bad", ["div[data-x", "a:hover", "p >", "", "a::before", ":has(a b)", ":eq(1)", "li:nth-child(x)", "a,,b"])
 def test_unsupported_selectors_fail(bad):
     with pytest.raises(SelectorError):
         parse_selector(bad)

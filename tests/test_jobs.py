@@ -225,7 +225,7 @@ def test_rules(spark):
     books = found.filter("id = 'books'")
     bad = {
         "page count": F.col("config").withField("maxPages", F.lit(11)),
-        "row selector": F.col("config").withField("rowSelector", F.lit("[broken")),
+        "row selector": F.col("config").withField("rowSelector", F.lit("ul > [")),
         "field name repeated": F.col("config").withField("fields", F.flatten(F.array("config.fields", "config.fields"))),
         "paging": F.col("config").withField("maxPages", F.lit(2)).withField("nextSelector", F.lit(" ")),
         "url": F.col("config").withField("url", F.repeat(F.lit("x"), 3000)),

@@ -41,7 +41,7 @@ def test_admission(spark):
 
 
 RESOLVED = {
-    "/book": "https://example.com/book", "books/2": "https://example.com/c/x/books/2", "?page=2": "https://example.com/c/x/i.html?page=2",
+    "/shelf/9": "https://example.com/shelf/9", "lot/7": "https://example.com/c/x/lot/7", "?sort=up": "https://example.com/c/x/i.html?sort=up",
     "": "https://example.com/c/x/i.html?q=1", "../up": "https://example.com/c/up", "../../../up": "https://example.com/up",
     "//Other.org/a b": "https://other.org/a%20b", "javascript:alert(1)": None, "http://[": None, "HTTP://A.com:80": "http://a.com/",
     "/für?ñ=é#ü": "https://example.com/f%C3%BCr?%C3%B1=%C3%A9#%C3%BC", "http://256.1.1.1": None, "https:foo": "https://example.com/c/x/foo",
