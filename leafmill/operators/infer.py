@@ -28,7 +28,6 @@ from ..fixed import (
 from ..functions.jsonpath import MAX_PATH_STEPS, nesting, normalize_path
 from ..functions.selectors import (
     _all,
-    _attr,
     descendants,
     first,
     is_element,

@@ -9,7 +9,7 @@ from ..operators.catalog import read_rules
 from ..operators.collect import collect
 from ..schemas import CONFIG
 from ..session import work_path
-from .common import pages, table
+from .common import pages
 from .html_queries import HTML_ARTICLES, HTML_NAV_LINKS
 from .json_queries import JSON_API_ROUNDTRIP, ORDER_RULE, order_bodies
 
