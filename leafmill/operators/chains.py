@@ -102,10 +102,9 @@ def _looping(edges: DataFrame, open_: DataFrame) -> DataFrame:
         open_, _ = _round(open_)
     inside = edges.join(on_loop, "node", "left_semi").select("node", F.col("target").alias("ptr"))
     # a loop is known by its smallest node, the least that longer and longer stretches hold
-    state = inside.withColumn("low", F.col("node"))
+    state = materialize(inside.withColumn("low", F.col("node")), "loops")
     changed = 1
     while changed:
-        state = materialize(state, "loops")
         right = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("lower"))
         grown = state.join(right, "ptr").select("node", F.col("far").alias("ptr"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("changed"))
         state, counts = _written(grown, "loops", changed=F.count_if(F.col("changed")))
