@@ -17,10 +17,14 @@ from ..session import work_path
 
 
 def stream_table(spark: SparkSession, path: str, schema: str, glob: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """A stream of the files below ``path`` that ``glob`` matches, and of those in folders that it matches.
+
+    A table may be one file or a folder of parts; as a pattern, in braces, its name goes for both.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path}/{{{glob}}}")
 
 
 def stream_extract(pages: DataFrame, rule: dict, keys: Sequence[str], **limits) -> DataFrame:

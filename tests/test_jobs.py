@@ -16,7 +16,7 @@ from leafmill.session import work_path
 from leafmill.sources.responses import read_events
 from leafmill.sources.run_store import RunStore
 from leafmill.sources.sinks import write_csv
-from leafmill.streaming.jobs import FOLD_OUTPUT, stream_fold
+from leafmill.streaming.jobs import FOLD_OUTPUT, latest_fold, stream_fold, stream_table
 from leafmill.plans.registry import registry
 
 
@@ -165,6 +165,22 @@ EVENT_ROWS = [
 ]
 
 
+def test_a_streamed_table_may_be_a_file_or_a_folder_of_parts(spark, tmp_path):
+    schema = "run_id string, pos long, type string, message string, level string, rows_n long"
+    events = [(f"r{i % 7}", i // 7, "done" if i > 27 else "page", None, None, i) for i in range(35)]
+    df = spark.createDataFrame(events, schema)
+    df.repartition(3).write.parquet(f"{tmp_path}/folder/events.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/once")
+    (part,) = (tmp_path / "once").glob("part-*.parquet")
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "events.parquet").write_bytes(part.read_bytes())
+    df.limit(5).coalesce(1).write.parquet(f"{tmp_path}/folder/other.parquet")
+    want = {(f"r{i}", "done", 4, 4 * i + 42) for i in range(7)}
+    for place in ("folder", "file"):
+        got = latest_fold(stream_table(spark, f"{tmp_path}/{place}", schema, "events.parquet"), "stream-runs")
+        assert {(r.run_id, r.status, r.pages, r.rows) for r in got.collect()} == want
+
+
 def test_event_fold_batch_and_stream(spark):
     schema = "run_id string, pos long, type string, message string, level string, rows_n long"
     df = spark.createDataFrame(EVENT_ROWS, schema)
