@@ -16,7 +16,7 @@ from ..operators.view import (
     select_rows,
     view_counts,
 )
-from ..sources.sinks import csv_line, read_result, write_csv, write_result, write_result_json
+from ..sources.sinks import csv_line, csv_parts, read_result, write_csv, write_result, write_result_json
 from ..session import work_path
 from .common import table
 
@@ -209,12 +209,7 @@ def csv_files(spark, sf):
     """Writes the guarded CSV and reads the bytes back: every part starts with mark and header."""
     path = work_path(spark, "csv")
     write_csv(_cells(spark, sf), path, ["cell"])
-    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    text = F.decode("content", "UTF-8")
-    head = '﻿"cell","_source"\r\n'
-    return parts.select(
-        text.startswith(head).alias("headed"), (F.octet_length("content") - len(head.encode())).alias("n")
-    ).groupBy("headed").agg(F.sum("n").alias("row_bytes"))
+    return csv_parts(spark, path, ["cell"]).groupBy("headed").agg(F.sum("row_bytes").alias("row_bytes"))
 
 
 CSV_FILES = f"SELECT true AS headed, CAST(sum(strlen({SQL_CSV_LINE}) + 2) AS BIGINT) AS row_bytes FROM {SQL_CELL}"
@@ -253,12 +248,8 @@ def csv_empty(spark, sf):
         write_csv(cells, f"{path}/split", ["cell"])
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
-    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
-    text = F.decode("content", "UTF-8")
-    head = '\ufeff"cell","_source"\r\n'
-    return parts.where("length > 0").groupBy(F.element_at(F.split("path", "/"), -2).alias("view")).agg(
-        F.every(text.startswith(head)).alias("headed"), F.sum(F.octet_length("content") - len(head.encode())).alias("row_bytes")
-    )
+    parts = csv_parts(spark, path, ["cell"])
+    return parts.groupBy(F.element_at(F.split("path", "/"), -2).alias("view")).agg(F.every("headed").alias("headed"), F.sum("row_bytes").alias("row_bytes"))
 
 
 CSV_EMPTY = f"""

@@ -22,6 +22,10 @@ def csv_line(columns: Sequence[str]) -> Column:
     return F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in columns])
 
 
+def _header(columns: Sequence[str]) -> Column:
+    return F.concat(F.lit(BOM), F.concat_ws(",", *[csv_cell(F.lit(c)) for c in columns]))
+
+
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     """Each part file is a complete CSV: byte order mark, header, then its rows, CRLF between.
 
@@ -29,7 +33,7 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     one file, whatever the session says about rows per file. An empty view gives a file with the header.
     """
     columns = [*fields, "_source"]
-    header = F.concat(F.lit(BOM), F.concat_ws(",", *[csv_cell(F.lit(c)) for c in columns]))
+    header = _header(columns)
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     line = csv_line(columns)
     marked = F.when(in_task == 0, F.concat(header, F.lit("\r\n"), line)).otherwise(line)
@@ -43,6 +47,29 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
         write(spark.range(0, 1, 1, 1).select(header.alias("value")), "append")
 
 
+def csv_parts(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """(path, length, headed, row_bytes) of the part files below ``path`` that aren't empty: whether each starts
+    with mark and header, and how many bytes follow them.
+
+    Parts may be of any size: they are read line by line, and only sizes go on.
+    """
+    header = _header([*fields, "_source"])
+    lines = spark.read.option("lineSep", "\r\n").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").text(path)
+    at_start = F.col("_metadata.file_block_start") == 0
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("length"),
+        (F.octet_length("value") + 2).cast("long").alias("_bytes"),
+        # the lines of a block come in their order; long ones are cut, as only the header is looked for
+        F.when(at_start, F.monotonically_increasing_id()).alias("_at"),
+        F.when(at_start, F.left("value", F.length(header) + 1)).alias("_line"),
+    )
+    read = lines.groupBy("path", "length").agg(F.sum("_bytes").alias("_bytes"), F.min_by("_line", "_at").alias("_first"))
+    # Spark's reader leaves out the mark, so a file that has one is longer by it than its lines
+    headed = (F.concat(F.lit(BOM), F.col("_first")) == header) & (F.col("length") == F.col("_bytes") + F.octet_length(F.lit(BOM)))
+    return read.select("path", "length", headed.alias("headed"), (F.col("length") - F.octet_length(header) - 2).alias("row_bytes"))
+
+
 def iso_time(ms: Column) -> Column:
     """Milliseconds since 1970 as an ISO 8601 time in UTC, whatever the session's time zone is."""
     utc = F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)"))

@@ -15,7 +15,7 @@ from leafmill.schemas import EVENTS
 from leafmill.session import work_path
 from leafmill.sources.responses import read_events
 from leafmill.sources.run_store import RunStore
-from leafmill.sources.sinks import write_csv
+from leafmill.sources.sinks import csv_parts, write_csv
 from leafmill.streaming.jobs import FOLD_OUTPUT, latest_fold, stream_fold, stream_table
 from leafmill.plans.registry import registry
 
@@ -75,6 +75,31 @@ def test_csv_parts_are_complete_files(spark):
     assert sorted(read) == sorted((guard(a), guard(b)) for a, b in cells)
 
 
+def test_csv_parts_are_measured_without_taking_a_file_whole(spark, tmp_path):
+    """Sizes and heads of parts that Spark may not read as one value, and of parts without a mark or header."""
+    texts = [("en", "word " * 60 + str(i)) for i in range(40)] + [("de", "x\r\ny"), ("fr", 'say "so"'), ("es", None)]
+    rows = [(i, t, lang, f"s{i % 3}", len(t or "")) for i, (lang, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    lead = {"en": "plain, ", "de": "'=SUM(1)", "fr": "'  -x \"q\" ", "es": "'\ttab"}
+    cell = lambda lang, t: '""' if t is None else '"' + (lead[lang] + t).replace('"', '""') + '"'
+    size = sum(len(f'{cell(lang, t)},"{source}"\r\n') for _, t, lang, source, _ in rows)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = registry()["csv_empty"][0](spark, str(tmp_path)).collect()
+        assert {(r["view"], r.headed, r.row_bytes) for r in got} == {("none", True, 9), ("split", True, size)}
+        (whole,) = registry()["csv_files"][0](spark, str(tmp_path)).collect()
+        assert (whole.headed, whole.row_bytes) == (True, size)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    head = '"a","_source"\r\n'
+    parts = {"part-0": "\ufeff" + head + '"1","s"\r\n', "part-1": head + '"1","s"\r\n', "part-2": '\ufeff"b","_source"\r\n', "part-3": "", "other": "x"}
+    (tmp_path / "csv").mkdir()
+    for name, text in parts.items():
+        (tmp_path / "csv" / name).write_bytes(text.encode())
+    found = {r.path[-6:]: (r.headed, r.row_bytes) for r in csv_parts(spark, f"{tmp_path}/csv", ["a"]).collect()}
+    assert found == {"part-0": (True, 9), "part-1": (False, 6), "part-2": (False, 0)}
+
+
 def test_prefix_sum_over_chunks(spark):
     rnd = random.Random(3)
     data = [(rnd.choice("aab"), i, rnd.randint(0, 50)) for i in range(400)]
