@@ -159,6 +159,29 @@ def _web_parts(u: Column) -> Column:
     )
 
 
+# URLs that are their own normal form: nothing in them is encoded, resolved, dropped or a number for a host.
+_PLAIN_HOST = r"(?:[a-z0-9-]++\.)*+[a-z][a-z0-9-]*+"
+_PLAIN_TAIL = r"(?:/(?!\.)[A-Za-z0-9_.~!$&'()*+,;=:@-]*+)++(?:\?[A-Za-z0-9/_.~!$&()*+,;=:@%-]++)?+(?:#[A-Za-z0-9/_.~!$&()*+,;=:@%-]++)?+\z"
+PLAIN_URL = rf"^https?://{_PLAIN_HOST}{_PLAIN_TAIL}"
+
+
+def _plain_parts(u: Column) -> Column:
+    """What ``_web_parts`` gives for a ``PLAIN_URL``."""
+    empty = F.lit("")
+    return F.struct(
+        F.substring_index(u, "://", 1).alias("scheme"),
+        empty.alias("user"),
+        empty.alias("password"),
+        F.substring_index(F.substring_index(u, "/", 3), "/", -1).alias("host"),
+        empty.alias("port"),
+        F.regexp_extract(u, r"^https?://[^/]++([^?#]++)", 1).alias("path"),
+        F.when(u.contains("?"), F.regexp_extract(u, r"\?[^#]++", 0)).otherwise(empty).alias("query"),
+        F.when(u.contains("#"), F.regexp_extract(u, r"#.++", 0)).otherwise(empty).alias("fragment"),
+        empty.alias("bare_query"),
+        empty.alias("bare_fragment"),
+    )
+
+
 def percent_encode(c: Column) -> Column:
     """Percent-encodes blanks, controls and everything outside ASCII."""
     return _escape(c, r"[^!-~]")
@@ -166,7 +189,7 @@ def percent_encode(c: Column) -> Column:
 
 def parse_url(c: Column) -> Column:
     """STRUCT(scheme, user, password, host, port, path, query, fragment, ..) or NULL."""
-    return let(_trim_control(c), _web_parts)
+    return let(c, lambda u: F.when(u.rlike(PLAIN_URL), _plain_parts(u)).otherwise(let(_trim_control(u), _web_parts)))
 
 
 def origin_of(p: Column) -> Column:
@@ -224,7 +247,13 @@ def _web_parts_of(t: Column, base: Column) -> Column:
 
 def resolve_url(ref: Column, base: Column) -> Column:
     """``ref`` against the parsed ``base``: absolute http(s) URL, or NULL."""
-    return let(resolve_parts(ref, base), build_url)
+
+    def resolved(x: Column) -> Column:
+        ref, base = x["ref"], x["base"]
+        rooted = F.when(ref.startswith("/") & ~ref.startswith("//"), F.concat(origin_of(base), ref))
+        return let(F.coalesce(rooted, ref), lambda u: F.when(u.rlike(PLAIN_URL), u).otherwise(let(resolve_parts(ref, base), build_url)))
+
+    return let(F.struct(ref.alias("ref"), base.alias("base")), resolved)
 
 
 def is_other_scheme(ref: Column) -> Column:
@@ -233,12 +262,14 @@ def is_other_scheme(ref: Column) -> Column:
 
 
 def host_of(c: Column) -> Column:
-    return let(parse_url(c), lambda p: p["host"])
+    host = lambda u: F.substring_index(F.substring_index(u, "/", 3), "/", -1)
+    return let(c, lambda u: F.when(u.rlike(PLAIN_URL), host(u)).otherwise(let(parse_url(u), lambda p: p["host"])))
 
 
 def strip_query(c: Column) -> Column:
     """URL without its query; the fragment stays."""
-    return F.coalesce(let(parse_url(c), lambda p: build_url(p, query=F.lit(""))), F.lit(""))
+    built = lambda u: F.coalesce(let(parse_url(u), lambda p: build_url(p, query=F.lit(""))), F.lit(""))
+    return let(c, lambda u: F.when(u.rlike(PLAIN_URL), F.regexp_replace(u, r"\?[^#]++", "")).otherwise(built(u)))
 
 
 def set_query_param(url: Column, name: Column, value: Column) -> Column:

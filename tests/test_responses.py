@@ -1,12 +1,13 @@
 import ipaddress
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.fixed import LABEL_COLUMN_PREFIX, LABEL_DESCRIPTION, LABEL_IMAGE, LABEL_TIME, LABEL_TITLE
 from leafmill.functions.jsonpath import JsonPathError, normalize_path, path_steps
-from leafmill.functions.urls import normalize_url, parse_url, resolve_url, set_query_param
-from leafmill.operators.admission import admit_urls, is_public
+from leafmill.functions.urls import PLAIN_URL, host_of, normalize_url, parse_url, resolve_url, set_query_param, strip_query
+from leafmill.operators.admission import admit_urls, admitted_url, is_public
 from leafmill.operators.gates import classify, decode_body, gate_content_type, gate_size, gate_status, split_rejects
 from leafmill.operators.infer import suggest_html, suggest_json
 from leafmill.operators.html import with_nodes
@@ -175,3 +176,29 @@ def test_analysis_rejects_and_probes(spark):
     found = {(r.response_id, r.field_name): (r.sampled, r.filled) for r in probe_pages(pages).collect()}
     assert found == {(1, "链接"): (2, 2), (5, "内容"): (1, 1)}
     assert [(r.field_name, r.sampled, r.filled, r.hit_rate) for r in probe_documents(documents).collect()] == [("b", 2, 1, 50)]
+
+
+def test_urls_in_normal_form_are_told_without_parsing(spark):
+    """Those that the short way takes are what the long way makes of them; all others go the long way."""
+    same = ["https://a.example.com/", "http://1a.b-c.io/x//y.z?q=%20&r=(1)#f/%41", "https://xn--bcher-kva.example/a'b;c=1:@~", "http://host/p"]
+    made = {
+        "https://a.example.com": "https://a.example.com/", "HTTP://A.example.com/": "http://a.example.com/", "http://a.b/./c": "http://a.b/c", "http://a.b/c/..": "http://a.b/",
+        "http://a.b/c\\d": "http://a.b/c/d", "http://0x7f.1/": "http://127.0.0.1/", "http://a.b:80/": "http://a.b/", "http://a.b/?x='": "http://a.b/?x=%27", "http://a.b/c\n": "http://a.b/c",
+        "http:///a.b/c": "http://a.b/c", "http://a.b/?#": "http://a.b/?#", "http://a.b/%2e%2e/c": "http://a.b/c", "http://a.1/": None, "mailto:a": None,
+    }
+    df = spark.createDataFrame([(u,) for u in [*same, *made]], "u string")
+    u, base = F.col("u"), parse_url(F.lit("https://a.example.com/x/y?z"))
+    rows = df.select("u", u.rlike(PLAIN_URL).alias("plain"), normalize_url(u).alias("n"), host_of(u).alias("host"), strip_query(u).alias("short"), resolve_url(u, base).alias("r")).collect()
+    assert {r.u for r in rows if r.plain} == set(same)
+    for r in rows:
+        want = r.u if r.u in same else made[r.u]
+        assert (r.n, r.r) == (want, want)
+        assert r.host == (want and want.split("/")[2])
+        assert r.short == re.sub(r"\?[^#]*", "", want or "")
+    refs = spark.createDataFrame([("/1",), ("//b.io/c",), ("/../k",), ("1",), ("",), ("/\u00fc?a#b",)], "ref string")
+    got = [r[0] for r in refs.select(resolve_url(F.col("ref"), base)).collect()]
+    root = "https://a.example.com"
+    assert got == [f"{root}/1", "https://b.io/c", f"{root}/k", f"{root}/x/1", f"{root}/x/y?z", f"{root}/%C3%BC?a#b"]
+    asked = ["http://a.b/c#d", "http://host/p", "http://x.local/", "http://a.b:8080/"]
+    admitted = spark.createDataFrame([(a,) for a in asked], "u string").select(admitted_url(F.col("u"))).collect()
+    assert [r[0] for r in admitted] == ["http://a.b/c", None, None, None]
