@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..fixed import RESERVED_PATH_NAMES
 from .text import let
@@ -67,6 +70,10 @@ def normalize_path(c: Column) -> Column:
     return F.when(text.isin("", "$"), F.lit("$")).when(ok, F.concat(F.lit("$"), joined))
 
 
+# Numbers so short that a double has all their digits: they are printed without the zeros at the end.
+_SHORT_NUMBER = r"^(?!-0\.0+$)-?\d{1,9}\.\d{1,6}$"
+
+
 def number_text(c: Column) -> Column:
     """A JSON number literal the way a browser prints it (1.0 is 1, 1.5E-7 is 1.5e-7)."""
     d = c.try_cast("double")
@@ -82,6 +89,7 @@ def number_text(c: Column) -> Column:
     return (
         F.when(c == "-0", "0")
         .when(c.rlike(r"^-?\d+$"), c)
+        .when(c.rlike(_SHORT_NUMBER), F.rtrim(F.rtrim(c, F.lit("0")), F.lit(".")))
         .when(d == 0, "0")
         .when((size < 1e-6) | (size >= 1e21), exponent)
         .otherwise(plain)
@@ -112,6 +120,8 @@ class JsonPlace:
 
     def __init__(self, steps: Column, read: Callable[[Column, str], Column], parent: JsonPlace | None):
         self.steps, self.get, self.parent = steps, read, parent
+        # the steps, where they are known before the job
+        self.names: list[str | int] | None = None
 
     @classmethod
     def of(cls, path: str) -> JsonPlace:
@@ -120,8 +130,12 @@ class JsonPlace:
     @classmethod
     def _fixed(cls, steps: list[str | int]) -> JsonPlace:
         positions = [i for i, s in enumerate(steps) if isinstance(s, int)]
+        # a value is an array or an object, so one of the ways at most leads somewhere
+        ways = [spark_path(list(way)) for way in product(*[(s, str(s)) if isinstance(s, int) else (s,) for s in steps])] if len(positions) <= 3 else []
 
         def read(value: Column, kind: str = "variant") -> Column:
+            if ways:
+                return F.coalesce(*[F.try_variant_get(value, way, kind) for way in ways])
             done = 0
             for i in positions:
                 found = F.try_variant_get(value, spark_path(steps[done:i]), "variant") if i > done else value
@@ -129,7 +143,9 @@ class JsonPlace:
             return F.try_variant_get(value, spark_path(steps[done:]), kind)
 
         written = F.array(*[F.lit(f"[{s}]" if isinstance(s, int) else f".{s}") for s in steps]).cast("array<string>")
-        return cls(written, read, cls._fixed(steps[:-1]) if steps and steps[-1] == "length" else None)
+        place = cls(written, read, cls._fixed(steps[:-1]) if steps and steps[-1] == "length" else None)
+        place.names = steps
+        return place
 
     @classmethod
     def at(cls, path: Column) -> JsonPlace:
@@ -159,6 +175,19 @@ def _member_or_element(value: Column, step: Column) -> Column:
     return F.coalesce(found, F.when(step.startswith("["), F.try_variant_get(value, F.regexp_replace(step, r"\[(\d+)\]", r"\$['$1']"), "variant")))
 
 
+def unsure(text: Column) -> Column:
+    """Whether the kind of a value must be known before its text is a cell."""
+    return text.rlike(_UNSURE)
+
+
+def cell_of(text: Column, json: Column) -> tuple[Column, Column]:
+    """(text, nested) of a cell from its text and, where that is ``unsure``, its ``to_json``; see ``json_cell``."""
+    container = json.rlike(r"^[\[{]")
+    # only members of one object can be out of order
+    nested = container & json.contains("{") & json.contains(",")
+    return F.when(json.startswith('"'), text).when(nested, json).when(container, browser_text(json)).otherwise(number_text(json)), nested
+
+
 def json_cell(value: Column, place: JsonPlace) -> Column:
     """(text, nested) of what stands at ``place`` in a VARIANT; the text is NULL when it is missing or null.
 
@@ -169,14 +198,11 @@ def json_cell(value: Column, place: JsonPlace) -> Column:
 
     def typed(text: Column) -> Column:
         def by_kind(json: Column) -> Column:
-            container = json.rlike(r"^[\[{]")
-            # only members of one object can be out of order
-            nested = container & json.contains("{") & json.contains(",")
-            printed = F.when(json.startswith('"'), text).when(nested, json).when(container, browser_text(json)).otherwise(let(json, number_text))
+            printed, nested = cell_of(text, json)
             return F.struct(printed.alias("text"), nested.alias("nested"))
 
         plain = F.struct(text.alias("text"), F.lit(False).alias("nested"))
-        return F.when(text.rlike(_UNSURE), let(F.to_json(place.get(value)), by_kind)).otherwise(plain)
+        return F.when(unsure(text), let(F.to_json(place.get(value)), by_kind)).otherwise(plain)
 
     return let(place.text(value), typed)
 
@@ -201,9 +227,16 @@ def text_at(json: Column, place: JsonPlace) -> Column:
         element = F.get(F.from_json(F.when(text.startswith("["), text), "array<string>"), name.try_cast("int"))
         return F.when(step.startswith("["), F.coalesce(element, named)).otherwise(named)
 
+    if place.names is not None and not any(isinstance(name, int) for name in place.names):
+        return reduce(lambda text, name: _last_member(text, name), place.names, F.trim(json))
     return F.aggregate(place.steps, F.trim(json), member)
 
 
+def _last_member(text: Column, name: str) -> Column:
+    """The text of the last member of that name; a struct takes the first element of an array, which has no names."""
+    return F.from_json(F.when(~text.rlike(r"^\s*\["), text), StructType([StructField(name, StringType())]))[name]
+
+
 def record_texts(doc: Column, place: JsonPlace) -> Column:
     """The JSON texts of the records at ``place``, members in their original order."""
     return let(text_at(doc, place), lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x)))
@@ -216,14 +249,23 @@ def _masked(json: Column) -> Column:
 _PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 
 
+# Numbers in a JSON text with a fraction, and those that are more than digits and a short fraction. What stands in
+# a string may look like one too.
+_DECIMALS = r"(?:^|[:\[,\s])-?\d+\."
+_LONG_NUMBERS = r"(?:^|[:\[,\s])(?:-0|-?\d++(?:\.\d++)?[eE]|-?\d{10,}+\.|-?\d++\.\d{7,}+)"
+# A string, or a number that is not within one with the zeros at the end of its fraction set aside.
+_TRAILING_ZEROS = r'("[^"]*+")|(-?\d++(?:\.\d*[1-9])?)(?:\.?0+)?(?![\d.])'
+
+
 def browser_text(json: Column) -> Column:
     """A JSON text with its numbers as a browser prints them, and characters instead of escaped pairs."""
 
     # the patterns have only quantifiers that give nothing back, so long strings need no stack
     def numbers(text: Column) -> Column:
+        short = F.regexp_replace(text, _TRAILING_ZEROS, "$1$2")
         tokens = F.regexp_extract_all(text, F.lit(r'"[^"]*+"|-?\d[\d.eE+-]*+|[^"\d-]++|-'), 0)
         spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(_ODD_NUMBER), let(t, number_text)).otherwise(t)), "")
-        return F.when(text.rlike(r"\d[.eE]|-0"), spelled).otherwise(text)
+        return F.when(text.rlike(_LONG_NUMBERS), spelled).when(text.rlike(_DECIMALS), short).otherwise(text)
 
     def characters(text: Column) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(rf"{_PAIR}|[^\\]++|\\"), 0)
@@ -247,7 +289,7 @@ def nesting(json: Column) -> Column:
 
 def _members(json: Column) -> Column:
     """Names with their values, and values, of a JSON text: alike for texts that differ in order only."""
-    return F.array_sort(F.regexp_extract_all(_masked(json), F.lit(r'"[^"]*+":(?:"[^"]*+"|[^"{\[,}\]]++|[{\[])|"[^"]*+"|[^",:{}\[\]]++'), 0))
+    return F.sort_array(F.regexp_extract_all(_masked(json), F.lit(r'"[^"]*+":(?:"[^"]*+"|[^"{\[,}\]]++|[{\[])|"[^"]*+"|[^",:{}\[\]]++'), 0))
 
 
 def nested_text(json: Column, doc: Column, place: JsonPlace) -> Column:

@@ -13,7 +13,7 @@ from ..fixed import (
     WARN_EMPTY_FIELD_JSON,
     WARN_NO_RECORD_JSON,
 )
-from ..functions.jsonpath import JsonPlace, json_cell, json_records, nested_text, parsed, record_texts
+from ..functions.jsonpath import JsonPlace, cell_of, json_cell, json_records, nested_text, parsed, record_texts, unsure
 from ..functions.text import let
 from ..functions.urls import host_of, strip_query
 from .gates import decode_utf8, gate
@@ -92,7 +92,41 @@ def extract_json_page(
 
 def extract_json(docs: DataFrame, rule: dict, keys: Sequence[str], **options) -> DataFrame:
     """Records of all bodies under one rule, in wide form."""
-    return unnest_records(extract_json_page(docs, rule, **options), keys)
+    if options.get("max_bytes") is not None:
+        return unnest_records(extract_json_page(docs, rule, **options), keys)
+    return _json_rows(docs, rule, keys, **options)
+
+
+def _json_rows(
+    docs: DataFrame, rule: dict, keys: Sequence[str], *, doc: str = "doc", url: str = "url", max_rows: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """The rows of ``extract_json_page`` where no step needs a page's records side by side.
+
+    Records become rows first, so that cells are plain columns, which Spark compiles; functions of a page's array
+    are interpreted for every cell. Texts, kinds and nested texts follow in steps, each of them computed once.
+    """
+    fields = [(f"_{i}", f["name"], JsonPlace.of(f["selector"])) for i, f in enumerate(rule["fields"])]
+    rows = JsonPlace.of(rule.get("rowSelector") or "")
+    df = docs if "parsed" in docs.columns else parsed(docs, doc)
+    items = first_of(json_records(F.col("parsed"), rows), max_rows)
+    # texts are read for the order of members, once for a body; a body without objects in objects or lists needs none
+    texts = F.when(F.substring_index(F.col(doc), "{", 2) != F.col(doc), record_texts(F.col(doc), rows))
+    found = df.select(*[F.col(k) if k != url else strip_query(F.col(url)).alias(k) for k in keys], strip_query(F.col(url)).alias("_source"), F.struct(items.alias("items"), texts.alias("texts")).alias("_page"))
+    found = found.select(*keys, "_source", "_page.texts", F.posexplode_outer("_page.items").alias("row_pos", "_r")).where("row_pos is not null")
+    found = found.select(*keys, "_source", "row_pos", "_r", F.get("texts", F.col("row_pos")).alias("_text"))
+    typed = found.select("*", *[place.text(F.col("_r")).alias(i) for i, _, place in fields])
+    kinds = typed.select("*", *[F.when(unsure(F.col(i)), F.to_json(place.get(F.col("_r")))).alias(f"{i}j") for i, _, place in fields])
+    cells = [(i, *cell_of(F.col(i), F.col(f"{i}j"))) for i, _, _ in fields]
+    printed = kinds.select(
+        *keys, "_source", "row_pos", "_text",
+        *[c for i, text, nested in cells for c in (F.when(F.col(f"{i}j").isNull(), F.col(i)).otherwise(text).alias(i), F.coalesce(nested, F.lit(False)).alias(f"{i}n"))],
+    )
+
+    def cell(i: str, place: JsonPlace) -> Column:
+        text = F.coalesce(F.when(F.col(f"{i}n"), nested_text(F.col(i), F.col("_text"), place)).otherwise(F.col(i)), F.lit(""))
+        return text if max_chars is None else F.left(text, F.lit(max_chars))
+
+    return printed.select(*keys, "row_pos", *[cell(i, place).alias(name) for i, name, place in fields], "_source")
 
 
 def with_json_records(routed: DataFrame, *, doc: str = "doc", max_rows: int | None = None, max_chars: int | None = None) -> DataFrame:

@@ -112,3 +112,22 @@ def test_a_body_is_parsed_once(spark, tmp_path):
     assert plan.count("try_parse_json") + plan.count("parse_json") <= 2, plan
     assert [tuple(r) for r in rows.select("i", "v", "w").collect()] == [(1, "1.50", '{"a":1}')]
     assert [r["i"] for r in bad.collect()] == [2]
+
+
+def test_cells_of_a_rule_are_columns(spark):
+    """No function of an array stands over the cells of a record but where a text needs one, and kinds stay right."""
+    docs = spark.createDataFrame(
+        [(1, '{"r":[{"a":["x",{"b":10.50}],"n":0.0,"m":-0.0,"l":123456789.1234567,"o":{"z":[1.50,"a:1.50",-2.0,1e3],"y":"\\"[1.0"}},null,7]}'), (2, '{"r":{"a":{"1":{"b":"1.0"}},"o":{"z":1,"y":2,"z":3}}}')],
+        "i int, doc string",
+    ).withColumn("url", F.lit("https://a.example/x?y"))
+    rule = {"rowSelector": "r", "fields": [{"name": n, "selector": p} for n, p in [("b", "a[1].b"), ("n", "n"), ("m", "m"), ("l", "l"), ("o", "o"), ("k", "a.length")]]}
+    rows = extract_json(docs, rule, ["i"], max_rows=2)
+    assert [tuple(r) for r in rows.orderBy("i", "row_pos").drop("_source").collect()] == [
+        (1, 0, "10.5", "0", "0", "123456789.1234567", '{"z":[1.5,"a:1.50",-2,1000],"y":"\\"[1.0"}', "2"), (1, 1, *[""] * 6),
+        (2, 0, "1.0", "", "", "", '{"y":2,"z":3}', ""),
+    ]
+    assert rows.schema.names == ["i", "row_pos", "b", "n", "m", "l", "o", "k", "_source"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cells" not in plan and "_records" not in plan
+    paged = extract_json_page(docs, rule, max_rows=2).select("i", F.posexplode("records").alias("row_pos", "_r")).select("i", "row_pos", "_r.*")
+    assert sorted(map(tuple, paged.collect())) == sorted(map(tuple, rows.collect()))
