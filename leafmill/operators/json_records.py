@@ -112,8 +112,10 @@ def _json_rows(
     # texts are read for the order of members, once for a body; a body without objects in objects or lists needs none
     texts = F.when(F.substring_index(F.col(doc), "{", 2) != F.col(doc), record_texts(F.col(doc), rows))
     found = df.select(*[F.col(k) if k != url else strip_query(F.col(url)).alias(k) for k in keys], strip_query(F.col(url)).alias("_source"), F.struct(items.alias("items"), texts.alias("texts")).alias("_page"))
-    found = found.select(*keys, "_source", "_page.texts", F.posexplode_outer("_page.items").alias("row_pos", "_r")).where("row_pos is not null")
-    found = found.select(*keys, "_source", "row_pos", "_r", F.get("texts", F.col("row_pos")).alias("_text"))
+    # each record takes its own text along: the page's would be copied for every record
+    pairs = F.transform("_page.items", lambda r, i: F.struct(r.alias("r"), F.get(F.col("_page.texts"), i).alias("text")))
+    found = found.select(*keys, "_source", F.posexplode_outer(pairs).alias("row_pos", "_i")).where("row_pos is not null")
+    found = found.select(*keys, "_source", "row_pos", F.col("_i.r").alias("_r"), F.col("_i.text").alias("_text"))
     typed = found.select("*", *[place.text(F.col("_r")).alias(i) for i, _, place in fields])
     kinds = typed.select("*", *[F.when(unsure(F.col(i)), F.to_json(place.get(F.col("_r")))).alias(f"{i}j") for i, _, place in fields])
     cells = [(i, *cell_of(F.col(i), F.col(f"{i}j"))) for i, _, _ in fields]
