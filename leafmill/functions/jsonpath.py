@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..fixed import RESERVED_PATH_NAMES
-from .text import let
+from .text import bind, let
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_-]*"
 GRAMMAR = rf"^(?:{_NAME}|\[\d+\])(?:\.{_NAME}|\[\d+\])*$"
@@ -112,6 +112,11 @@ def parsed(df: DataFrame, doc: str = "doc", name: str = "parsed") -> DataFrame:
     return df.select("*", F.explode_outer(F.array(F.try_parse_json(doc))).alias(name))
 
 
+def _cut(path: Column) -> Column:
+    """The steps of a normalized path: ``.name`` and ``[position]``."""
+    return F.regexp_extract_all(path, F.lit(r"\.[^.\[]+|\[\d+\]"), 0)
+
+
 class JsonPlace:
     """A place in JSON, read from VARIANT by ``get`` and ``text``; ``steps`` lead there in JSON text.
 
@@ -151,18 +156,15 @@ class JsonPlace:
     def at(cls, path: Column) -> JsonPlace:
         """For a path column as ``normalize_path`` gives it."""
 
-        def cut(path: Column) -> Column:
-            return F.regexp_extract_all(path, F.lit(r"\.[^.\[]+|\[\d+\]"), 0)
-
         def reader(path: Column) -> Callable[[Column, str], Column]:
-            steps = cut(path)
+            steps = _cut(path)
             by_step = lambda value: F.aggregate(steps, value, _member_or_element)
             return lambda value, kind="variant": F.when(path.contains("["), F.try_variant_get(by_step(value), "$", kind)).otherwise(
                 F.try_variant_get(value, path, kind)
             )
 
         above = F.when(path.endswith(".length"), F.regexp_replace(path, r"\.length$", ""))
-        return cls(cut(path), reader(path), cls(cut(above), reader(above), None))
+        return cls(_cut(path), reader(path), cls(_cut(above), reader(above), None))
 
     def text(self, value: Column) -> Column:
         found = self.get(value, "string")
@@ -196,15 +198,67 @@ def json_cell(value: Column, place: JsonPlace) -> Column:
     see ``nested_text``.
     """
 
-    def typed(text: Column) -> Column:
-        def by_kind(json: Column) -> Column:
-            printed, nested = cell_of(text, json)
-            return F.struct(printed.alias("text"), nested.alias("nested"))
+    both = lambda text, nested: F.struct(text.alias("text"), nested.alias("nested"))
+    return let(place.text(value), lambda text: _typed(text, place.get(value), both))
+
+
+def _typed(text: Column, value: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then(text, nested)`` of a cell from its text and its VARIANT, which is looked at where the text is ``unsure``."""
+    return F.when(unsure(text), bind(F.to_json(value), lambda json: then(*cell_of(text, json)))).otherwise(then(text, F.lit(False)))
+
+
+def path_plan(paths: Column) -> Column:
+    """How an array of paths, as ``normalize_path`` gives them, is read in one go: STRUCT(inner, cells).
+
+    ``inner`` has the containers below a record that any path leads through, each once and behind the one it
+    stands in, ``cells`` one entry for each path. An entry is a step from container ``up`` (0 is the record, and n
+    the n-th of ``inner``): to member ``name``, or before it to element ``at``. Without a name it is the container
+    itself, without ``up`` nothing.
+    """
+    joined = lambda steps, n: F.array_join(F.slice(steps, 1, n), "")
+    above = F.transform(paths, lambda p: let(_cut(p), lambda steps: F.transform(steps, lambda _, n: joined(steps, n))))
+    within = F.array_sort(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.filter(above, lambda a: a.isNotNull())))))
+
+    def entry(path: Column, containers: Column) -> Column:
+        def last(steps: Column) -> Column:
+            step = F.get(steps, F.size(steps) - 1)
+            up = F.when(F.size(steps) <= 0, F.lit(0)).otherwise(F.array_position(containers, joined(steps, F.size(steps) - 1)) - 1)
+            return F.struct(
+                F.when(path.isNotNull(), up).cast("int").alias("up"),
+                F.regexp_replace(step, r"^\.|[\[\]]", "").alias("name"),
+                F.when(step.startswith("["), F.regexp_replace(step, r"[\[\]]", "")).try_cast("int").alias("at"),
+            )
+
+        return let(_cut(path), last)
+
+    def planned(containers: Column) -> Column:
+        inner = F.slice(containers, 2, F.size(containers))
+        return F.struct(F.transform(inner, lambda c: entry(c, containers)).alias("inner"), F.transform(paths, lambda p: entry(p, containers)).alias("cells"))
+
+    return let(within, planned)
+
+
+def plan_cells(value: Column, plan: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """``then(k, text, nested)`` for the k-th path of a ``path_plan``, with text and nested as in ``json_cell``.
+
+    A container is opened once, whatever number of paths leads through it, and no path is parsed: one that isn't known
+    before the job would be for every cell.
+    """
+    opened = lambda v: F.struct(
+        v.alias("value"), F.try_variant_get(v, "$", "map<string,variant>").alias("members"), F.try_variant_get(v, "$", "array<variant>").alias("elements")
+    )
+    found = lambda within, e: F.when(e["name"].isNull(), within["value"]).otherwise(
+        F.coalesce(F.get(within["elements"], e["at"]), F.try_element_at(within["members"], e["name"]))
+    )
+    step = lambda containers, e: F.concat(containers, F.array(bind(found(F.get(containers, e["up"]), e), opened)))
 
-        plain = F.struct(text.alias("text"), F.lit(False).alias("nested"))
-        return F.when(unsure(text), let(F.to_json(place.get(value)), by_kind)).otherwise(plain)
+    def cell(within: Column, e: Column, k: Column) -> Column:
+        size = F.when((e["name"] == "length") & e["at"].isNull(), F.size(within["elements"]).cast("string"))
+        text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), size)
+        return bind(found(within, e), lambda v: bind(text(v), lambda t: _typed(t, v, lambda *found: then(k, *found))))
 
-    return let(place.text(value), typed)
+    containers = F.aggregate(plan["inner"], F.array(opened(value)), step)
+    return bind(containers, lambda c: F.transform(plan["cells"], lambda e, k: cell(F.get(c, e["up"]), e, k)))
 
 
 def json_records(value: Column, place: JsonPlace) -> Column:

@@ -16,6 +16,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``let`` for steps that run once a cell: its result isn't copied, as that of a transform is.
+
+    It takes longer to plan, so it is for those only.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
+
+
 def count_upto(numbers: Column, limit: Column) -> Column:
     """How many of an array's rising numbers are not above ``limit``, by halving."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(30))])

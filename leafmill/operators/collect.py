@@ -25,7 +25,7 @@ from .analyze import compiled_selectors
 from .frontier import salted_lookup
 from .gates import content_type_reason, decode_text, decode_utf8, gate, gate_size, gate_status
 from .html import page_bytes_text, page_title, records_as_maps, row_cap_text, rows_within_bytes, with_html_records
-from .json_records import with_json_records
+from .json_records import json_plan, with_json_records
 
 TAGS = ("record", "page", "warning", "reject")
 _SINK = (
@@ -58,7 +58,7 @@ def compile_catalogue(rules: DataFrame) -> DataFrame:
         F.transform(c["fields"], field).alias("fields"),
         F.when(is_json, normalize_path(F.coalesce(c["rowSelector"], F.lit("")))).alias("json_rows"),
         F.when(is_json, F.transform(c["fields"], lambda f: F.struct(f["name"].alias("name"), normalize_path(f["selector"]).alias("path")))).alias("json_fields"),
-    )
+    ).withColumn("json_plan", json_plan(F.col("json_fields")))
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from ..fixed import (
     WARN_EMPTY_FIELD_JSON,
     WARN_NO_RECORD_JSON,
 )
-from ..functions.jsonpath import JsonPlace, cell_of, json_cell, json_records, nested_text, parsed, record_texts, unsure
+from ..functions.jsonpath import JsonPlace, cell_of, json_cell, json_records, nested_text, parsed, path_plan, plan_cells, record_texts, unsure
 from ..functions.text import let
 from ..functions.urls import host_of, strip_query
 from .gates import decode_utf8, gate
@@ -131,31 +131,42 @@ def _json_rows(
     return printed.select(*keys, "row_pos", *[cell(i, place).alias(name) for i, name, place in fields], "_source")
 
 
+def json_plan(fields: Column) -> Column:
+    """The ``path_plan`` of fields (name, path)."""
+    return path_plan(F.transform(fields, lambda f: f["path"]))
+
+
 def with_json_records(routed: DataFrame, *, doc: str = "doc", max_rows: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Adds ``_items`` and ``_json_records``: for each record the (name, value) of every field of the body's
     own rule.
 
     ``routed`` holds bodies (``doc``, ``parsed``) joined with their rule: ``json_rows`` is the path of the
-    records, ``json_fields`` an array of (name, path), both as ``normalize_path`` gives them.
+    records, ``json_fields`` an array of (name, path), both as ``normalize_path`` gives them. A catalogue may have
+    their ``json_plan`` as a column; else it is made for each body.
     """
     rows = JsonPlace.at(F.col("json_rows"))
     df = routed.withColumn("_items", json_records(F.col("parsed"), rows))
 
-    def cells(record: Column) -> Column:
-        return F.transform("json_fields", lambda f: json_cell(record, JsonPlace.at(f["path"])))
+    if "json_plan" not in df.columns:
+        df = df.withColumn("json_plan", json_plan(F.col("json_fields")))
+    items = first_of(F.col("_items"), max_rows)
 
-    df = df.withColumn("_cells", F.transform(first_of(F.col("_items"), max_rows), cells))
-    nested = F.exists("_cells", lambda r: F.exists(r, lambda c: c["nested"]))
-    df = df.withColumn("_texts", F.when(nested, record_texts(F.col(doc), rows)))
+    def records(value) -> Column:
+        """(name, value) of all cells, from their place, record, text and kind."""
+        named = lambda k, c: F.struct(F.get("json_fields", k)["name"].alias("name"), c.alias("value"))
+        return F.transform(items, lambda r, i: plan_cells(r, F.col("json_plan"), lambda k, text, nested: named(k, value(i, k, text, nested))))
 
-    def named(cell: Column, field: Column, text: Column) -> Column:
-        printed = F.when(cell["nested"], nested_text(cell["text"], text, JsonPlace.at(field["path"]))).otherwise(cell["text"])
-        printed = F.coalesce(printed, F.lit(""))
-        return F.struct(field["name"].alias("name"), (printed if max_chars is None else F.left(printed, F.lit(max_chars))).alias("value"))
+    def printed(text: Column) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        return text if max_chars is None else F.left(text, F.lit(max_chars))
 
-    def all_records(page: Column) -> Column:
-        return F.transform(
-            page["_cells"], lambda r, i: F.transform(r, lambda c, k: named(c, F.get(page["json_fields"], k), F.get(page["_texts"], i)))
-        )
+    def nested_or_plain(i: Column, k: Column, text: Column, nested: Column) -> Column:
+        path = F.get("json_fields", k)["path"]
+        return printed(F.when(nested, nested_text(text, F.get("_texts", i), JsonPlace.at(path))).otherwise(text))
 
-    return df.withColumn("_json_records", let(F.struct("_cells", "_texts", "json_fields"), all_records)).drop("_cells", "_texts")
+    # nested cells stay NULL, which others never are; only bodies that have some are gone through once more
+    df = df.withColumn("_cells", records(lambda i, k, text, nested: F.when(~F.coalesce(nested, F.lit(False)), printed(text))))
+    open_ = F.exists("_cells", lambda r: F.exists(r, lambda c: c["value"].isNull()))
+    df = df.withColumn("_open", open_).withColumn("_texts", F.when(F.col("_open"), record_texts(F.col(doc), rows)))
+    whole = F.when(F.col("_open"), records(nested_or_plain)).otherwise(F.col("_cells"))
+    return df.withColumn("_json_records", whole).drop("_cells", "_open", "_texts")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions.jsonpath import JsonPlace, browser_text, json_cell, normalize_path, nested_text, parsed
+from leafmill.functions.jsonpath import JsonPlace, browser_text, json_cell, normalize_path, nested_text, parsed, path_plan, plan_cells
 from leafmill.operators.gates import split_rejects
 from leafmill.operators.json_records import extract_json, extract_json_page, json_bodies
 
@@ -56,6 +56,22 @@ def test_cells(spark):
         assert by_column[i] == want, CELLS[i]
 
 
+def test_cells_of_a_plan(spark):
+    """All paths of a rule, read in one go, give what each of them gives."""
+    paths = ["$", "a.b[0].c", "a.b[0].e.y[3]", "a.b[0].e.y.length", "a.b.length", "length", "[2]", "[07]", "[99999999999]", "k.last[1]", "a[0][1][1]", "a.b[1]", None, "o.z", "s.q", "s"]
+    docs = sorted({d for d, _, _ in CELLS} | {'{"7":1,"07":"seven"}', "[]", '[[1,2],{"length":null},"x"]'})
+    some = [p for p in paths if p != "[99999999999]"]
+    df = parsed(spark.createDataFrame([(i, d, paths, some) for i, d in enumerate(docs)], "i int, doc string, paths array<string>, some array<string>"))
+    df = df.withColumns({"n": F.transform("paths", normalize_path), "m": F.transform("some", normalize_path)}).withColumn("plan", path_plan(F.col("n")))
+    cell = lambda k, text, nested: F.struct(text.alias("text"), F.coalesce(nested, F.lit(False)).alias("nested"))
+    each = F.transform("m", lambda p: F.struct(json_cell(F.col("parsed"), JsonPlace.at(p))["text"].alias("text"), F.coalesce(json_cell(F.col("parsed"), JsonPlace.at(p))["nested"], F.lit(False)).alias("nested")))
+    got = df.select("plan", plan_cells(F.col("parsed"), F.col("plan"), cell).alias("cells"), each.alias("each")).collect()
+    for r in got:
+        assert r["cells"][:8] + r["cells"][9:] == r["each"] and r["cells"][8]["text"] is None
+    # each container is opened once: a, a.b, a.b[0], a.b[0].e, a.b[0].e.y, k, k.last, a[0], a[0][1], o, s
+    assert len(got[0]["plan"]["inner"]) == 11 and len(got[0]["plan"]["cells"]) == len(paths)
+
+
 def test_records(spark):
     docs = spark.createDataFrame(
         [(1, '{"r":[{"v":"1.50"},null,{"v":2.50},{"v":{"b":1.0,"a":2}},"text",7]}'), (2, '{"r":{"v":true}}'), (3, '{"r":null}'), (4, "{}"), (5, '{"r":[]}'), (6, '{"r":[1],"r":[{"v":{"b":1,"a":2}}]}')],
