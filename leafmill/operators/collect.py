@@ -20,7 +20,7 @@ from ..functions.selectors import select_by
 from ..functions.shred import shred
 from ..functions.text import let, trim_all
 from ..functions.urls import host_of, is_other_scheme, origin_of, parse_url, resolve_url, strip_query
-from ..session import work_path
+from ..session import work_path, write_by
 from .analyze import compiled_selectors
 from .frontier import salted_lookup
 from .gates import content_type_reason, decode_text, decode_utf8, gate, gate_size, gate_status
@@ -28,10 +28,10 @@ from .html import page_bytes_text, page_title, records_as_maps, row_cap_text, ro
 from .json_records import json_plan, with_json_records
 
 TAGS = ("record", "page", "warning", "reject")
-_SINK = (
-    "struct<tag:string,pos:int,cells:array<struct<name:string,value:string>>,title:string,rows:int,matched:int,bytes:long,"
-    "next_url:string,last:boolean,message:string>"
-)
+_SINK = {
+    "pos": "int", "cells": "array<struct<name:string,value:string>>", "title": "string", "rows": "int", "matched": "int", "bytes": "long",
+    "next_url": "string", "last": "boolean", "message": "string",
+}
 
 
 def compile_catalogue(rules: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def collect(
         F.inline(F.when(F.col("reject_reason").isNotNull(), F.array(_row("reject", message=F.col("reject_reason")))).otherwise(_sinks(is_json, max_rows, max_bytes))),
     )
     path = work_path(responses.sparkSession, "collected")
-    rows.write.partitionBy("tag").parquet(path)
+    write_by(rows, "tag", path, len(TAGS))
     return Collected(responses.sparkSession.read.schema(rows.schema).parquet(path), keys)
 
 
@@ -160,8 +160,8 @@ def _next_link() -> Column:
 
 
 def _row(tag: str, **values: Column) -> Column:
-    names = ["pos", "cells", "title", "rows", "matched", "bytes", "next_url", "last", "message"]
-    return F.struct(F.lit(tag).alias("tag"), *[values.get(n, F.lit(None)).alias(n) for n in names]).cast(_SINK)
+    # typed one by one: a cast of the whole would copy the cells of every record
+    return F.struct(F.lit(tag).alias("tag"), *[values.get(n, F.lit(None).cast(kind)).alias(n) for n, kind in _SINK.items()])
 
 
 def _sinks(is_json: Column, max_rows: int | None, max_bytes: int | None) -> Column:
@@ -178,7 +178,7 @@ def _sinks(is_json: Column, max_rows: int | None, max_bytes: int | None) -> Colu
         next_url=link,
         last=F.when(is_json, n == 0).otherwise(link.isNull() | F.col("_foreign")),
     )
-    empty = F.filter(F.transform("fields", lambda f: f["name"]), lambda name: (n > 0) & F.forall("_kept", lambda r: F.forall(r, lambda c: (c["name"] != name) | (c["value"] == ""))))
+    empty = F.transform(F.filter("fields", lambda f, i: (n > 0) & F.forall("_kept", lambda r: F.get(r, i)["value"] == "")), lambda f: f["name"])
     empty_text = lambda name: F.when(is_json, F.format_string(WARN_EMPTY_FIELD_JSON, name)).otherwise(F.format_string(WARN_EMPTY_FIELD_HTML, name))
     texts = F.concat(
         F.array(F.when(F.col("_matched") == 0, F.when(is_json, WARN_NO_RECORD_JSON).otherwise(WARN_NO_CONTAINER))),

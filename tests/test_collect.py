@@ -5,10 +5,14 @@ import json
 from pyspark.sql import functions as F
 
 from leafmill.fixed import WARN_NEXT_INVALID, WARN_NEXT_OTHER_ORIGIN, WARN_NO_CONTAINER, WARN_NO_RECORD_JSON
+from leafmill.functions.jsonpath import parsed
 from leafmill.functions.shred import shred
 from leafmill.operators.catalog import read_rules
-from leafmill.operators.collect import collect
+from leafmill.operators.collect import collect, compile_catalogue
 from leafmill.operators.html import with_nodes
+from leafmill.operators.json_records import with_json_records
+from leafmill.schemas import CONFIG
+from leafmill.session import WRITERS, write_by
 
 FIELD = {"id": "f", "attribute": "text"}
 
@@ -97,6 +101,26 @@ def test_sinks(spark, tmp_path):
     assert sizes["api", 0] == sum(len(m.encode()) for m in maps)
 
 
+def test_paths_of_a_rule_are_planned_with_it(spark, tmp_path):
+    """A path that isn't known before the job would be parsed for every cell."""
+    rules = spark.createDataFrame([(json.dumps(RULES[2]["config"]),)], "c string").select(F.lit("api").alias("id"), F.from_json("c", CONFIG).alias("config"))
+    docs = spark.createDataFrame([('{"rows":[{"a":1,"b":{"c":[0,{"z":1,"y":2}]}},{"a":2.50}]}',), ('{"rows":[{"a":"x"}]}',), (None,)], "doc string")
+    routed = parsed(docs.join(compile_catalogue(rules)))
+    planned, plain = (with_json_records(df).orderBy("doc").collect() for df in (routed, routed.drop("json_plan")))
+    assert [[step["name"] for step in r["json_plan"]["inner"]] for r in planned] == [["b", "c"]] * 3
+    want = [[], [["x", "", ""]], [["1", '{"z":1,"y":2}', ""], ["2.5", "", ""]]]
+    for rows_ in (planned, plain):
+        assert sorted([[c["value"] for c in cells] for cells in r["_json_records"]] for r in rows_) == sorted(want)
+
+
+def test_sinks_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr("leafmill.operators.collect.write_by", lambda df, column, path, values: (seen.append(values), write_by(df, column, path, values)))
+    done = job(spark, tmp_path)
+    assert seen == [4] and spark.conf.get(WRITERS) == "0"
+    assert {r["tag"] for r in done.table.select("tag").distinct().collect()} == {"record", "page", "warning", "reject"}
+
+
 def test_limits_are_named_as_they_were_used(spark, tmp_path):
     done = job(spark, tmp_path, max_rows=2, max_chars=3, max_bytes=70)
     rows_of = {(r["rule_id"], r["run_id"], r["page_index"]): (r["rows"], r["matched"]) for r in done.pages().collect()}
