@@ -92,7 +92,7 @@ def json_kinds(spark, sf):
     A line item's quantity is written with a fraction of zero, its price as a string with two digits, and its
     tax twice; every seventh body names the list twice, and then only the last one counts.
     """
-    lines = spread(table(spark, sf, "lineitem")).where("l_linenumber <= 3")
+    lines = spread(table(spark, sf, "lineitem"))
     quantity = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".0"))
     price = F.col("l_extendedprice").cast("decimal(14,2)").cast("string")
     tax = F.col("l_tax").cast("decimal(4,2)").cast("string")
@@ -113,7 +113,7 @@ def json_kinds(spark, sf):
 JSON_KINDS = r"""
 WITH b AS (
   SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR) AS p,
-         CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) AS t FROM lineitem WHERE l_linenumber <= 3)
+         CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, CAST(i AS INTEGER) AS row_pos, 'https://api.example.com/lines' AS _source,
   CASE WHEN i > 0 THEN q ELSE '' END AS quantity, CASE WHEN i > 0 THEN p ELSE '' END AS price,
   CASE WHEN i > 0 THEN regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') ELSE '' END AS tax,

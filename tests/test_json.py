@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.jsonpath import JsonPlace, browser_text, json_cell, normalize_path, nested_text, parsed, path_plan, plan_cells
 from leafmill.operators.gates import split_rejects
 from leafmill.operators.json_records import extract_json, extract_json_page, json_bodies
+from leafmill.plans.json_queries import json_kinds
 
 DEEP = '{"a":{"b":[{"c":"1.50","d":1.50,"e":{"z":1000.0,"y":[1e3,-0,0.10,"1e3"]}},null,"x"]},"k":1,"2":"two","k":{"last":[true,null]}}'
 CELLS = [
@@ -147,3 +148,14 @@ def test_cells_of_a_rule_are_columns(spark):
     assert "_cells" not in plan and "_records" not in plan
     paged = extract_json_page(docs, rule, max_rows=2).select("i", F.posexplode("records").alias("row_pos", "_r")).select("i", "row_pos", "_r.*")
     assert sorted(map(tuple, paged.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_json_kinds_reads_all_lines(spark, tmp_path):
+    """A body for each line item, whatever its number: three records each, the first of them empty."""
+    lines = [(k, n, float(k + (n or 0)), 100.5 * k, 0.05, "N") for k in (6, 7) for n in (*range(1, 10), None)]
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = json_kinds(spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "row_pos", "quantity", "price", "tax").collect()
+    cells = lambda i, q, p: (str(int(q)), f"{p:.2f}", "0.05") if i else ("", "", "")
+    want = [(k, n, i, *cells(i, q, p)) for k, n, q, p, _, _ in lines for i in range(3)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
