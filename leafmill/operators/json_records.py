@@ -13,6 +13,7 @@ from ..fixed import (
     WARN_EMPTY_FIELD_JSON,
     WARN_NO_RECORD_JSON,
 )
+from ..functions.json_cells import json_cells
 from ..functions.jsonpath import JsonPlace, cell_of, json_cell, json_records, nested_text, parsed, path_plan, plan_cells, record_texts, unsure
 from ..functions.text import let
 from ..functions.urls import host_of, strip_query
@@ -104,28 +105,45 @@ def _json_rows(
 
     Records become rows first, so that cells are plain columns, which Spark compiles; functions of a page's array
     are interpreted for every cell. Texts, kinds and nested texts follow in steps, each of them computed once.
+    Plain texts that nobody has parsed are read by ``json_cells``: their rows have all cells as ``_c``, and to these
+    steps they are empty.
     """
     fields = [(f"_{i}", f["name"], JsonPlace.of(f["selector"])) for i, f in enumerate(rule["fields"])]
     rows = JsonPlace.of(rule.get("rowSelector") or "")
-    df = docs if "parsed" in docs.columns else parsed(docs, doc)
+    source = strip_query(F.col(url)).alias("_source")
+    keyed = [F.col(k) if k != url else strip_query(F.col(url)).alias(k) for k in keys]
+    if "parsed" in docs.columns:
+        df = docs.select(*keyed, source, F.col(doc).alias("_doc"), "parsed")
+    else:
+        read = json_cells(F.col(doc), rows.names, [place.names for _, _, place in fields])
+        df = docs.select(*keyed, source, F.col(doc).alias("_doc"), read.alias("_read"))
+        first = first_of(F.col("_read"), max_rows)
+        df = df.select(*keys, "_source", F.when(F.col("_read").isNull(), F.col("_doc")).alias("_doc"), F.posexplode_outer(first).alias("_pos", "_c"))
+        df = parsed(df, "_doc")
     items = first_of(json_records(F.col("parsed"), rows), max_rows)
     # texts are read for the order of members, once for a body; a body without objects in objects or lists needs none
-    texts = F.when(F.substring_index(F.col(doc), "{", 2) != F.col(doc), record_texts(F.col(doc), rows))
-    found = df.select(*[F.col(k) if k != url else strip_query(F.col(url)).alias(k) for k in keys], strip_query(F.col(url)).alias("_source"), F.struct(items.alias("items"), texts.alias("texts")).alias("_page"))
+    texts = F.when(F.substring_index(F.col("_doc"), "{", 2) != F.col("_doc"), record_texts(F.col("_doc"), rows))
+    plain = ["_pos", "_c"] if "_c" in df.columns else []
+    found = df.select(*keys, "_source", *plain, F.struct(items.alias("items"), texts.alias("texts")).alias("_page"))
     # each record takes its own text along: the page's would be copied for every record
     pairs = F.transform("_page.items", lambda r, i: F.struct(r.alias("r"), F.get(F.col("_page.texts"), i).alias("text")))
-    found = found.select(*keys, "_source", F.posexplode_outer(pairs).alias("row_pos", "_i")).where("row_pos is not null")
-    found = found.select(*keys, "_source", "row_pos", F.col("_i.r").alias("_r"), F.col("_i.text").alias("_text"))
+    found = found.select(*keys, "_source", *plain, F.posexplode_outer(pairs).alias("row_pos", "_i"))
+    if plain:
+        found = found.withColumn("row_pos", F.coalesce("_pos", "row_pos")).drop("_pos")
+    plain = plain[1:]
+    found = found.where("row_pos is not null")
+    found = found.select(*keys, "_source", "row_pos", *plain, F.col("_i.r").alias("_r"), F.col("_i.text").alias("_text"))
     typed = found.select("*", *[place.text(F.col("_r")).alias(i) for i, _, place in fields])
     kinds = typed.select("*", *[F.when(unsure(F.col(i)), F.to_json(place.get(F.col("_r")))).alias(f"{i}j") for i, _, place in fields])
     cells = [(i, *cell_of(F.col(i), F.col(f"{i}j"))) for i, _, _ in fields]
     printed = kinds.select(
-        *keys, "_source", "row_pos", "_text",
+        *keys, "_source", "row_pos", *plain, "_text",
         *[c for i, text, nested in cells for c in (F.when(F.col(f"{i}j").isNull(), F.col(i)).otherwise(text).alias(i), F.coalesce(nested, F.lit(False)).alias(f"{i}n"))],
     )
 
     def cell(i: str, place: JsonPlace) -> Column:
-        text = F.coalesce(F.when(F.col(f"{i}n"), nested_text(F.col(i), F.col("_text"), place)).otherwise(F.col(i)), F.lit(""))
+        text = F.when(F.col(f"{i}n"), nested_text(F.col(i), F.col("_text"), place)).otherwise(F.col(i))
+        text = F.coalesce(*[F.col(c)[i] for c in plain], text, F.lit(""))
         return text if max_chars is None else F.left(text, F.lit(max_chars))
 
     return printed.select(*keys, "row_pos", *[cell(i, place).alias(name) for i, name, place in fields], "_source")

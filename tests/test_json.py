@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions.jsonpath import JsonPlace, browser_text, json_cell, normalize_path, nested_text, parsed, path_plan, plan_cells
+from leafmill.functions.json_cells import json_cells
+from leafmill.functions.jsonpath import JsonPlace, browser_text, json_cell, normalize_path, nested_text, parsed, path_plan, path_steps, plan_cells
 from leafmill.operators.gates import split_rejects
 from leafmill.operators.json_records import extract_json, extract_json_page, json_bodies
 from leafmill.plans.json_queries import json_kinds
@@ -159,3 +160,25 @@ def test_json_kinds_reads_all_lines(spark, tmp_path):
     cells = lambda i, q, p: (str(int(q)), f"{p:.2f}", "0.05") if i else ("", "", "")
     want = [(k, n, i, *cells(i, q, p)) for k, n, q, p, _, _ in lines for i in range(3)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_plain_texts_are_read_in_batches(spark):
+    """Plain texts have their cells from one Arrow function, as VARIANT has them; the others are left to VARIANT."""
+    plain = [
+        '{"r":[null,{"a":39.0,"b":"1.50","a":0.050,"z":{"y":[1e3,-0.0,"é \\" 1.0"],"x":true},"7":[0.000001]},"text",7]}',
+        '{"r":[{"a":1}],"r":{"z":{"y":1,"x":{"k":2.50},"y":[]},"a":[]}}', ' {"r" : [ {"a":{ "d":null , "c":1 }} ] } ', '{"b":1,"r":2}', '{"r":[]}', '{"r":null}', "[]",
+    ]
+    odd = ['{"r":{"a":"\\u00e9"}}', '{"r":{"a":1e21,"z":0.1234567890123}}', '{"r":{"a":NaN}}', '{"r":{"a":1}} x', "[" * 600 + "]" * 600, "[" * 1001 + "]" * 1001, '{"r":{"z":{"é":1,"é":2}}}', "{", "", None]
+    docs = spark.createDataFrame(list(enumerate(plain + odd)), "i int, doc string").withColumn("url", F.lit("https://a.example/x?y"))
+    paths = ["a", "b", "z", "z.y", "z.y[1]", "z.y.length", "[7]", "[7][0]", "$"]
+    rule = {"rowSelector": "r", "fields": [{"name": f"f{i}", "selector": p} for i, p in enumerate(paths)]}
+    read = json_cells(F.col("doc"), ["r"], [path_steps(p) for p in paths])
+    found = {r["i"]: r["read"] for r in docs.select("i", read.alias("read")).collect()}
+    assert [i for i, cells in sorted(found.items()) if cells is None] == [*range(len(plain), len(plain) + len(odd))]
+    assert tuple(found[0][1]) == ("0.05", "1.50", '{"y":[1000,0,"é \\" 1.0"],"x":true}', '[1000,0,"é \\" 1.0"]', "0", "3", "[0.000001]", "0.000001", found[0][1]["_8"])
+    assert tuple(found[1][0])[2:] == ('{"x":{"k":2.5},"y":[]}', "[]", "", "0", "", "", '{"a":[],"z":{"x":{"k":2.5},"y":[]}}')
+    for options in ({}, {"max_rows": 2, "max_chars": 5}):
+        rows = extract_json(docs, rule, ["i"], **options)
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, extract_json(parsed(docs), rule, ["i"], **options).collect()))
+    texts = [r for cells in found.values() for r in cells or []]
+    assert len(texts) == 4 + 1 + 1 + 1 and {r["i"] for r in extract_json(docs, rule, ["i"]).collect()} >= {0, 1, 2, 3, 7, 8}
